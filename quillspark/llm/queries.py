@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .op03_token_store import op3_token_store
 from .op05_mixing import op5_source_mixing
+from .op06_decontaminate import op6_decontaminate
 from .op07_token_counts import op7_token_counts
+from .op08_secret_scan import op8_secret_scan
 
 QUERIES = {
     "op3_token_store": op3_token_store,
     "op5_source_mixing": op5_source_mixing,
+    "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
