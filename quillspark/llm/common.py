@@ -69,9 +69,9 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, col
             lo = hi
 
 
-def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all rows, a NUL after each row, and the n+1 offsets of the rows. Nulls are empty."""
-    joined = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()), pa.scalar("\0", pa.large_string()))
+def utf8_buffer(texts: pa.Array, after: str = "\0") -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all rows, the byte ``after`` behind each row, and the n+1 offsets of the rows. Nulls are empty."""
+    joined = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()), pa.scalar(after, pa.large_string()))
     joined = pa.concat_arrays([joined])
     offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
     data = np.frombuffer(joined.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
@@ -131,3 +131,16 @@ def id_column(name: str = "doc_id"):
 
 def empty_like(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+
+
+def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the runs free of ASCII white space in a buffer whose rows end in white space, and the first run of each row."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.diff((~space).astype(np.int8), prepend=0)
+    start = np.flatnonzero(edge == 1)
+    return start, np.flatnonzero(edge == -1), np.searchsorted(start, offsets)
+
+
+def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``values`` cut at ``first`` (n+1 places)."""
+    return np.diff(np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])[first])

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .op01_language import op1_language_id
 from .op03_token_store import op3_token_store
+from .op04_quality import op4_quality_resampling
 from .op05_mixing import op5_source_mixing
 from .op06_decontaminate import op6_decontaminate
 from .op07_token_counts import op7_token_counts
 from .op08_secret_scan import op8_secret_scan
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_token_store": op3_token_store,
+    "op4_quality_resampling": op4_quality_resampling,
     "op5_source_mixing": op5_source_mixing,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
