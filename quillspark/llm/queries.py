@@ -9,6 +9,7 @@ from .op05_mixing import op5_source_mixing
 from .op06_decontaminate import op6_decontaminate
 from .op07_token_counts import op7_token_counts
 from .op08_secret_scan import op8_secret_scan
+from .op09_minhash import op9_minhash_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_secret_scan": op8_secret_scan,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
