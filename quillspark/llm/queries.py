@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op01_language import op1_language_id
+from .op02_suffix_dedup import op2_suffix_dedup
 from .op03_token_store import op3_token_store
 from .op04_quality import op4_quality_resampling
 from .op05_mixing import op5_source_mixing
@@ -13,6 +14,7 @@ from .op09_minhash import op9_minhash_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_store": op3_token_store,
     "op4_quality_resampling": op4_quality_resampling,
     "op5_source_mixing": op5_source_mixing,
