@@ -151,21 +151,20 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int = 11
 
 
 def identify(docs: DataFrame, model: LanguageModel, *carry: str) -> DataFrame:
-    """doc_id, the columns ``carry``, lang_pred, score and ambiguous of every document; only the text decides."""
+    """The columns ``carry``, lang_pred, score and ambiguous of every document; only the text decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select("doc_id", *carry, "text")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "text")
+    given = docs.select(*dict.fromkeys([*carry, "text"]))
+    names = [n for n in given.columns if n in carry]
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             lang, score, unsure = shared.value.predict(part.column("text").to_pylist())
-            own = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n != "text"]
-            yield pa.RecordBatch.from_arrays([c for _, c in own] + [pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[n for n, _ in own] + ["lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[*names, "lang_pred", "score", "ambiguous"])
 
     return given.mapInArrow(run, f"{out}, lang_pred string, score double, ambiguous boolean")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = identify(docs.withColumn("held_out", held_out()), fit(docs), "held_out")
-    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+    return identify(docs.withColumn("held_out", held_out()), fit(docs), "doc_id", "held_out")

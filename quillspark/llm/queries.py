@@ -11,6 +11,7 @@ from .op06_decontaminate import op6_decontaminate
 from .op07_token_counts import op7_token_counts
 from .op08_secret_scan import op8_secret_scan
 from .op09_minhash import op9_minhash_dedup
+from .op10_fingerprint import op10_fingerprints
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
