@@ -9,8 +9,9 @@ agree in a register with the chance of their Jaccard similarity, however small t
 2. Bands of ``ROWS`` registers are keys. The documents of a key are tested against the one with the least id, not with
    each other. Those that the registers put far below the threshold (after taking off chance collisions, with a margin of
    six standard errors) are dropped; the rest are confirmed on their full sets, rebuilt from the whole texts.
-3. Links give groups. Keys that still hold several groups are tested again, from up to ``PICKS`` documents outside the
-   key's largest group against all in other groups, until nothing new is linked (``ROUNDS`` at most).
+3. Links give groups. In keys that still hold several groups, documents outside the key's largest group are tested against all in
+   other groups, ``PICKS`` of them a round, more each round, until none is left untested. A shingle that no other document of such
+   keys has bounds what its document can share: a pair that can't reach the threshold for that reason is not formed.
 
 With similarity 0.8 or more a pair shares no band with chance (1 - 0.8**5)**51 < 2e-9.
 
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SpanHasher, id_column, materialise, mix64, spaced_words, table, text_slices, utf8_buffer
-from .graph import components
+from .graph import components, join_groups
 
 REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 51
-PICKS, ROUNDS = 32, 4
+PICKS = 512
 #: Documents named in an id list that may be broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 1 << 20
 PAIRS_PER_TASK = 512
@@ -154,15 +155,18 @@ def _plausible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame, at_most: int) -> DataFrame:
+    """doc_id and text of the documents in ``ids`` (distinct doc_id), which has ``at_most`` rows."""
+    texts = docs.where(F.col("doc_id").isNotNull()).select(id_column(), F.col("text"))
+    return texts.join(F.broadcast(ids) if at_most <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets, rebuilt from the whole texts, reach the threshold. A popular ``a`` is cut into portions of its partners."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "op9-ids")
-    texts = docs.where(F.col("doc_id").isNotNull()).select(id_column(), F.col("text"))
-    few = ids.count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    texts = materialise(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "op9-texts")
+    n_pairs = pairs.count()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = materialise(_texts_of(docs, ids, 2 * n_pairs), "op9-texts")
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).cast("int").alias("portions"))
-    portions = materialise(portions, "op9-portions")
     heads = portions.select("a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion")).join(texts.withColumnRenamed("doc_id", "a"), "a")
     tails = pairs.join(portions, "a").select("a", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion"), "b").join(texts.withColumnRenamed("doc_id", "b"), "b")
     rows = heads.select("a", "portion", F.lit(None).cast("long").alias("b"), "text").unionByName(tails.select("a", "portion", "b", "text"))
@@ -170,64 +174,92 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     rows = rows.repartition(n, "a", "portion").sortWithinPartitions("a", "portion", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.empty(0, dtype=np.uint64)
+        heads_now, of = [], None  # more than one text where rows repeat a doc_id
         for part in text_slices(batches):
             hashes, first = shingle_sets(part.column("text"), words)
             keep = np.zeros(part.num_rows, dtype=bool)
-            for i, b in enumerate(part.column("b").to_pylist()):
+            for i, (a, portion, b) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "portion", "b")), strict=True)):
                 own = hashes[first[i] : first[i + 1]]
                 if b is None:
-                    head = own
-                elif len(head):
-                    both = int((head[np.minimum(np.searchsorted(head, own), len(head) - 1)] == own).sum())
-                    keep[i] = 100 * both >= percent * (len(head) + len(own) - both)
+                    heads_now = [*heads_now, own] if of == (a, portion) else [own]
+                    of = (a, portion)
+                    continue
+                for head in heads_now:
+                    both = int((head[np.minimum(np.searchsorted(head, own), len(head) - 1)] == own).sum()) if len(head) else 0
+                    keep[i] |= both > 0 and 100 * both >= percent * (len(head) + len(own) - both)
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _private(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, n, private): size of each document's set, and how much of it no other document of ``ids`` has."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            hashes, first = shingle_sets(part.column("text"), words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column("doc_id")), np.diff(first))), pa.array(hashes.view(np.int64))], names=["id", "h"])
 
-def _first_pairs(bands: DataFrame) -> DataFrame:
-    """Each document of a key with the key's least document."""
-    keys = materialise(bands.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a"), "op9-keys")
-    return bands.join(keys, "key").where("id > a").groupBy("a", F.col("id").alias("b")).agg(F.lit(1).alias("_")).select("a", "b")
+    shingles = _texts_of(docs, ids.withColumnRenamed("id", "doc_id"), ids.count()).mapInArrow(run, "id long, h long")
+    owners = shingles.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("private"))
+    return shingles.groupBy("id").agg(F.count("*").alias("n")).join(owners, "id", "left").select("id", "n", F.coalesce("private", F.lit(0)).alias("private"))
 
 
-def _more_pairs(bands: DataFrame, groups: DataFrame) -> DataFrame:
-    """From keys with three or more documents of several groups: some outside the largest group, with all of other groups."""
-    grouped = bands.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
-    mixed = grouped.groupBy("key").agg(F.count("*").alias("size"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("size > 2 and g0 != g1").select("key")
-    rows = materialise(grouped.join(materialise(mixed, "op9-mixed"), "key", "left_semi"), "op9-mixed-rows")
-    share = rows.groupBy("key", "g").agg(F.count("*").alias("n"))
-    largest = materialise(share.groupBy("key").agg(F.max(F.struct("n", "g"))["g"].alias("g")), "op9-largest")
-    outside = rows.join(largest.withColumnRenamed("g", "big"), "key").where("g != big").select("key", "id", "g")
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of keys, with g, the group of id; only of keys with several groups."""
+    found = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", *[c for c in ("n", "private") if c in rows.columns], F.coalesce("component", "id").alias("g"))
+    mixed = found.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("key")
+    return found.join(mixed, "key", "left_semi")
+
+
+def _more_pairs(rows: DataFrame, picked: DataFrame | None, picks: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, picks): documents outside each key's largest group that no earlier round had, with all in other groups of the key."""
+    largest = rows.groupBy("key", "g").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "g"))["g"].alias("big"))
+    outside = rows.join(largest, "key").where("g != big")
+    if picked is not None:
+        outside = outside.join(picked, ["key", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "id")))
-    picks = materialise(outside.withColumn("rank", rank).where(F.col("rank") <= PICKS).select("key", F.col("id").alias("p"), F.col("g").alias("pg")), "op9-picks")
-    pairs = rows.join(picks, "key").where("g != pg").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b")
+    chosen = materialise(outside.withColumn("rank", rank).where(F.col("rank") <= picks).select("key", F.col("id").alias("p"), F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("private").alias("pp")), "op9-picks")
+    most = F.least(F.col("n") - F.col("private"), F.col("pn") - F.col("pp"))  # of what the two can share
+    bound = 100 * most >= percent * (F.col("n") + F.col("pn") - most)
+    pairs = rows.join(chosen, (rows["key"] == chosen["key"]) & (F.col("g") != F.col("pg")) & bound).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    return pairs.distinct(), chosen.select("key", F.col("p").alias("id"))
+
+
+def _untested_links(shared: DataFrame, tested: DataFrame, sets: DataFrame, groups: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``groups`` after all links between groups that share a key of three or more documents."""
+    rows = materialise(_grouped(shared, groups), "op9-mixed")
+    if rows.isEmpty():
+        return groups
+    held = materialise(_private(docs, rows.select("id").distinct(), words), "op9-private").where(100 * (F.col("n") - F.col("private")) >= percent * F.col("n"))
+    rows, picked, picks = rows.drop("g").join(held, "id"), None, PICKS
+    while True:
+        rows = materialise(_grouped(rows, groups), "op9-mixed")
+        pairs, chosen = _more_pairs(rows, picked, picks, percent)
+        if chosen.isEmpty():
+            return groups
+        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "op9-pairs")
+        found = materialise(_confirmed(materialise(_plausible(pairs, sets, percent / 100), "op9-plausible"), docs, words, percent), "op9-edges")
+        if not found.isEmpty():
+            groups = materialise(join_groups(groups, found), "op9-groups")
+        picked, tested, picks = chosen if picked is None else picked.unionByName(chosen), tested.unionByName(pairs), picks * 4
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document; links are 100 * intersection >= percent * union."""
-    threshold = percent / 100
     sketches = materialise(sketch(docs, words), "op9-sketch")
     filled = sketches.where("n > 0 and doc_id is not null")
     same = materialise(filled.groupBy("digest").agg(F.min("doc_id").alias("id")), "op9-same")
-    sets = filled.join(same, "digest").where("doc_id = id").groupBy("id", "digest").agg(F.first("n").alias("n"), F.first("regs").alias("regs"))
-    sets = materialise(sets.select("id", "n", "regs"), "op9-sets")
+    sets = materialise(filled.join(same, "digest").where("doc_id = id").select("id", "n", "regs"), "op9-sets")
     bands = materialise(_bands(sets), "op9-bands")
-    tested = materialise(_first_pairs(bands), "op9-pairs")
-    edges = materialise(_confirmed(materialise(_plausible(tested, sets, threshold), "op9-plausible"), docs, words, percent), "op9-edges")
+    keys = materialise(bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("size")).where("a != z").select("key", "a", "size"), "op9-keys")
+    shared = materialise(bands.join(keys, "key"), "op9-shared")
+    tested = materialise(shared.where("id > a").select("a", F.col("id").alias("b")).distinct(), "op9-pairs")
+    edges = _confirmed(materialise(_plausible(tested, sets, percent / 100), "op9-plausible"), docs, words, percent)
     twice = filled.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.collect_set("digest").alias("ds")).where("d0 != d1")
     twice = twice.select("doc_id", F.explode("ds").alias("digest")).join(same, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a != b")
-    edges = materialise(edges.unionByName(twice), "op9-edges")
-    groups = components(edges)
-    for _ in range(ROUNDS - 1):
-        more = materialise(_more_pairs(bands, groups).join(tested, ["a", "b"], "left_anti"), "op9-pairs")
-        found = materialise(_confirmed(materialise(_plausible(more, sets, threshold), "op9-plausible"), docs, words, percent), "op9-edges")
-        if found.isEmpty():
-            break
-        tested, edges = tested.unionByName(more), edges.unionByName(found)
-        groups = components(edges)
+    groups = materialise(components(edges.unionByName(twice)), "op9-groups")
+    groups = _untested_links(shared.where("size > 2").select("key", "id"), tested, sets, groups, docs, words, percent)
     rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
     rows = rows.join(same, "digest", "left").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
