@@ -1,4 +1,6 @@
 """Registered queries of the report operators and the SQL they must agree with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import link_queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "link_queries"]
