@@ -32,8 +32,9 @@ def balances(assets: DataFrame, claims: DataFrame) -> DataFrame:
 
     Takes (unit_id, line_id, seq, col, value, raw) twice.
     """
-    first = claims.groupBy("unit_id").agg(F.min_by("line_id", "seq").alias("other"))
-    other = claims.join(first, (claims["unit_id"] == first["unit_id"]) & (claims["line_id"] == first["other"])).select(claims["unit_id"], claims["col"], claims["value"].alias("claimed"), claims["raw"].alias("claimed_raw"))
+    first = claims.groupBy(F.col("unit_id").alias("first_unit")).agg(F.min_by("line_id", "seq").alias("other"))
+    held = claims.withColumnRenamed("line_id", "claim_id").join(first, (F.col("unit_id") == F.col("first_unit")) & (F.col("claim_id") == F.col("other")))
+    other = held.select("unit_id", "col", F.col("value").alias("claimed"), F.col("raw").alias("claimed_raw"))
     found = assets.where("value is not null").join(other.where("claimed is not null"), ["unit_id", "col"])
     ok = fig.close(F.col("value"), F.col("claimed"), F.col("claimed_raw"))
     return found.select("unit_id", "line_id", "col", F.when(ok, "ok").otherwise("fail").alias("status"))

@@ -144,7 +144,7 @@ def j2(spark, d):
 
 
 @query("j3_label_refs", with_views("v_lines", "v_notes") + r""", asked AS (SELECT id AS src, section_id, CASE WHEN seq % 3 = 0 THEN label || ' (notes ' || (part_id % 40 + 1) || ' and ' || (part_id % 7 + 1) || ')' ELSE label END AS label FROM v_lines),
-cited AS (SELECT DISTINCT src, section_id, unnest(regexp_extract_all(unnest(regexp_extract_all(label, '(?i)\bnotes?\s*(?:no\.?\s*)?([0-9]{1,3}(?:\s*(?:,|and|&)\s*[0-9]{1,3})*)\b', 1)), '[0-9]+')) AS key FROM asked), """ + _REFS + """
+cited AS (SELECT DISTINCT src, section_id, unnest(regexp_extract_all(g, '[0-9]+')) AS key FROM (SELECT src, section_id, unnest(regexp_extract_all(label, '(?i)\bnotes?\s*(?:no\.?\s*)?([0-9]{1,3}(?:\s*(?:,|and|&)\s*[0-9]{1,3})*)\b', 1)) AS g FROM asked)), """ + _REFS + """
 SELECT DISTINCT c.src, n.id AS dst FROM cited c JOIN v_notes n ON n.section_id = c.section_id AND CAST(n.number AS VARCHAR) = c.key
 WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.src = c.src AND r.dst = n.id)""")
 def j3(spark, d):
