@@ -14,12 +14,15 @@ SMALL_WORDS = ("of", "and", "the", "to", "in", "for", "on", "by", "with", "a", "
 ELLIPSIS = "…"
 
 
-@F.pandas_udf("string")
-def clean_text(text: pd.Series) -> pd.Series:
-    """Compatibility form of a text; a backtick is the rupee sign. Spark SQL has no NFKC, so this one is an Arrow function."""
+def _clean(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC").str.replace("`", "₹", regex=False)
 
 
+def clean_text(text: Column | str) -> Column:
+    """Compatibility form of a text; a backtick is the rupee sign. Spark SQL has no NFKC, so this one is an Arrow function."""
+    return F.pandas_udf(_clean, "string")(text)
+
+
 def norm(text: Column) -> Column:
     """Lower case, runs of other than a-z and 0-9 as one space."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))

@@ -42,7 +42,8 @@ def merge_small(pieces: list[str], least: int = MIN_CHARS) -> list[list[int]]:
             out.append([i])
             size = len(piece)
     if len(out) > 1 and size < least:
-        out[-2] += out.pop()
+        short = out.pop()
+        out[-1] += short
     return out
 
 
