@@ -13,6 +13,11 @@ import shutil
 import tempfile
 
 import numpy as np
+import pandas as pd
+
+from .common import SpanHasher
+
+_HASHER = SpanHasher(seed=2_003)
 
 
 class _Column:
@@ -32,12 +37,13 @@ class _Column:
 def collection_bwt(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Transform (0 at a string's start, else symbol + 1), common prefix with the row before, and the rank of each transform entry.
 
-    String j is data[offsets[j]:offsets[j + 1]], bytes, not empty. Row r < n_strings is the empty suffix of string r; the
+    String j is data[offsets[j]:offsets[j + 1]], unsigned integers, not empty. Row r < n_strings is the empty suffix of string r; the
     row of a suffix one symbol longer is the rank of the row's entry.
     """
     length = np.diff(offsets)
     m, longest = len(length), int(length.max())
-    symbol = np.uint8 if len(data) == 0 or data.max() < 255 else np.uint16
+    most = int(data.max())
+    symbol = np.uint8 if most < 255 else np.uint16 if most < 65535 else np.uint32
     codes = data.astype(symbol) + symbol(1)
     end = offsets[1:]
     folder = tempfile.mkdtemp(prefix="bcr-")
@@ -96,11 +102,48 @@ def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray, down: np.ndarr
     return out
 
 
-def repeated_windows(data: np.ndarray, offsets: np.ndarray, width: int, place: np.ndarray) -> list[np.ndarray]:
+def _blocked(data: np.ndarray, offsets: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of blocks: for each string and each shift below ``block``, its consecutive blocks of so many bytes from there.
+
+    Returns the blocks as numbers, equal for equal bytes, the offsets of the new strings, and the string and shift of each.
+    """
+    length = np.diff(offsets)
+    count = np.maximum(length[:, None] - np.arange(block), 0) // block
+    owner, shift = np.nonzero(count)
+    count = count[owner, shift]
+    new = np.concatenate([[0], np.cumsum(count)])
+    at = np.repeat(offsets[owner] + shift - block * new[:-1], count) + block * np.arange(new[-1])
+    prefix = _HASHER.prefix(data)
+    number, _ = pd.factorize(_HASHER.spans(prefix, at, at + block))
+    head = np.full(number.max() + 1, -1, dtype=np.int64)
+    head[number[::-1]] = at[::-1]
+    same = head[number]
+    if any((data[at + k] != data[same + k]).any() for k in range(block)):  # two blocks with one hash
+        number = np.unique(data[at[:, None] + np.arange(block)], axis=0, return_inverse=True)[1].reshape(-1)
+    return number, new, owner, shift
+
+
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, width: int, place: np.ndarray, block: int = 1) -> list[np.ndarray]:
     """Starts, in each string, of the windows of ``width`` symbols that also stand at a smaller place.
 
-    ``place`` (n_strings x 2) is a string's (document, position); a window's place is its string's with the start added.
+    ``place`` (n_strings x 2) is a string's (document, position); a window's place is its string's with the start added. With
+    ``block`` (a divisor of width) the transform is that of strings of blocks: equal windows are equal runs of width / block of
+    them, and a string of n bytes costs n / block rounds.
     """
+    if block > 1:
+        number, new, owner, shift = _blocked(data, offsets, block)
+        if not len(number):
+            return [np.empty(0, dtype=np.int64) for _ in offsets[1:]]
+        string, start = _repeats(number, new, width // block, place[owner], shift, block)
+        string = owner[string]
+    else:
+        string, start = _repeats(data, offsets, width, place, np.zeros(len(offsets) - 1, dtype=np.int64), 1)
+    order = np.lexsort((start, string))
+    return np.split(start[order], np.searchsorted(string[order], np.arange(1, len(offsets) - 1)))
+
+
+def _repeats(data: np.ndarray, offsets: np.ndarray, width: int, place: np.ndarray, shift: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """String and start (in bytes) of each window of ``width`` symbols that also stands at a smaller place."""
     _, lcp, rank = collection_bwt(data, offsets)
     length = np.diff(offsets)
     group = np.cumsum(lcp < width)
@@ -112,9 +155,10 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, width: int, place: n
         if t >= width:
             rows.append(row)
             owners.append(live)
-            starts.append(length[live] - t)
+            starts.append(shift[live] + block * (length[live] - t))
+    none = np.empty(0, dtype=np.int64)
     if not rows:
-        return [np.empty(0, dtype=np.int64) for _ in length]
+        return none, none
     g, owner, start = group[np.concatenate(rows)], np.concatenate(owners), np.concatenate(starts)
     doc, pos = place[owner, 0], place[owner, 1] + start
     order = np.lexsort((pos, doc, g))
@@ -123,6 +167,4 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, width: int, place: n
     head[1:] = g[1:] != g[:-1]
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     later = (doc != doc[first]) | (pos != pos[first])
-    hit_owner, hit_start = owner[order][later], start[order][later]
-    order = np.lexsort((hit_start, hit_owner))
-    return np.split(hit_start[order], np.searchsorted(hit_owner[order], np.arange(1, len(length))))
+    return owner[order][later], start[order][later]

@@ -32,6 +32,8 @@ from .common import SpanHasher, id_column, input_partitions, mix64, table, text_
 WIDTH, ANCHOR = 100, 32
 #: Segments in one collection; whole anchors, so one may be larger.
 COLLECTION = 4096
+#: Text bytes whose segments are found at once.
+SLICE = 1 << 19
 CHUNKS_PER_INPUT = 3
 _LEAST = -(1 << 63)
 _U = np.uint64
@@ -44,38 +46,38 @@ class Segments:
 
     def __init__(self, texts: pa.Array, width: int, anchor: int):
         self.data, self.offsets = utf8_buffer(texts)
-        size = np.diff(self.offsets) - 1
-        span = width - anchor + 1
-        windows = np.maximum(size - width + 1, 0)
-        prefix = _HASHER.prefix(self.data)
+        windows = np.maximum(np.diff(self.offsets) - width, 0)  # a row also has the NUL behind it
         n = len(self.data) - anchor + 1
         if n <= 0 or not windows.any():
-            self.doc = self.start = self.length = np.empty(0, dtype=np.int64)
+            self.doc = self.start = self.length = self.begin = np.empty(0, dtype=np.int64)
             self.anchor = self.digest = np.empty(0, dtype=_U)
             return
-        place = np.arange(n, dtype=np.int64)
-        hashes = _HASHER.spans(prefix, place, place + anchor)
+        prefix = _HASHER.prefix(self.data)
+        hashes = (prefix[anchor:] - prefix[:-anchor]) * _HASHER.inverses[:n]
         bits = int(n).bit_length()
-        low = (hashes >> _U(bits) << _U(bits)) | place.astype(_U)  # leftmost of the least
-        have = 1
+        low = hashes >> _U(bits)
+        low <<= _U(bits)
+        low |= np.arange(n, dtype=_U)  # the leftmost of the least
+        span, have = width - anchor + 1, 1
         while have < span:
             step = min(have, span - have)
             low = np.minimum(low[:-step], low[step:])
             have += step
-        where = (low & _U((1 << bits) - 1)).astype(np.int64)
-        doc = np.repeat(np.arange(len(size)), windows)
-        first = np.arange(windows.sum()) + np.repeat(self.offsets[:-1] - np.cumsum(windows) + windows, windows)
-        own = where[first]
-        head = np.ones(len(own), dtype=bool)
-        head[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(head)
-        last = np.append(at[1:], len(own)) - 1
-        begin, end = first[at], first[last] + width
-        self.doc, self.length = doc[at], end - begin
+        # Segments begin where the anchor changes and where the windows of a document begin; windows across documents go.
+        filled = windows > 0
+        first, stop = self.offsets[:-1][filled], self.offsets[:-1][filled] + windows[filled]
+        cuts = np.unique(np.concatenate([np.flatnonzero(low[1:] != low[:-1]) + 1, first, stop]))
+        begin, last = cuts[:-1], cuts[1:] - 1
+        doc = np.searchsorted(first, begin, side="right") - 1
+        inside = (doc >= 0) & (begin < stop[np.maximum(doc, 0)])
+        begin, end = begin[inside], last[inside] + width
+        own = (low[begin] & _U((1 << bits) - 1)).astype(np.int64)
+        self.doc = np.flatnonzero(filled)[doc[inside]]
+        self.length = end - begin
         self.start = begin - self.offsets[self.doc]
-        self.anchor = hashes[own[at]]
+        self.anchor = mix64(hashes[own])
         other = _OTHER.prefix(self.data)
-        self.digest = mix64(_OTHER.spans(other, begin, end) + (own[at] - begin).astype(_U) * _U(0x9E3779B97F4A7C15))
+        self.digest = mix64(_OTHER.spans(other, begin, end) + (own - begin).astype(_U) * _U(0x9E3779B97F4A7C15))
         self.begin = begin
 
 
@@ -109,6 +111,7 @@ def _unpack(rows: pa.Table) -> tuple[np.ndarray, ...]:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (start, end in bytes) of each document."""
     spark = docs.sparkSession
+    block = max(b for b in range(1, 26) if width % b == 0)
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), CHUNKS_PER_INPUT * input_partitions(docs))
     rows = docs.select(id_column(), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("chunk"))
@@ -123,7 +126,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
 
     def list_segments(key, part):
         found = []
-        for piece in text_slices([_sorted(part)]):
+        for piece in text_slices([_sorted(part)], SLICE):
             s = Segments(piece.column("text"), width, anchor)
             found.append((s.anchor, s.digest, np.asarray(piece.column("doc"))[s.doc], s.start.astype(np.int32)))
         if not found:
@@ -189,7 +192,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
             wanted = np.unique(known[3][known[5] > 0])
             batch = _sorted(part)
             batch = batch.filter(pa.array(np.isin(np.asarray(batch.column("doc")), wanted)))
-            for piece in text_slices([batch]):
+            for piece in text_slices([batch], SLICE):
                 s = Segments(piece.column("text"), width, anchor)
                 hit, at, first = matched(piece, s, known)
                 pick = hit[first & (known[5][at] > 0)]
@@ -220,7 +223,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
                 hi = len(order)
             own = order[lo:hi]
             take = np.repeat(begin[own] - np.cumsum(size[own]) + size[own], size[own]) + np.arange(size[own].sum())
-            starts = repeated_windows(data[take], np.concatenate([[0], np.cumsum(size[own])]), width, np.stack([doc[own], start[own]], axis=1))
+            starts = repeated_windows(data[take], np.concatenate([[0], np.cumsum(size[own])]), width, np.stack([doc[own], start[own]], axis=1), block)
             for j, st in zip(own, starts, strict=True):
                 if len(st):
                     cut = np.flatnonzero(np.diff(st) > width)
@@ -241,7 +244,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
         order = np.argsort(e_doc, kind="stable")
         e_doc, e_start, e_end = e_doc[order], e_start[order], e_end[order]
         out = []
-        for piece in text_slices([_sorted(part)]):
+        for piece in text_slices([_sorted(part)], SLICE):
             s = Segments(piece.column("text"), width, anchor)
             hit, _, first = matched(piece, s, known)
             own = hit[~first]
