@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a Python worker; bounds its memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +80,6 @@ def utf8_buffer(texts: pa.Array, after: str = "\0") -> tuple[np.ndarray, np.ndar
 
 _U = np.uint64
 HASH_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(int(HASH_BASE), -1, 1 << 64))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -102,23 +101,32 @@ def symbol_codes(n: int, seed: int) -> np.ndarray:
 class SpanHasher:
     """Hash of any span of a symbol array from one prefix array, polynomial modulo 2**64 with a random code for each symbol."""
 
+    #: Powers of each base and of its inverse, shared by all hashers of a worker.
+    _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
     def __init__(self, seed: int, symbols: int = 256, base: int = int(HASH_BASE)):
         self.codes = symbol_codes(symbols, seed)
-        self.base, self.inverse = _U(base), _U(pow(base, -1, 1 << 64))
-        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("powers", self.base), ("inverses", self.inverse)):
-                steps = np.full(size, base, dtype=np.uint64)
+        self.base = base
+
+    def _grow(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.base not in self._tables or len(self._tables[self.base][0]) < n:
+            out = []
+            for base in (self.base, pow(self.base, -1, 1 << 64)):
+                steps = np.full(n + n // 8, base, dtype=np.uint64)
                 steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+                out.append(np.multiply.accumulate(steps, out=steps))
+            self._tables[self.base] = (out[0], out[1])
+        return self._tables[self.base]
+
+    @property
+    def inverses(self) -> np.ndarray:
+        return self._tables[self.base][1]
 
     def prefix(self, symbols: np.ndarray) -> np.ndarray:
-        self._grow(len(symbols) + 1)
+        powers, _ = self._grow(len(symbols) + 1)
         out = np.zeros(len(symbols) + 1, dtype=np.uint64)
-        np.cumsum(self.codes[symbols] * self.powers[: len(symbols)], out=out[1:])
+        np.multiply(self.codes[symbols], powers[: len(symbols)], out=out[1:])
+        np.cumsum(out[1:], out=out[1:])
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

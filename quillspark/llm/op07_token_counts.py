@@ -31,7 +31,7 @@ def tokenizer_version(path: str) -> str:
 
 
 class CountCache:
-    """A Parquet table of counts at ``path``, partitioned by tokenizer version; it may not exist yet."""
+    """A Parquet table of counts at ``path``, partitioned by tokenizer version; it may not exist yet. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -44,7 +44,8 @@ class CountCache:
         if not self._exists():
             return self.spark.createDataFrame([], "digest binary, n_tokens long")
         rows = self.spark.read.schema(CACHE_SCHEMA).parquet(self.path)
-        return rows.where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+        # A digest is appended once, so there is nothing to aggregate, and the join below can split a popular digest.
+        return rows.where(F.col("version") == version).select("digest", "n_tokens")
 
     def append(self, counts: DataFrame, version: str) -> None:
         counts.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").partitionBy("version").parquet(self.path)

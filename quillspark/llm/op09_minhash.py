@@ -10,8 +10,9 @@ agree in a register with the chance of their Jaccard similarity, however small t
    each other. Those that the registers put far below the threshold (after taking off chance collisions, with a margin of
    six standard errors) are dropped; the rest are confirmed on their full sets, rebuilt from the whole texts.
 3. Links give groups. In keys that still hold several groups, documents outside the key's largest group are tested against all in
-   other groups, ``PICKS`` of them a round, more each round, until none is left untested. A shingle that no other document of such
-   keys has bounds what its document can share: a pair that can't reach the threshold for that reason is not formed.
+   other groups, ``PICKS`` of them a round, more each round, until none is left untested. A bitmap of ``BITS`` hashed shingles of each
+   set bounds what two sets can share (each bit that only one has is a shingle that the other lacks): a pair that can't reach
+   the threshold is not formed.
 
 With similarity 0.8 or more a pair shares no band with chance (1 - 0.8**5)**51 < 2e-9.
 
@@ -32,10 +33,12 @@ from .common import SpanHasher, id_column, materialise, mix64, spaced_words, tab
 from .graph import components, join_groups
 
 REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 51
-PICKS = 512
+PICKS, BITS = 512, 1024
 #: Documents named in an id list that may be broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 1 << 20
 PAIRS_PER_TASK = 512
+#: Rows of a key in one portion, and picks of a key at most in one round.
+KEY_ROWS, MOST_PICKS = 4096, 8192
 _HASHER = SpanHasher(seed=9_001)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -113,7 +116,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, digest (128 bits of the set) and registers of each document."""
+    """doc_id, n, digest (128 bits of the set), registers and bitmap of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -122,9 +125,12 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
             n = np.diff(first)
             sums = [np.concatenate([[_U(0)], np.cumsum(mix64(hashes ^ _U(salt)), dtype=np.uint64)])[first] for salt in (0x1F83D9AB, 0x5BE0CD19)]
             digest = np.stack([np.diff(s) for s in sums], axis=1)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array([d.tobytes() for d in digest], pa.binary()), pa.array([r.tobytes() if k else None for r, k in zip(regs, n, strict=True)], pa.binary())], names=["doc_id", "n", "digest", "regs"])
+            bits = np.zeros((len(n), BITS), dtype=bool)
+            bits[np.repeat(np.arange(len(n)), n), (hashes >> _U(20)).astype(np.int64) % BITS] = True
+            words64 = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array([d.tobytes() for d in digest], pa.binary()), pa.array([r.tobytes() if k else None for r, k in zip(regs, n, strict=True)], pa.binary()), pa.array(list(words64), pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "regs", "bits"])
 
-    return docs.select(id_column(), "text").mapInArrow(run, "doc_id long, n long, digest binary, regs binary")
+    return docs.select(id_column(), "text").mapInArrow(run, "doc_id long, n long, digest binary, regs binary, bits array<long>")
 
 
 def _bands(sets: DataFrame) -> DataFrame:
@@ -192,38 +198,71 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _private(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, n, private): size of each document's set, and how much of it no other document of ``ids`` has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            hashes, first = shingle_sets(part.column("text"), words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column("doc_id")), np.diff(first))), pa.array(hashes.view(np.int64))], names=["id", "h"])
-
-    shingles = _texts_of(docs, ids.withColumnRenamed("id", "doc_id"), ids.count()).mapInArrow(run, "id long, h long")
-    owners = shingles.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("private"))
-    return shingles.groupBy("id").agg(F.count("*").alias("n")).join(owners, "id", "left").select("id", "n", F.coalesce("private", F.lit(0)).alias("private"))
-
-
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of keys, with g, the group of id; only of keys with several groups."""
-    found = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", *[c for c in ("n", "private") if c in rows.columns], F.coalesce("component", "id").alias("g"))
+    found = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", *[c for c in ("n", "bits") if c in rows.columns], F.coalesce("component", "id").alias("g"))
     mixed = found.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("key")
     return found.join(mixed, "key", "left_semi")
 
 
 def _more_pairs(rows: DataFrame, picked: DataFrame | None, picks: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, picks): documents outside each key's largest group that no earlier round had, with all in other groups of the key."""
-    largest = rows.groupBy("key", "g").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "g"))["g"].alias("big"))
-    outside = rows.join(largest, "key").where("g != big")
+    largest = rows.groupBy("key", "g").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "g"))["g"].alias("big"), F.ceil(F.sum("m") / KEY_ROWS).cast("int").alias("salts"))
+    rows = rows.join(largest, "key")
+    outside = rows.where("g != big")
     if picked is not None:
         outside = outside.join(picked, ["key", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "id")))
-    chosen = materialise(outside.withColumn("rank", rank).where(F.col("rank") <= picks).select("key", F.col("id").alias("p"), F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("private").alias("pp")), "op9-picks")
-    most = F.least(F.col("n") - F.col("private"), F.col("pn") - F.col("pp"))  # of what the two can share
-    bound = 100 * most >= percent * (F.col("n") + F.col("pn") - most)
-    pairs = rows.join(chosen, (rows["key"] == chosen["key"]) & (F.col("g") != F.col("pg")) & bound).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    return pairs.distinct(), chosen.select("key", F.col("p").alias("id"))
+    columns = ["key", "id", "g", "n", "bits", "salts"]
+    chosen = materialise(outside.withColumn("rank", rank).where(F.col("rank") <= picks).select(*columns), "op9-picks")
+    # Each portion of a key's rows meets the key's picks, whose number is bounded; the picks come first.
+    first = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("pick", F.lit(True))
+    both = first.unionByName(rows.select(*columns).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).withColumn("pick", F.lit(False)))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", F.desc("pick")).select("key", "salt", "pick", "id", "g", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = None, None  # picks of the key at hand: ids, groups, sizes, bitmaps
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, salt, pick, ident, g, size = (np.asarray(batch.column(c)) for c in ("key", "salt", "pick", "id", "g", "n"))
+            bits = np.asarray(batch.column("bits").flatten()).reshape(-1, BITS // 64)
+            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(salt) != 0) | (np.diff(pick.astype(np.int8)) != 0)) + 1
+            out_a, out_b = [], []
+            for lo, hi in zip(np.append(0, cut), np.append(cut, len(key)), strict=True):
+                own = (ident[lo:hi], g[lo:hi], size[lo:hi], bits[lo:hi])
+                if pick[lo]:
+                    held = own if of != (key[lo], salt[lo]) else tuple(np.concatenate(x) for x in zip(held, own, strict=True))
+                    of = (key[lo], salt[lo])
+                elif of == (key[lo], salt[lo]):
+                    for at in range(0, hi - lo, 256):
+                        i, j = _can_share(held, tuple(x[at : at + 256] for x in own), percent)
+                        out_a.append(held[0][i])
+                        out_b.append(own[0][at + j])
+            if out_a:
+                a, b = np.concatenate(out_a), np.concatenate(out_b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct(), chosen.select("key", "id")
+
+
+def _can_share(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs of different groups whose bitmaps allow the threshold. x and y are ids, groups, sizes and bitmaps."""
+    i, j = np.nonzero(x[1][:, None] != y[1][None, :])
+    least, most = np.minimum(x[2][i], y[2][j]), np.maximum(x[2][i], y[2][j])
+    keep = 100 * least >= percent * most
+    i, j = i[keep], j[keep]
+    if not len(i):
+        return i, j
+    lacks = [np.zeros(len(i), dtype=np.int64) for _ in range(2)]
+    for k in range(BITS // 64):
+        a, b = x[3][i, k].view(np.uint64), y[3][j, k].view(np.uint64)
+        lacks[0] += np.bitwise_count(a & ~b)
+        lacks[1] += np.bitwise_count(b & ~a)
+    shared = np.minimum(x[2][i] - lacks[0], y[2][j] - lacks[1])
+    keep = 100 * shared >= percent * (x[2][i] + y[2][j] - shared)
+    return i[keep], j[keep]
 
 
 def _untested_links(shared: DataFrame, tested: DataFrame, sets: DataFrame, groups: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -231,8 +270,7 @@ def _untested_links(shared: DataFrame, tested: DataFrame, sets: DataFrame, group
     rows = materialise(_grouped(shared, groups), "op9-mixed")
     if rows.isEmpty():
         return groups
-    held = materialise(_private(docs, rows.select("id").distinct(), words), "op9-private").where(100 * (F.col("n") - F.col("private")) >= percent * F.col("n"))
-    rows, picked, picks = rows.drop("g").join(held, "id"), None, PICKS
+    rows, picked, picks = rows.drop("g").join(sets.select("id", "n", "bits"), "id"), None, PICKS
     while True:
         rows = materialise(_grouped(rows, groups), "op9-mixed")
         pairs, chosen = _more_pairs(rows, picked, picks, percent)
@@ -242,15 +280,15 @@ def _untested_links(shared: DataFrame, tested: DataFrame, sets: DataFrame, group
         found = materialise(_confirmed(materialise(_plausible(pairs, sets, percent / 100), "op9-plausible"), docs, words, percent), "op9-edges")
         if not found.isEmpty():
             groups = materialise(join_groups(groups, found), "op9-groups")
-        picked, tested, picks = chosen if picked is None else picked.unionByName(chosen), tested.unionByName(pairs), picks * 4
+        picked, tested, picks = chosen if picked is None else picked.unionByName(chosen), tested.unionByName(pairs), min(picks * 4, MOST_PICKS)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document; links are 100 * intersection >= percent * union."""
-    sketches = materialise(sketch(docs, words), "op9-sketch")
+    sketches = materialise(sketch(docs, words), "op9-sketch")  # its bitmaps and registers are read for one document of each set
     filled = sketches.where("n > 0 and doc_id is not null")
     same = materialise(filled.groupBy("digest").agg(F.min("doc_id").alias("id")), "op9-same")
-    sets = materialise(filled.join(same, "digest").where("doc_id = id").select("id", "n", "regs"), "op9-sets")
+    sets = materialise(filled.join(same, "digest").where("doc_id = id").select("id", "n", "regs", "bits"), "op9-sets")
     bands = materialise(_bands(sets), "op9-bands")
     keys = materialise(bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("size")).where("a != z").select("key", "a", "size"), "op9-keys")
     shared = materialise(bands.join(keys, "key"), "op9-shared")

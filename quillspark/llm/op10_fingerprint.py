@@ -44,28 +44,27 @@ def _powers(base: int, prime: int, n: int) -> np.ndarray:
 class PrefixHashes:
     """Prefix arrays of an array of code points, and the equality of spans that they answer."""
 
-    _cache: dict[int, np.ndarray] = {}
+    #: Powers of each base (or inverse) and prime, the longest asked for.
+    _tables: dict[tuple[int, int], np.ndarray] = {}
 
     def __init__(self, codes: np.ndarray):
         self.n = len(codes)
-        size = 1 << max(10, self.n.bit_length())
-        self.size = size
-        self.prefix, self.powers = [], []
+        self.prefix = []
         for base, prime in zip(BASES, PRIMES, strict=True):
-            if (base, size) not in self._cache:
-                self._cache[base, size] = _powers(base, prime, size)
-            powers = self._cache[base, size]
-            terms = (codes.astype(_U) + _U(1)) * powers[: self.n] % _U(prime)
+            terms = (codes.astype(_U) + _U(1)) * self.powers(base, prime)[: self.n] % _U(prime)
             self.prefix.append(np.concatenate([np.zeros(1, dtype=_U), np.cumsum(terms, dtype=_U)]))
-            self.powers.append(powers)
+
+    def powers(self, base: int, prime: int) -> np.ndarray:
+        if len(self._tables.get((base, prime), ())) <= self.n:
+            self._tables[base, prime] = _powers(base, prime, self.n + self.n // 8 + 1)
+        return self._tables[base, prime]
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """62-bit hash of each span: both residues, moved to the same power."""
         out = np.zeros(len(start), dtype=_U)
-        shift = self.size - 1 - start
-        for prefix, powers, prime in zip(self.prefix, self.powers, PRIMES, strict=True):
+        for prefix, base, prime in zip(self.prefix, BASES, PRIMES, strict=True):
             # a multiple of the power of the start becomes one of the highest power
-            out = (out << _U(31)) | ((prefix[end] - prefix[start]) % _U(prime) * powers[shift] % _U(prime))
+            out = (out << _U(31)) | ((prefix[end] - prefix[start]) % _U(prime) * self.powers(base, prime)[self.n - start] % _U(prime))
         return out
 
     def extension(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -110,12 +109,9 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
 def _at_zero(hashes: PrefixHashes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Span hashes that do not depend on the slice: divided by the power of the start."""
     out = np.zeros(len(start), dtype=_U)
-    for k, (base, prime) in enumerate(zip(BASES, PRIMES, strict=True)):
-        key = (base, hashes.size, "inverse")
-        if key not in PrefixHashes._cache:
-            PrefixHashes._cache[key] = _powers(pow(base, -1, prime), prime, hashes.size)
-        prefix = hashes.prefix[k]
-        out = (out << _U(31)) | ((prefix[end] - prefix[start]) % _U(prime) * PrefixHashes._cache[key][start] % _U(prime))
+    for prefix, base, prime in zip(hashes.prefix, BASES, PRIMES, strict=True):
+        inverse = hashes.powers(pow(base, -1, prime), prime)
+        out = (out << _U(31)) | ((prefix[end] - prefix[start]) % _U(prime) * inverse[start] % _U(prime))
     return out
 
 
@@ -175,7 +171,7 @@ def edit_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and unchanged (common prefix of text and edited text)."""
     both, n = _ranges(docs)
     # Descending doc_id, nulls last, then text; the document carried over comes last in its range.
-    ordered = both.repartition(n, "range").sortWithinPartitions("range", "halo", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    ordered = both.repartitionById(n, F.col("range")).sortWithinPartitions("range", "halo", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # (doc_id, text, range, registers) that waits for its next
