@@ -28,9 +28,9 @@ def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is found without doubt."""
+    """Drop the documents without a letter, and those where no language has half of the score."""
     found = op01_language.identify(docs, op01_language.fit(docs), *COLUMNS)
-    return found.where("lang_pred != 'und' and not ambiguous").select(*COLUMNS)
+    return found.where("lang_pred != 'und' and score >= 0.5").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
