@@ -6,7 +6,7 @@ Language identification, near-duplicates, benchmark passages, the mix of sources
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import op01_language, op03_token_store, op05_mixing, op06_decontaminate, op09_minhash
@@ -15,11 +15,20 @@ from quillspark.llm.common import materialise, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Ids of documents to drop that may be broadcast; a longer list is joined by shuffle.
 BROADCAST_IDS = 1 << 20
+#: Key of a row within a stage; a doc_id may be null or repeat.
+ROW = "pipeline_row"
+#: Of the choice of documents that the mix takes once more, and the parts a fraction is counted in.
+SEED, UNIT = 20_240_502, 1 << 30
 
 #: The last stage's language identification, token files and all between are not SQL; see tests/llm.
 ORACLE_SQL = None
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of each row, written so that every later reading has the same keys."""
+    return materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "pipeline-rows")
+
+
 def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """``docs`` but for the rows whose doc_id is in ``drop``."""
     ids = materialise(drop.select(F.col("doc_id").alias("dropped_id")).distinct(), "pipeline-drop")
@@ -45,11 +54,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes its words, to the nearest whole."""
-    mixed = op05_mixing.mix(docs, lambda k: k % 3 + 1).groupBy(F.col("doc_id").alias("mixed_id")).agg((F.sum("taken") / F.sum("size")).alias("times"))
-    copies = F.floor(F.col("times") + 0.5).cast("int")
-    joined = docs.join(mixed.where("times >= 0.5"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(*COLUMNS)
+    """Repeat each document as often as the mix takes its words, rounded so that each source keeps its words.
+
+    A document comes floor(taken / size) times, and once more where the running sum of the fractions along its shard, with a
+    seeded start, passes a whole number. Each has the chance of its fraction; as the line is in order of size, the words of
+    a shard differ from those taken by less than its longest document.
+    """
+    docs = _keyed(docs)
+    mixed = op05_mixing.mix(docs, lambda k: k % 3 + 1, carry=(ROW,)).where("size > 0")
+    part = F.expr(f"taken % size * {UNIT}L div size")
+    line = Window.partitionBy("source", "shard").orderBy("size", F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", ROW)
+    start = F.pmod(F.xxhash64(F.lit(SEED), "source", "shard"), F.lit(UNIT))
+    laid = mixed.withColumn("part", part).withColumn("upto", start + F.sum("part").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    once_more = F.expr(f"upto div {UNIT} - (upto - part) div {UNIT}")
+    copies = laid.select(ROW, (F.expr("taken div size") + once_more).cast("int").alias("copies")).where("copies > 0")
+    return docs.join(copies, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

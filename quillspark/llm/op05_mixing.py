@@ -81,10 +81,10 @@ def _step(n: int, seed: int) -> int:
     return step % n if n > 1 else 0
 
 
-def mix(docs: DataFrame, weight_of, seed: int = 20_240_501, cap: int = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the columns source, shard. ``weight_of(k)`` is the weight of the k-th source by code point."""
+def mix(docs: DataFrame, weight_of, seed: int = 20_240_501, cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the columns source, shard and ``carry``. ``weight_of(k)`` is the weight of the k-th source by code point."""
     spark = docs.sparkSession
-    sized = docs.select(id_column(), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(*carry, id_column(), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = materialise(sized, "op5-sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     sums.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weight_of, seed: int = 20_240_501, cap: int = CAP) -> D
     # The plan has a row for each source; Spark broadcasts it while it is small and shuffles it beyond.
     keyed = sized.join(plan, (F.coalesce("source", F.lit("")) == F.col("plan_source")) & (F.col("source").isNull() == F.col("no_source")))
     order = F.xxhash64(F.lit(seed), "doc_id")
-    keyed = keyed.select("doc_id", "source", "size", "source_size", "target", "source_no", order.alias("order"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")).cast("int").alias("shard"))
+    keyed = keyed.select(*carry, "doc_id", "source", "size", "source_size", "target", "source_no", order.alias("order"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")).cast("int").alias("shard"))
 
     parts = sorted(keyed.groupBy("source_no", "shard").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r.source_no, r.shard))
     by_source: dict[int, list] = {}
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, weight_of, seed: int = 20_240_501, cap: int = CAP) -> D
         F.lit(0).cast("long"),
         lambda acc, b: acc + F.when((b * F.col("step") + F.col("shift")) % F.col("blocks") < F.col("extra"), F.least((b + 1) * block, F.col("hi")) - F.greatest(b * block, lo)).otherwise(0).cast("long"),
     )
-    return laid.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + more).alias("taken"), "source", "shard")
+    return laid.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + more).alias("taken"), "source", "shard", *carry)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

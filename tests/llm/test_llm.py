@@ -456,6 +456,30 @@ def test_pipeline(spark):
     assert all(n == len(counts[i]) + 1 for (_, i), n in final.items())
 
 
+@pytest.mark.parametrize("shard_words", [2_000_000, 2_000])
+def test_pipeline_mix_keeps_the_words_of_each_source(spark, monkeypatch, shard_words):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(op05_mixing, "SHARD_WORDS", shard_words)
+    rng = random.Random(21)
+    sources = ["tiny", *(rng.choices(["a", "b", None, "é"], [10, 4, 2, 1], k=600))]
+    texts = ["only three words", *(" ".join([f"d{i}"] * rng.randint(1, 200)) for i in range(600))]
+    ids = [None if i % 10 == 3 else 7 if i % 10 == 4 else i for i in range(601)]  # the tiny source makes blocks of one word
+    docs = documents(spark, texts, ids=ids, sources=sources)
+    rows = cp.mix_sources(spark, docs, "").collect()
+    size, words, longest = collections.Counter(), collections.Counter(), collections.Counter()
+    for s, t in zip(sources, texts, strict=True):
+        size[s] += len(t.split())
+        longest[s] = max(longest[s], len(t.split()))
+    for r in rows:
+        words[r.source] += len(r.text.split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(order, op05_mixing.targets([size[s] for s in order], [k % 3 + 1 for k in range(len(order))], sum(size.values())), strict=True))
+    assert min(goal[s] / size[s] for s in order) < 0.5  # a source that rounding to the nearest whole would drop
+    for s in order:
+        assert abs(words[s] - goal[s]) <= longest[s] + 3 + 0.03 * goal[s] * (shard_words == 2_000), s
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
