@@ -13,7 +13,7 @@ from quillspark.llm import op01_language, op03_token_store, op05_mixing, op06_de
 from quillspark.llm.common import materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Ids of documents to drop that may be broadcast; a longer list is joined by shuffle.
+#: Keys of rows to drop that may be broadcast; a longer list is joined by shuffle.
 BROADCAST_IDS = 1 << 20
 #: Key of a row within a stage; a doc_id may be null or repeat.
 ROW = "pipeline_row"
@@ -30,10 +30,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is in ``drop``."""
-    ids = materialise(drop.select(F.col("doc_id").alias("dropped_id")).distinct(), "pipeline-drop")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    """``docs`` but for the rows whose key is in ``drop``."""
+    keys = materialise(drop.select(ROW), "pipeline-drop")
+    few = keys.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(keys) if few else keys, ROW, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +43,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    return _without(docs, op09_minhash.near_duplicates(docs).where("not kept")).select(*COLUMNS)
+    """Keep the row of least id (null last) of each group of near-duplicates (five-word shingles, similarity 0.8); each row is a node of its own."""
+    docs = _keyed(docs)
+    found = op09_minhash.near_duplicates(docs.withColumn("doc_id", F.col(ROW)))
+    groups = materialise(found.select(F.col("doc_id").alias(ROW), "component_id"), "pipeline-groups")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
+    stays = groups.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(least.alias(ROW)).select(ROW)
+    return _without(docs, groups.join(stays, ROW, "left_anti")).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a passage of a benchmark item."""
-    found = op06_decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated")).select(*COLUMNS)
+    """Drop the rows that hold a passage of a benchmark item; each row has its own verdict."""
+    docs = _keyed(docs)
+    found = op06_decontaminate.contamination(docs.withColumn("doc_id", F.col(ROW)), table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias(ROW))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -456,6 +456,21 @@ def test_pipeline(spark):
     assert all(n == len(counts[i]) + 1 for (_, i), n in final.items())
 
 
+def test_pipeline_drops_rows_and_not_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    passage = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([("b", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, [f"x {passage} y", "clean a", f"z {passage}", "clean b", "clean c", None], ids=[None, None, 4, 4, 5, None])
+    left = cp.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == [("4", "clean b"), ("5", "clean c"), ("None", "None"), ("None", "clean a")]
+
+    copy, other, lone = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    docs = documents(spark, [copy, copy, copy, other, other, lone, copy, "", None, lone, copy], ids=[None, 4, 4, None, None, 4, 9, 4, None, 3, None])
+    left = cp.near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == [("3", lone), ("4", ""), ("4", copy), ("None", "None"), ("None", other)]
+
+
 @pytest.mark.parametrize("shard_words", [2_000_000, 2_000])
 def test_pipeline_mix_keeps_the_words_of_each_source(spark, monkeypatch, shard_words):
     import corpus_pipeline as cp
