@@ -356,7 +356,7 @@ def w1(spark, d):
 
 @query("q5_tie_outs")
 def q5(spark, d):
-    own = rv.lines(spark, d).where("order_id < 2000")
+    own = rv.lines(spark, d)
     part = own.select(F.col("order_id").alias("page"), F.lit(0).cast("long").alias("tbl"), F.lit(1).cast("long").alias("col"), (F.col("seq") * 10).alias("row"), F.col("label"), (F.col("cents") / 100).alias("value"))
     total = own.groupBy("order_id").agg(F.sum("cents").alias("c"), F.max("seq").alias("m")).select(F.col("order_id").alias("page"), F.lit(0).cast("long").alias("tbl"), F.lit(1).cast("long").alias("col"), (F.col("m") * 10 + 5).alias("row"), F.lit("Total").alias("label"), (F.col("c") / 100).alias("value"))
     return grouped.tie_outs(part.unionByName(total).withColumn("figure", F.format_number("value", 2)))

@@ -103,3 +103,15 @@ def test_upsert_and_latest(spark):
     assert rows(sinks.upsert(now, spark.createDataFrame([("b", 9)], "k string, v int"), "k")) == [("a", 1), ("b", 9)]
     events = spark.createDataFrame([("f", 1, "open"), ("f", 2, "fixed")], "f string, at int, status string")
     assert rows(sinks.latest_state(events, "f", "at", "status")) == [("f", "fixed")]
+
+
+def test_tie_outs_of_all_orders(spark, tmp_path):
+    from quillspark.plans import QUERIES
+
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    few = spark.read.parquet(f"{source}/lineitem.parquet").where("l_orderkey < 50")
+    moved = few.withColumn("l_orderkey", F.col("l_orderkey") + 5000)
+    few.unionByName(moved.select(few.columns)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    pages = [r.page for r in QUERIES["q5_tie_outs"](spark, str(tmp_path)).select("page").collect()]
+    assert sorted(p for p in pages if p >= 5000) == sorted(p + 5000 for p in pages if p < 5000) and max(pages) >= 5000
