@@ -15,6 +15,8 @@ from quillspark.llm.common import materialise, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Keys of rows to drop that may be broadcast; a longer list is joined by shuffle.
 BROADCAST_IDS = 1 << 20
+#: What language identification takes for a letter.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 #: Key of a row within a stage; a doc_id may be null or repeat.
 ROW = "pipeline_row"
 #: Of the choice of documents that the mix takes once more, and the parts a fraction is counted in.
@@ -37,8 +39,14 @@ def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents without a letter, and those where no language has half of the score."""
-    found = op01_language.identify(docs, op01_language.fit(docs), *COLUMNS)
+    """Drop the documents without a letter, and those where no language has half of the score.
+
+    Where no document outside the held-out quarter has a lang, there is no language to score: all with a letter stay.
+    """
+    model = op01_language.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(LETTER)).select(*COLUMNS)
+    found = op01_language.identify(docs, model, *COLUMNS)
     return found.where("lang_pred != 'und' and score >= 0.5").select(*COLUMNS)
 
 

@@ -456,6 +456,16 @@ def test_pipeline(spark):
     assert all(n == len(counts[i]) + 1 for (_, i), n in final.items())
 
 
+def test_pipeline_without_labels(spark):
+    import corpus_pipeline as cp
+
+    texts = ["some words", "日本語", "12 $$$ _", "", None, "é", "held out"]
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2)
+    docs = documents(spark, texts, ids=[*range(6), held], langs=[None] * 6 + ["en"])
+    left = cp.language_id(spark, docs, "")
+    assert left.columns == cp.COLUMNS and sorted(r.text for r in left.collect()) == sorted(["some words", "日本語", "é", "held out"])
+
+
 def test_pipeline_drops_rows_and_not_ids(spark, tmp_path):
     import corpus_pipeline as cp
 
