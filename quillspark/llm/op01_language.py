@@ -6,19 +6,19 @@ logistic loss of each margin against each codeword, weighted by how well the bit
 nearest codeword; the score is its share of exp(-loss), and a result whose runner-up is close is flagged ambiguous.
 
 The models are fitted on a bounded sample of labelled rows, about ``SAMPLE_PER_LANGUAGE`` of each language, picked by a hash
-of doc_id. Nulls: a null text, or one without a letter, is ``und`` with score 0; a null lang is never learned; a null
+of doc_id. Nulls: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; a null lang is never learned; a null
 doc_id counts as the empty string for the split. Empty tables give an empty result, and with no labelled row all is
 ``und``. Repeated rows each get a row, other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ from .common import row_sums, table, text_slices, utf8_buffer
 SAMPLE_PER_LANGUAGE = 400
 BUCKETS = 1 << 15
 AMBIGUOUS = 0.6
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = np.full(256, 32, dtype=np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)

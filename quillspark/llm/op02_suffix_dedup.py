@@ -5,7 +5,8 @@ ties), so equal windows have equal anchors at equal places. Neighbouring windows
 2 * WIDTH - ANCHOR bytes; only segments whose anchor occurs twice in the corpus can hold a repeated window.
 
 1. Documents are dealt to chunks by a hash of their id. A chunk lists its segments as (anchor hash, segment digest, first place).
-2. Per anchor: anchors that occur once go. Equal segments (128-bit digests) are one from here on, at their first place.
+2. Per anchor: anchors that occur once go. Equal segments are one from here on, at their first place: those whose anchors and
+   whole bytes have the same two hashes modulo a prime of 61 bits, with different bases.
 3. Where segments with one anchor differ, their bytes, one copy of each, form a collection; its Burrows-Wheeler transform and
    common prefixes are built column by column (see ``bcr``), and windows in a run of prefixes of WIDTH or more are equal.
 4. A chunk marks the bytes of all windows that also start earlier and hashes what is left.
@@ -38,7 +39,7 @@ CHUNKS_PER_INPUT = 3
 _LEAST = -(1 << 63)
 _U = np.uint64
 _HASHER = SpanHasher(seed=2_001)
-_OTHER = SpanHasher(seed=2_002, base=0xD1342543DE82EF95)
+_OTHER = SpanHasher(seed=2_002)
 
 
 class Segments:
@@ -53,7 +54,7 @@ class Segments:
             self.anchor = self.digest = np.empty(0, dtype=_U)
             return
         prefix = _HASHER.prefix(self.data)
-        hashes = (prefix[anchor:] - prefix[:-anchor]) * _HASHER.inverses[:n]
+        hashes = _HASHER.windows(prefix, anchor)
         bits = int(n).bit_length()
         low = hashes >> _U(bits)
         low <<= _U(bits)

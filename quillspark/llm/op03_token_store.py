@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_column, input_partitions, materialise, scratch_path, table, text_slices
+from .common import discard, id_column, input_partitions, materialise, scratch_path, table, text_slices
 from .vocab import as_list, vocabulary_path, word_bpe
 
 END_ID = 2
@@ -78,26 +78,27 @@ def unpack_block(blob: bytes, id_of_rank: np.ndarray) -> tuple[list[int | None],
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the ids of every whole text (unsigned 16-bit, little-endian), the end id last."""
+    """doc_id and the ids of every whole text (in the encoder's ``dtype``), the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for part in text_slices(batches):
             ids, at = bpe.encode(as_list(part.column("text")))
-            rows = [ids[a:b].tobytes() + END_ID.to_bytes(2, "little") for a, b in zip(at[:-1], at[1:], strict=True)]
+            last = np.array([END_ID], dtype=bpe.dtype).tobytes()
+            rows = [ids[a:b].tobytes() + last for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(id_column(), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def rank_table(encoded: DataFrame) -> np.ndarray:
+def rank_table(encoded: DataFrame, vocabulary: int, dtype: np.dtype) -> np.ndarray:
     """Ids by falling frequency, ties by id. Its size is bounded by the vocabulary, so the driver holds it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 16, dtype=np.int64)
+        seen = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                seen += np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u2"), minlength=1 << 16)
+            if batch.num_rows:
+                seen += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=dtype), minlength=vocabulary)
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], names=["id", "n"])
 
@@ -108,9 +109,11 @@ def rank_table(encoded: DataFrame) -> np.ndarray:
 def write_store(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS) -> None:
     """Encode ``docs`` and write the token files below ``path`` (blocks/ and ranks/)."""
     spark = docs.sparkSession
+    bpe = word_bpe(tokenizer)
+    vocabulary, dtype = max(END_ID + 1, bpe.library.get_vocab_size()), bpe.dtype
     encoded = materialise(encode_ids(docs, tokenizer), "op3-ids")
-    ranks = rank_table(encoded)
-    rank_of = np.zeros(1 << 16, dtype=np.uint32)
+    ranks = rank_table(encoded, vocabulary, dtype)
+    rank_of = np.zeros(vocabulary, dtype=np.uint32)
     rank_of[ranks] = np.arange(len(ranks), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)
 
@@ -127,7 +130,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLO
 
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(raw.as_buffer(), dtype="<u2")
+                values = np.frombuffer(raw.as_buffer(), dtype=dtype)
                 ids.append(doc_id)
                 parts.append(values)
                 size += len(values)
@@ -141,6 +144,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLO
     ordered = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(pack, "shard int, block int, n_ids long, blob binary").write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(ranks.tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
+    discard(encoded)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -51,19 +51,29 @@ def targets(sizes: list[int], weights: list[float], total: float, cap: float = C
 
 
 def sainte_lague(votes: list[float], seats: int, caps: list[int] | None = None) -> list[int]:
-    """Seats by the highest quotients votes / (2 k + 1), ties to the first, none above its cap."""
+    """Seats by the highest quotients votes / (2 k + 1), ties to the first, none above its cap.
+
+    Seats whose quotient is above a divisor that gives no seat too many are dealt at once; a queue deals the rest.
+    """
     caps = caps or [seats] * len(votes)
     seats = min(seats, sum(c for c, v in zip(caps, votes, strict=True) if v > 0))
-    got, whole = [0] * len(votes), sum(votes)
-    if whole > 0:  # the quotients before these seats are above all that follow, but for rounding
-        got = [min(c, max(0, math.floor(v / whole * seats) - 1)) for v, c in zip(votes, caps, strict=True)]
+
+    def above(divisor: float) -> list[int]:
+        """How many quotients of each are above ``divisor``."""
+        return [min(c, max(0, math.ceil((v / divisor - 1) / 2))) if v > 0 else 0 for v, c in zip(votes, caps, strict=True)]
+
+    got = [0] * len(votes)
+    if seats > 0:
+        low, high = min(v for v in votes if v > 0) / (2 * seats + 2), max(votes)  # all that are dealt lie between
+        while high - low > high * 1e-12:
+            middle = (low + high) / 2
+            low, high = (low, middle) if sum(above(middle)) <= seats else (middle, high)
+        got = above(high * (1 + 1e-9))
     heap = [(-v / (2 * g + 1), i) for i, (v, g) in enumerate(zip(votes, got, strict=True)) if v > 0 and g < caps[i]]
     heapq.heapify(heap)
-    left = seats - sum(got)
-    while left > 0 and heap:
+    for _ in range(seats - sum(got)):
         _, i = heapq.heappop(heap)
         got[i] += 1
-        left -= 1
         if got[i] < caps[i]:
             heapq.heappush(heap, (-votes[i] / (2 * got[i] + 1), i))
     return got

@@ -6,8 +6,10 @@ end of the window looks up how far the window may jump (0 where some pattern end
 last words picks the bucket of patterns that end so, and those are compared word by word, then byte by byte. All
 strips of a slice of documents move at once, each from its own place.
 
-The pattern tables are broadcast. Their size is checked: an item set beyond ``SLICE_PATTERN_BYTES`` is cut into slices
-that fit, each is searched on its own, and the hits of a document are united by a grouped pass.
+A pattern is a place in the numbered words of all items, so the tables take about 32 bytes a word and are broadcast. Their
+size is checked: items of more than ``SLICE_BYTES`` of text are cut into slices that fit, each is searched on its own, and
+the hits of a document are united by a grouped pass. Words are numbered by hashes that tell all words of the items apart, and
+the bytes of each occurrence are compared, so no result rests on a hash.
 
 Nulls: a null text has no words; an item whose id or text is null or has no words has no window; a null doc_id keeps its
 row. Repeated item ids count once, repeated documents each get a row. Other columns are ignored; either table may be empty.
@@ -24,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, id_column, materialise, scratch_path, table, text_slices, utf8_buffer
+from .common import SpanHasher, equal_spans, id_column, materialise, mix64, scratch_path, table, text_slices, utf8_buffer
 
 WINDOW = 10
 STRIP = 192
-SLICE_PATTERN_BYTES = 32 << 20
+#: Bytes of the items' texts searched at once.
+SLICE_BYTES = 16 << 20
 _SHIFT_BITS = 16
+#: Key of a row where several searches are united.
+_ROW = "op6_row"
 
 
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +46,6 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _LOWER, _WORD = _byte_tables()
-_HASHER = SpanHasher(seed=6_001)
 
 
 @dataclass
@@ -55,23 +59,24 @@ class Words:
     first: np.ndarray  # n_texts + 1
 
 
-def words_of(texts: pa.Array) -> Words:
+def words_of(texts: pa.Array, hasher: SpanHasher) -> Words:
     data, offsets = utf8_buffer(texts)
     data = _LOWER[data]
     inside = np.zeros(len(data) + 1, dtype=np.int8)
     inside[:-1] = _WORD[data]  # the NUL after each text ends its last word
     edge = np.diff(inside, prepend=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    hashes = _HASHER.spans(_HASHER.prefix(data), start, end)
+    hashes = hasher.spans(hasher.prefix(data), start, end)
     return Words(data, start, end, hashes, np.searchsorted(start, offsets))
 
 
 @dataclass
 class WuManber:
-    """Patterns of ``size`` words each, as rows of word numbers; word 0 is a word of no pattern."""
+    """Patterns of ``size`` words each, by their places in the word numbers of all items; word 0 is a word of no pattern."""
 
     size: int
-    rows: np.ndarray  # distinct patterns
+    sequence: np.ndarray
+    place: np.ndarray  # of each distinct pattern
     items_at: np.ndarray  # pattern -> its items, by offsets
     items: np.ndarray
     block: int = field(init=False)
@@ -85,29 +90,25 @@ class WuManber:
         self.block = min(2, m)
         self.shift = np.full(1 << _SHIFT_BITS, m - self.block + 1, dtype=np.int32)
         for end in range(self.block, m + 1):  # rightmost blocks last, they shift least
-            np.minimum.at(self.shift, self._block_hash(self.rows[:, end - self.block : end]), m - end)
-        suffix = self._suffix(self.rows)
-        self.order = np.argsort(suffix, kind="stable")
+            np.minimum.at(self.shift, self._block_hash(self.sequence, self.place + end - 1), m - end)
+        suffix = self._suffix(self.sequence, self.place + m - 1)
+        self.order = np.argsort(suffix, kind="stable").astype(np.int32)
         self.bucket_keys, first = np.unique(suffix[self.order], return_index=True)
-        self.bucket_at = np.append(first, len(suffix))
+        self.bucket_at = np.append(first, len(suffix)).astype(np.int32)
 
-    def _block_hash(self, words: np.ndarray) -> np.ndarray:
-        h = words[:, 0].astype(np.uint64)
-        for k in range(1, words.shape[1]):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + words[:, k].astype(np.uint64)
+    def _block_hash(self, words: np.ndarray, last: np.ndarray) -> np.ndarray:
+        h = words[last - self.block + 1].astype(np.uint64)
+        for k in range(2 - self.block, 1):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + words[last + k].astype(np.uint64)
         return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _SHIFT_BITS)).astype(np.int64)
 
-    def _suffix(self, rows: np.ndarray) -> np.ndarray:
+    def _suffix(self, words: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hash of the last words of a window, up to four."""
-        h = np.zeros(len(rows), dtype=np.uint64)
-        for k in range(max(0, self.size - 4), self.size):
-            h = (h + rows[:, k].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h
+        return _run_hash(words, last, min(4, self.size))
 
     def search(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(last word, pattern) of each occurrence in texts that are runs of ``words`` cut at ``first``."""
-        m, b = self.size, self.block
+        m = self.size
         begin, end = first[:-1] + m - 1, first[1:]  # places of a window's last word
         long = end > begin
         begin, end = begin[long], end[long]
@@ -116,7 +117,7 @@ class WuManber:
         stop = np.minimum(lane + STRIP, np.repeat(end, strips))
         found = []
         while len(lane):
-            jump = self.shift[self._block_hash(words[lane[:, None] + np.arange(1 - b, 1)])]
+            jump = self.shift[self._block_hash(words, lane)]
             found.append(lane[jump == 0])
             lane = lane + np.maximum(jump, 1)
             going = lane < stop
@@ -124,72 +125,100 @@ class WuManber:
         last = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
         if not len(last):
             return last, last
-        rows = words[last[:, None] + np.arange(1 - m, 1)]
-        at = np.minimum(np.searchsorted(self.bucket_keys, suffix := self._suffix(rows)), len(self.bucket_keys) - 1)
+        at = np.minimum(np.searchsorted(self.bucket_keys, suffix := self._suffix(words, last)), len(self.bucket_keys) - 1)
         hit = self.bucket_keys[at] == suffix
-        last, rows, at = last[hit], rows[hit], at[hit]
+        last, at = last[hit], at[hit]
         n = self.bucket_at[at + 1] - self.bucket_at[at]
         which = np.repeat(np.arange(len(last)), n)
         pattern = self.order[np.repeat(self.bucket_at[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        same = (rows[which] == self.rows[pattern]).all(axis=1)
-        return last[which[same]], pattern[same]
+        for k in range(m):  # word by word, of those that agree so far
+            same = words[last[which] - k] == self.sequence[self.place[pattern] + m - 1 - k]
+            which, pattern = which[same], pattern[same]
+        return last[which], pattern
+
+
+def _run_hash(words: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words that end at each place."""
+    h = np.zeros(len(last), dtype=np.uint64)
+    for k in range(1 - n, 1):
+        h = (h + words[last + k].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
 
 @dataclass
 class Patterns:
+    hasher: SpanHasher
     hashes: np.ndarray  # sorted hashes of the vocabulary; word number = place + 1
-    spelling: list[bytes]
+    spelling: np.ndarray  # bytes of the vocabulary, one word after the other
+    spelled_at: np.ndarray
     item_ids: list[str]
     machines: list[WuManber]
 
     def number(self, words: Words) -> np.ndarray:
-        """Word numbers, 0 for a word of no pattern; equal hashes are confirmed by their bytes."""
+        """Word numbers, 0 for a word of no pattern."""
         if not len(self.hashes):
-            return np.zeros(len(words.hashes), dtype=np.int64)
+            return np.zeros(len(words.hashes), dtype=np.int32)
         at = np.minimum(np.searchsorted(self.hashes, words.hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words.hashes, at + 1, 0)
+        return np.where(self.hashes[at] == words.hashes, at + 1, 0).astype(np.int32)
+
+    def spelled(self, words: Words, numbers: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+        """Direct comparison of the words of each occurrence, each distinct place once."""
+        places = np.unique(last[:, None] + np.arange(1 - size, 1))
+        own, length = numbers[places] - 1, words.end[places] - words.start[places]
+        same = self.spelled_at[own + 1] - self.spelled_at[own] == length
+        same[same] = equal_spans(words.data, words.start[places][same], self.spelling, self.spelled_at[own[same]], length[same])
+        return np.ones(len(last), dtype=bool) if same.all() else ~np.isin(last[:, None] + np.arange(1 - size, 1), places[~same]).any(axis=1)
 
 
 def build_patterns(items: list[tuple[object, str | None]], window: int = WINDOW) -> Patterns:
     items = sorted({(str(i), t) for i, t in items if i is not None and t})
     ids = sorted({i for i, _ in items})
     no = {i: k for k, i in enumerate(ids)}
-    w = words_of(pa.array([t for _, t in items], pa.string()))
-    hashes, where = np.unique(w.hashes, return_index=True)
-    spelling = [w.data[w.start[k] : w.end[k]].tobytes() for k in where]
-    number = np.searchsorted(hashes, w.hashes) + 1
-    by_size: dict[int, dict[bytes, tuple[np.ndarray, set[int]]]] = {}
-    for k, (item, _) in enumerate(items):
-        own = number[w.first[k] : w.first[k + 1]]
-        size = min(window, len(own))
-        for s in range(len(own) - size + 1 if size else 0):
-            row = own[s : s + size]
-            by_size.setdefault(size, {}).setdefault(row.tobytes(), (row, set()))[1].add(no[item])
-    machines = []
-    for size, rows in sorted(by_size.items()):
-        owners = [sorted(o) for _, o in rows.values()]
-        at = np.concatenate([[0], np.cumsum([len(o) for o in owners])])
-        machines.append(WuManber(size, np.stack([r for r, _ in rows.values()]), at, np.concatenate(owners)))
-    return Patterns(hashes, spelling, ids, machines)
-
-
-def _confirm(words: Words, numbers: np.ndarray, last: np.ndarray, size: int, spelling: list[bytes]) -> np.ndarray:
-    """Direct comparison of the words of each occurrence, each distinct place once."""
-    places = np.unique(last[:, None] + np.arange(1 - size, 1))
-    bad = [p for p in places if words.data[words.start[p] : words.end[p]].tobytes() != spelling[numbers[p] - 1]]
-    return np.ones(len(last), dtype=bool) if not bad else ~np.isin(last[:, None] + np.arange(1 - size, 1), bad).any(axis=1)
+    texts, seed = pa.array([t for _, t in items], pa.large_string()), 6_001
+    while True:
+        w = words_of(texts, hasher := SpanHasher(seed))
+        hashes, where, number = np.unique(w.hashes, return_index=True, return_inverse=True)
+        length, first = w.end - w.start, where[number]
+        if (length == length[first]).all() and equal_spans(w.data, w.start, w.data, w.start[first], length).all():
+            break
+        seed += 1  # two words of one hash
+    size = np.diff(w.first)
+    item = np.repeat([no[i] for i, _ in items], size).astype(np.int32)
+    left = np.repeat(w.first[1:], size) - np.arange(len(item))  # words from here to the end of the item
+    sizes = np.minimum(np.repeat(size, size), window)
+    sequence = (number + 1).astype(np.int32)
+    machines = [_machine(int(m), sequence, np.flatnonzero((sizes == m) & (left >= m)), item) for m in np.unique(sizes)]
+    spelled_at = np.concatenate([[0], np.cumsum(length[where])])
+    take = np.repeat(w.start[where] - spelled_at[:-1], length[where]) + np.arange(spelled_at[-1])
+    return Patterns(hasher, hashes, w.data[take], spelled_at, ids, machines)
+
+
+def _machine(m: int, sequence: np.ndarray, place: np.ndarray, item: np.ndarray) -> WuManber:
+    """The machine of the windows of m words at ``place``; equal windows are one pattern with the items of all."""
+    h = mix64(_run_hash(sequence, place + m - 1, m))
+    order = np.lexsort((item[place], h))
+    place, h = place[order], h[order]
+    new = np.ones(len(place), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    for k in range(m):  # windows of one hash that differ
+        new[1:] |= sequence[place[1:] + k] != sequence[place[:-1] + k]
+    fresh = new.copy()
+    fresh[1:] |= item[place[1:]] != item[place[:-1]]
+    at = np.append(np.flatnonzero(new[fresh]), fresh.sum()).astype(np.int32)
+    return WuManber(m, sequence, place[new].astype(np.int32), at, item[place[fresh]])
 
 
 def scan(texts: pa.Array, patterns: Patterns) -> tuple[Words, np.ndarray, list[list[int]]]:
     """Words of the texts, which of them are hit, and the numbers of the items found in each text."""
-    words = words_of(texts)
+    words = words_of(texts, patterns.hasher)
     numbers = patterns.number(words)
     cover = np.zeros(len(numbers) + 1, dtype=np.int64)
     pairs = []
     for machine in patterns.machines:
         last, pattern = machine.search(numbers, words.first)
         if len(last):
-            ok = _confirm(words, numbers, last, machine.size, patterns.spelling)
+            ok = patterns.spelled(words, numbers, last, machine.size)
             last, pattern = last[ok], pattern[ok]
             np.add.at(cover, last - machine.size + 1, 1)
             np.add.at(cover, last + 1, -1)
@@ -208,54 +237,58 @@ def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-_RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-_RESULT_NAMES = [c.split()[0] for c in _RESULT.split(", ")]
+_RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_UNITED = "n_words long, items array<string>, spans array<struct<s: int, e: int>>"
 
 
-def _search_slice(docs: DataFrame, items: list, window: int, extra: bool) -> DataFrame:
+def _search(docs: DataFrame, items: list, window: int, unite: bool) -> DataFrame:
+    """The columns of ``docs`` but text (unless twice) with those of a search, or with what is needed to unite several."""
     shared = docs.sparkSession.sparkContext.broadcast(build_patterns(items, window))
-    schema = _RESULT + (", items array<string>, spans array<struct<s: int, e: int>>, text_digest binary" if extra else "")
+    kept = [f for f in docs.schema if f.name != "searched_text"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [_UNITED if unite else _RESULT])
+    names = [c.split()[0] for c in ("n_words l, items a, spans a" if unite else _RESULT).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = shared.value
-        for part in text_slices(batches):
-            words, hit, found = scan(part.column("text"), patterns)
-            n_hit = np.concatenate([[0], np.cumsum(hit)])[words.first]
-            names = [[patterns.item_ids[i] for i in f] for f in found]
-            columns = [part.column("doc_id"), pa.array(np.diff(words.first), pa.int64()), pa.array(np.diff(n_hit), pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([_digest(x) for x in names]), pa.array(np.diff(n_hit) > 0)]
-            if extra:
+        for part in text_slices(batches, column="searched_text"):
+            words, hit, found = scan(part.column("searched_text"), patterns)
+            items_of = [[patterns.item_ids[i] for i in f] for f in found]
+            n_words = pa.array(np.diff(words.first), pa.int64())
+            if unite:
                 edges = [np.flatnonzero(np.diff(hit[a:b].astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
                 spans = pa.array([[{"s": a, "e": b} for a, b in e] for e in edges], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
-                columns += [pa.array(names, pa.list_(pa.string())), spans, part.column("text_digest")]
-            yield pa.RecordBatch.from_arrays(columns, names=[*_RESULT_NAMES, *(["items", "spans", "text_digest"] if extra else [])])
+                columns = [n_words, pa.array(items_of, pa.list_(pa.string())), spans]
+            else:
+                n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
+                columns = [n_words, pa.array(n_hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([_digest(x) for x in items_of]), pa.array(n_hit > 0)]
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *columns], names=[*(f.name for f in kept), *names])
 
-    columns = [id_column(), "text"] + ([F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_digest")] if extra else [])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_PATTERN_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document, and the columns ``carry``."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") * window), F.lit(0)).alias("n")).first().n
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    rows = docs.select(id_column(), *carry, F.col("text").alias("searched_text"))
     if total <= slice_bytes:
-        return _search_slice(docs, [tuple(r) for r in items.collect()], window, extra=False)
+        return _search(rows, [tuple(r) for r in items.collect()], window, unite=False)
     n = -(-2 * total // slice_bytes)
     sliced = materialise(items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "op6-items")
+    rows = materialise(rows.withColumn(_ROW, F.monotonically_increasing_id()), "op6-rows")
     path = scratch_path(docs.sparkSession, "op6-hits")
     for k in range(n):
         own = [(r.item_id, r.text) for r in sliced.where(F.col("slice") == k).toLocalIterator()]
-        _search_slice(docs, own, window, extra=True).withColumn("slice", F.lit(k)).write.mode("append").parquet(path)
-    hits = docs.sparkSession.read.parquet(path)
-    key = ["doc_id", "text_digest"]
-    one = hits.groupBy(*key).agg(
+        hits = _search(rows.select(_ROW, "searched_text"), own, window, unite=True)
+        (hits if k == 0 else hits.where(F.size("items") > 0)).write.mode("append").parquet(path)  # the first slice has a row for each document
+    one = docs.sparkSession.read.parquet(path).groupBy(_ROW).agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("spans"), F.expr("count_if(slice = 0)").alias("copies"))
+        F.flatten(F.collect_list("spans")).alias("spans"))
     union = F.aggregate(
         F.array_sort("spans"), F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a["upto"], x["e"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["upto"], x["s"]))).cast("long").alias("n")), lambda a: a["n"])
-    one = one.select("doc_id", "n_words", union.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_"))
-    return one.drop("_").withColumn("contaminated", F.col("n_hit") > 0)
+    one = one.select(_ROW, "n_words", union.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return rows.drop("searched_text").join(one, _ROW).drop(_ROW).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +71,62 @@ def test_codewords_are_apart(n):
     assert all(0 < (c > 0).sum() < n for c in code.T)
 
 
+def test_letters_are_of_category_l(spark):
+    docs = documents(spark, ["²", "½ ①", "Ⅷ", "ª", "x", "ж", None, "x", "x"], ids=[1, 2, 3, 4, 5, 6, 7, 5, None], langs=["en"] * 9)
+    found = op01_language.identify(docs, op01_language.fit(docs), "doc_id", "text").collect()
+    assert len(found) == 9 and {r.text for r in found if r.lang_pred == "und"} == {"²", "½ ①", "Ⅷ", None}
+
+
+def test_decoding_equals_brute_force():
+    rng = random.Random(8)
+    rows = [("".join(rng.choice(abc) for _ in range(40)), lang) for abc, lang in (("abcd ", "p"), ("cdef ", "q"), ("efgh ", "r")) for _ in range(20)]
+    model = op01_language.train(rows)
+    texts = [t[:9] for t, _ in rows] + ["Abc, dé", "1"]
+    margins = model.margins(*op01_language.grams(texts))
+    lang, score, unsure = model.predict(texts)
+    for i, text in enumerate(texts[:-1]):
+        padded = re.sub(rb"[^a-z\x80-\xff]+", b" ", (" " + text.lower() + " ").encode())
+        ids = [((padded[k] << 16 | padded[k + 1] << 8 | padded[k + 2]) * 2654435761 % 2**32) >> 17 for k in range(len(padded) - 2)]
+        raw = [sum(float(w[g]) for g in ids) / max(len(ids), 1) ** 0.5 for w in model.weights]
+        assert margins[i] == pytest.approx([r * a + b for r, (a, b) in zip(raw, model.scale, strict=True)], abs=1e-3), text
+        loss = [sum(t * np.log1p(np.exp(-m * c)) for m, c, t in zip(margins[i], word, model.trust, strict=True)) for word in model.code]
+        share = np.exp(min(loss) - np.array(loss)) / np.exp(min(loss) - np.array(loss)).sum()
+        assert lang[i] == model.languages[int(np.argmin(loss))] and score[i] == pytest.approx(share.max()) and unsure[i] == (share.max() < op01_language.AMBIGUOUS)
+    assert lang[-1] == "und" and score[-1] == 0
+
+
+def thue_morse(n):
+    """Two words of n letters that any polynomial modulo a power of two hashes alike."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_hash_alike_modulo_powers_of_two(spark, n):
+    one, two = thue_morse(n)
+    texts = [one, two, f"{one} x y z", f"{two} x y z"]
+    docs = documents(spark, texts)
+    ids, at = WordBpe(vocabulary_path()).encode(texts)
+    assert [list(ids[a:b]) for a, b in zip(at, at[1:], strict=False)] == library(texts)
+    assert [r.n_tokens for r in op03_token_store.token_store(docs).orderBy("doc_id").collect()] == [len(x) + 1 for x in library(texts)]
+    counts = op07_token_counts.token_counts(docs, op07_token_counts.CountCache(spark, scratch_path(spark, "test")))
+    assert {r.doc_id: r.n_tokens for r in counts.collect()} == dict(enumerate(map(len, library(texts))))
+    assert [r.component_id for r in op09_minhash.near_duplicates(docs, 4, 80).orderBy("doc_id").collect()] == [0, 1, 2, 3]
+    items = spark.createDataFrame([("p", one), ("q", two)], "item_id string, text string")
+    assert sorted(tuple(r) for r in op06_decontaminate.contamination(docs, items).collect()) == contaminated(texts, [("p", one), ("q", two)], 10)
+    got = sorted(tuple(r)[:5] for r in op02_suffix_dedup.remove_repeats(docs).collect())
+    assert got == repeats([(i, t.encode()) for i, t in enumerate(texts)], 100)
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr("quillspark.llm.vocab.SpanHasher.spans", lambda self, prefix, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    texts = [*some_texts(6, 20), "it's 'sun we're"]
+    bpe = WordBpe(vocabulary_path())
+    for _ in range(2):
+        ids, at = bpe.encode(texts)
+        assert [list(ids[a:b]) for a, b in zip(at, at[1:], strict=False)] == library(texts)
+
+
 # ------------------------------------------------------------------ 2
 
 
@@ -215,6 +270,24 @@ def test_apportionment_is_by_highest_quotients():
     assert op05_mixing.sainte_lague([10, 1], 9, [3, 5]) == [3, 5]
 
 
+def highest_quotients(votes, seats, caps):
+    got = [0] * len(votes)
+    for _ in range(min(seats, sum(c for c, v in zip(caps, votes, strict=True) if v > 0))):
+        got[max((i for i in range(len(votes)) if votes[i] > 0 and got[i] < caps[i]), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+    return got
+
+
+def test_apportionment_with_many_claimants():
+    assert op05_mixing.sainte_lague([1000.0] + [0.6] * 100, 1060)[0] == 960
+    votes = [1000.0, *(0.6 + k % 7 for k in range(1000))]
+    assert op05_mixing.sainte_lague(votes, 3000) == highest_quotients(votes, 3000, [3000] * 1001)
+    rng = random.Random(23)
+    for _ in range(60):
+        n = rng.randint(1, 40)
+        votes, caps, seats = [rng.choice([0, 0.6, 1, 2, 100 * rng.random()]) for _ in range(n)], [rng.randint(0, 60) for _ in range(n)], rng.randint(0, 300)
+        assert op05_mixing.sainte_lague(votes, seats, caps) == highest_quotients(votes, seats, caps)
+
+
 def test_targets_are_capped_and_reshared():
     assert op05_mixing.targets([10, 100, 100], [1, 1, 1], 210) == [30.0, 90.0, 90.0]
     assert op05_mixing.targets([0, 10], [5, 1], 10) == [0.0, 10.0]
@@ -274,6 +347,17 @@ def test_decontamination(spark, window, slice_bytes):
     assert got == sorted(contaminated(texts, items, window))
 
 
+def test_decontamination_keeps_rows_apart(spark):
+    texts = ["a b c d", "a b c d", "x", None, "x b c", "a b c d"]
+    docs = documents(spark, texts, ids=[None, None, 4, 4, 4, 4])
+    items = spark.createDataFrame([("i", "a b c"), ("j", "b c"), ("i", "b c d")], "item_id string, text string")
+    for slice_bytes in (1 << 20, 4):
+        got = op06_decontaminate.contamination(docs, items, 10, slice_bytes, carry=("text", "score")).collect()
+        want = contaminated(texts, [("i", "a b c"), ("j", "b c"), ("i", "b c d")], 10)
+        assert sorted((str(r.text), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted((str(texts[i]), *rest) for i, *rest in want)
+        assert sorted(str(r.doc_id) for r in got) == ["4"] * 4 + ["None"] * 2
+
+
 def test_decontamination_of_empty_tables(spark):
     docs = documents(spark, ["the of", None])
     none = spark.createDataFrame([], "item_id long, text string")
@@ -350,6 +434,36 @@ def test_near_duplicates(spark, words, percent):
     assert got == near(texts, words, percent)
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """2,000 near copies, some too far from most others, and 400 documents that share a passage only."""
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(2000):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            words[rng.randrange(60)] = f"v{k}x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:40] + [f"u{k}y{i}" for i in range(60)]) for k in range(400)]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    number = {}
+    hold = np.zeros((len(sets), sum(map(len, sets))), dtype=bool)
+    for i, own in enumerate(sets):
+        hold[i, [number.setdefault(x, len(number)) for x in own]] = True
+    hold = hold[:, : len(number)].astype(np.float32)
+    both = np.concatenate([hold[at : at + 300] @ hold.T for at in range(0, len(hold), 300)])
+    size = both.diagonal()
+    link = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    least = np.arange(len(sets))
+    while True:
+        now = np.array([least[row].min() for row in link])
+        if (now == least).all():
+            break
+        least = now
+    got = [r.component_id for r in op09_minhash.near_duplicates(documents(spark, texts), 4, 80).orderBy("doc_id").collect()]
+    assert got == least.tolist() and 100 < len(set(got[:2000])) < 1900
+
+
 def test_near_duplicates_of_odd_ids(spark):
     docs = documents(spark, ["a b c d e f", "a b c d e f", "x y z u v w", "x y z u v w"], ids=[None, 4, 4, 9])
     got = sorted((r.doc_id is None, r.component_id, r.kept) for r in op09_minhash.near_duplicates(docs).collect())
@@ -481,6 +595,23 @@ def test_pipeline_drops_rows_and_not_ids(spark, tmp_path):
     assert sorted((str(r.doc_id), str(r.text)) for r in left) == [("3", lone), ("4", ""), ("4", copy), ("None", "None"), ("None", other)]
 
 
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, ["same text here", "same text here", None, "", "12 $", "same text here", "x" * 100_000], ids=[1, 1, 2, None, None, None, 3])
+    docs = docs.withColumn(cp.ROW, F.lit(1)).withColumn("taken", F.lit("x")).withColumn("component_id", F.lit("x")).withColumn("contaminated", F.lit(True))
+    left = {name: stage(spark, docs, str(tmp_path)) for name, stage in cp.STAGES}
+    assert all(left[name].columns == cp.COLUMNS for name, _ in cp.STAGES[:4])
+    texts = {name: sorted(str(r.text)[:20] for r in left[name].collect()) for name, _ in cp.STAGES[:4]}
+    assert texts["near duplicates"] == ["", "12 $", "None", "same text here", "x" * 20]
+    assert len(texts["decontamination"]) == 7 and left["token files"].count() == 7
+    assert texts["language id"] == ["same text here"] * 3 + ["x" * 20]
+    assert set(texts["source mix"]) <= {"12 $", "same text here", "x" * 20} and len(texts["source mix"]) == 5
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 @pytest.mark.parametrize("shard_words", [2_000_000, 2_000])
 def test_pipeline_mix_keeps_the_words_of_each_source(spark, monkeypatch, shard_words):
     import corpus_pipeline as cp
@@ -510,4 +641,3 @@ def test_every_query_is_registered():
 
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
-    assert pa is not None
