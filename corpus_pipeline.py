@@ -2,6 +2,9 @@
 
 Language identification, near-duplicates, benchmark passages, the mix of sources, and token files. ``STAGES`` lists
 (name, function); a function takes (spark, docs, sf_dir). All but the last return the columns of ``documents``.
+
+In every stage a row is judged as a row: rows that repeat a doc_id or have none are separate documents. An empty table gives
+an empty one, and columns other than those of ``documents`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import op01_language, op03_token_store, op05_mixing, op06_decontaminate, op09_minhash
-from quillspark.llm.common import materialise, table
+from quillspark.llm.common import materialise, settled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Keys of rows to drop that may be broadcast; a longer list is joined by shuffle.
 BROADCAST_IDS = 1 << 20
 #: What language identification takes for a letter.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+LETTER = r"\p{L}"
 #: Key of a row within a stage; a doc_id may be null or repeat.
 ROW = "pipeline_row"
 #: Of the choice of documents that the mix takes once more, and the parts a fraction is counted in.
@@ -39,9 +42,9 @@ def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents without a letter, and those where no language has half of the score.
+    """Drop the documents without a letter (null and empty texts too), and those where no language has half of the score.
 
-    Where no document outside the held-out quarter has a lang, there is no language to score: all with a letter stay.
+    Copies share their fate, as only the text decides. Where no document outside the held-out quarter has a lang, there is no language to score: all with a letter stay.
     """
     model = op01_language.fit(docs)
     if not model.languages:
@@ -51,7 +54,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row of least id (null last) of each group of near-duplicates (five-word shingles, similarity 0.8); each row is a node of its own."""
+    """Keep the row of least id (null last) of each group of near-duplicates (five-word shingles, similarity 0.8).
+
+    Rows without a word, null texts among them, are near nothing and stay.
+    """
     docs = _keyed(docs)
     found = op09_minhash.near_duplicates(docs.withColumn("doc_id", F.col(ROW)))
     groups = materialise(found.select(F.col("doc_id").alias(ROW), "component_id"), "pipeline-groups")
@@ -61,10 +67,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows that hold a passage of a benchmark item; each row has its own verdict."""
-    docs = _keyed(docs)
-    found = op06_decontaminate.contamination(docs.withColumn("doc_id", F.col(ROW)), table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias(ROW))).select(*COLUMNS)
+    """Drop the rows that hold a passage of a benchmark item; null texts hold none and stay, as does all where there is no item."""
+    found = op06_decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carry=tuple(COLUMNS[1:]))
+    return found.where("not contaminated").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,16 +77,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document comes floor(taken / size) times, and once more where the running sum of the fractions along its shard, with a
     seeded start, passes a whole number. Each has the chance of its fraction; as the line is in order of size, the words of
-    a shard differ from those taken by less than its longest document.
+    a shard differ from those taken by less than its longest document. A text without words has none to take and goes; a null
+    source is a source.
     """
     docs = _keyed(docs)
-    mixed = op05_mixing.mix(docs, lambda k: k % 3 + 1, carry=(ROW,)).where("size > 0")
-    part = F.expr(f"taken % size * {UNIT}L div size")
+    mixed = op05_mixing.mix(docs, lambda k: k % 3 + 1, carry=(ROW,)).where("taken > 0")
+    part = F.expr(f"coalesce(taken % nullif(size, 0) * {UNIT}L div nullif(size, 0), 0L)")  # no division by 0, whatever order Spark takes
     line = Window.partitionBy("source", "shard").orderBy("size", F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", ROW)
     start = F.pmod(F.xxhash64(F.lit(SEED), "source", "shard"), F.lit(UNIT))
     laid = mixed.withColumn("part", part).withColumn("upto", start + F.sum("part").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     once_more = F.expr(f"upto div {UNIT} - (upto - part) div {UNIT}")
-    copies = laid.select(ROW, (F.expr("taken div size") + once_more).cast("int").alias("copies")).where("copies > 0")
+    copies = laid.select(ROW, (F.expr("coalesce(taken div nullif(size, 0), 0L)") + once_more).cast("int").alias("copies")).where("copies > 0")
     return docs.join(copies, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
@@ -96,5 +102,5 @@ STAGES = [("language id", language_id), ("near duplicates", near_duplicates), ("
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs = settled(spark, "pipeline-" + name.replace(" ", "-"), lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
