@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
-SALTS = 4
 #: Edges in a task.
 TASK_EDGES = 100_000
 
 
 def _with_least(pairs: DataFrame, parts: int) -> DataFrame:
-    """(u, v, m): m is the least of u and its neighbours. The join is salted by v, as one u may have any share of the rows."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).coalesce(parts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, ["u", "salt"]).select("u", "v", "m").coalesce(parts)
+    """(u, v, m): m is the least of u and its neighbours.
+
+    The nodes of more than TASK_EDGES edges, at most one for so many rows of ``pairs``, are broadcast; the rest meet by shuffle.
+    """
+    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    hubs = least.where(F.col("n") > TASK_EDGES).select("u", F.col("m").alias("hub"))
+    told = pairs.join(F.broadcast(hubs), "u", "left")
+    rest = told.where("hub is null").select("u", "v").join(least.where(F.col("n") <= TASK_EDGES).select("u", "m"), "u")
+    return told.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(rest).coalesce(parts)
 
 
 def _large_star(edges: DataFrame, parts: int) -> DataFrame:
@@ -25,25 +29,25 @@ def _large_star(edges: DataFrame, parts: int) -> DataFrame:
 
 
 def _small_star(edges: DataFrame, parts: int) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(parts)
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     found = _with_least(down, parts)
     moved = found.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(found.select("u", F.col("m").alias("v"))).distinct().coalesce(parts)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the least node that can be reached. Takes (a, b) rows; nodes without edges are left out."""
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "components")
     parts = max(4, -(-now.count() // TASK_EDGES))
     mark = None
-    for _ in range(rounds):
-        now = materialise(_small_star(_large_star(now, parts), parts), "components")
+    while True:  # each round either joins nodes to lesser ones or changes nothing
+        before, large = now, materialise(_large_star(now, parts), "components")
+        now = materialise(_small_star(large, parts), "components")
+        discard(before, large)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct().coalesce(parts)
 

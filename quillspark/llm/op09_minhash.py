@@ -8,13 +8,18 @@ agree in a register with the chance of their Jaccard similarity, however small t
 1. Sets that are equal are one from here on (a group of copies of any size costs one row a partition).
 2. Bands of ``ROWS`` registers are keys. The documents of a key are tested against the one with the least id, not with
    each other. Those that the registers put far below the threshold (after taking off chance collisions, with a margin of
-   six standard errors) are dropped; the rest are confirmed on their full sets, rebuilt from the whole texts.
-3. Links give groups. In keys that still hold several groups, documents outside the key's largest group are tested against all in
-   other groups, ``PICKS`` of them a round, more each round, until none is left untested. A bitmap of ``BITS`` hashed shingles of each
-   set bounds what two sets can share (each bit that only one has is a shingle that the other lacks): a pair that can't reach
-   the threshold is not formed.
-
-With similarity 0.8 or more a pair shares no band with chance (1 - 0.8**5)**51 < 2e-9.
+   six standard errors) are dropped; the rest are confirmed on their full sets, rebuilt from the whole texts. Links give groups.
+3. Groups that meet in a key may still belong together. Their documents get finer keys: two sets that reach the threshold
+   share one of the rarest shingles of each, as many as the larger may lack and one more, in any order common to all. The
+   order is by the number of documents, exact for the at most ``LISTED`` shingles that stand in the most; a passage
+   that many documents hold comes last and is no key unless it is nearly all of a text. Keys that hold one group go.
+4. In a finer key, documents outside its largest group meet all others, in blocks of ``BLOCK`` by portions of ``PORTION``, by a
+   bitmap of ``BITS`` hashed shingles that bounds what two sets can share (each bit that only one has is a shingle that the
+   other lacks). A document sends its ``LIKELIEST`` pairs with each other group; these are confirmed and join groups. Documents
+   that held pairs back send ``MORE`` times as many in the next round, to groups that are still others, until none holds back.
+
+With similarity 0.8 or more a pair shares no band with chance (1 - 0.8**5)**51 < 2e-9. Shingles are compared by 64-bit hashes
+built on word hashes modulo a 61-bit prime, and equal sets by 128 bits.
 
 Nulls: a null text, or one without words, has an empty set and no links; a null doc_id has no links and is kept. Rows that
 repeat a doc_id are one node. Other columns are ignored, an empty table gives an empty result.
@@ -26,19 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, id_column, materialise, mix64, spaced_words, table, text_slices, utf8_buffer
+from .common import SpanHasher, discard, id_column, materialise, mix64, spaced_words, table, text_slices, utf8_buffer
 from .graph import components, join_groups
 
 REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 51
-PICKS, BITS = 512, 1024
+#: Bits of a bitmap; shingles whose number of documents is known to all workers.
+BITS, LISTED = 1024, 1 << 18
+#: Documents outside a key's largest group in one block, and all its documents in one portion.
+BLOCK, PORTION = 512, 4096
+#: Pairs of a document with one group and portion in the first round, and how many times as many in each later one.
+LIKELIEST, MORE = 32, 32
 #: Documents named in an id list that may be broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 1 << 20
 PAIRS_PER_TASK = 512
-#: Rows of a key in one portion, and picks of a key at most in one round.
-KEY_ROWS, MOST_PICKS = 4096, 8192
 _HASHER = SpanHasher(seed=9_001)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -116,21 +124,17 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, digest (128 bits of the set), registers and bitmap of each document."""
+    """doc_id, n, digest (128 bits of the set) and registers of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             hashes, first = shingle_sets(part.column("text"), words)
-            regs = registers(hashes, first)
-            n = np.diff(first)
+            regs, n = registers(hashes, first), np.diff(first)
             sums = [np.concatenate([[_U(0)], np.cumsum(mix64(hashes ^ _U(salt)), dtype=np.uint64)])[first] for salt in (0x1F83D9AB, 0x5BE0CD19)]
             digest = np.stack([np.diff(s) for s in sums], axis=1)
-            bits = np.zeros((len(n), BITS), dtype=bool)
-            bits[np.repeat(np.arange(len(n)), n), (hashes >> _U(20)).astype(np.int64) % BITS] = True
-            words64 = np.packbits(bits, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array([d.tobytes() for d in digest], pa.binary()), pa.array([r.tobytes() if k else None for r, k in zip(regs, n, strict=True)], pa.binary()), pa.array(list(words64), pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "regs", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array([d.tobytes() for d in digest], pa.binary()), pa.array([r.tobytes() if k else None for r, k in zip(regs, n, strict=True)], pa.binary())], names=["doc_id", "n", "digest", "regs"])
 
-    return docs.select(id_column(), "text").mapInArrow(run, "doc_id long, n long, digest binary, regs binary, bits array<long>")
+    return docs.select(id_column(), "text").mapInArrow(run, "doc_id long, n long, digest binary, regs binary")
 
 
 def _bands(sets: DataFrame) -> DataFrame:
@@ -198,110 +202,197 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of keys, with g, the group of id; only of keys with several groups."""
-    found = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", *[c for c in ("n", "bits") if c in rows.columns], F.coalesce("component", "id").alias("g"))
-    mixed = found.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("key")
-    return found.join(mixed, "key", "left_semi")
-
-
-def _more_pairs(rows: DataFrame, picked: DataFrame | None, picks: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, picks): documents outside each key's largest group that no earlier round had, with all in other groups of the key."""
-    largest = rows.groupBy("key", "g").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "g"))["g"].alias("big"), F.ceil(F.sum("m") / KEY_ROWS).cast("int").alias("salts"))
-    rows = rows.join(largest, "key")
-    outside = rows.where("g != big")
-    if picked is not None:
-        outside = outside.join(picked, ["key", "id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "id")))
-    columns = ["key", "id", "g", "n", "bits", "salts"]
-    chosen = materialise(outside.withColumn("rank", rank).where(F.col("rank") <= picks).select(*columns), "op9-picks")
-    # Each portion of a key's rows meets the key's picks, whose number is bounded; the picks come first.
-    first = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("pick", F.lit(True))
-    both = first.unionByName(rows.select(*columns).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).withColumn("pick", F.lit(False)))
+def _listed(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and numbers of documents of the shingles that stand in more than 1 / LISTED of all (document, shingle) pairs, sorted by hash.
+
+    There are fewer than LISTED of them, whatever the input.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            shingle, n = np.unique(shingle_sets(part.column("text"), words)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    counts = materialise(texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"), "op9-counts")
+    least = (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // LISTED
+    listed = counts.where(F.col("n") > least).toArrow()
+    shingle, n = np.asarray(listed.column("shingle")).view(np.uint64), np.asarray(listed.column("n"))
+    discard(counts)
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def _rare_keys(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """key, id, g: the rarest shingles of each document, one of which any partner shares."""
+    shared = texts.sparkSession.sparkContext.broadcast(_listed(texts, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, uses = shared.value
+        for part in text_slices(batches):
+            hashes, first = shingle_sets(part.column("text"), words)
+            n = np.diff(first)
+            doc = np.repeat(np.arange(len(n)), n)
+            often = np.zeros(len(hashes), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                often = np.where(known[at] == hashes, uses[at], 0)
+            order = np.lexsort((hashes, often, doc))
+            place = np.arange(len(order)) - first[doc]
+            keep = place < (n - (percent * n + 99) // 100 + 1)[doc]
+            own = order[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[own].view(np.int64)), part.column("id").take(pa.array(doc[keep])), part.column("g").take(pa.array(doc[keep]))], names=["key", "id", "g"])
+
+    return texts.select("id", "g", "text").mapInArrow(run, "key long, id long, g long")
+
+
+def _bitmaps(texts: DataFrame, words: int) -> DataFrame:
+    """id, n and the bitmap of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            hashes, first = shingle_sets(part.column("text"), words)
+            n = np.diff(first)
+            bits = np.zeros((len(n), BITS), dtype=bool)
+            bits[np.repeat(np.arange(len(n)), n), (hashes >> _U(20)).astype(np.int64) % BITS] = True
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())], names=["id", "n", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, bits binary")
+
+
+def _between(rows: DataFrame) -> DataFrame:
+    """The rows (key, id, g) of keys with several groups, with head (outside the key's largest group), blocks and portions."""
+    sizes = rows.groupBy("key", "g").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "g")).alias("top"), F.sum("m").alias("n")).where("n > top.m")
+    plan = sizes.select("key", F.col("top.g").alias("big"), *_portions(F.col("n") - F.col("top.m"), F.col("n")))
+    return rows.join(plan, "key").withColumn("head", F.col("g") != F.col("big")).drop("big")
+
+
+def _held_back(rows: DataFrame, back: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of keys that still have several groups and a document of ``back``, which are the heads now."""
+    now = rows.select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
+    now = now.join(back.withColumn("held", F.lit(True)), "id", "left").select("key", "id", "g", F.col("held").isNotNull().alias("head"))
+    sizes = now.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n"), F.count_if("head").alias("heads")).where("g0 != g1 and heads > 0")
+    return now.join(sizes.select("key", *_portions(F.col("heads"), F.col("n"))), "key")
+
+
+def _portions(heads: Column, n: Column) -> list[Column]:
+    return [F.ceil(heads / BLOCK).cast("int").alias("blocks"), F.ceil(n / PORTION).cast("int").alias("portions")]
+
+
+def _likeliest(rows: DataFrame, bitmaps: DataFrame, limit: int, percent: int) -> DataFrame:
+    """(a, b, more): for each head of a key at most ``limit`` pairs with each other group in each portion.
+
+    ``more`` is true in rows without a pair, whose a is a head that held some back.
+    """
+    full = rows.join(bitmaps, "id")
+    portion = F.pmod(F.xxhash64("id"), F.col("portions")).cast("int")
+    block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    columns = ["key", "id", "g", "n", "bits"]
+    heads = full.where("head").select(*columns, block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(True).alias("head"))
+    tails = full.select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), portion.alias("portion"), F.lit(False).alias("head"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", F.desc("pick")).select("key", "salt", "pick", "id", "g", "n", "bits")
+    dealt = heads.unionByName(tails).repartition(n, "key", "block", "portion").sortWithinPartitions("key", "block", "portion", F.desc("head"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of = None, None  # picks of the key at hand: ids, groups, sizes, bitmaps
+        heads_now, tails_now, of = [], [], None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if heads_now and tails_now:
+                a, b, back = _best(_joined(heads_now), _joined(tails_now), limit, percent)
+                flags = np.arange(len(a) + len(back)) >= len(a)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.minimum(a, b), back)), pa.array(np.append(np.maximum(a, b), back)), pa.array(flags)], names=["a", "b", "more"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, salt, pick, ident, g, size = (np.asarray(batch.column(c)) for c in ("key", "salt", "pick", "id", "g", "n"))
-            bits = np.asarray(batch.column("bits").flatten()).reshape(-1, BITS // 64)
-            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(salt) != 0) | (np.diff(pick.astype(np.int8)) != 0)) + 1
-            out_a, out_b = [], []
+            key, block, portion, head = (np.asarray(batch.column(c)) for c in ("key", "block", "portion", "head"))
+            own = (np.asarray(batch.column("id")), np.asarray(batch.column("g")), np.asarray(batch.column("n")), np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8))
+            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0) | (np.diff(portion) != 0) | (np.diff(head.astype(np.int8)) != 0)) + 1
             for lo, hi in zip(np.append(0, cut), np.append(cut, len(key)), strict=True):
-                own = (ident[lo:hi], g[lo:hi], size[lo:hi], bits[lo:hi])
-                if pick[lo]:
-                    held = own if of != (key[lo], salt[lo]) else tuple(np.concatenate(x) for x in zip(held, own, strict=True))
-                    of = (key[lo], salt[lo])
-                elif of == (key[lo], salt[lo]):
-                    for at in range(0, hi - lo, 256):
-                        i, j = _can_share(held, tuple(x[at : at + 256] for x in own), percent)
-                        out_a.append(held[0][i])
-                        out_b.append(own[0][at + j])
-            if out_a:
-                a, b = np.concatenate(out_a), np.concatenate(out_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct(), chosen.select("key", "id")
-
-
-def _can_share(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs of different groups whose bitmaps allow the threshold. x and y are ids, groups, sizes and bitmaps."""
-    i, j = np.nonzero(x[1][:, None] != y[1][None, :])
-    least, most = np.minimum(x[2][i], y[2][j]), np.maximum(x[2][i], y[2][j])
-    keep = 100 * least >= percent * most
-    i, j = i[keep], j[keep]
-    if not len(i):
-        return i, j
-    lacks = [np.zeros(len(i), dtype=np.int64) for _ in range(2)]
-    for k in range(BITS // 64):
-        a, b = x[3][i, k].view(np.uint64), y[3][j, k].view(np.uint64)
-        lacks[0] += np.bitwise_count(a & ~b)
-        lacks[1] += np.bitwise_count(b & ~a)
-    shared = np.minimum(x[2][i] - lacks[0], y[2][j] - lacks[1])
-    keep = 100 * shared >= percent * (x[2][i] + y[2][j] - shared)
-    return i[keep], j[keep]
+                if of != (key[lo], block[lo], portion[lo]):
+                    yield from flush()
+                    heads_now, tails_now, of = [], [], (key[lo], block[lo], portion[lo])
+                (heads_now if head[lo] else tails_now).append(tuple(x[lo:hi] for x in own))
+        yield from flush()
+
+    return dealt.select(*columns, "block", "portion", "head").mapInArrow(run, "a long, b long, more boolean").distinct()
+
+
+def _joined(parts: list[tuple]) -> tuple:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _best(x: tuple, y: tuple, limit: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of pairs of different groups whose bitmaps allow the threshold, the likeliest ``limit`` of each x with each group of y, and ids of x with others.
+
+    x and y are ids, groups, sizes and bitmaps.
+    """
+    left = np.unpackbits(x[3], axis=1).astype(np.float32)
+    found = []
+    for lo in range(0, len(y[0]), 1024):
+        part = slice(lo, lo + 1024)
+        right = np.unpackbits(y[3][part], axis=1).astype(np.float32)
+        common = left @ right.T
+        both = np.minimum(x[2][:, None] - left.sum(axis=1)[:, None], y[2][part][None, :] - right.sum(axis=1)[None, :]) + common
+        union = x[2][:, None] + y[2][part][None, :] - both
+        i, j = np.nonzero((x[1][:, None] != y[1][part][None, :]) & (100 * both >= percent * union))
+        found.append((i, j + lo, both[i, j] / union[i, j]))
+    i, j, likeness = _joined(found)
+    order = np.lexsort((y[0][j], -likeness, y[1][j], i))
+    i, j = i[order], j[order]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (i[1:] != i[:-1]) | (y[1][j[1:]] != y[1][j[:-1]])
+    at = np.arange(len(i))
+    keep = at - np.maximum.accumulate(np.where(new, at, 0)) < limit
+    return x[0][i[keep]], y[0][j[keep]], np.unique(x[0][i[~keep]])
 
 
 def _untested_links(shared: DataFrame, tested: DataFrame, sets: DataFrame, groups: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``groups`` after all links between groups that share a key of three or more documents."""
-    rows = materialise(_grouped(shared, groups), "op9-mixed")
-    if rows.isEmpty():
+    grouped = shared.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("g"))
+    meets = grouped.distinct()
+    several = meets.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("key")
+    meeting = materialise(meets.join(several, "key").select("g").distinct(), "op9-meeting")
+    if meeting.isEmpty():
         return groups
-    rows, picked, picks = rows.drop("g").join(sets.select("id", "n", "bits"), "id"), None, PICKS
-    while True:
-        rows = materialise(_grouped(rows, groups), "op9-mixed")
-        pairs, chosen = _more_pairs(rows, picked, picks, percent)
-        if chosen.isEmpty():
-            return groups
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "op9-pairs")
+    members = sets.select("id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("g")).join(meeting, "g", "left_semi")
+    members = materialise(members, "op9-members")
+    texts = _texts_of(docs, members.select(F.col("id").alias("doc_id")), members.count()).withColumnRenamed("doc_id", "id")
+    texts = materialise(texts.join(members, "id"), "op9-texts")
+    rows = materialise(_between(_rare_keys(texts, words, percent)), "op9-between")
+    bitmaps = materialise(_bitmaps(texts.join(rows.select("id").distinct(), "id", "left_semi"), words), "op9-bitmaps")
+    discard(texts, members)
+    limit = LIKELIEST
+    while not rows.isEmpty():
+        sent = materialise(_likeliest(rows, bitmaps, limit, percent), "op9-likeliest")
+        pairs = materialise(sent.where("not more").select("a", "b").join(tested, ["a", "b"], "left_anti"), "op9-pairs")
         found = materialise(_confirmed(materialise(_plausible(pairs, sets, percent / 100), "op9-plausible"), docs, words, percent), "op9-edges")
         if not found.isEmpty():
             groups = materialise(join_groups(groups, found), "op9-groups")
-        picked, tested, picks = chosen if picked is None else picked.unionByName(chosen), tested.unionByName(pairs), min(picks * 4, MOST_PICKS)
+        tested, limit = tested.unionByName(pairs), limit * MORE
+        rows = materialise(_held_back(rows, sent.where("more").select(F.col("a").alias("id")).distinct(), groups), "op9-between")
+    return groups
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document; links are 100 * intersection >= percent * union."""
-    sketches = materialise(sketch(docs, words), "op9-sketch")  # its bitmaps and registers are read for one document of each set
+    sketches = materialise(sketch(docs, words), "op9-sketch")  # its registers are read for one document of each set
     filled = sketches.where("n > 0 and doc_id is not null")
-    same = materialise(filled.groupBy("digest").agg(F.min("doc_id").alias("id")), "op9-same")
-    sets = materialise(filled.join(same, "digest").where("doc_id = id").select("id", "n", "regs", "bits"), "op9-sets")
-    bands = materialise(_bands(sets), "op9-bands")
-    keys = materialise(bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("size")).where("a != z").select("key", "a", "size"), "op9-keys")
+    first = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "regs")).alias("x"))
+    sets = materialise(first.select("digest", F.col("x.doc_id").alias("id"), "x.n", "x.regs"), "op9-sets")
+    bands = _bands(sets)
+    keys = materialise(bands.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1"), "op9-keys")
     shared = materialise(bands.join(keys, "key"), "op9-shared")
     tested = materialise(shared.where("id > a").select("a", F.col("id").alias("b")).distinct(), "op9-pairs")
     edges = _confirmed(materialise(_plausible(tested, sets, percent / 100), "op9-plausible"), docs, words, percent)
     twice = filled.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.collect_set("digest").alias("ds")).where("d0 != d1")
-    twice = twice.select("doc_id", F.explode("ds").alias("digest")).join(same, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a != b")
+    twice = twice.select("doc_id", F.explode("ds").alias("digest")).join(sets, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a != b")
     groups = materialise(components(edges.unionByName(twice)), "op9-groups")
+    discard(keys)
     groups = _untested_links(shared.where("size > 2").select("key", "id"), tested, sets, groups, docs, words, percent)
     rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
-    rows = rows.join(same, "digest", "left").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = sets.select("digest", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return rows.join(classes, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
