@@ -2,29 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import figures as fig
 
 
+# The two totals of a balance sheet.
+TOTAL_ASSETS = r"(?i)^total\s+assets$"
+TOTAL_CLAIMS = r"(?i)^total\s+(?:equity\s+and\s+liabilities|liabilities\s+and\s+(?:shareholders|stockholders)?['’]?\s*equity)$"
+
+
 def subtotals(rows: DataFrame) -> DataFrame:
-    """(statement, seq, n_lines, status): a total equals the lines since the total before it, in every column; else it is unverified.
+    """(statement, seq, n_lines, status) of each total: it equals the lines since the total before it, else those since the heading.
 
-    Takes rows (statement, seq, kind 'data' or 'total', values map<int,double>, raws map<int,string>). Islands between totals are
-    numbered by one window per statement; sums are then ordinary aggregates.
+    Takes rows (statement, seq, kind 'data', 'total' or 'heading', values map<int,double>, raws map<int,string>). A total that holds
+    stands for its lines in the totals further down, so a table is read row by row: rows are dealt by statement and sorted, and a
+    task keeps two sums a column. A total below fewer than two lines is not judged.
     """
-    order = Window.partitionBy("statement").orderBy("seq")
-    island = F.coalesce(F.sum(F.when(F.col("kind") == "total", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dealt = rows.withColumn("island", island)
-    cells = dealt.select("statement", "seq", "kind", "island", F.explode("values").alias("col", "value"), "raws")
-    parts = cells.where("kind = 'data' and value is not null").groupBy("statement", "island", "col").agg(F.sum("value").alias("total"))
-    lines = dealt.where("kind = 'data'").groupBy("statement", "island").agg(F.count("*").alias("n_lines"))
-    totals = cells.where("kind = 'total' and value is not null").select("statement", "seq", "island", "col", "value", F.try_element_at("raws", "col").alias("raw"))
-    held = totals.join(parts, ["statement", "island", "col"], "left").join(lines, ["statement", "island"], "left")
-    good = F.bool_and(F.coalesce(fig.close(F.col("total"), F.col("value"), F.col("raw")), F.lit(False)))
-    found = held.groupBy("statement", "seq").agg(F.max("n_lines").alias("n_lines"), good.alias("ok")).where("n_lines >= 2")
-    return found.select("statement", "seq", "n_lines", F.when(F.col("ok"), "ok").otherwise("unverified").alias("status"))
+    dealt = rows.select("statement", F.col("seq").cast("long").alias("seq"), "kind", F.map_entries("values").alias("cells"), F.map_entries("raws").alias("printed"))
+    dealt = dealt.repartition("statement").sortWithinPartitions("statement", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, since = None, _Sum(), _Sum()
+        for batch in batches:
+            out = []
+            for statement, seq, kind, cells, printed in zip(*(batch.column(c).to_pylist() for c in ("statement", "seq", "kind", "cells", "printed")), strict=True):
+                if statement != now or kind not in ("data", "total"):
+                    now, block, since = statement, _Sum(), _Sum()
+                if kind not in ("data", "total"):
+                    continue
+                values = {c["key"]: c["value"] for c in cells or [] if c["value"] is not None}
+                if kind == "data":
+                    block.add(values)
+                    since.add(values)
+                    continue
+                raws = {c["key"]: c["value"] for c in printed or []}
+                held = next((x for x in (block, since) if x.lines >= 2 and x.equals(values, raws)), None)
+                if values and since.lines >= 2:
+                    out.append((statement, seq, held.lines if held else None, "ok" if held else "unverified"))
+                if held:
+                    since.take(held)
+                since.add(values)
+                block = _Sum()
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((batch.schema.field("statement").type, pa.int64(), pa.int64(), pa.string()))], names=["statement", "seq", "n_lines", "status"])
+
+    return dealt.mapInArrow(run, f"statement {rows.schema['statement'].dataType.simpleString()}, seq long, n_lines long, status string")
+
+
+class _Sum:
+    """Sums by column of some lines."""
+
+    def __init__(self):
+        self.lines, self.sums = 0, {}
+
+    def add(self, values: dict) -> None:
+        self.lines += 1
+        for col, v in values.items():
+            self.sums[col] = self.sums.get(col, 0.0) + v
+
+    def take(self, other: _Sum) -> None:
+        for col, v in list(other.sums.items()):
+            self.sums[col] -= v
+        self.lines -= other.lines
+
+    def equals(self, values: dict, raws: dict) -> bool:
+        """Every column of a total, give or take one in its last printed digit."""
+        near = lambda col, v: abs(self.sums[col] - v) <= 10.0 ** -len((raws.get(col) or "").partition(".")[2]) + 1e-9
+        return bool(values) and all(col in self.sums and near(col, v) for col, v in values.items())
+
+
+def balance_sides(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cells of lines labelled total assets, and of those labelled total equity and liabilities. Takes a column label."""
+    return cells.where(F.trim("label").rlike(TOTAL_ASSETS)), cells.where(F.trim("label").rlike(TOTAL_CLAIMS))
 
 
 def balances(assets: DataFrame, claims: DataFrame) -> DataFrame:
@@ -59,7 +112,7 @@ def kind_status(checks: DataFrame) -> DataFrame:
 def link_summary(lines: DataFrame, edges: DataFrame) -> DataFrame:
     """lines, linked lines, and lines by method, in one row."""
     linked = edges.where(F.col("kind").isin("references", "ties_to", "mentions"))
-    methods = [F.countDistinct(F.when(F.col("method") == m, F.col("src"))).alias(a) for m, a in (("notes column", "by_notes_column"), ("figure match", "by_figure_match"), ("title match", "by_title_match"))]
+    methods = [F.countDistinct(F.when(F.col("method") == m, F.col("src"))).alias(a) for m, a in (("notes column", "by_notes_column"), ("label", "by_label"), ("figure match", "by_figure_match"), ("title match", "by_title_match"))]
     # One row each side, so a cross join of two aggregates.
     return lines.agg(F.count("*").alias("lines")).crossJoin(linked.agg(F.countDistinct("src").alias("linked"), *methods))
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import figures as fig
 from ..functions import words as wd
 
+# What cites a note or a schedule inside a label, and the labels of figures that other statements repeat.
 LABEL_NOTES = r"(?i)\bnotes?\s*(?:no\.?\s*)?([0-9]{1,3}(?:\s*(?:,|and|&)\s*[0-9]{1,3})*)\b"
 
+LABEL_SCHEDULES = r"\b(?i:schedule)(?:\s+['‘’]?|\s*['‘’])([IVXL]{1,6}|[A-Z]{1,2}|[0-9]{1,2})\b"
+CARRY_LABELS = r"(?i)^(?:net\s+income|net\s+earnings|net\s+profit|profit\s+for\s+the\s+(?:year|period)|profit\s+before\s+tax(?:ation)?|total\s+comprehensive\s+income(?:\s+for\s+the\s+(?:year|period))?)$"
+
 
 def references(lines: DataFrame, notes: DataFrame) -> DataFrame:
     """(src, dst) by the notes column: the number as printed, else its leading digits. Notes are a dimension; Spark broadcasts them while they are small."""
@@ -22,26 +26,31 @@ def references(lines: DataFrame, notes: DataFrame) -> DataFrame:
     return found.select("src", F.coalesce("dst_exact", "dst_lead").alias("dst")).where("dst is not null")
 
 
-def label_references(lines: DataFrame, notes: DataFrame, known: DataFrame) -> DataFrame:
-    """(src, dst) of notes cited inside labels, but for those that ``known`` has."""
-    numbers = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("label", F.lit(LABEL_NOTES), F.lit(1)), lambda g: F.regexp_extract_all(g, F.lit("[0-9]+"), F.lit(0)))))
-    cited = lines.select(F.col("id").alias("src"), "section_id", F.explode(numbers).alias("key"))
-    found = cited.join(notes.select("section_id", F.col("number").cast("string").alias("key"), F.col("id").alias("dst")), ["section_id", "key"])
+def cited_units(label: Column) -> Column:
+    """Numbers of the notes and names of the schedules that a label cites, each once."""
+    numbers = F.flatten(F.transform(F.regexp_extract_all(label, F.lit(LABEL_NOTES), F.lit(1)), lambda g: F.regexp_extract_all(g, F.lit("[0-9]+"), F.lit(0))))
+    return F.array_distinct(F.concat(numbers, F.transform(F.regexp_extract_all(label, F.lit(LABEL_SCHEDULES), F.lit(1)), F.upper)))
+
+
+def label_references(lines: DataFrame, units: DataFrame, known: DataFrame) -> DataFrame:
+    """(src, dst) of notes and schedules cited inside labels, but for those that ``known`` has. ``units`` has section_id, number and id."""
+    cited = lines.select(F.col("id").alias("src"), "section_id", F.explode(cited_units(F.col("label"))).alias("key"))
+    found = cited.join(units.select("section_id", F.col("number").cast("string").alias("key"), F.col("id").alias("dst")), ["section_id", "key"])
     return found.select("src", "dst").distinct().join(known, ["src", "dst"], "left_anti")
 
 
 def ties_to(lines: DataFrame, parsed: DataFrame, note_figures: DataFrame) -> DataFrame:
-    """(src, dst, confidence): a distinctive figure of the line is printed in one to three notes of its section.
+    """(src, dst, confidence, key): a distinctive figure of the line is printed in one to three notes of its section; key is the first such amount.
 
     A figure of four digits may agree by chance, so a note needs two of the line's figures or one of five digits. The join
     is on (section, amount): both sides hash, and neither is multiplied by more than the notes that print an amount.
     """
     printed = note_figures.select("section_id", "note_id", fig.amount_key(F.replace(F.col("raw"), F.lit(","), F.lit("")).cast("double")).alias("key")).distinct()
-    own = parsed.where(~F.col("nil") & fig.distinctive(F.col("raw"), F.col("value"))).select(F.col("line_id").alias("src"), "value", F.length(F.regexp_replace(fig.digits(F.col("raw")), "^0+", "")).alias("n_digits"), fig.amount_key(F.col("value")).alias("key"))
+    own = parsed.where(~F.col("nil") & fig.distinctive(F.col("raw"), F.col("value"))).select(F.col("line_id").alias("src"), "value", F.length(F.regexp_replace(fig.digits(F.col("raw")), "^0+", "")).alias("n_digits"), fig.amount_key(F.col("value")).alias("key"), "col" if "col" in parsed.columns else F.lit(0).alias("col"))
     hits = own.join(lines.select(F.col("id").alias("src"), "section_id"), "src").join(printed, ["section_id", "key"])
-    pairs = hits.groupBy("src", F.col("note_id").alias("dst")).agg(F.countDistinct("value").alias("n"), F.max("n_digits").alias("digits")).where("n >= 2 or digits >= 5")
+    pairs = hits.groupBy("src", F.col("note_id").alias("dst")).agg(F.countDistinct("value").alias("n"), F.max("n_digits").alias("digits"), F.min_by("key", "col").alias("key")).where("n >= 2 or digits >= 5")
     count = F.count("*").over(Window.partitionBy("src"))
-    return pairs.withColumn("notes", count).where("notes <= 3").select("src", "dst", F.when(F.col("notes") == 1, "high").otherwise("medium").alias("confidence"))
+    return pairs.withColumn("notes", count).where("notes <= 3").select("src", "dst", F.when(F.col("notes") == 1, "high").otherwise("medium").alias("confidence"), "key")
 
 
 def mentions(lines: DataFrame, notes: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -66,21 +75,51 @@ def mentions(lines: DataFrame, notes: DataFrame, referenced: DataFrame) -> DataF
     return found.select(F.col("id").alias("src"), "dst", F.when(F.col("n") == 1, "medium").otherwise("low").alias("confidence"))
 
 
-def all_edges(refs: DataFrame, ties: DataFrame, titles: DataFrame) -> DataFrame:
-    """UNION ALL of the links with their kind and method."""
-    kind = lambda df, kind_, method, conf: df.select("src", "dst", F.lit(kind_).alias("kind"), F.lit(method).alias("method"), conf.alias("confidence"))
-    return kind(refs, "references", "notes column", F.lit("high")).unionByName(kind(ties, "ties_to", "figure match", F.col("confidence"))).unionByName(kind(titles, "mentions", "title match", F.col("confidence")))
+def all_edges(lines: DataFrame, notes: DataFrame, parsed: DataFrame, refs: DataFrame, cited: DataFrame, ties: DataFrame, titles: DataFrame, carries: DataFrame) -> DataFrame:
+    """UNION ALL of the five sources of links: src, dst, kind, method, confidence and the evidence that a reader can check.
+
+    ``lines`` has id, section_id, label, note_ref and pdf_page, ``parsed`` line_id, col, raw, value, nil, heading and period_label.
+    """
+    own = lines.select(F.col("id").alias("src"), "section_id", "label", F.trim(F.coalesce("note_ref", F.lit(""))).alias("ref"), F.concat(F.lit(" on PDF p."), F.col("pdf_page").cast("string")).alias("page"))
+    quoted = F.concat(F.lit("'"), "label", F.lit("'"))
+    first = parsed.where(~F.col("nil") & fig.distinctive(F.col("raw"), F.col("value"))).groupBy(F.col("line_id").alias("src"), fig.amount_key(F.col("value")).alias("key"))
+    shown = first.agg(F.min(F.struct("col", F.col("raw").alias("raw"), F.coalesce("period_label", "heading", F.lit("figure")).alias("period"))).alias("shown"))
+    tied = ties.join(shown, ["src", "key"]).join(own, "src")
+
+    def part(df: DataFrame, kind: str, method: str, confidence: Column, evidence: Column) -> DataFrame:
+        return df.select("src", "dst", F.lit(kind).alias("kind"), F.lit(method).alias("method"), confidence.alias("confidence"), evidence.alias("evidence"))
+
+    told = [
+        part(refs.join(own, "src"), "references", "notes column", F.lit("high"), F.concat(quoted, F.lit(" cites "), "ref", "page")),
+        part(cited.join(own, "src"), "references", "label", F.lit("high"), F.concat(quoted, "page")),
+        part(tied, "ties_to", "figure match", F.col("confidence"), F.concat("shown.raw", F.lit(" ("), "shown.period", F.lit(")"), "page", F.lit(" is in "), "dst")),
+        part(titles.join(own, "src").join(notes.select(F.col("id").alias("dst"), "title"), "dst"), "mentions", "title match", F.col("confidence"), F.concat(quoted, F.lit(" matches the title '"), "title", F.lit("'"))),
+        part(carries.where("ok").select(F.col("a").alias("src"), F.col("b").alias("dst"), "evidence"), "carries", "same figures", F.lit("high"), F.col("evidence")),
+    ]
+    out = told[0]
+    for more in told[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def carry_figures(lines: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Readable figures with a period of the lines whose label other statements repeat: the input of ``carried``."""
+    label = F.regexp_replace(F.trim("label"), ":+$", "")
+    own = lines.where(label.rlike(CARRY_LABELS)).select(F.col("id").alias("line_id"), "section_id", "unit_id", F.lower(label).alias("label_key"))
+    return parsed.where("period_label is not null and value is not null").select("line_id", "period_label", "value", "raw").join(own, "line_id")
 
 
 def carried(figures_a: DataFrame, figures_b: DataFrame) -> DataFrame:
-    """(a, b, n_periods, ok): the same label in two statements of a section, by common periods; ok if all of them agree.
+    """(a, b, n_periods, ok, evidence): the same label in two statements of a section, by common periods; ok if all of them agree.
 
-    Takes (section_id, unit_id, line_id, label_key, period_label, value, raw) twice.
+    Takes (section_id, unit_id, line_id, label_key, period_label, value, raw) twice, see ``carry_figures``. A section is that of one
+    report, so a label meets itself in its few statements only.
     """
     a = figures_a.select("section_id", "label_key", "period_label", *[F.col(c).alias(f"{c}_a") for c in ("unit_id", "line_id", "value", "raw")])
     b = figures_b.select("section_id", "label_key", "period_label", *[F.col(c).alias(f"{c}_b") for c in ("unit_id", "line_id", "value", "raw")])
     pairs = a.join(b, ["section_id", "label_key", "period_label"]).where("unit_id_a < unit_id_b")
-    return pairs.groupBy(F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b")).agg(F.count("*").alias("n_periods"), F.bool_and(fig.close(F.col("value_a"), F.col("value_b"), F.col("raw_b"))).alias("ok"))
+    evidence = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("period_label", "raw_a"))), lambda x: F.concat(x["period_label"], F.lit(" "), x["raw_a"])), ", ")
+    return pairs.groupBy(F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b")).agg(F.count("*").alias("n_periods"), F.bool_and(fig.close(F.col("value_a"), F.col("value_b"), F.col("raw_b"))).alias("ok"), evidence.alias("evidence"))
 
 
 def edit_one_unmatched(left: DataFrame, right: DataFrame, column: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions import words as wd
 K1, B = 1.5, 0.75
 PATH_WEIGHT, NAMED_BOOST, KIND_BOOST = 3, 1.6, 1.25
 PER_SECTION, CANDIDATES = 4, 30
+#: Partitions of an index.
+BUCKETS = 32
 
 
 def postings(passages: DataFrame) -> DataFrame:
@@ -19,21 +23,31 @@ def postings(passages: DataFrame) -> DataFrame:
     return body.unionByName(path).groupBy("id", "term").agg(F.sum("weight").alias("tf"))
 
 
-def document_frequency(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("term").agg(F.count("*").alias("df"))
+def index(passages: DataFrame) -> DataFrame:
+    """(bucket, term, id, tf, dl, df, n_docs, avgdl): postings with all that a score needs, to be written once, partitioned by bucket.
+
+    A question then reads the buckets of its terms alone.
+    """
+    posted = postings(passages)
+    lengths = posted.groupBy("id").agg(F.sum("tf").alias("dl"))
+    often = posted.groupBy("term").agg(F.count("*").alias("df"))
+    corpus = lengths.agg(F.avg("dl").alias("avgdl")).crossJoin(passages.agg(F.count("*").alias("n_docs")))  # one row
+    found = posted.join(lengths, "id").join(often, "term").crossJoin(F.broadcast(corpus)).withColumn("bucket", _bucket(F.col("term")))
+    return found.repartition("bucket").sortWithinPartitions("bucket", "term")
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
-def bm25(passages: DataFrame, posted: DataFrame, terms: dict[str, float]) -> DataFrame:
-    """(id, score) of the passages that hold a term. Only the postings of the query's terms are scored; the terms filter the scan."""
+def bm25(indexed: DataFrame, terms: dict[str, float]) -> DataFrame:
+    """(id, score) of the passages that hold a term, from the postings of ``index``: partitions and rows of other terms are not read."""
     weights = F.create_map(*[F.lit(x) for kv in terms.items() for x in kv])
-    lengths = posted.groupBy("id").agg(F.sum("tf").alias("dl"))
-    corpus = lengths.agg(F.avg("dl").alias("avgdl"))
-    n = passages.agg(F.count("*").alias("n_docs"))
-    asked = posted.where(F.col("term").isin(list(terms)))
-    scored = asked.join(document_frequency(asked), "term").join(lengths, "id").crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(n))  # one row each
+    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+    asked = indexed.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.try_element_at(weights, F.col("term")) * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("id").agg(F.sum(part).alias("score"))
+    return asked.groupBy("id").agg(F.sum(part).alias("score"))
 
 
 def boosted(scores: DataFrame, passages: DataFrame, question: str) -> DataFrame:

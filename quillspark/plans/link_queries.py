@@ -9,12 +9,42 @@ from ..functions import words as wd
 from ..operators import checks, links
 from ..sources import report_views as rv
 from ..sources.report_views import with_views
+from ..sources.store import built
 from .registry import query, table
 
 
+def _lines(spark, d):
+    """The statement lines, numbered once."""
+    return built(spark, "lines", d, lambda: rv.lines(spark, d))
+
+
 def parsed(spark, d):
-    v = rv.values(spark, d)
-    return v.select("line_id", "col", "heading", "raw", F.inline(F.array(fig.parse_value(F.col("raw")))))
+    """The printed figures and their periods, read once."""
+
+    def read():
+        v = rv.values(spark, d)
+        return v.select("line_id", "col", "heading", "raw", F.inline(F.array(fig.parse_value(F.col("raw")))), fig.parse_period(F.col("heading"), (3, 31))["period_label"].alias("period_label"))
+
+    return built(spark, "parsed", d, read)
+
+
+#: Schedules of both sections, beside the numbered notes.
+_SCHEDULES = ("I", "IV", "XVII", "E")
+
+
+def _units(spark, d):
+    """What a label can cite: the notes by number, and the schedules by name."""
+    code = F.when(F.col("section_id") == "consolidated", "C").otherwise("S")
+    sections = rv.notes(spark, d).select("section_id").distinct()
+    named = sections.select("section_id", F.explode(F.array(*[F.lit(x) for x in _SCHEDULES])).alias("number"))
+    return rv.notes(spark, d).select("section_id", F.col("number").cast("string").alias("number"), "id").unionByName(named.withColumn("id", F.concat(code, F.lit("-SCH-"), "number")))
+
+
+def _citing(spark, d):
+    """Lines of which a third cites notes in its label and a third a schedule."""
+    note = F.concat("label", F.lit(" (notes "), (F.col("part_id") % 40 + 1).cast("string"), F.lit(" and "), (F.col("part_id") % 7 + 1).cast("string"), F.lit(")"))
+    schedule = F.concat("label", F.lit(" (Schedule "), F.get(F.array(*[F.lit(x) for x in (*_SCHEDULES, "12")]), (F.col("part_id") % 5).cast("int")), F.lit(")"))
+    return _lines(spark, d).withColumn("label", F.when(F.col("seq") % 3 == 0, note).when(F.col("seq") % 3 == 1, schedule).otherwise(F.col("label")))
 
 
 @query("f1_parse_value", with_views("v_parsed") + "SELECT line_id, col, raw, value, nil FROM v_parsed")
@@ -104,38 +134,55 @@ def p4(spark, d):
 @query("d6_lines_values", with_views("v_parsed", "v_lines") + """
 SELECT p.line_id, p.col, l.unit_id, l.label, p.value, p.nil FROM v_parsed p JOIN v_lines l ON l.id = p.line_id""")
 def d6(spark, d):
-    return parsed(spark, d).join(rv.lines(spark, d).select(F.col("id").alias("line_id"), "unit_id", "label"), "line_id").select("line_id", "col", "unit_id", "label", "value", "nil")
+    return parsed(spark, d).join(_lines(spark, d).select(F.col("id").alias("line_id"), "unit_id", "label"), "line_id").select("line_id", "col", "unit_id", "label", "value", "nil")
 
 
 @query("j1_lines_values", with_views("v_parsed", "v_lines") + """
 SELECT l.id, l.label, l.unit_id, l.pdf_page, v.value, v.raw FROM v_lines l JOIN v_parsed v ON v.line_id = l.id WHERE v.value IS NOT NULL AND l.section_id IN ('consolidated')""")
 def j1(spark, d):
-    own = rv.lines(spark, d).where(F.col("section_id").isin("consolidated"))
+    own = _lines(spark, d).where(F.col("section_id").isin("consolidated"))
     return own.join(parsed(spark, d).where("value is not null"), F.col("id") == F.col("line_id")).select("id", "label", "unit_id", "pdf_page", "value", "raw")
 
 
 _REFS = """refs AS (SELECT src, coalesce(e.id, f.id) AS dst FROM (SELECT id AS src, section_id, trim(note_ref) AS r, regexp_extract(trim(note_ref), '^([0-9]{1,3})', 1) AS lead FROM v_lines WHERE trim(coalesce(note_ref, '')) <> '') x
   LEFT JOIN v_notes e ON e.section_id = x.section_id AND CAST(e.number AS VARCHAR) = r LEFT JOIN v_notes f ON f.section_id = x.section_id AND CAST(f.number AS VARCHAR) = lead
   WHERE coalesce(e.id, f.id) IS NOT NULL)"""
-_TIES = r"""own AS (SELECT line_id AS src, value, length(ltrim(dg, '0')) AS n_digits, CAST(round(abs(value), 2) AS DECIMAL(38, 2)) AS key
+_TIES = r"""own AS (SELECT line_id AS src, col, raw, heading, value, length(ltrim(dg, '0')) AS n_digits, CAST(round(abs(value), 2) AS DECIMAL(38, 2)) AS key
   FROM (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS dg FROM v_parsed) WHERE NOT nil AND value IS NOT NULL AND length(ltrim(dg, '0')) >= 4 AND NOT regexp_matches(dg, '^(19|20)[0-9]{2}$')),
 printed AS (SELECT DISTINCT section_id, note_id, CAST(round(CAST(replace(raw, ',', '') AS DOUBLE), 2) AS DECIMAL(38, 2)) AS key FROM v_note_figures),
-ties AS (SELECT src, dst, CASE WHEN n_notes = 1 THEN 'high' ELSE 'medium' END AS confidence FROM (
-  SELECT src, note_id AS dst, count(*) OVER (PARTITION BY src) AS n_notes FROM own JOIN v_lines l ON l.id = src JOIN printed USING (section_id, key)
+ties AS (SELECT src, dst, key, CASE WHEN n_notes = 1 THEN 'high' ELSE 'medium' END AS confidence FROM (
+  SELECT src, note_id AS dst, arg_min(key, col) AS key, count(*) OVER (PARTITION BY src) AS n_notes FROM own JOIN v_lines l ON l.id = src JOIN printed USING (section_id, key)
   GROUP BY src, note_id HAVING count(DISTINCT value) >= 2 OR max(n_digits) >= 5) WHERE n_notes <= 3)"""
+_CITED = r"""citing AS (SELECT *, CASE seq % 3 WHEN 0 THEN label || ' (notes ' || (part_id % 40 + 1) || ' and ' || (part_id % 7 + 1) || ')'
+  WHEN 1 THEN label || ' (Schedule ' || ['I', 'IV', 'XVII', 'E', '12'][part_id % 5 + 1] || ')' ELSE label END AS full_label FROM v_lines),
+named AS (SELECT section_id, CAST(number AS VARCHAR) AS key, id FROM v_notes UNION ALL
+  SELECT section_id, key, CASE WHEN section_id = 'consolidated' THEN 'C' ELSE 'S' END || '-SCH-' || key FROM (SELECT DISTINCT section_id FROM v_notes), (VALUES ('I'), ('IV'), ('XVII'), ('E')) s(key)),
+keys AS (SELECT id AS src, section_id, unnest(regexp_extract_all(g, '[0-9]+')) AS key FROM (SELECT id, section_id, unnest(regexp_extract_all(full_label, '(?i)\bnotes?\s*(?:no\.?\s*)?([0-9]{1,3}(?:\s*(?:,|and|&)\s*[0-9]{1,3})*)\b', 1)) AS g FROM citing)
+  UNION SELECT id, section_id, upper(unnest(regexp_extract_all(full_label, '\b(?i:schedule)(?:\s+[''‘’]?|\s*[''‘’])([IVXL]{1,6}|[A-Z]{1,2}|[0-9]{1,2})\b', 1))) FROM citing),
+cited AS (SELECT DISTINCT k.src, n.id AS dst FROM keys k JOIN named n USING (section_id, key) WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.src = k.src AND r.dst = n.id))"""
 
 
 def _refs(spark, d):
-    return links.references(rv.lines(spark, d), rv.notes(spark, d))
+    return links.references(_lines(spark, d), rv.notes(spark, d))
+
+
+def _cited(spark, d):
+    return links.label_references(_citing(spark, d), _units(spark, d), _refs(spark, d))
 
 
 def _ties(spark, d):
-    return links.ties_to(rv.lines(spark, d), parsed(spark, d), rv.note_figures(spark, d))
+    return links.ties_to(_lines(spark, d), parsed(spark, d), rv.note_figures(spark, d))
 
 
 def _edges(spark, d):
-    refs = _refs(spark, d)
-    return links.all_edges(refs, _ties(spark, d), links.mentions(rv.lines(spark, d), rv.notes(spark, d), refs))
+    """All links, built once: every query of links, hints and summaries reads them."""
+
+    def build():
+        refs, cited, notes = _refs(spark, d), _cited(spark, d), rv.notes(spark, d)
+        titles = links.mentions(_lines(spark, d), notes, refs.unionByName(cited))
+        return links.all_edges(_citing(spark, d), notes, parsed(spark, d), refs, cited, _ties(spark, d), titles, _carries(spark, d))
+
+    return built(spark, "edges", d, build)
 
 
 @query("j2_note_refs", with_views("v_lines", "v_notes") + ", " + _REFS + " SELECT src, dst FROM refs")
@@ -143,18 +190,14 @@ def j2(spark, d):
     return _refs(spark, d)
 
 
-@query("j3_label_refs", with_views("v_lines", "v_notes") + r""", asked AS (SELECT id AS src, section_id, CASE WHEN seq % 3 = 0 THEN label || ' (notes ' || (part_id % 40 + 1) || ' and ' || (part_id % 7 + 1) || ')' ELSE label END AS label FROM v_lines),
-cited AS (SELECT DISTINCT src, section_id, unnest(regexp_extract_all(g, '[0-9]+')) AS key FROM (SELECT src, section_id, unnest(regexp_extract_all(label, '(?i)\bnotes?\s*(?:no\.?\s*)?([0-9]{1,3}(?:\s*(?:,|and|&)\s*[0-9]{1,3})*)\b', 1)) AS g FROM asked)), """ + _REFS + """
-SELECT DISTINCT c.src, n.id AS dst FROM cited c JOIN v_notes n ON n.section_id = c.section_id AND CAST(n.number AS VARCHAR) = c.key
-WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.src = c.src AND r.dst = n.id)""")
+@query("j3_label_refs", with_views("v_lines", "v_notes") + f", {_REFS}, {_CITED} SELECT src, dst FROM cited")
 def j3(spark, d):
-    label = F.when(F.col("seq") % 3 == 0, F.concat("label", F.lit(" (notes "), (F.col("part_id") % 40 + 1).cast("string"), F.lit(" and "), (F.col("part_id") % 7 + 1).cast("string"), F.lit(")"))).otherwise(F.col("label"))
-    return links.label_references(rv.lines(spark, d).withColumn("label", label), rv.notes(spark, d), _refs(spark, d))
+    return _cited(spark, d)
 
 
 @query("j4_ties_to", with_views("v_lines", "v_parsed", "v_note_figures") + ", " + _TIES + " SELECT src, dst, confidence FROM ties")
 def j4(spark, d):
-    return _ties(spark, d)
+    return _ties(spark, d).drop("key")
 
 
 _WORDS = """list_distinct(list_filter(list_transform(regexp_extract_all({0}, '[a-z][a-z''\\-]+'), lambda w: CASE WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END), lambda w: length(w) > 2))"""
@@ -168,11 +211,21 @@ titled AS (SELECT l.id AS src, t.dst, CASE WHEN t.n = 1 THEN 'medium' ELSE 'low'
 
 @query("j5_mentions", with_views("v_lines", "v_notes") + f", {_REFS}, {_MENTIONS} SELECT src, dst, confidence FROM titled")
 def j5(spark, d):
-    return links.mentions(rv.lines(spark, d), rv.notes(spark, d), _refs(spark, d))
+    return links.mentions(_lines(spark, d), rv.notes(spark, d), _refs(spark, d))
 
 
-_EDGES = f"""{_REFS}, {_TIES}, {_MENTIONS}, edges AS (SELECT src, dst, 'references' AS kind, 'notes column' AS method, 'high' AS confidence FROM refs
-  UNION ALL SELECT src, dst, 'ties_to', 'figure match', confidence FROM ties UNION ALL SELECT src, dst, 'mentions', 'title match', confidence FROM titled)"""
+_CARRY = """cl AS (SELECT id AS line_id, o_custkey AS report, order_id, unit_id, CASE part_id % 7 WHEN 0 THEN 'net income' WHEN 1 THEN 'profit before tax' WHEN 2 THEN 'profit for the year' ELSE 'total comprehensive income' END AS label_key,
+  o_custkey * 1000.0 + CASE WHEN order_id % 7 = 0 THEN 5 ELSE 0 END AS value FROM v_lines JOIN orders ON order_id = o_orderkey WHERE part_id % 7 < 4),
+cf AS (SELECT *, 'FY2020' AS period FROM cl UNION ALL SELECT *, 'FY' || (2021 + order_id % 2) FROM cl),
+carry AS (SELECT a.line_id AS a, b.line_id AS b, count(*) AS n_periods, bool_and(abs(a.value - b.value) <= 0.01 + 1e-9) AS ok, string_agg(period || ' ' || format('{:,.2f}', a.value), ', ' ORDER BY period) AS evidence
+  FROM cf a JOIN cf b USING (report, label_key, period) WHERE a.unit_id < b.unit_id GROUP BY 1, 2)"""
+_EDGES = f"""{_REFS}, {_CITED}, {_TIES}, {_MENTIONS.replace("(SELECT src FROM refs)", "(SELECT src FROM refs UNION ALL SELECT src FROM cited)")}, {_CARRY},
+shown AS (SELECT src, key, arg_min(raw, col) AS raw, arg_min(CASE col WHEN 3 THEN right(heading, 4) || '-12-31' WHEN 0 THEN heading ELSE 'FY' || right(heading, 4) END, col) AS period FROM own GROUP BY src, key),
+edges AS (SELECT src, dst, 'references' AS kind, 'notes column' AS method, 'high' AS confidence, chr(39) || full_label || chr(39) || ' cites ' || trim(note_ref) || ' on PDF p.' || pdf_page AS evidence FROM refs JOIN citing ON id = src
+  UNION ALL SELECT src, dst, 'references', 'label', 'high', chr(39) || full_label || chr(39) || ' on PDF p.' || pdf_page FROM cited JOIN citing ON id = src
+  UNION ALL SELECT src, dst, 'ties_to', 'figure match', confidence, raw || ' (' || period || ') on PDF p.' || pdf_page || ' is in ' || dst FROM ties JOIN shown USING (src, key) JOIN citing ON id = src
+  UNION ALL SELECT src, dst, 'mentions', 'title match', confidence, chr(39) || full_label || chr(39) || ' matches the title ' || chr(39) || title || chr(39) FROM titled JOIN citing c ON c.id = src JOIN v_notes n ON n.id = dst
+  UNION ALL SELECT a, b, 'carries', 'same figures', 'high', evidence FROM carry WHERE ok)"""
 
 
 @query("u1_all_edges", with_views("v_lines", "v_notes", "v_parsed", "v_note_figures") + f", {_EDGES} SELECT * FROM edges")
@@ -182,46 +235,49 @@ def u1(spark, d):
 
 @query("j6_unreferenced", with_views("v_lines", "v_notes") + f", {_REFS} SELECT id, label FROM v_lines WHERE id NOT IN (SELECT src FROM refs)")
 def j6(spark, d):
-    return rv.lines(spark, d).join(_refs(spark, d).select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("id", "label")
-
-
-def _by_period(spark, d):
-    p = parsed(spark, d).where("col = 1 and value is not null").select("line_id", "value", "raw", fig.parse_period(F.col("heading"), (3, 31))["period_label"].alias("period_label"))
-    own = rv.lines(spark, d).where("quantity >= 48").select(F.col("id").alias("line_id"), F.concat("section_id", F.lit(":"), (F.col("order_id") % 97).cast("string")).alias("section_id"), "unit_id", F.lower("label").alias("label_key"))
-    return p.join(own, "line_id")
+    return _lines(spark, d).join(_refs(spark, d).select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("id", "label")
 
 
-_CARRY = """bp AS (SELECT v.line_id, v.value, v.raw, 'FY' || right(v.heading, 4) AS period_label, l.section_id || ':' || (l.order_id % 97) AS section_id, l.unit_id, lower(l.label) AS label_key
-  FROM v_parsed v JOIN v_lines l ON l.id = v.line_id WHERE v.col = 1 AND v.value IS NOT NULL AND l.quantity >= 48),
-carry AS (SELECT a.line_id AS a, b.line_id AS b, count(*) AS n_periods, bool_and(abs(a.value - b.value) <= pow(10.0, -CAST(length(coalesce(split_part(b.raw, '.', 2), '')) AS DOUBLE)) + 1e-9) AS ok
-  FROM bp a JOIN bp b ON a.section_id = b.section_id AND a.label_key = b.label_key AND a.period_label = b.period_label AND a.unit_id < b.unit_id GROUP BY 1, 2)"""
+def _carries(spark, d):
+    """Figures that the statements of one report repeat: a customer is a report, its orders are statements of two periods."""
+    own = _lines(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey"), "order_id")
+    labels = F.array(*[F.lit(x) for x in ("Net income", "Profit before tax:", " PROFIT FOR THE YEAR", "Total comprehensive income")])
+    own = own.withColumn("label", F.coalesce(F.get(labels, (F.col("part_id") % 7).cast("int")), "label")).withColumn("section_id", F.col("o_custkey").cast("string"))
+    raw = F.format_number(F.col("o_custkey") * 1000 + F.when(F.col("order_id") % 7 == 0, 5).otherwise(0).cast("double"), 2)
+    headings = F.array(F.lit("Year ended March 31, 2020"), F.concat(F.lit("FY "), (F.col("order_id") % 2 + 2021).cast("string")))
+    cells = own.select(F.col("id").alias("line_id"), raw.alias("raw"), F.explode(headings).alias("heading"))
+    read = cells.select("line_id", "raw", F.inline(F.array(fig.parse_value(F.col("raw")))), fig.parse_period(F.col("heading"), (3, 31))["period_label"].alias("period_label"))
+    figures = links.carry_figures(own, read)
+    return links.carried(figures, figures)
 
 
-@query("j7_carries", with_views("v_lines", "v_parsed") + f", {_CARRY} SELECT a, b, n_periods, ok FROM carry")
+@query("j7_carries", with_views("v_lines") + f", {_CARRY} SELECT a, b, n_periods, ok FROM carry")
 def j7(spark, d):
-    return links.carried(_by_period(spark, d), _by_period(spark, d))
+    return _carries(spark, d).drop("evidence")
 
 
-@query("q3_carries_check", with_views("v_lines", "v_parsed") + f", {_CARRY} SELECT a AS subject, CASE WHEN ok THEN 'ok' ELSE 'warn' END AS status FROM carry")
+@query("q3_carries_check", with_views("v_lines") + f", {_CARRY} SELECT a AS subject, CASE WHEN ok THEN 'ok' ELSE 'warn' END AS status FROM carry")
 def q3(spark, d):
-    found = links.carried(_by_period(spark, d), _by_period(spark, d))
-    return found.select(F.col("a").alias("subject"), F.when(F.col("ok"), "ok").otherwise("warn").alias("status"))
+    return _carries(spark, d).select(F.col("a").alias("subject"), F.when(F.col("ok"), "ok").otherwise("warn").alias("status"))
 
 
 def _statement(spark, d):
-    """Lines of each order, a total after each four, and one at the end; every seventh order's totals are off by 5."""
-    own = rv.lines(spark, d).select(F.col("order_id").alias("statement"), "seq", "cents")
+    """Lines of each order, a total after each four, and one of all at the end; every seventh order's totals are off by 5."""
+    own = _lines(spark, d).select(F.col("order_id").alias("statement"), "seq", "cents")
     part = F.floor((F.col("seq") - 1) / 4)
     data = own.select("statement", (F.col("seq") * 10).alias("seq"), F.lit("data").alias("kind"), (F.col("cents") / 100).alias("value"))
     totals = own.groupBy("statement", part.alias("part")).agg(F.max("seq").alias("seq"), F.sum("cents").alias("cents"))
     off = F.when(F.col("statement") % 7 == 0, 500).otherwise(0)
     totals = totals.select("statement", (F.col("seq") * 10 + 5).alias("seq"), F.lit("total").alias("kind"), ((F.col("cents") + off) / 100).alias("value"))
-    rows = data.unionByName(totals)
+    grand = own.groupBy("statement").agg(F.max("seq").alias("seq"), F.sum("cents").alias("cents")).select("statement", (F.col("seq") * 10 + 6).alias("seq"), F.lit("total").alias("kind"), ((F.col("cents") + off) / 100).alias("value"))
+    rows = data.unionByName(totals).unionByName(grand)
     return rows.select("statement", "seq", "kind", F.create_map(F.lit(1), "value").alias("values"), F.create_map(F.lit(1), F.format_number("value", 2)).alias("raws"))
 
 
-_SUBTOTAL = """st AS (SELECT order_id AS statement, max(seq) * 10 + 5 AS seq, count(*) AS n_lines, CASE WHEN order_id % 7 = 0 THEN 'unverified' ELSE 'ok' END AS status
-  FROM v_lines GROUP BY order_id, (seq - 1) // 4 HAVING count(*) >= 2)"""
+_SUBTOTAL = """part_ AS (SELECT order_id, (seq - 1) // 4 AS j, count(*) AS size, max(seq) AS last FROM v_lines GROUP BY 1, 2),
+whole AS (SELECT order_id, max(j) + 1 AS k, max(last) AS last, arg_max(size, j) AS tail FROM part_ GROUP BY 1),
+st AS (SELECT order_id AS statement, last * 10 + 5 AS seq, CASE WHEN ok THEN size END AS n_lines, CASE WHEN ok THEN 'ok' ELSE 'unverified' END AS status FROM (SELECT *, order_id % 7 <> 0 AND size >= 2 AS ok FROM part_) WHERE size >= 2 OR j >= 1
+  UNION ALL SELECT order_id, last * 10 + 6, CASE WHEN ok THEN k END, CASE WHEN ok THEN 'ok' ELSE 'unverified' END FROM (SELECT *, order_id % 7 <> 0 AND tail >= 2 AS ok FROM whole) WHERE k >= 2 OR tail = 1 OR order_id % 7 = 0)"""
 
 
 @query("q1_subtotal", with_views("v_lines") + f", {_SUBTOTAL} SELECT statement, seq, n_lines, status FROM st")
@@ -229,21 +285,24 @@ def q1(spark, d):
     return checks.subtotals(_statement(spark, d))
 
 
-def _claims(spark, d):
-    own = rv.lines(spark, d).groupBy("unit_id", "order_id").agg(F.sum("cents").alias("cents"))
-    side = lambda seq, cents: own.select("unit_id", F.concat("unit_id", F.lit(f"-T{seq}")).alias("line_id"), F.lit(seq).alias("seq"), F.lit(1).alias("col"), (cents / 100).alias("value"), F.format_number(cents / 100, 2).alias("raw"))
+def _balances(spark, d):
+    """A balance sheet of each order: total assets, total liabilities, and both spellings of total equity and liabilities."""
+    own = _lines(spark, d).groupBy("unit_id", "order_id").agg(F.sum("cents").alias("cents"))
     off = F.when(F.col("order_id") % 7 == 0, 500).otherwise(0)
-    return side(1, F.col("cents")), side(2, F.col("cents") + off).unionByName(side(3, F.col("cents") + 900))
+    claims = F.when(F.col("order_id") % 2 == 0, "Total equity and liabilities").otherwise("Total liabilities and stockholders’ equity")
+    rows = [(1, F.lit("Total assets"), F.col("cents")), (2, F.lit("Total liabilities"), F.col("cents") - 700), (3, claims, F.col("cents") + off), (4, F.lit("Total Equity and Liabilities"), F.col("cents") + 900), (5, F.lit("Total assets under lease"), F.col("cents"))]
+    cell = lambda seq, label, cents: F.struct(F.concat("unit_id", F.lit(f"-T{seq}")).alias("line_id"), F.lit(seq).alias("seq"), label.alias("label"), F.lit(1).alias("col"), (cents / 100).alias("value"), F.format_number(cents / 100, 2).alias("raw"))
+    return checks.balances(*checks.balance_sides(own.select("unit_id", F.inline(F.array(*[cell(*r) for r in rows])))))
 
 
 @query("j8_balance", with_views("v_lines") + "SELECT unit_id, unit_id || '-T1' AS line_id, CASE WHEN order_id % 7 = 0 THEN 'fail' ELSE 'ok' END AS status FROM v_lines GROUP BY unit_id, order_id")
 def j8(spark, d):
-    return checks.balances(*_claims(spark, d)).select("unit_id", "line_id", "status")
+    return _balances(spark, d).select("unit_id", "line_id", "status")
 
 
 @query("q2_balance_counts", with_views("v_lines") + "SELECT CASE WHEN order_id % 7 = 0 THEN 'fail' ELSE 'ok' END AS status, count(DISTINCT order_id) AS n FROM v_lines GROUP BY 1")
 def q2(spark, d):
-    return checks.balances(*_claims(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+    return _balances(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
 _TIE_CHECK = """tie AS (SELECT r.src, r.dst, CASE WHEN max(p.key) IS NOT NULL OR max(t.dst) IS NOT NULL THEN 'ok' ELSE 'warn' END AS status FROM refs r JOIN v_lines l ON l.id = r.src JOIN own o ON o.src = r.src
@@ -252,7 +311,7 @@ _ALL = with_views("v_lines", "v_notes", "v_parsed", "v_note_figures")
 
 
 def _note_ties(spark, d):
-    return checks.note_ties(_refs(spark, d), _ties(spark, d), rv.lines(spark, d), parsed(spark, d), rv.note_figures(spark, d))
+    return checks.note_ties(_refs(spark, d), _ties(spark, d), _lines(spark, d), parsed(spark, d), rv.note_figures(spark, d))
 
 
 @query("j9_note_tie", _ALL + f", {_REFS}, {_TIES}, {_TIE_CHECK} SELECT src, dst FROM tie WHERE status = 'ok'")
@@ -266,9 +325,9 @@ def q4(spark, d):
 
 
 @query("q6_link_summary", _ALL + f""", {_EDGES} SELECT (SELECT count(*) FROM v_lines) AS lines, count(DISTINCT src) AS linked, count(DISTINCT src) FILTER (method = 'notes column') AS by_notes_column,
- count(DISTINCT src) FILTER (method = 'figure match') AS by_figure_match, count(DISTINCT src) FILTER (method = 'title match') AS by_title_match FROM edges""")
+ count(DISTINCT src) FILTER (method = 'label') AS by_label, count(DISTINCT src) FILTER (method = 'figure match') AS by_figure_match, count(DISTINCT src) FILTER (method = 'title match') AS by_title_match FROM edges WHERE kind <> 'carries'""")
 def q6(spark, d):
-    return checks.link_summary(rv.lines(spark, d), _edges(spark, d))
+    return checks.link_summary(_lines(spark, d), _edges(spark, d))
 
 
 @query("a3_linked_by_method", _ALL + f", {_EDGES} SELECT method, count(DISTINCT src) AS lines FROM edges GROUP BY method")
@@ -285,7 +344,7 @@ def a4(spark, d):
 
 @query("s18_first_reference", with_views("v_lines", "v_notes") + f", {_REFS} SELECT l.id, min(r.dst) AS first_note FROM v_lines l LEFT JOIN refs r ON r.src = l.id GROUP BY l.id")
 def s18(spark, d):
-    return rv.lines(spark, d).join(_refs(spark, d), F.col("id") == F.col("src"), "left").groupBy("id").agg(F.min("dst").alias("first_note"))
+    return _lines(spark, d).join(_refs(spark, d), F.col("id") == F.col("src"), "left").groupBy("id").agg(F.min("dst").alias("first_note"))
 
 
 @query("j25_note_figures", with_views("v_note_figures") + "SELECT DISTINCT section_id, note_id, CAST(CAST(replace(raw, ',', '') AS DOUBLE) AS DOUBLE) AS amount FROM v_note_figures")
@@ -293,15 +352,15 @@ def j25(spark, d):
     return rv.note_figures(spark, d).select("section_id", "note_id", fig.amount_key(F.replace(F.col("raw"), F.lit(","), F.lit("")).cast("double")).cast("double").alias("amount")).distinct()
 
 
-@query("j16_nearest_tie", with_views("v_lines") + """, f AS (SELECT p_partkey AS part_id, p_retailprice * 20 AS amount FROM part WHERE p_partkey % 10 = 0),
+@query("j16_nearest_tie", with_views("v_lines") + """, f AS (SELECT p_partkey AS part_id, p_retailprice * 20 AS amount FROM part),
 c AS (SELECT f.part_id, l.id, abs(l.cents / 100.0 - f.amount) AS diff FROM f JOIN v_lines l ON abs(l.cents / 100.0 - f.amount) <= 5.0)
 SELECT part_id, arg_min(id, struct_pack(d := diff, i := id)) AS line_id, round(min(diff), 6) AS diff FROM c GROUP BY part_id""")
 def j16(spark, d):
     """Nearest line within a tolerance: amounts are cut into cells as wide as it, so that each looks at three cells only."""
     wide = 5.0
-    f = table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("part_id"), (F.col("p_retailprice") * 20).alias("amount"))
+    f = table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), (F.col("p_retailprice") * 20).alias("amount"))
     f = f.withColumn("cell", F.explode(F.array(*[F.floor(F.col("amount") / wide) + k for k in (-1, 0, 1)])))
-    own = rv.lines(spark, d).select("id", (F.col("cents") / 100).alias("value")).withColumn("cell", F.floor(F.col("value") / wide))
+    own = _lines(spark, d).select("id", (F.col("cents") / 100).alias("value")).withColumn("cell", F.floor(F.col("value") / wide))
     near = own.join(f, "cell").withColumn("diff", F.abs(F.col("value") - F.col("amount"))).where(F.col("diff") <= wide)
     return near.groupBy("part_id").agg(F.min_by("id", F.struct("diff", "id")).alias("line_id"), F.round(F.min("diff"), 6).alias("diff"))
 
@@ -310,14 +369,14 @@ _HINT_WORDS = "small red"
 
 
 @query("r5_statement_hints", _ALL + f""", {_EDGES},
-hit AS (SELECT e.dst, l.label || ' (' || l.section_id || ')' AS txt, e.confidence, l.unit_id, l.seq, e.kind FROM v_lines l JOIN edges e ON e.src = l.id WHERE regexp_matches(l.label, '\\b(small|red)\\b') AND e.confidence <> 'low'),
+hit AS (SELECT e.dst, l.label || ' (' || l.section_id || ')' AS txt, e.confidence, l.unit_id, l.seq, e.kind FROM v_lines l JOIN edges e ON e.src = l.id WHERE regexp_matches(l.label, '\\b(small|red)\\b') AND e.confidence <> 'low' AND e.kind <> 'carries'),
 once AS (SELECT dst, txt, arg_min(confidence, struct_pack(u := unit_id, s := seq, k := kind)) AS confidence FROM hit GROUP BY dst, txt)
 SELECT dst, CAST(sum(CASE WHEN confidence = 'high' THEN 2 ELSE 1 END) AS BIGINT) AS strength, count(*) AS n_lines FROM once GROUP BY dst ORDER BY strength DESC, dst LIMIT 4""")
 def r5(spark, d):
     """Notes behind the statement lines that a question is about: the four of greatest strength, each label text once by its first edge."""
     words = wd.question_words(F.lit(_HINT_WORDS))
-    own = rv.lines(spark, d).where(F.arrays_overlap(wd.label_words(F.col("label")), words))
-    hit = own.join(_edges(spark, d).where("confidence != 'low'"), F.col("id") == F.col("src"))
+    own = _lines(spark, d).where(F.arrays_overlap(wd.label_words(F.col("label")), words))
+    hit = own.join(_edges(spark, d).where("confidence != 'low' and kind != 'carries'"), F.col("id") == F.col("src"))
     text = F.concat("label", F.lit(" ("), "section_id", F.lit(")"))
     once = hit.groupBy("dst", text.alias("text")).agg(F.min_by("confidence", F.struct("unit_id", "seq", "kind")).alias("confidence"))
     return once.groupBy("dst").agg(F.sum(F.when(F.col("confidence") == "high", 2).otherwise(1)).alias("strength"), F.count("*").alias("n_lines")).orderBy(F.desc("strength"), "dst").limit(4)
@@ -329,4 +388,4 @@ def j19(spark, d):
     """Lines linked to chosen notes, the thirty best by confidence and place."""
     rank = F.min(F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2))
     best = _edges(spark, d).where(F.col("dst").isin("C5", "C9", "S5")).groupBy("src").agg(rank.cast("long").alias("rank"))
-    return best.join(rv.lines(spark, d), F.col("src") == F.col("id")).orderBy("rank", "section_id", "unit_id", "seq").limit(30).select("id", "rank")
+    return best.join(_lines(spark, d), F.col("src") == F.col("id")).orderBy("rank", "section_id", "unit_id", "seq").limit(30).select("id", "rank")

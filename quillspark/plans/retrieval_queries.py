@@ -9,6 +9,7 @@ from ..operators import retrieval as rt
 from ..operators import sequences as sq
 from ..sources import report_views as rv
 from ..sources.report_views import with_views
+from ..sources.store import built
 from .registry import query, table
 
 QUESTION = "What drove the outlook in the segment, and was there a tion and heer of the risk factors?"
@@ -24,8 +25,7 @@ _V = with_views("v_postings", "v_passages")
 
 
 def _scores(spark, d):
-    p = rv.passages(spark, d)
-    return rt.bm25(p, rt.postings(p), TERMS)
+    return rt.bm25(built(spark, "bm25-index", d, lambda: rt.index(rv.passages(spark, d)), "bucket"), TERMS)
 
 
 def _top(spark, d):
@@ -165,10 +165,10 @@ def p16(spark, d):
 
 @query("f19_snippet", r"""SELECT doc_id, arg_max(sentence, struct_pack(n := n, p := -pos)) AS sentence, max(n) AS words FROM (
   SELECT doc_id, pos, trim(sentence) AS sentence, len(list_filter(list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9]+')), lambda w: w IN ('the', 'tion', 'and', 'heer'))) AS n
-  FROM (SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), ' '), '[.!?] +') AS s FROM documents WHERE lang = 'en'))) WHERE n > 0 GROUP BY doc_id""")
+  FROM (SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), ' '), '[.!?] +') AS s FROM documents))) WHERE n > 0 GROUP BY doc_id""")
 def f19(spark, d):
     """The sentence with most of the asked words, the first of equals."""
     asked = F.array(*[F.lit(w) for w in ("the", "tion", "and", "heer")])
-    cut = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), "[.!?] +")).alias("pos", "sentence"))
+    cut = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), "[.!?] +")).alias("pos", "sentence"))
     n = F.size(F.array_intersect(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9]+"), F.lit(0)), asked)).cast("long")
     return cut.select("doc_id", "pos", F.trim("sentence").alias("sentence"), n.alias("n")).where("n > 0").groupBy("doc_id").agg(F.max_by("sentence", F.struct("n", -F.col("pos"))).alias("sentence"), F.max("n").alias("words"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sequences import numbered
+
 
 def write_package(tables: dict[str, DataFrame], root: str, report_id: str) -> None:
     """Replace one report's partition of each table; other reports stay. The commit of each write is atomic."""
@@ -16,7 +18,8 @@ def write_package(tables: dict[str, DataFrame], root: str, report_id: str) -> No
 def flatten_index(sections: DataFrame) -> DataFrame:
     """Nested sections (id, seq, units array) to one row a unit with a running number over all sections."""
     rows = sections.select("id", "seq", F.posexplode("units").alias("place", "unit"))
-    return rows.select(F.col("id").alias("section_id"), "unit.*", F.row_number().over(Window.orderBy("seq", "place")).alias("order"))
+    found = numbered(rows.select(F.col("id").alias("section_id"), "seq", "place", "unit"), "seq", "place", name="order")
+    return found.select("section_id", "unit.*", "order")
 
 
 def upsert(current: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_ties_need_a_long_figure_or_two(spark):
     lines = spark.createDataFrame([("a", "s"), ("b", "s")], "id string, section_id string")
     parsed = spark.createDataFrame([("a", "1,234", 1234.0, False), ("b", "12,345", 12345.0, False), ("b", "—", 0.0, True)], "line_id string, raw string, value double, nil boolean")
     notes = spark.createDataFrame([("s", "n1", "1,234"), ("s", "n1", "12,345"), ("s", "n2", "12,345.00")], "section_id string, note_id string, raw string")
-    assert rows(links.ties_to(lines, parsed, notes)) == [("b", "n1", "medium"), ("b", "n2", "medium")]
+    assert rows(links.ties_to(lines, parsed, notes).drop("key")) == [("b", "n1", "medium"), ("b", "n2", "medium")]
 
 
 def test_edit_one(spark):
@@ -34,6 +34,40 @@ def test_subtotals(spark):
     assert [(r.seq, r.status) for r in checks.subtotals(df).orderBy("seq").collect()] == [(3, "ok"), (6, "unverified")]
 
 
+def test_subtotals_since_the_heading(spark):
+    """A total that holds stands for its lines further down; a heading starts anew."""
+    data = [(1, "data", 5.0), (2, "data", 6.0), (3, "total", 11.0), (4, "data", 1.0), (5, "total", 12.0), (6, "heading", None), (7, "data", 2.0), (8, "total", 2.0)]
+    df = spark.createDataFrame([("s", *r) for r in data], "statement string, seq int, kind string, v double")
+    df = df.select("statement", "seq", "kind", F.create_map(F.lit(1), "v").alias("values"), F.create_map(F.lit(1), F.col("v").cast("string")).alias("raws"))
+    assert [(r.seq, r.n_lines, r.status) for r in checks.subtotals(df).orderBy("seq").collect()] == [(3, 2, "ok"), (5, 2, "ok")]
+
+
+def test_labels_cite_notes_and_schedules(spark):
+    cases = {"Investments (notes 5 and 6) (Schedule XVII)": ["5", "6", "XVII"], "Scheduled payments": [], "Notes payable": [], "Loans, Schedule 'E'": ["E"], "Cash (Refer Note No. 15)": ["15"], "Tax (note 3, 3 & 4)": ["3", "4"]}
+    df = spark.createDataFrame([(k,) for k in cases], "label string")
+    assert {r.label: r.c for r in df.select("label", links.cited_units(F.col("label")).alias("c")).collect()} == cases
+
+
+def test_only_figures_that_statements_repeat_are_carried(spark):
+    lines = spark.createDataFrame([("a", "s", "u1", " Net income:"), ("b", "s", "u2", "NET INCOME"), ("c", "s", "u3", "Revenue"), ("d", "s", "u1", "Revenue"), ("e", "t", "u4", "Net income")], "id string, section_id string, unit_id string, label string")
+    parsed = spark.createDataFrame([(i, p, v, f"{v:.1f}") for i, p, v in [("a", "FY1", 1.0), ("a", "FY2", 2.0), ("b", "FY1", 1.05), ("b", "FY2", 3.0), ("c", "FY1", 1.0), ("d", "FY1", 1.0), ("e", "FY1", 1.0), ("b", None, 9.0)]], "line_id string, period_label string, value double, raw string")
+    figures = links.carry_figures(lines, parsed)
+    assert rows(links.carried(figures, figures)) == [("a", "b", 2, False, "FY1 1.0, FY2 2.0")]
+
+
+def test_balance_by_labels(spark):
+    cells = [("u", "1", 1, "Total  assets", 1, 10.0, "10"), ("u", "2", 2, "Total liabilities", 1, 4.0, "4"), ("u", "3", 3, "Total liabilities and shareholders' equity", 1, 10.4, "10.4"), ("u", "4", 4, "Total equity and liabilities", 1, 99.0, "99"), ("v", "5", 1, "Total assets", 1, 1.0, "1")]
+    df = spark.createDataFrame(cells, "unit_id string, line_id string, seq int, label string, col int, value double, raw string")
+    assert rows(checks.balances(*checks.balance_sides(df))) == [("u", "1", 1, "fail")]
+
+
+def test_numbered_over_ranges(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 13).alias("k"), "id").repartition(5)
+    got = {r.id: r.place for r in sequences.numbered(df, "k", "id").collect()}
+    assert got == {i: n + 1 for n, (_, i) in enumerate(sorted((i * 7 % 13, i) for i in range(500)))}
+    assert sequences.numbered(df.limit(0), "k", "id").count() == 0
+
+
 def test_accepted_steps(spark):
     df = spark.createDataFrame([("g", i, n) for i, n in enumerate([3, 5, 50, 6, 2, 10, 11])], "g string, o int, n long")
     assert sequences.accepted_steps(df, "g", "o", "n", 4).first().accepted == [3, 5, 6, 10, 11]
