@@ -114,14 +114,16 @@ def reading_order(boxes: DataFrame, gap: float = 6.0) -> DataFrame:
         return best
 
     def order(rows: list[tuple]) -> list[int]:
-        if len(rows) <= 1:
-            return [r[0] for r in rows]
-        down, at_y = widest([(r[2], r[4]) for r in rows])
-        across, at_x = widest([(r[1], r[3]) for r in rows])
-        if max(down, across) < gap:
-            return [r[0] for r in sorted(rows, key=lambda r: (r[2], r[1]))]
-        axis, at = (2, at_y) if down >= across else (1, at_x)
-        return order([r for r in rows if r[axis] < at]) + order([r for r in rows if r[axis] >= at])
+        out, left = [], [rows]  # parts still to be cut, the next one last
+        while left:
+            part = left.pop()
+            (down, at_y), (across, at_x) = (widest([(r[k], r[k + 2]) for r in part]) for k in (2, 1)) if len(part) > 1 else ((0.0, 0.0), (0.0, 0.0))
+            if max(down, across) < gap:
+                out += [r[0] for r in sorted(part, key=lambda r: (r[2], r[1]))]
+                continue
+            axis, at = (2, at_y) if down >= across else (1, at_x)
+            left += [[r for r in part if r[axis] >= at], [r for r in part if r[axis] < at]]
+        return out
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         place = {box: k for k, box in enumerate(order(list(page[["box", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))))}

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import checks, grouped
+from ..operators.sequences import numbered
 from ..sources import report_views as rv
 from ..sources import scans, sinks
 from ..sources.report_views import with_views
-from .registry import query, table
+from .registry import query, small, table
 
 
-@query("s2_natural_order", "SELECT p_partkey, 'TYPE-' || p_size || ' ' || p_brand AS name, row_number() OVER (ORDER BY p_size, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT), p_partkey) AS place FROM part WHERE p_partkey < 400")
+@query("s2_natural_order", "SELECT p_partkey, 'TYPE-' || p_size || ' ' || p_brand AS name, row_number() OVER (ORDER BY p_size, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT), p_partkey) AS place FROM part")
 def s2(spark, d):
-    """Natural order of few names; place numbers all rows, so this is for listings and not for large tables."""
+    """Names in natural order: the number inside a name is compared as a number. Ranges of it are numbered apart."""
     name = F.concat(F.lit("TYPE-"), F.col("p_size").cast("string"), F.lit(" "), "p_brand")
-    order = Window.orderBy(tx.natural_key(F.col("name")), "p_partkey")
-    return table(spark, d, "part").where("p_partkey < 400").select("p_partkey", name.alias("name")).withColumn("place", F.row_number().over(order).cast("long"))
+    rows = table(spark, d, "part").select("p_partkey", "p_size", name.alias("name")).withColumn("key", tx.natural_key(F.col("name")))
+    return numbered(rows, "p_size", "key", "p_partkey").select("p_partkey", "name", "place")
 
 
 @query("s4_segments", "SELECT user_id, seg, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY event_id) AS seg FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) > 43200000000 THEN 1 ELSE 0 END AS b FROM events)) GROUP BY user_id, seg")
@@ -52,10 +53,10 @@ def s8(spark, d):
     return held.select("section", F.size("units").cast("long").alias("units"), F.array_join(F.transform("units", lambda u: u["c_custkey"].cast("string")), ",").alias("ids"))
 
 
-@query("s10_done_pages", "SELECT page_id, length(html) AS chars FROM pages WHERE page_id % 3 <> 0 AND page_id IN (SELECT event_id FROM events WHERE event_type = 'view')")
+@query("s10_done_pages", "SELECT page_id, length(html) AS chars FROM pages WHERE url LIKE 'https%' AND page_id IN (SELECT event_id FROM events WHERE event_type = 'view')")
 def s10(spark, d):
     done = table(spark, d, "events").where("event_type = 'view'").select(F.col("event_id").alias("page_id"))
-    return table(spark, d, "pages").where("page_id % 3 != 0").join(done, "page_id", "left_semi").select("page_id", F.length("html").cast("long").alias("chars"))
+    return table(spark, d, "pages").where("url like 'https%'").join(done, "page_id", "left_semi").select("page_id", F.length("html").cast("long").alias("chars"))
 
 
 @query("s11_hash_lookup", "SELECT min(doc_id) AS doc_id, count(*) AS copies, sha256(text) AS digest FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
@@ -63,11 +64,11 @@ def s11(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("s12_page_spec", "SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_concat(range(o_orderkey % 90 + 1, o_orderkey % 90 + 4), [o_orderkey % 7 + 1]))), ',') AS pages FROM orders WHERE o_orderkey < 500")
+@query("s12_page_spec", "SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 1 THEN array_to_string(list_sort(list_distinct(list_concat(range(o_orderkey % 90 + 1, o_orderkey % 90 + 4), [o_orderkey % 7 + 1]))), ',') END AS pages FROM orders")
 def s12(spark, d):
     a = F.col("o_orderkey") % 90 + 1
-    spec = F.concat(a.cast("string"), F.lit("-"), (a + 2).cast("string"), F.lit(", "), (F.col("o_orderkey") % 7 + 1).cast("string"), F.lit(", 5-300, x"))
-    return table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey", F.array_join(F.transform(scans.page_spec_column(spec), lambda x: x.cast("string")), ",").alias("pages"))
+    spec = F.concat(a.cast("string"), F.lit("-"), (a + 2).cast("string"), F.lit(", "), (F.col("o_orderkey") % 7 + 1).cast("string"), F.when(F.col("o_orderkey") % 11 == 0, ", 5-300").when(F.col("o_orderkey") % 11 == 1, ", x").otherwise(" "))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(scans.page_spec_column(spec), lambda x: x.cast("string")), ",").alias("pages"))
 
 
 @query("s14_history_newest", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
@@ -100,10 +101,10 @@ def s21(spark, d):
     return table(spark, d, "conversations").where("conv_id = 7").select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
 
 
-@query("k2_flatten_index", "SELECT l_orderkey AS section_id, l_partkey AS id, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS \"order\" FROM lineitem WHERE l_orderkey < 300")
+@query("k2_flatten_index", "SELECT l_orderkey AS section_id, l_partkey AS id, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS \"order\" FROM lineitem")
 def k2(spark, d):
     units = F.array_sort(F.collect_list(F.struct(F.col("l_partkey").alias("id"), "l_suppkey", "l_linenumber"))).alias("units")
-    nested = table(spark, d, "lineitem").where("l_orderkey < 300").groupBy(F.col("l_orderkey").alias("id")).agg(units).withColumn("seq", F.col("id"))
+    nested = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(units).withColumn("seq", F.col("id"))
     return sinks.flatten_index(nested).select("section_id", "id", F.col("order").cast("long").alias("order"))
 
 
@@ -169,21 +170,21 @@ def p9(spark, d):
     return rv.blocks(spark, d).where(F.length("text").between(1, 110) & (F.size(F.split(F.trim("text"), " ")) <= 14) & ~F.col("text").rlike("^[a-z]") & ~F.col("text").rlike("[,;]$")).select("doc_id", "seq")
 
 
-@query("p11_entity_scope", "SELECT conv_id, turn, n_name FROM conversations, nation WHERE turn = n_nationkey % 7 AND conv_id < 20")
+@query("p11_entity_scope", "SELECT conv_id, turn, n_name FROM conversations, nation WHERE turn = n_nationkey % 7")
 def p11(spark, d):
     """Entities named in a question: exploded words meet the entities' rare words in an equi-join."""
     names = table(spark, d, "nation").select("n_name", F.lower("n_name").alias("word"), (F.col("n_nationkey") % 7).alias("turn"))
     said = names.groupBy("turn").agg(F.array_join(F.array_sort(F.collect_list("word")), " and ").alias("q"))
-    asked = table(spark, d, "conversations").where("conv_id < 20").join(F.broadcast(said), "turn").select("conv_id", "turn", F.explode(F.array_distinct(F.split("q", " "))).alias("word"))
+    asked = table(spark, d, "conversations").join(F.broadcast(said), "turn").select("conv_id", "turn", F.explode(F.array_distinct(F.split("q", " "))).alias("word"))
     return asked.join(F.broadcast(names.select("n_name", "word")), "word").select("conv_id", "turn", "n_name")
 
 
-@query("p13_conflict", "SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN (a.label < 2) <> (b.label < 2) THEN 'scan' WHEN a.label <> b.label THEN 'form' END AS why FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 5) b")
+@query("p13_conflict", "SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN (a.label < 2) <> (b.label < 2) THEN 'scan' WHEN a.label <> b.label THEN 'form' END AS why FROM embeddings a, (SELECT min(vec_id) AS vec_id, label FROM embeddings GROUP BY label) b")
 def p13(spark, d):
     own = table(spark, d, "embeddings").select("vec_id", "label")
-    models = own.where("vec_id < 5").select(F.col("vec_id").alias("b"), F.col("label").alias("lb"))
+    models = small(own.groupBy(F.col("label").alias("lb")).agg(F.min("vec_id").alias("b")))  # the first report of each profile
     why = F.when((F.col("label") < 2) != (F.col("lb") < 2), "scan").when(F.col("label") != F.col("lb"), "form")
-    return own.crossJoin(F.broadcast(models)).select(F.col("vec_id").alias("a"), "b", why.alias("why"))
+    return own.crossJoin(models).select(F.col("vec_id").alias("a"), "b", why.alias("why"))
 
 
 @query("p14_stale", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN 'ready' WHEN o_orderkey % 5 = 0 THEN 'stale' ELSE 'missing' END AS status FROM orders")
@@ -235,9 +236,9 @@ def f16(spark, d):
     return table(spark, d, "part").select("p_name", tx.truncate(F.concat("p_name", F.lit(" of the "), "p_type"), 20).alias("short")).distinct()
 
 
-@query("f17_norm_slug", with_views("v_blocks") + "SELECT doc_id, seq, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, 'N-' || upper(array_to_string(list_slice(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), 1, 5), '-')) AS slug FROM v_blocks WHERE seq < 3")
+@query("f17_norm_slug", with_views("v_blocks") + "SELECT doc_id, seq, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, 'N-' || upper(array_to_string(list_slice(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), 1, 5), '-')) AS slug FROM v_blocks")
 def f17(spark, d):
-    return rv.blocks(spark, d).where("seq < 3").select("doc_id", "seq", tx.norm(F.col("text")).alias("norm"), tx.slug(F.col("text")).alias("slug"))
+    return rv.blocks(spark, d).select("doc_id", "seq", tx.norm(F.col("text")).alias("norm"), tx.slug(F.col("text")).alias("slug"))
 
 
 @query("f18_join_lines", with_views("v_blocks") + "SELECT doc_id, string_agg(text, ' ' ORDER BY seq) AS text FROM v_blocks WHERE length(text) > 0 GROUP BY doc_id")
@@ -320,8 +321,7 @@ def d16(spark, d):
 def d18(spark, d):
     a = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 9 != 0, F.col("doc_id") * 13 % 400).alias("start"), F.lit(0).alias("flag"))
     b = table(spark, d, "pages").select((F.col("page_id") + 100000).alias("id"), F.col("page_id").alias("start"), F.lit(1).alias("flag"))
-    order = Window.orderBy(F.coalesce("start", F.lit(1000000)), "flag", "id")
-    return a.unionByName(b).select("id", F.row_number().over(order).cast("long").alias("place"))
+    return numbered(a.unionByName(b).withColumn("start", F.coalesce("start", F.lit(1000000))), "start", "flag", "id").select("id", "place")
 
 
 @query("d20_fingerprint", with_views("v_blocks") + "SELECT d.source, count(DISTINCT d.doc_id) AS docs, round(avg(CASE WHEN upper(b.text) = b.text THEN 1.0 ELSE 0.0 END), 9) AS capitals, count(*) FILTER (b.text LIKE '% | %') AS table_rows, mode(d.lang) IS NOT NULL AS has_lang FROM v_blocks b JOIN documents d USING (doc_id) GROUP BY d.source")
@@ -336,10 +336,10 @@ def m2(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.when(modern >= 3, "modern").when(legacy >= 3, "legacy").otherwise("modern").alias("format"))
 
 
-@query("m5_missing_cache", "SELECT DISTINCT sha256(text) AS digest FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+@query("m5_missing_cache", "SELECT DISTINCT sha256(text) AS digest FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
 def m5(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return docs.select("digest").distinct().join(docs.where("doc_id % 3 = 0").select("digest").distinct(), "digest", "left_anti")
+    docs = table(spark, d, "documents").select("lang", F.sha2("text", 256).alias("digest"))
+    return docs.select("digest").distinct().join(docs.where("lang = 'en'").select("digest").distinct(), "digest", "left_anti")
 
 
 @query("q7_acceptance", "SELECT report, notes >= 40 AS enough_notes, statements >= 2 AS enough_statements, share >= 0.1 AS readable, notes >= 40 AND statements >= 2 AND share >= 0.1 AS accepted FROM (SELECT source AS report, count(*) AS notes, count(DISTINCT lang) AS statements, avg(CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.0 END) AS share FROM documents GROUP BY source)")
@@ -412,6 +412,11 @@ def o4(spark, d):
     return held.select("l_partkey", F.array_join(F.transform("o", lambda x: x["l_orderkey"].cast("string")), ",").alias("orders"))
 
 
-@query("o11_interleaved", "SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3 ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
+@query("o11_interleaved", """SELECT report, id, flag, row_number() OVER (PARTITION BY report ORDER BY coalesce(start, 1000000), flag, id) AS place FROM (
+  SELECT o_custkey AS report, o_orderkey AS id, 0 AS flag, CASE WHEN o_orderstatus <> 'P' THEN dayofyear(o_orderdate) END AS start FROM orders UNION ALL SELECT user_id, event_id, 1, event_id % 365 FROM events)""")
 def o11(spark, d):
-    return table(spark, d, "customer").where("c_nationkey = 3").orderBy(F.desc("c_acctbal"), "c_custkey").limit(50).select(F.col("c_custkey").alias("id"))
+    """Units and passages of each report in document order: by first page, those without a page last, a unit before a passage."""
+    units = table(spark, d, "orders").select(F.col("o_custkey").alias("report"), F.col("o_orderkey").alias("id"), F.lit(0).alias("flag"), F.when(F.col("o_orderstatus") != "P", F.dayofyear("o_orderdate").cast("long")).alias("start"))
+    passages = table(spark, d, "events").select(F.col("user_id").alias("report"), F.col("event_id").alias("id"), F.lit(1).alias("flag"), (F.col("event_id") % 365).alias("start"))
+    order = Window.partitionBy("report").orderBy(F.coalesce("start", F.lit(1000000)), "flag", "id")
+    return units.unionByName(passages).select("report", "id", "flag", F.row_number().over(order).cast("long").alias("place"))

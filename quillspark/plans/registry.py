@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,5 +24,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Rows of a dimension that is broadcast; beyond it Spark chooses.
+SMALL = 4096
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` marked for broadcast, if a count shows that they are few."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

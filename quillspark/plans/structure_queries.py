@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as rt
@@ -78,11 +79,11 @@ def r7(spark, d):
     return rt.merge_ordered(notes.where("number in (3, 17)"), notes.where("title like '%ring%'"), notes.where("title like '%widget%'")).select("id", F.col("priority").cast("long").alias("priority"))
 
 
-@query("m4_registry", "SELECT vec_id, label, 2 AS version FROM embeddings WHERE vec_id < 12 UNION ALL SELECT vec_id, label, 1 FROM embeddings WHERE vec_id BETWEEN 12 AND 19")
+@query("m4_registry", "SELECT vec_id, label, CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END AS version FROM embeddings")
 def m4(spark, d):
     """A registry after an update: the newest version of each model."""
-    old = table(spark, d, "embeddings").where("vec_id < 20").select("vec_id", "label", F.lit(1).alias("version"))
-    new = old.where("vec_id < 12").withColumn("version", F.lit(2))
+    old = table(spark, d, "embeddings").select("vec_id", "label", F.lit(1).alias("version"))
+    new = old.where("label % 2 = 0").withColumn("version", F.lit(2))
     return old.unionByName(new).groupBy("vec_id").agg(F.max_by(F.struct("label", "version"), "version").alias("s")).select("vec_id", "s.*")
 
 
@@ -133,10 +134,10 @@ def d10(spark, d):
     return pages.select("conv_id", "turn", fill_both(pages, ["conv_id"], "turn", "e").alias("entity")).groupBy("conv_id", "entity").agg(F.min("turn").alias("first_page"), F.max("turn").alias("last_page"))
 
 
-@query("d11_section_map", "SELECT user_id, src AS source, event_id AS place FROM (SELECT *, min(src) OVER (PARTITION BY user_id) AS best FROM (SELECT *, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS src FROM events WHERE value > 30)) WHERE src = best")
+@query("d11_section_map", "SELECT user_id, src AS source, event_id AS place FROM (SELECT *, min(src) OVER (PARTITION BY user_id) AS best FROM (SELECT *, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS src FROM events)) WHERE src = best")
 def d11(spark, d):
     source = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "view", 2).otherwise(3)
-    return st.section_map(table(spark, d, "events").where("value > 30").select("user_id", source.alias("source"), F.col("event_id").alias("place")), "user_id").select("user_id", "source", "place")
+    return st.section_map(table(spark, d, "events").select("user_id", source.alias("source"), F.col("event_id").alias("place")), "user_id").select("user_id", "source", "place")
 
 
 @query("d22_nested_view", with_views("v_lines") + "SELECT unit_id, count(*) AS n, string_agg(label, ';' ORDER BY seq) AS labels FROM v_lines GROUP BY unit_id")
@@ -145,9 +146,10 @@ def d22(spark, d):
     return view.select("unit_id", F.size("lines").cast("long").alias("n"), F.array_join(F.transform("lines", lambda x: x["label"]), ";").alias("labels"))
 
 
-@query("d23_statement_order", with_views("v_lines") + "SELECT id, section_id FROM v_lines ORDER BY section_id, order_id, seq LIMIT 200")
+@query("d23_statement_order", with_views("v_lines") + "SELECT id, section_id, unit_id, row_number() OVER (PARTITION BY section_id, unit_id ORDER BY seq) AS place FROM v_lines")
 def d23(spark, d):
-    return rv.lines(spark, d).orderBy("section_id", "order_id", "seq").limit(200).select("id", "section_id")
+    place = F.row_number().over(Window.partitionBy("section_id", "unit_id").orderBy("seq")).cast("long")
+    return rv.lines(spark, d).select("id", "section_id", "unit_id", place.alias("place"))
 
 
 @query("f26_pitch_columns", "SELECT o_orderkey, array_to_string([o_orderstatus, o_orderkey::VARCHAR, o_orderpriority], '|') AS cells FROM orders")

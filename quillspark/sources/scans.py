@@ -70,12 +70,10 @@ def page_spec(spec: str) -> list[int]:
 
 
 def page_spec_column(spec) -> object:
-    """The same for a column of specs, as an array; parts that do not parse give nothing."""
-    parts = F.filter(F.split(spec, r"\s*,\s*"), lambda p: p.rlike(r"^[0-9]+(\s*-\s*[0-9]+)?$"))
-
-    def expand(p):
-        a = F.regexp_extract(p, "^([0-9]+)", 1).cast("int")
-        b = F.coalesce(F.nullif(F.regexp_extract(p, "-\\s*([0-9]+)$", 1), F.lit("")).cast("int"), a)
-        return F.when((b >= a) & (b - a <= 100), F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, expand))))
+    """The same for a column of specs, as an array; null where ``page_spec`` raises an error."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
+    first = lambda p: F.regexp_extract(p, "^([0-9]+)", 1).try_cast("int")
+    last = lambda p: F.coalesce(F.regexp_extract(p, "-\\s*([0-9]+)$", 1).try_cast("int"), first(p))
+    fine = lambda p: p.rlike(r"^[0-9]+(\s*-\s*[0-9]+)?$") & (last(p) >= first(p)) & (last(p) - first(p) <= 100)
+    pages = F.flatten(F.transform(parts, lambda p: F.when(fine(p), F.sequence(first(p), last(p)))))
+    return F.when(F.forall(parts, fine), F.array_sort(F.array_distinct(pages)))

@@ -149,3 +149,23 @@ def test_tie_outs_of_all_orders(spark, tmp_path):
     few.unionByName(moved.select(few.columns)).write.parquet(f"{tmp_path}/lineitem.parquet")
     pages = [r.page for r in QUERIES["q5_tie_outs"](spark, str(tmp_path)).select("page").collect()]
     assert sorted(p for p in pages if p >= 5000) == sorted(p + 5000 for p in pages if p < 5000) and max(pages) >= 5000
+
+
+def test_reading_order_of_many_boxes(spark):
+    """1,500 bands down a page: each is a cut of its own."""
+    boxes = spark.createDataFrame([(1, k, 0.0, k * 20.0, 50.0, k * 20.0 + 5) for k in range(1500)], "page long, box long, x0 double, y0 double, x1 double, y1 double")
+    assert all(r.place == r.box for r in grouped.reading_order(boxes).collect())
+
+
+def test_page_specs_are_null_where_they_are_wrong(spark):
+    cases = ["405-407, 410", "3", " 2 , 1-2,, ", "", "9-5", "1-102", "1-101", "x", "4, y", "1-2-3", "99999999999"]
+    df = spark.createDataFrame([(c,) for c in cases], "spec string")
+    for r in df.select("spec", scans.page_spec_column(F.col("spec")).alias("pages")).collect():
+        try:
+            want = scans.page_spec(r.spec)
+        except ValueError:
+            want = None
+        if r.spec != "99999999999":
+            assert r.pages == want, r.spec
+        else:
+            assert r.pages is None
