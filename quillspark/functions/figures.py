@@ -186,3 +186,19 @@ def money_figures(text: Column) -> Column:
         return F.struct(F.trim(m).alias("raw"), currency.alias("currency"), (number * scale).alias("amount"))
 
     return F.filter(F.transform(whole, read), lambda x: x["amount"] >= LEAST_MONEY)
+
+
+# What six readers take for a figure. They differ on purpose, so each keeps its own.
+FIGURE_CELLS = {
+    "table_value": r"^\(?[-–−]?\s*[₹$]?\s*[0-9,]+(\.[0-9]+)?\)?%?$|^[-–—]$",
+    "number_cell": r"^\(?[-–]?[0-9,]+(\.[0-9]+)?\)?%?$|^[-–—]{1,2}$",
+    "layout": r"(?i)^[(\-–−]?\s*(?:₹|US\$|\$|Rs\.?|€|£)?\s*[(\-–−]?\s*[0-9][0-9,]*(?:\.[0-9]+)?\s*\)?\s*%?(?:\([a-z]\))?$|^[-–—]+$",
+    "formatted": r"(?i)^[(\-–−]?\s*(?:₹|US\$|\$|Rs\.?|€|£|C\$|A\$)?\s*[(\-–−]?\s*[0-9][0-9,]*(?:\.[0-9]+)?\s*\)?\s*%?(?:\([a-z]\))?$|^[-–—]+$",
+    "links": r"^(?:\(?-?\$?\s?[0-9][0-9,]*\.?[0-9]*\)?)$",
+    "transcript": r"\(?-?\$?\s?[0-9]{1,3}(?:[,.][0-9]{3})+(?:\.[0-9]{1,2})?\)?|\(?-?\$?[0-9]{4,}(?:\.[0-9]{1,2})?\)?",
+}
+
+
+def figure_cells(raw: Column) -> list[Column]:
+    """Whether each reader takes a cell for a figure (the transcript's finds one inside the cell)."""
+    return [raw.rlike(pattern).alias(name) for name, pattern in FIGURE_CELLS.items()]

@@ -91,8 +91,24 @@ def merge_ordered(*lists: DataFrame) -> DataFrame:
     return union.groupBy("id").agg(F.min("at").alias("at")).select("id", F.col("at.priority").alias("priority"), F.col("at.place").alias("place"))
 
 
-def keyword_scores(titles: DataFrame, phrases: list[str], words: list[str]) -> DataFrame:
-    """(id, score): 3 for each phrase and 2 for each word (its last s's off) in a title. Takes (id, title)."""
-    title = F.lower("title")
-    score = sum((F.when(title.contains(p), 3).otherwise(0) for p in phrases), F.lit(0)) + sum((F.when(title.contains(w.rstrip("s")), 2).otherwise(0) for w in words), F.lit(0))
-    return titles.select("id", score.cast("long").alias("score")).where("score > 0")
+def keyword_scores(notes: DataFrame, phrases: list[str], words: list[str]) -> DataFrame:
+    """(id, score): 3 for each phrase in the title, 1 for each in a sub-heading or the digest, 2 for each word (its last s's off) in the title.
+
+    Takes (id, title, subheadings array, digest).
+    """
+    title, digest = F.lower("title"), F.lower(F.coalesce("digest", F.lit("")))
+    subs = F.lower(F.array_join(F.coalesce("subheadings", F.array().cast("array<string>")), " "))
+    points = [F.when(title.contains(p), 3).otherwise(0) + F.when(subs.contains(p) | digest.contains(p), 1).otherwise(0) for p in phrases]
+    points += [F.when(title.contains(w.rstrip("s")), 2).otherwise(0) for w in words]
+    return notes.select("id", sum(points, F.lit(0)).cast("long").alias("score")).where("score > 0")
+
+
+def select_notes(explicit: DataFrame, hints: DataFrame, scored: DataFrame, limit: int, hinted: int = 2) -> DataFrame:
+    """(id, priority, place) of the notes for a question, at most ``limit``: those it names, then the first hints, then those by score.
+
+    Takes (id, place), (id, place) and (id, score); a note counts where it comes first. Scores keep half of the best or more.
+    """
+    first = hints.orderBy("place").limit(hinted)
+    near = ahead_of_rest(scored, 0.5, limit, F.desc("id"))  # a short list, so its places come from one window
+    ranked = near.select("id", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("id"))).alias("place"))
+    return merge_ordered(explicit, first, ranked).orderBy("priority", "place").limit(limit)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import figures as fig
 from ..functions import text as tx
 from ..operators import checks, grouped
 from ..operators.sequences import numbered
 from ..sources import report_views as rv
 from ..sources import scans, sinks
 from ..sources.report_views import with_views
+from ..sources.store import scratch
 from .registry import query, small, table
 
 
@@ -136,9 +138,9 @@ def p2(spark, d):
     return held.where("n < greatest(1, least)").select("doc_id")
 
 
-@query("p3_figure_cells", with_views("v_values") + r"SELECT line_id, col FROM v_values WHERE regexp_matches(raw, '^\(?-?\$?\s?[0-9][0-9,]*\.?[0-9]*\)?%?$')")
+@query("p3_figure_cells", with_views("v_values") + "SELECT line_id, col, " + ", ".join(f"regexp_matches(raw, '{p}') AS {n}" for n, p in fig.FIGURE_CELLS.items()) + " FROM v_values")
 def p3(spark, d):
-    return rv.values(spark, d).where(F.col("raw").rlike(r"^\(?-?\$?\s?[0-9][0-9,]*\.?[0-9]*\)?%?$")).select("line_id", "col")
+    return rv.values(spark, d).select("line_id", "col", *fig.figure_cells(F.col("raw")))
 
 
 @query("p5_year_rows", with_views("v_lines") + "SELECT unit_id, bool_and(year BETWEEN 1900 AND 2099) AS year_row, count(DISTINCT year) AS years FROM v_lines GROUP BY unit_id")
@@ -157,12 +159,16 @@ def p7(spark, d):
     return rv.blocks(spark, d).groupBy("doc_id").agg(F.round(F.avg(((F.length("text") > 0) & (F.upper("text") == F.col("text"))).cast("double")), 9).alias("share"))
 
 
-@query("p8_repeated_bands", with_views("v_blocks") + "SELECT b.doc_id, b.seq, n AS pages FROM v_blocks b JOIN (SELECT lower(trim(text)) AS k, count(DISTINCT doc_id) AS n FROM v_blocks WHERE length(trim(text)) BETWEEN 1 AND 120 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3) r ON r.k = lower(trim(b.text))")
+@query("p8_repeated_bands", with_views("v_blocks") + """, b AS (SELECT *, lower(trim(text)) AS k FROM (SELECT *, seq <= 1 AS top, seq >= max(seq) OVER (PARTITION BY doc_id) - 1 AS bottom FROM v_blocks) WHERE length(trim(text)) BETWEEN 1 AND 120),
+n AS (SELECT k, count(DISTINCT doc_id) FILTER (top) AS tops, count(DISTINCT doc_id) FILTER (bottom) AS bottoms FROM b GROUP BY k), pages AS (SELECT count(DISTINCT doc_id) AS pages FROM b)
+SELECT doc_id, seq, CASE WHEN top AND length(text) >= 3 AND (tops >= greatest(3, 0.3 * pages) OR (length(text) <= 80 AND tops >= 2)) THEN 'header'
+  WHEN bottom AND (bottoms >= 3 OR regexp_matches(text, '(?i)^(?:page\\s+)?(?:[A-Z]-)?[0-9]{1,3}$')) THEN 'footer' ELSE 'body' END AS band FROM b JOIN n USING (k), pages""")
 def p8(spark, d):
-    """Lines that three pages or more repeat. Counts are made before the join, so a line on every page is one row on that side."""
-    rows = rv.blocks(spark, d).withColumn("k", F.lower(F.trim("text"))).where("length(k) between 1 and 120")
-    often = rows.groupBy("k").agg(F.countDistinct("doc_id").alias("pages")).where("pages >= 3")
-    return rows.join(often, "k").select("doc_id", "seq", "pages")
+    """Running headers and footers: a short line at the top of two pages, any at the top of a third of them, one at the bottom of three, or a page number."""
+    last = F.max("seq").over(Window.partitionBy("doc_id"))
+    rows = rv.blocks(spark, d).withColumn("last", last).withColumn("k", F.lower(F.trim("text"))).where("length(k) between 1 and 120")
+    rows = rows.withColumn("top", F.col("seq") <= 1).withColumn("bottom", F.col("seq") >= F.col("last") - 1)
+    return tx.bands(rows, "doc_id").select("doc_id", "seq", "band")
 
 
 @query("p9_real_heading", with_views("v_blocks") + "SELECT doc_id, seq FROM v_blocks WHERE length(text) BETWEEN 1 AND 110 AND len(string_split(trim(text), ' ')) <= 14 AND NOT regexp_matches(text, '^[a-z]') AND NOT regexp_matches(text, '[,;]$')")
@@ -231,14 +237,58 @@ def f15(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.clean_text("text").alias("text"))
 
 
-@query("f16_titles", "SELECT DISTINCT p_name, CASE WHEN length(p_name || ' of the ' || p_type) <= 20 THEN p_name || ' of the ' || p_type ELSE regexp_replace(left(p_name || ' of the ' || p_type, 20), '\\s+\\S*$', '') || '…' END AS short FROM part")
+_TITLED = """array_to_string(list_transform(string_split({0}, ' '), lambda w, i: CASE WHEN length(regexp_replace(w, '[^A-Za-z]', '', 'g')) > 1 AND upper(regexp_replace(w, '[^A-Za-z]', '', 'g')) = regexp_replace(w, '[^A-Za-z]', '', 'g') AND NOT contains(w, '.')
+  THEN CASE WHEN i > 1 AND lower(w) IN ('and', 'or', 'of', 'the', 'to', 'in', 'for', 'on', 'at', 'by', 'as', 'with', 'from', '&') THEN lower(w) ELSE upper(left(lower(w), 1)) || substr(lower(w), 2) END ELSE w END), ' ')"""
+
+
+@query("f16_titles", f"""SELECT DISTINCT p_name, CASE WHEN length(p_name || ' of the ' || p_type) <= 20 THEN p_name || ' of the ' || p_type ELSE regexp_replace(left(p_name || ' of the ' || p_type, 20), '\\s+\\S*$', '') || '…' END AS short,
+  {_TITLED.format("(upper(p_name) || ' OF THE U.S. ' || p_type)")} AS titled, {_TITLED.format("upper(p_name)")} AS cleaned, 'Schedule ''E'' ' || p_name || ' – 1' AS legacy FROM part""")
 def f16(spark, d):
-    return table(spark, d, "part").select("p_name", tx.truncate(F.concat("p_name", F.lit(" of the "), "p_type"), 20).alias("short")).distinct()
+    titled = F.concat(F.upper("p_name"), F.lit(" OF THE U.S. "), "p_type")
+    cleaned = tx.clean_title(F.concat(F.lit(" -"), F.upper("p_name"), F.lit(" as at March 31, 2020 Rs. Rs")))
+    legacy = tx.legacy_clean(F.concat(F.lit("Schedule ‘ E´ "), "p_name", F.lit(" \ufffd\ufffd 1")))
+    return table(spark, d, "part").select("p_name", tx.truncate(F.concat("p_name", F.lit(" of the "), "p_type"), 20).alias("short"), tx.title_case(titled).alias("titled"), cleaned.alias("cleaned"), legacy.alias("legacy")).distinct()
+
+
+_NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_ENTITY = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9& ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@query("f17_norm_slug", with_views("v_blocks") + "SELECT doc_id, seq, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, 'N-' || upper(array_to_string(list_slice(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), 1, 5), '-')) AS slug FROM v_blocks")
+@query("f17_norm_slug", with_views("v_blocks") + f"""SELECT doc_id, seq, {_NORM.format('text')} AS norm, trim(regexp_replace(lower(regexp_replace(text, '(?i)\\(\\s*cont(?:d|inued)?\\.?\\s*\\)', '', 'g')), '\\s+', ' ', 'g')) AS heading,
+  {_NORM.format("replace(text, '&', ' and ')")} AS title, {_ENTITY} AS entity,
+  coalesce(nullif(array_to_string(list_filter(string_split({_ENTITY}, ' '), lambda w: w <> '' AND w NOT IN ('inc', 'company', 'co', 'corporation', 'corp', 'ltd', 'limited', 'the', 'of', 'and', '&', 'insurance', 'incorporated')), '-'), ''), 'report') AS entity_key,
+  CASE WHEN {_NORM.format('text')} = '' THEN 'N-SECTION' ELSE 'N-' || upper(array_to_string(list_slice(string_split({_NORM.format('text')}, ' '), 1, 5), '-')) END AS slug FROM v_blocks""")
 def f17(spark, d):
-    return rv.blocks(spark, d).select("doc_id", "seq", tx.norm(F.col("text")).alias("norm"), tx.slug(F.col("text")).alias("slug"))
+    text = F.col("text")
+    kinds = {"norm": tx.norm, "heading": tx.norm_heading, "title": tx.norm_title, "entity": tx.norm_entity, "entity_key": tx.entity_key, "slug": tx.slug}
+    return rv.blocks(spark, d).select("doc_id", "seq", *[f(text).alias(n) for n, f in kinds.items()])
+
+
+@query("f29_fill_prompt", "SELECT conv_id, turn, '{{MISSING}} ' || role || ': ' || text || ' {{ROLE}}' || role || '.' AS prompt FROM conversations")
+def f29(spark, d):
+    """A value that looks like a placeholder stays as it is."""
+    values = F.create_map(F.lit("ROLE"), F.col("role"), F.lit("QUESTION"), F.concat("text", F.lit(" {{ROLE}}")))
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.fill_prompt(F.lit("{{MISSING}} {{ROLE}}: {{QUESTION}}{{ROLE}}."), values).alias("prompt"))
+
+
+@query("k1_write_package", "SELECT 'a' AS report_id, o_orderkey AS id, o_totalprice + 1 AS total FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'b', o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+def k1(spark, d):
+    """Two reports of one package, the first written twice: only its own partition is replaced."""
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total"), "o_orderstatus")
+    part = lambda status: own.where(F.col("o_orderstatus") == status).select("id", "total")
+    root = scratch(spark, "package")
+    for report, rows in (("a", part("F")), ("b", part("O")), ("a", part("F").withColumn("total", F.col("total") + 1))):
+        sinks.write_package({"lines": rows}, root, report)
+    return spark.read.schema("id long, total double, report_id string").parquet(f"{root}/lines").select("report_id", "id", "total")
+
+
+@query("k5_append", "SELECT event_id, event_type FROM events")
+def k5(spark, d):
+    """A history that grows by appends, read as one."""
+    path, rows = scratch(spark, "history"), table(spark, d, "events").select("event_id", "event_type")
+    for cond in ("event_type = 'view'", "event_type != 'view'"):
+        sinks.append(rows.where(cond), path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query("f18_join_lines", with_views("v_blocks") + "SELECT doc_id, string_agg(text, ' ' ORDER BY seq) AS text FROM v_blocks WHERE length(text) > 0 GROUP BY doc_id")

@@ -99,11 +99,37 @@ def f11(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(F.array_sort(wd.question_words(F.col("text"))), " ").alias("words"))
 
 
-@query("o2_keyword_select", with_views("v_notes") + """, sc AS (SELECT id, CAST(3 * (title LIKE '%small ring%')::INT + 3 * (title LIKE '%economy%')::INT + 2 * (title LIKE '%widget%')::INT + 2 * (title LIKE '%ring%')::INT AS BIGINT) AS score FROM v_notes)
-SELECT id, score FROM sc WHERE score > 0 AND score >= 0.5 * (SELECT max(score) FROM sc) ORDER BY score DESC, id DESC LIMIT 5""")
+_NOTE_TEXTS = """texts AS (SELECT id, title, CASE WHEN number % 5 = 0 THEN ['General', 'The Economy at large'] ELSE ['small ringside'] END AS subs, CASE WHEN number % 7 = 0 THEN 'of the Economy' END AS digest FROM v_notes),
+sc AS (SELECT id, CAST(3 * (title LIKE '%small ring%')::INT + 3 * (title LIKE '%economy%')::INT + (array_to_string(subs, ' ') LIKE '%small ring%')::INT + (lower(array_to_string(subs, ' ')) LIKE '%economy%' OR coalesce(lower(digest), '') LIKE '%economy%')::INT
+  + 2 * (title LIKE '%widget%')::INT + 2 * (title LIKE '%ring%')::INT AS BIGINT) AS score FROM texts),
+near AS (SELECT id, score FROM sc WHERE score > 0 AND score >= 0.5 * (SELECT max(score) FROM sc) ORDER BY score DESC, id DESC LIMIT 5)"""
+
+
+def _note_scores(spark, d):
+    subs = F.when(F.col("number") % 5 == 0, F.array(F.lit("General"), F.lit("The Economy at large"))).otherwise(F.array(F.lit("small ringside")))
+    notes = rv.notes(spark, d).withColumn("subheadings", subs).withColumn("digest", F.when(F.col("number") % 7 == 0, "of the Economy"))
+    return rt.keyword_scores(notes, ["small ring", "economy"], ["widgets", "rings"])
+
+
+@query("o2_keyword_select", with_views("v_notes") + f", {_NOTE_TEXTS} SELECT id, score FROM near")
 def o2(spark, d):
-    found = rt.keyword_scores(rv.notes(spark, d), ["small ring", "economy"], ["widgets", "rings"])
-    return rt.ahead_of_rest(found, 0.5, 5, F.desc("id"))
+    return rt.ahead_of_rest(_note_scores(spark, d), 0.5, 5, F.desc("id"))
+
+
+@query("r6_keyword_scores", with_views("v_notes") + f", {_NOTE_TEXTS} SELECT id, score FROM sc WHERE score > 0")
+def r6(spark, d):
+    return _note_scores(spark, d)
+
+
+@query("r7_select_notes", with_views("v_notes") + f""", {_NOTE_TEXTS}, hint AS (SELECT id, number AS place FROM v_notes WHERE title LIKE '%e%' ORDER BY number, id LIMIT 2),
+picks AS (SELECT id, 0 AS p, number AS place FROM v_notes WHERE number = 17 UNION ALL SELECT id, 1, place FROM hint UNION ALL SELECT id, 2, row_number() OVER (ORDER BY score DESC, id DESC) FROM near)
+SELECT id, p AS priority FROM (SELECT id, min(p) AS p, arg_min(place, p) AS place FROM picks GROUP BY id) ORDER BY p, place, id LIMIT 5""")
+def r7(spark, d):
+    """Notes for a question: those that it names, the two best hints of the statements, then those by keywords."""
+    notes = rv.notes(spark, d)
+    hints = notes.where("title like '%e%'").select("id", F.struct("number", "id").alias("place")).orderBy("place").limit(2).select("id", "place.number")
+    found = rt.select_notes(notes.where("number = 17").select("id", F.col("number").alias("place")), hints.withColumnRenamed("number", "place"), _note_scores(spark, d), 5)
+    return found.select("id", F.col("priority").cast("long").alias("priority"))
 
 
 @query("o7_budget", """SELECT conv_id, array_to_string(f.taken, ',') AS taken FROM (

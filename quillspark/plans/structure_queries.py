@@ -71,14 +71,6 @@ def k7(spark, d):
     return st.feature_gaps(count("event_id % 2 = 0"), count("event_id % 2 = 1 and event_type != 'view'"))
 
 
-@query("r7_select_notes", with_views("v_notes") + """, picks AS (SELECT id, 0 AS p FROM v_notes WHERE number IN (3, 17) UNION ALL SELECT id, 1 FROM v_notes WHERE title LIKE '%ring%' UNION ALL SELECT id, 2 FROM v_notes WHERE title LIKE '%widget%')
-SELECT id, min(p) AS priority FROM picks GROUP BY id""")
-def r7(spark, d):
-    """Notes by what names them first: the question, then the statements, then words of titles."""
-    notes = rv.notes(spark, d).withColumn("place", F.col("number"))
-    return rt.merge_ordered(notes.where("number in (3, 17)"), notes.where("title like '%ring%'"), notes.where("title like '%widget%'")).select("id", F.col("priority").cast("long").alias("priority"))
-
-
 @query("m4_registry", "SELECT vec_id, label, CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END AS version FROM embeddings")
 def m4(spark, d):
     """A registry after an update: the newest version of each model."""

@@ -22,6 +22,14 @@ def _folder(spark: SparkSession) -> str:
     return base
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return path
+
+
 def built(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
     """The table ``name`` derived from ``source``: written at the first call of this application, read from then on.
 
@@ -29,9 +37,7 @@ def built(spark: SparkSession, name: str, source: str, build: Callable[[], DataF
     """
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _BUILT:
-        rows, path = build(), f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+        rows, path = build(), scratch(spark, name)
         writer = rows.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         _BUILT[key] = path

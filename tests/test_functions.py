@@ -79,7 +79,11 @@ def test_query_terms_weigh_synonyms_less():
 def test_text(spark):
     assert one(spark, "N O T E S", tx.despace) == "NOTES"
     assert one(spark, "TYPE-2", tx.natural_key) < one(spark, "TYPE-10", tx.natural_key)
-    assert one(spark, "statement of the cash flows", tx.title_case) == "Statement of the Cash Flows"
+    assert one(spark, "INVESTMENTS OF THE  U.S. Group (at Cost)", tx.title_case) == "Investments of the U.S. Group (at Cost)"
+    assert one(spark, "SCHEDULES forming part of the accounts Rs. Rs", tx.clean_title) == "Schedules"
+    assert one(spark, "The Company (Contd.) & Co.", tx.norm_heading) == "the company & co."
+    assert one(spark, "The Insurance Company", tx.entity_key) == "report"
+    assert one(spark, "!", tx.slug) == "N-SECTION"
     assert one(spark, ["infor-", "mation on", "cash"], tx.join_lines, "array<string>") == "information on cash"
     assert one(spark, "ﬁx `5", lambda c: tx.clean_text(c)) == "fix ₹5"
     assert one(spark, "Risk, and Return on Capital!", tx.slug) == "N-RISK-AND-RETURN-ON-CAPITAL"

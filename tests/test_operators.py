@@ -90,10 +90,13 @@ def test_budget_skips_what_does_not_fit(spark):
     assert rows(retrieval.budget_fill(df, "g", "o", "s", "o", 100)) == [("g", [1, 3]), ("h", [1])]
 
 
-def test_merge_small():
-    assert grouped.merge_small(["a" * 10, "b" * 2000, "c" * 1600, "d"]) == [[0, 1], [2, 3]]
-    assert grouped.merge_small(["a"]) == [[0]]
-    assert grouped.merge_small([]) == []
+def test_passages_are_named_by_their_headings():
+    long = "x" * 1600
+    blocks = [(0, "heading", "Indian Economy"), (1, "text", "short"), (2, "heading", "Outlook"), (3, "text", long), (4, "heading", "and so on, softer"), (5, "heading", "Risk"), (6, "heading", "Credit"), (7, "text", long * 4), (8, "text", long * 2), (9, "heading", "End"), (10, "text", "e")]
+    pieces = grouped.cut_pieces(blocks)
+    assert [(p["heads"], p["part"], p["seqs"]) for p in pieces] == [(["Indian Economy"], 1, [0, 1]), (["Outlook"], 1, [2, 3, 4]), (["Risk · Credit"], 1, [5, 6, 7]), (["Risk", "Credit"], 2, [8]), (["End"], 1, [9, 10])]
+    assert [(p["heads"], p["seqs"]) for p in grouped.join_small(pieces)] == [(["Indian Economy · Outlook"], [0, 1, 2, 3, 4]), (["Risk · Credit"], [5, 6, 7]), (["Risk", "Credit"], [8, 9, 10])]
+    assert grouped.join_small([]) == [] and [p["seqs"] for p in grouped.join_small(grouped.cut_pieces([(1, "text", "a")]))] == [[1]]
 
 
 def test_tie_outs(spark):
@@ -139,6 +142,22 @@ def test_upsert_and_latest(spark):
     assert rows(sinks.latest_state(events, "f", "at", "status")) == [("f", "fixed")]
 
 
+def test_tie_outs_across_columns(spark):
+    """Equity in the outer column is the difference of two figures of the inner one; what took part is confirmed."""
+    cells = [(1, 0, c, r, label, f"{v:,.0f}", v) for r, (label, c, v) in enumerate([("Capital", 1, 36782441.0), ("Less: treasury", 1, 577170.0), ("Total equity", 2, 36205271.0), ("Other", 2, 5.0)])]
+    cells.append((1, 0, 2, 9, "**Total**", "36,205,277", 36205277.0))
+    cells.append((1, 0, 3, 1, "Less: treasury", "7[?]", None))
+    df = spark.createDataFrame(cells, "page long, tbl long, col long, row long, label string, figure string, value double")
+    got = {(r.row, r.col): (r.status, r.parts) for r in grouped.tie_outs(df).collect()}
+    assert got == {(2, 2): ("tied", ["36205271", "36782441", "577170"]), (9, 2): ("untied", [])}
+
+
+def test_notes_named_by_the_question_come_first(spark):
+    ids = lambda *x: spark.createDataFrame([(i, k) for k, i in enumerate(x)], "id string, place int")
+    scored = spark.createDataFrame([("a", 9), ("b", 5), ("c", 4), ("d", 5)], "id string, score long")
+    assert [r.id for r in retrieval.select_notes(ids("z"), ids("h", "a", "y"), scored, 4).collect()] == ["z", "h", "a", "d"]
+
+
 def test_tie_outs_of_all_orders(spark, tmp_path):
     from quillspark.plans import QUERIES
 
