@@ -2,9 +2,12 @@
 
 Features of a text are its byte 4-grams (case and signs kept) and the hashed pairs of neighbouring words, in two ranges of
 buckets. The raw model counts every document; the target model counts a bounded sample of the documents labelled good
-(``TARGET_ROWS`` of them, by a hash of doc_id). A document's log weight is the mean log ratio of its features times
-``SHARPNESS``; adding a seeded Gumbel draw and keeping the ``keep`` share of largest keys samples without replacement in
-proportion to the weights. The cut is found by counting keys in ever finer ranges, so no ordering of all rows is needed.
+(``TARGET_ROWS`` of them, by a hash of doc_id). The importance ratio of a text is the product of its features' ratios. The
+log weight is that of the whole product with ``sharpness`` None. The query departs from it on purpose: taken over whole texts,
+the product is ruled by length (a long clean text has a more extreme ratio than any short junk), so its log weight is the mean
+log ratio of a feature times ``SHARPNESS``, the ratio of a text of so many average features. Adding a seeded Gumbel draw and
+keeping the ``keep`` share of largest keys samples without replacement in proportion to exp(log weight). The cut is found by
+counting keys in ever finer ranges, so no ordering of all rows is needed.
 
 Nulls: a null or empty text has log weight 0; rows whose key ties with the cut are all kept; a null doc_id draws as one
 document. Empty tables give an empty result, no labels make all weights 0. Repeated rows each get a row.
@@ -86,8 +89,8 @@ def target_sample(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS, s
     return {r.doc_id for r in picked.collect()}
 
 
-def gumbel_keys(docs: DataFrame, ratio: np.ndarray, seed: int = 13) -> DataFrame:
-    """doc_id, log_weight and key (log weight plus a Gumbel draw seeded by doc_id)."""
+def gumbel_keys(docs: DataFrame, ratio: np.ndarray, seed: int = 13, sharpness: float | None = SHARPNESS) -> DataFrame:
+    """doc_id, log_weight and key (log weight plus a Gumbel draw seeded by doc_id); without ``sharpness`` the weight is the plain ratio."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +98,7 @@ def gumbel_keys(docs: DataFrame, ratio: np.ndarray, seed: int = 13) -> DataFrame
             chars, char_first, pairs, pair_first = features(part.column("text"))
             total = row_sums(shared.value[chars], char_first) + row_sums(shared.value[pairs], pair_first)
             n = np.diff(char_first) + np.diff(pair_first)
-            weight = SHARPNESS * total / np.maximum(n, 1)
+            weight = total if sharpness is None else sharpness * total / np.maximum(n, 1)
             ids = np.array([0 if i is None else i for i in part.column("doc_id").to_pylist()], dtype=np.int64)
             u = (mix64(ids.view(np.uint64) ^ mix64(np.array([seed], dtype=np.uint64))) >> np.uint64(11)).astype(np.float64) / 2**53
             key = weight - np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
@@ -123,10 +126,10 @@ def kth_largest(rows: DataFrame, column: str, k: int, parts: int = 4096) -> floa
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """doc_id, log_weight, key and selected of every document."""
+def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sharpness: float | None = SHARPNESS) -> DataFrame:
+    """doc_id, log_weight, key and selected of every document; rows whose keys tie with the last one kept are all selected."""
     ratio = fit(docs, target_sample(docs, labels))
-    keys = materialise(gumbel_keys(docs, ratio), "op4-keys")
+    keys = materialise(gumbel_keys(docs, ratio, sharpness=sharpness), "op4-keys")
     cut = kth_largest(keys, "key", round(keep * keys.count()))
     return keys.withColumn("selected", F.col("key") >= F.lit(cut))
 

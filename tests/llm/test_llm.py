@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,35 @@ def test_quality(spark):
     assert all(r.log_weight == 0 for r in op04_quality.resample(docs, labels.limit(0)).collect())
 
 
+@pytest.mark.parametrize("sharpness", [None, 20.0])
+def test_importance_ratio_equals_brute_force(spark, sharpness):
+    """Models of all raw and of the good documents, the ratio of each text, and the share kept; repeated rows, null ids and ties too."""
+    texts = [*some_texts(14, 40), "same words", "same words", None]
+    ids = [*range(len(texts) - 3), 500, 500, None]
+    docs = documents(spark, texts, ids=ids)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    parts = {}
+    for text in {t or "" for t in texts}:
+        chars, _, pairs, _ = op04_quality.features(pa.array([text]))
+        assert len(chars) == max(0, len(text.encode()) - 2), text[:20]  # the line's end is a sign of the last one
+        assert len(pairs) == max(0, len(re.findall("[^ \\t\\n\\r\\f\\v]+", text)) - 1)
+        parts[text] = (chars, pairs)
+    raw, good = np.ones(2 * op04_quality.BUCKETS), np.ones(2 * op04_quality.BUCKETS)
+    for i, t in zip(ids, texts, strict=True):
+        for bucket in np.concatenate(parts[t or ""]):
+            raw[bucket] += 1
+            good[bucket] += i is not None and i < 20 and i % 2
+    half = op04_quality.BUCKETS
+    ratio = np.concatenate([np.log(good[p] / good[p].sum()) - np.log(raw[p] / raw[p].sum()) for p in (slice(0, half), slice(half, None))])
+    want = [sum(ratio[b] for b in np.concatenate(parts[t or ""])) / (1 if sharpness is None else max(len(np.concatenate(parts[t or ""])), 1) / sharpness) for t in texts]
+    got = op04_quality.resample(docs, labels, 0.5, sharpness).collect()
+    found, wanted = sorted((str(r.doc_id), r.log_weight) for r in got), sorted((str(i), w) for i, w in zip(ids, want, strict=True))
+    assert [i for i, _ in found] == [i for i, _ in wanted] and [w for _, w in found] == pytest.approx([w for _, w in wanted], abs=0.02)
+    keys = sorted((r.key for r in got), reverse=True)
+    cut = keys[round(0.5 * len(keys)) - 1]
+    assert all(r.selected == (r.key >= cut) for r in got) and len({r.selected for r in got if r.doc_id == 500}) == 1
+
+
 def test_kth_largest(spark):
     values = [float(x) for x in [3, 3, 3, 9, -2, 7, 7.5, 1e9, 0, 3]]
     rows = spark.createDataFrame([(v,) for v in values], "v double")
