@@ -145,3 +145,10 @@ def bands(rows: DataFrame, page: str) -> DataFrame:
     header = F.col("top") & (size >= 3) & ((F.col("tops") >= F.greatest(F.lit(3), 0.3 * F.col("pages"))) | ((size <= 80) & (F.col("tops") >= 2)))
     footer = F.col("bottom") & ((F.col("bottoms") >= 3) | F.col("text").rlike(r"(?i)^(?:page\s+)?(?:[A-Z]-)?[0-9]{1,3}$"))
     return told.withColumn("band", F.when(header, "header").when(footer, "footer").otherwise("body"))
+
+
+def parse_reply(reply: Column, schema: str) -> Column:
+    """header (its JSON block read as ``schema``), markdown (what follows the block, else all) and the number of unreadable figures in it."""
+    block = F.regexp_extract(reply, r"(?s)```json\s*(\{.*?\})\s*```", 1)
+    markdown = F.trim(F.regexp_replace(reply, r"(?s)^.*?```json\s*\{.*?\}\s*```\s*", ""))
+    return F.struct(F.from_json(block, schema).alias("header"), markdown.alias("markdown"), F.regexp_count(markdown, F.lit(r"\[\?\]")).cast("long").alias("unreadable"))

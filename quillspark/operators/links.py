@@ -142,3 +142,19 @@ def edit_one_unmatched(left: DataFrame, right: DataFrame, column: str) -> DataFr
     near = a.select(column, F.explode(F.array(*keys(F.col(column)))).alias("key")).join(b.select("other", F.explode(exact(F.col("other"))).alias("key")), "key")
     found = near.where(F.levenshtein(F.col(column), F.col("other")) <= 1).select(column).distinct()
     return a.join(found, column, "left_anti")
+
+
+def hint_lines(lines: DataFrame, edges: DataFrame, asked: Column, notes: int = 4, texts: int = 6) -> DataFrame:
+    """(dst, strength, lines): the notes most linked to the lines that a question's words ``asked`` name, with their first lines; a text counts once, by its first link."""
+    hit = lines.where(F.arrays_overlap(wd.label_words(F.col("label")), asked)).join(edges.where("confidence != 'low' and kind != 'carries'"), F.col("id") == F.col("src"))
+    text, at = F.concat("label", F.lit(" ("), "section_id", F.lit(")")), F.struct("unit_id", "seq", "kind")
+    once = hit.groupBy("dst", text.alias("text")).agg(F.min_by("confidence", at).alias("confidence"), F.min(at).alias("at"))
+    held = once.groupBy("dst").agg(F.sum(F.when(F.col("confidence") == "high", 2).otherwise(1)).alias("strength"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("all"))
+    return held.orderBy(F.desc("strength"), "dst").limit(notes).select("dst", "strength", F.transform(F.slice("all", 1, texts), lambda x: x["text"]).alias("lines"))
+
+
+def linked_lines(lines: DataFrame, edges: DataFrame, limit: int = 30) -> DataFrame:
+    """(id, rank, place): the lines of the surest links, then in the order of the statements."""
+    rank = F.min(F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).when(F.col("confidence") == "low", 2).otherwise(3))
+    best = lines.join(edges.groupBy(F.col("src").alias("id")).agg(rank.cast("long").alias("rank")), "id").orderBy("rank", "section_id", "unit_id", "seq").limit(limit)
+    return best.select("id", "rank", F.row_number().over(Window.orderBy("section_id", "unit_id", "seq")).cast("long").alias("place"))  # of ``limit`` rows

@@ -7,6 +7,73 @@ from pyspark.sql import functions as F
 
 from .sequences import accepted_steps, gap_clusters, keep_first, runs
 
+# How notes begin, what tells formats apart, browser marks of a page, and the names of bold fonts.
+NOTES_HEADERS = tuple((kind.lower(), f"notes {link} {kind.lower()} financial statements") for kind in ("Consolidated", "Standalone") for link in ("to", "forming part of the", "to the"))
+SCHEDULE_LINE = r"(?im)^\s*schedule\s*[‘’'`´\"\ufffd]?\s*(?:[A-Z]{1,2}|[0-9]{1,2}|[IVXL]{1,5})\s*[‘’'`´\"\ufffd]?\s*(?:[:.\-–]|$)"
+FORMING_PART = r"(?i)forming\s+part\s+of\s+the\s+(?:balance\s+sheet|profit\s*(?:and|&)\s*loss\s+account|accounts)"
+FORM_10K = r"\bFORM\s+10-K\b"
+PAGE_CHROME = r"(?i)^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4},?\s+[0-9]{1,2}:[0-9]{2}\s*[AP]M\b|^Table of Contents$"
+PAGE_URL = "^https?://"
+BOLD_FONTS = "Bold|Black|Heavy|Semibold|SemiBold|Demi"
+LEAST_SIGNALS, COVER_PAGES, ROWS_ABOVE_HEADER = 3, 5, 4
+
+
+def notes_section(text: Column, *more: tuple[str, str]) -> Column:
+    """Section whose notes a page's text heads, by the first phrase in order; ``more`` are (section, phrase) of a profile. Null if none."""
+    plain = F.lower(F.regexp_replace(text, r"\s+", " "))
+    return F.coalesce(*[F.when(plain.contains(phrase.lower()), F.lit(section)) for section, phrase in (*NOTES_HEADERS, *more)])
+
+
+def report_format(pages: DataFrame) -> DataFrame:
+    """(report, format and its four signals): notes on three pages make it modern (a 10-K if the cover says so), else schedules make it legacy. Takes (report, page from 1, text)."""
+    signals = {
+        "modern_notes_pages": F.count_if(notes_section(F.col("text")).isNotNull()),
+        "schedule_headings": F.sum(F.regexp_count("text", F.lit(SCHEDULE_LINE))),
+        "forming_part_pages": F.count_if(F.col("text").rlike(FORMING_PART)),
+        "form_10k_cover": F.count_if((F.col("page") <= COVER_PAGES) & F.col("text").rlike(FORM_10K)),
+    }
+    held = pages.groupBy("report").agg(*[c.cast("long").alias(n) for n, c in signals.items()])
+    modern, legacy = F.col("modern_notes_pages") >= LEAST_SIGNALS, F.greatest("schedule_headings", "forming_part_pages") >= LEAST_SIGNALS
+    return held.withColumn("format", F.when(modern & (F.col("form_10k_cover") > 0), "us-10k").when(~modern & legacy, "legacy").otherwise("modern"))
+
+
+def header_row(rows: DataFrame, header: str) -> DataFrame:
+    """(page, position, text): the first row of a page's top fifth that holds ``header``, at most four rows above it. Takes (page, y0, x0, text, height)."""
+    position = F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0")) - 1
+    near = rows.withColumn("position", position).where((F.col("position") <= ROWS_ABOVE_HEADER) & (F.col("y0") <= F.col("height") * 0.2) & F.lower("text").contains(header.lower()))
+    return near.groupBy("page").agg(F.min("position").alias("position"), F.min_by("text", "position").alias("text"))
+
+
+def page_bounds(rows: DataFrame) -> DataFrame:
+    """(page, top, bottom, body_top) without what a browser prints: date lines in the top eighth, the URL at the bottom. Takes (page, y0, y1, text, height)."""
+    chrome = (F.col("y0") < F.col("height") * 0.12) & F.col("text").rlike(PAGE_CHROME)
+    footer = (F.col("y0") > F.col("height") * 0.85) & F.col("text").rlike(PAGE_URL)
+    ends = rows.groupBy("page").agg(F.greatest(F.min("y0"), F.max(F.when(chrome, F.col("y1")))).alias("top"), F.least(F.max("y1") + 0.5, F.min(F.when(footer, F.col("y0")))).alias("low"))
+    ends = ends.select("page", "top", (F.col("low") - 0.5).alias("bottom"))
+    inside = (F.col("y0") > F.col("top") + 0.5) & (F.col("y1") < F.col("bottom"))
+    return rows.join(ends, "page").groupBy("page", "top", "bottom").agg(F.coalesce(F.min(F.when(inside, F.col("y0"))), F.col("top")).alias("body_top"))
+
+
+def is_capitals(text: Column) -> Column:
+    """Four letters or more, nine tenths of them capitals."""
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    return (letters >= 4) & (F.regexp_count(text, F.lit(r"\p{Lu}")) >= 0.9 * letters)
+
+
+def is_bold(flags: Column, font: Column) -> Column:
+    return (flags.bitwiseAND(16) != 0) | font.rlike(BOLD_FONTS)
+
+
+def is_monospaced(font: Column) -> Column:
+    """Of a page's rows (an aggregate): nine tenths in a typewriter font."""
+    return F.count_if(F.lower(font).rlike("courier|mono")) >= 0.9 * F.count("*")
+
+
+def gap_lines(gaps: DataFrame) -> DataFrame:
+    """(feature, line): the gaps as rows of a Markdown table."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
+    return gaps.select("feature", F.concat(F.lit("| "), "feature", F.lit(" | "), cell("own"), F.lit(" | "), cell("other"), F.lit(" |")).alias("line"))
+
 
 def dominant(rows: DataFrame, group: list[str], feature: str, least: int = 3, share: float = 0.2) -> DataFrame:
     """Rows whose feature is frequent in its group: at least ``least`` and ``share`` of the most frequent one."""

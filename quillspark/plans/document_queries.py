@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import figures as fig
 from ..functions import text as tx
 from ..operators import checks, grouped
+from ..operators import structure as st
 from ..operators.sequences import numbered
 from ..sources import report_views as rv
 from ..sources import scans, sinks
@@ -73,19 +74,27 @@ def s12(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(scans.page_spec_column(spec), lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query("s14_history_newest", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+@query("s14_history_newest", "SELECT o_orderkey AS sno, strftime(o_orderdate, '%Y-%m-%d') AS asked_at, o_orderstatus AS report, 'What of ' || o_custkey || '?' || chr(10) || chr(10) || 'Kind: none' AS question FROM orders ORDER BY o_orderkey DESC LIMIT 100")
 def s14(spark, d):
-    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(100).select("o_orderkey", "o_orderdate")
+    """The hundred newest entries of a history, their headers read."""
+    text = F.concat(F.lit("Asked at: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\nno header\nReport: "), "o_orderstatus", F.lit("\n\nWhat of "), F.col("o_custkey").cast("string"), F.lit("?\n\nKind: none"))
+    newest = table(spark, d, "orders").select(F.col("o_orderkey").alias("sno"), scans.history_entry(text).alias("e")).orderBy(F.desc("sno")).limit(100)
+    return newest.select("sno", F.try_element_at("e.meta", F.lit("Asked at")).alias("asked_at"), F.try_element_at("e.meta", F.lit("Report")).alias("report"), "e.question")
 
 
-@query("s15_open_feedback", "SELECT event_id, user_id FROM events WHERE event_type = 'error' AND value > 20")
+@query("s15_open_feedback", "SELECT user_id, event_id, event_type FROM (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id) WHERE event_type <> 'view'")
 def s15(spark, d):
-    return table(spark, d, "events").where("event_type = 'error' and value > 20").select("event_id", "user_id")
+    """Feedback whose last state is not the closed one, newest first."""
+    state = sinks.latest_state(table(spark, d, "events").withColumn("at", F.col("event_id")), "user_id", "at", "event_id", "event_type")
+    return state.where("event_type != 'view'").orderBy(F.desc("event_id"))
 
 
-@query("s16_prefix_lookup", "SELECT s_suppkey, s_name FROM supplier WHERE s_name LIKE 'Supplier#00000001%'")
+@query("s16_prefix_lookup", "SELECT 'model-' || s_suppkey % 10 || CASE WHEN s_suppkey < 10 THEN '' ELSE '-' || s_suppkey END AS id, s_acctbal >= 0 AS supported FROM supplier WHERE s_suppkey % 10 = 3 OR s_name = 'Supplier#000000005'")
 def s16(spark, d):
-    return table(spark, d, "supplier").where(F.col("s_name").startswith("Supplier#00000001")).select("s_suppkey", "s_name")
+    """Models of a registry by id, by the beginning of an id, or by hash."""
+    tail = F.when(F.col("s_suppkey") < 10, "").otherwise(F.concat(F.lit("-"), F.col("s_suppkey").cast("string")))
+    registry = table(spark, d, "supplier").select(F.concat(F.lit("model-"), (F.col("s_suppkey") % 10).cast("string"), tail).alias("id"), F.col("s_name").alias("sha256"), (F.col("s_acctbal") < 0).alias("pending"))
+    return scans.find_models(registry, "model-3").unionByName(scans.find_models(registry, "Supplier#000000005")).select("id", "supported")
 
 
 @query("s17_units_in_order", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS seq FROM customer")
@@ -149,14 +158,27 @@ def p5(spark, d):
     return cells.select("unit_id", F.forall("cells", lambda c: c.rlike("^(?:19|20)[0-9]{2}$")).alias("year_row"), F.size("cells").cast("long").alias("years"))
 
 
-@query("p6_header_row", with_views("v_blocks") + "SELECT doc_id, min(seq) AS seq FROM v_blocks WHERE seq <= 4 AND regexp_matches(text, 'the') GROUP BY doc_id")
+_ROWS = "rows_ AS (SELECT doc_id, seq, text, seq * 10.0 AS y0, seq * 10.0 + 8 AS y1, count(*) OVER (PARTITION BY doc_id) * 10.0 AS height FROM v_blocks)"
+
+
+def _rows(spark, d):
+    """The lines of a document as the rows of a page."""
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    return rv.blocks(spark, d).select(F.col("doc_id").alias("page"), "seq", "text", F.lit(0.0).alias("x0"), (F.col("seq") * 10.0).alias("y0"), (F.col("seq") * 10.0 + 8).alias("y1"), (n * 10.0).alias("height"))
+
+
+@query("p6_header_row", with_views("v_blocks") + f", {_ROWS} SELECT doc_id AS page, min(seq) AS position, arg_min(text, seq) AS text FROM rows_ WHERE seq <= 4 AND y0 <= 0.2 * height AND contains(lower(text), 'the') GROUP BY doc_id")
 def p6(spark, d):
-    return rv.blocks(spark, d).where(F.col("seq") <= 4).where(F.col("text").rlike("the")).groupBy("doc_id").agg(F.min("seq").alias("seq"))
+    return st.header_row(_rows(spark, d), "The").withColumn("position", F.col("position").cast("long"))
 
 
-@query("p7_capitals", with_views("v_blocks") + "SELECT doc_id, round(avg(CASE WHEN length(text) > 0 AND upper(text) = text THEN 1.0 ELSE 0.0 END), 9) AS share FROM v_blocks GROUP BY doc_id")
+@query("p7_capitals", with_views("v_blocks") + """, f AS (SELECT doc_id, text, seq, CASE seq % 3 WHEN 0 THEN 'Courier' WHEN 1 THEN 'Arial-Bold' ELSE 'DejaVu Mono' END AS font, len(regexp_extract_all(text, '\\p{L}')) AS letters, len(regexp_extract_all(text, '\\p{Lu}')) AS caps FROM v_blocks)
+SELECT doc_id, count(*) FILTER (letters >= 4 AND caps >= 0.9 * letters) AS capitals, count(*) FILTER ((seq & 16) <> 0 OR font LIKE '%Bold%') AS bold, count(*) FILTER (font <> 'Arial-Bold') >= 0.9 * count(*) AS mono FROM f GROUP BY doc_id""")
 def p7(spark, d):
-    return rv.blocks(spark, d).groupBy("doc_id").agg(F.round(F.avg(((F.length("text") > 0) & (F.upper("text") == F.col("text"))).cast("double")), 9).alias("share"))
+    """Lines in capitals and in bold, and whether a page is typewritten."""
+    font = F.when(F.col("seq") % 3 == 0, "Courier").when(F.col("seq") % 3 == 1, "Arial-Bold").otherwise("DejaVu Mono")
+    rows = rv.blocks(spark, d).withColumn("font", font)
+    return rows.groupBy("doc_id").agg(F.count_if(st.is_capitals(F.col("text"))).alias("capitals"), F.count_if(st.is_bold(F.col("seq"), F.col("font"))).alias("bold"), st.is_monospaced(F.col("font")).alias("mono"))
 
 
 @query("p8_repeated_bands", with_views("v_blocks") + """, b AS (SELECT *, lower(trim(text)) AS k FROM (SELECT *, seq <= 1 AS top, seq >= max(seq) OVER (PARTITION BY doc_id) - 1 AS bottom FROM v_blocks) WHERE length(trim(text)) BETWEEN 1 AND 120),
@@ -199,15 +221,33 @@ def p14(spark, d):
     return table(spark, d, "orders").select("o_orderkey").join(built, "o_orderkey", "left").select("o_orderkey", F.when(F.col("current"), "ready").when(F.col("current").isNotNull(), "stale").otherwise("missing").alias("status"))
 
 
-@query("p17_section_of", "SELECT doc_id, CASE WHEN text LIKE '%The the%' THEN 'first' WHEN lower(text) LIKE '%the of%' THEN 'second' ELSE 'none' END AS section FROM documents")
+_PAGES = """pg AS (SELECT doc_id, source AS report, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text || CASE WHEN doc_id % 5 = 0 AND length(source) % 2 = 0 THEN chr(10) || 'NOTES to the  Consolidated' || chr(10) || 'Financial Statements' WHEN doc_id % 5 = 1 THEN chr(10) || '  Schedule ''A'': Capital'
+  WHEN doc_id % 5 = 2 THEN ' Forming part of  the Balance Sheet' WHEN doc_id % 5 = 3 THEN ' FORM 10-K' ELSE ' notes forming part of the standalone financial statements to the consolidated' END AS text FROM documents)"""
+
+
+def _pages(spark, d):
+    """Documents as the pages of their source, each with a mark of some format."""
+    k = F.col("doc_id") % 5
+    mark = F.when((k == 0) & (F.length("source") % 2 == 0), "\nNOTES to the  Consolidated\nFinancial Statements").when(k == 1, "\n  Schedule 'A': Capital").when(k == 2, " Forming part of  the Balance Sheet")
+    mark = mark.when(k == 3, " FORM 10-K").otherwise(" notes forming part of the standalone financial statements to the consolidated")
+    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return table(spark, d, "documents").select("doc_id", F.col("source").alias("report"), page.alias("page"), F.concat("text", mark).alias("text"))
+
+
+@query("p17_section_of", f"""WITH {_PAGES}, p AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM pg)
+SELECT doc_id, CASE WHEN t LIKE '%notes to consolidated financial statements%' OR t LIKE '%notes forming part of the consolidated financial statements%' OR t LIKE '%notes to the consolidated financial statements%' THEN 'consolidated'
+  WHEN t LIKE '%notes forming part of the standalone financial statements%' THEN 'standalone' WHEN t LIKE '%form 10-k%' THEN 'filed' END AS section FROM p""")
 def p17(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("text").contains("The the"), "first").when(F.lower("text").contains("the of"), "second").otherwise("none").alias("section"))
+    return _pages(spark, d).select("doc_id", st.notes_section(F.col("text"), ("filed", "FORM 10-K")).alias("section"))
 
 
-@query("p18_page_bounds", with_views("v_blocks") + "SELECT doc_id, min(seq) FILTER (text NOT LIKE '%http%') AS top, max(seq) FILTER (text NOT LIKE '%http%') AS bottom FROM v_blocks GROUP BY doc_id")
+@query("p18_page_bounds", with_views("v_blocks") + f""", {_ROWS}, marked AS (SELECT doc_id, seq, y0, y1, height, CASE WHEN seq = 0 AND doc_id % 3 = 0 THEN '3/31/2024, 9:15 AM' WHEN y0 + 10 = height AND doc_id % 2 = 0 THEN 'https://a.b/c' ELSE text END AS text FROM rows_),
+ends AS (SELECT doc_id, greatest(min(y0), max(y1) FILTER (y0 < 0.12 * height AND regexp_matches(text, '(?i)^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}},?\\s+[0-9]{{1,2}}:[0-9]{{2}}\\s*[AP]M\\b|^Table of Contents$'))) AS top,
+  least(max(y1) + 0.5, min(y0) FILTER (y0 > 0.85 * height AND regexp_matches(text, '^https?://'))) - 0.5 AS bottom FROM marked GROUP BY doc_id)
+SELECT doc_id AS page, top, bottom, coalesce(min(y0) FILTER (y0 > top + 0.5 AND y1 < bottom), top) AS body_top FROM marked JOIN ends USING (doc_id) GROUP BY doc_id, top, bottom""")
 def p18(spark, d):
-    body = F.when(~F.col("text").contains("http"), F.col("seq"))
-    return rv.blocks(spark, d).groupBy("doc_id").agg(F.min(body).alias("top"), F.max(body).alias("bottom"))
+    text = F.when((F.col("seq") == 0) & (F.col("page") % 3 == 0), "3/31/2024, 9:15 AM").when((F.col("y0") + 10 == F.col("height")) & (F.col("page") % 2 == 0), "https://a.b/c").otherwise(F.col("text"))
+    return st.page_bounds(_rows(spark, d).withColumn("text", text))
 
 
 @query("p20_numeric_cells", with_views("v_values") + "SELECT line_id, string_agg(raw, '|' ORDER BY col) AS cells FROM v_values WHERE regexp_matches(raw, '[0-9]') GROUP BY line_id")
@@ -319,11 +359,11 @@ def f24(spark, d):
     return asked.join(seen, ["conv_id", "printed"], "left").select("conv_id", "printed", F.coalesce("page", F.col("printed") + F.col("off")).alias("page"))
 
 
-@query("f25_parse_reply", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("f25_parse_reply", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '# Page' || chr(10) || event_type || ' 1[?] 2[?]' AS markdown, 2 AS unreadable FROM events")
 def f25(spark, d):
-    reply = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
-    body = F.regexp_extract(reply, r"(?s)```json\s*(\{.*?\})\s*```", 1)
-    return table(spark, d, "events").select("event_id", F.from_json(body, "k long")["k"].alias("k"))
+    """Header and Markdown of a transcription reply."""
+    reply = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\n\n# Page\n"), "event_type", F.lit(" 1[?] 2[?]\n "))
+    return table(spark, d, "events").select("event_id", tx.parse_reply(reply, "k long").alias("r")).select("event_id", "r.header.k", F.regexp_replace("r.markdown", r"\s+$", "").alias("markdown"), "r.unreadable")
 
 
 @query("f27_block_text", with_views("v_blocks") + "SELECT doc_id, seq, CASE WHEN length(text) < 40 THEN '## ' || text WHEN seq % 5 = 0 THEN '- ' || text ELSE text END AS text FROM v_blocks")
@@ -380,10 +420,13 @@ def d20(spark, d):
     return rows.groupBy("source").agg(F.countDistinct("doc_id").alias("docs"), F.round(F.avg((F.upper("text") == F.col("text")).cast("double")), 9).alias("capitals"), F.count_if(F.col("text").contains(" | ")).alias("table_rows"), F.max("lang").isNotNull().alias("has_lang"))
 
 
-@query("m2_format", "SELECT source, CASE WHEN count(*) FILTER (text LIKE '%!!%') >= 3 THEN 'modern' WHEN count(*) FILTER (text LIKE '%$$$%') >= 3 THEN 'legacy' ELSE 'modern' END AS format FROM documents GROUP BY source")
+@query("m2_format", f"""WITH {_PAGES}, s AS (SELECT report, count(*) FILTER (regexp_matches(lower(regexp_replace(text, '\\s+', ' ', 'g')), 'notes (to|forming part of the|to the) (consolidated|standalone) financial statements')) AS modern_notes_pages,
+  CAST(sum(len(regexp_extract_all(text, '(?im)^\\s*schedule\\s*[‘’''`´"\ufffd]?\\s*(?:[A-Z]{{1,2}}|[0-9]{{1,2}}|[IVXL]{{1,5}})\\s*[‘’''`´"\ufffd]?\\s*(?:[:.\\-–]|$)'))) AS BIGINT) AS schedule_headings,
+  count(*) FILTER (regexp_matches(text, '(?i)forming\\s+part\\s+of\\s+the\\s+(?:balance\\s+sheet|profit\\s*(?:and|&)\\s*loss\\s+account|accounts)')) AS forming_part_pages,
+  count(*) FILTER (page <= 5 AND regexp_matches(text, '\\bFORM\\s+10-K\\b')) AS form_10k_cover FROM pg GROUP BY report)
+SELECT *, CASE WHEN modern_notes_pages >= 3 THEN CASE WHEN form_10k_cover > 0 THEN 'us-10k' ELSE 'modern' END WHEN schedule_headings >= 3 OR forming_part_pages >= 3 THEN 'legacy' ELSE 'modern' END AS format FROM s""")
 def m2(spark, d):
-    modern, legacy = F.count_if(F.col("text").contains("!!")), F.count_if(F.col("text").contains("$$$"))
-    return table(spark, d, "documents").groupBy("source").agg(F.when(modern >= 3, "modern").when(legacy >= 3, "legacy").otherwise("modern").alias("format"))
+    return st.report_format(_pages(spark, d))
 
 
 @query("m5_missing_cache", "SELECT DISTINCT sha256(text) AS digest FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
@@ -450,18 +493,6 @@ def o10(spark, d):
     return table(spark, d, "events").orderBy(order, "event_id").limit(12).select("event_id")
 
 
-@query("o5_best_lines", with_views("v_lines") + "SELECT id FROM v_lines ORDER BY cents DESC, section_id, unit_id, seq LIMIT 30")
-def o5(spark, d):
-    return rv.lines(spark, d).orderBy(F.desc("cents"), "section_id", "unit_id", "seq").limit(30).select("id")
-
-
-@query("o4_hint_lines", "SELECT l_partkey, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey, l_linenumber) AS orders FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS n FROM lineitem) WHERE n <= 6 GROUP BY l_partkey")
-def o4(spark, d):
-    n = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey"))
-    held = table(spark, d, "lineitem").withColumn("n", n).where("n <= 6").groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("n", "l_orderkey"))).alias("o"))
-    return held.select("l_partkey", F.array_join(F.transform("o", lambda x: x["l_orderkey"].cast("string")), ",").alias("orders"))
-
-
 @query("o11_interleaved", """SELECT report, id, flag, row_number() OVER (PARTITION BY report ORDER BY coalesce(start, 1000000), flag, id) AS place FROM (
   SELECT o_custkey AS report, o_orderkey AS id, 0 AS flag, CASE WHEN o_orderstatus <> 'P' THEN dayofyear(o_orderdate) END AS start FROM orders UNION ALL SELECT user_id, event_id, 1, event_id % 365 FROM events)""")
 def o11(spark, d):

@@ -389,3 +389,21 @@ def j19(spark, d):
     rank = F.min(F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2))
     best = _edges(spark, d).where(F.col("dst").isin("C5", "C9", "S5")).groupBy("src").agg(rank.cast("long").alias("rank"))
     return best.join(_lines(spark, d), F.col("src") == F.col("id")).orderBy("rank", "section_id", "unit_id", "seq").limit(30).select("id", "rank")
+
+
+_HIT = """hit AS (SELECT e.dst, l.label || ' (' || l.section_id || ')' AS txt, e.confidence, l.unit_id, l.seq, e.kind FROM v_lines l JOIN edges e ON e.src = l.id WHERE regexp_matches(l.label, '\\b(small|red)\\b') AND e.confidence <> 'low' AND e.kind <> 'carries'),
+once AS (SELECT dst, txt, arg_min(confidence, struct_pack(u := unit_id, s := seq, k := kind)) AS confidence, min(struct_pack(u := unit_id, s := seq, k := kind)) AS spot FROM hit GROUP BY dst, txt)"""
+
+
+@query("o4_hint_lines", _ALL + f""", {_EDGES}, {_HIT},
+best AS (SELECT dst, CAST(sum(CASE WHEN confidence = 'high' THEN 2 ELSE 1 END) AS BIGINT) AS strength FROM once GROUP BY dst ORDER BY strength DESC, dst LIMIT 4)
+SELECT dst, strength, string_agg(txt, '; ' ORDER BY spot, txt) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY spot, txt) AS n FROM once JOIN best USING (dst)) WHERE n <= 6 GROUP BY dst, strength""")
+def o4(spark, d):
+    found = links.hint_lines(_lines(spark, d), _edges(spark, d), wd.question_words(F.lit(_HINT_WORDS)))
+    return found.select("dst", "strength", F.array_join("lines", "; ").alias("lines"))
+
+
+@query("o5_best_lines", _ALL + f""", {_EDGES}, best AS (SELECT src, CAST(min(CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END) AS BIGINT) AS rank FROM edges GROUP BY src),
+chosen AS (SELECT l.*, b.rank FROM best b JOIN v_lines l ON l.id = b.src ORDER BY b.rank, l.section_id, l.unit_id, l.seq LIMIT 30) SELECT id, rank, row_number() OVER (ORDER BY section_id, unit_id, seq) AS place FROM chosen""")
+def o5(spark, d):
+    return links.linked_lines(_lines(spark, d), _edges(spark, d))

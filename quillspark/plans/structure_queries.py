@@ -23,12 +23,13 @@ def s9(spark, d):
     return scans.package_table(spark, f"{d}/no-such-store", "checks").agg(F.count("*").alias("n"))
 
 
-@query("s13_import_check", "SELECT doc_id, doc_id % 4 <> 1 AND doc_id % 3 <> 0 AS valid FROM documents")
+@query("s13_import_check", "SELECT doc_id, CASE WHEN doc_id % 5 = 2 OR doc_id % 5 = 3 THEN 'not a package' WHEN doc_id % 3 = 0 THEN 'another version' WHEN doc_id % 4 = 1 THEN 'no report' END AS problem FROM documents")
 def s13(spark, d):
-    """Packages that may be imported: a known version, and an id of 64 hex digits."""
+    """Packages that may be imported: the head of the file, a known version, and a report's hash of 64 hex digits."""
     sha = F.when(F.col("doc_id") % 4 == 1, F.lit("short")).otherwise(F.sha2("text", 256))
     version = F.when(F.col("doc_id") % 3 == 0, "2.0").otherwise("1.2")
-    return table(spark, d, "documents").select("doc_id", (sha.rlike("^[0-9a-f]{64}$") & (F.split(version, r"\.")[0] == "1")).alias("valid"))
+    head = F.when(F.col("doc_id") % 5 == 2, F.lit("PK zip").cast("binary")).when(F.col("doc_id") % 5 != 3, F.concat(F.unhex(F.lit(scans.PACKAGE_HEAD)), F.col("text").cast("binary")))
+    return table(spark, d, "documents").select("doc_id", scans.import_problem(head, version, sha).alias("problem"))
 
 
 @query("s19_spans_in_range", "SELECT user_id AS page, string_agg(event_id::VARCHAR, ' ' ORDER BY value, event_id) AS spans FROM events WHERE value BETWEEN 5 AND 15 GROUP BY user_id")
@@ -37,11 +38,12 @@ def s19(spark, d):
     return own.groupBy(F.col("user_id").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value", "event_id"))), lambda x: x["event_id"].cast("string")), " ").alias("spans"))
 
 
-@query("s22_manifest", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE o_totalprice END AS cost FROM orders")
+@query("s22_manifest", "SELECT 'f' || o_orderkey AS name, CASE WHEN o_orderkey % 6 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_orderstatus = 'P' THEN 0 ELSE o_custkey END AS done FROM orders")
 def s22(spark, d):
-    """A manifest counts only for the size and version it was made for; else it starts anew."""
-    current = (F.col("o_orderkey") % 2 == 0) & (F.col("o_orderkey") % 3 == 0)
-    return table(spark, d, "orders").select("o_orderkey", F.when(current, 0.0).otherwise(F.col("o_totalprice")).alias("cost"))
+    """A manifest counts only for the size, time and prompt version it was made for; a new file has none."""
+    own = table(spark, d, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"), "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderkey").alias("size"), F.unix_date(F.col("o_orderdate").cast("date")).alias("mtime"))
+    manifest = own.where("o_orderstatus != 'P'").select("name", (F.col("size") + (F.col("o_orderkey") % 6 == 0).cast("long")).alias("size"), (F.col("mtime") + (F.col("o_orderkey") % 7 == 0).cast("int")).alias("mtime"), F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(2).alias("prompt_version"), F.col("o_custkey").alias("done"))
+    return scans.current_manifest(manifest, own.select("name", "size", "mtime"), 2).select("name", "done")
 
 
 @query("p15_validation", "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'page must be 1 or more' WHEN o_orderkey % 50 > 40 THEN 'report has 40 pages' END AS problem FROM orders")
@@ -64,11 +66,11 @@ def a12(spark, d):
     return st.quality_facts(docs, facts, {"few": F.col("docs") < 50, "loud": F.col("share") > 0.05})
 
 
-@query("k7_feature_gaps", "SELECT coalesce(a.event_type, b.event_type) || ':' || coalesce(a.user_id, b.user_id) AS feature, a.n AS own, b.n AS other FROM (SELECT event_type, user_id % 9 AS user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2) a FULL JOIN (SELECT event_type, user_id % 9 AS user_id, count(*) AS n FROM events WHERE event_id % 2 = 1 AND event_type <> 'view' GROUP BY 1, 2) b ON a.event_type = b.event_type AND a.user_id = b.user_id WHERE a.n IS DISTINCT FROM b.n")
+@query("k7_feature_gaps", "SELECT feature, '| ' || feature || ' | ' || coalesce(own::VARCHAR, '—') || ' | ' || coalesce(other::VARCHAR, '—') || ' |' AS line FROM (SELECT coalesce(a.event_type, b.event_type) || ':' || coalesce(a.user_id, b.user_id) AS feature, a.n AS own, b.n AS other FROM (SELECT event_type, user_id % 9 AS user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2) a FULL JOIN (SELECT event_type, user_id % 9 AS user_id, count(*) AS n FROM events WHERE event_id % 2 = 1 AND event_type <> 'view' GROUP BY 1, 2) b ON a.event_type = b.event_type AND a.user_id = b.user_id WHERE a.n IS DISTINCT FROM b.n)")
 def k7(spark, d):
     feature = F.concat("event_type", F.lit(":"), (F.col("user_id") % 9).cast("string")).alias("feature")
     count = lambda cond: table(spark, d, "events").where(cond).groupBy(feature).agg(F.count("*").alias("value"))
-    return st.feature_gaps(count("event_id % 2 = 0"), count("event_id % 2 = 1 and event_type != 'view'"))
+    return st.gap_lines(st.feature_gaps(count("event_id % 2 = 0"), count("event_id % 2 = 1 and event_type != 'view'")))
 
 
 @query("m4_registry", "SELECT vec_id, label, CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END AS version FROM embeddings")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,3 +77,35 @@ def page_spec_column(spec) -> object:
     fine = lambda p: p.rlike(r"^[0-9]+(\s*-\s*[0-9]+)?$") & (last(p) >= first(p)) & (last(p) - first(p) <= 100)
     pages = F.flatten(F.transform(parts, lambda p: F.when(fine(p), F.sequence(first(p), last(p)))))
     return F.when(F.forall(parts, fine), F.array_sort(F.array_distinct(pages)))
+
+
+#: Fixed value: the first bytes of a package file, in hex.
+PACKAGE_HEAD = "53514C69746520666F726D6174203300"
+
+
+def import_problem(head: Column, version: Column, sha256: Column, major: str = "1") -> Column:
+    """Why a file can't be imported as a package (its first bytes, its schema version, the hash of its report), or null."""
+    wrong_head = ~F.coalesce(F.hex(F.substring(head, 1, 16)) == PACKAGE_HEAD, F.lit(False))
+    wrong_version = ~F.coalesce(F.split_part(version, F.lit("."), F.lit(1)) == major, F.lit(False))
+    return F.when(wrong_head, "not a package").when(wrong_version, "another version").when(~F.coalesce(sha256.rlike("^[0-9a-f]{64}$"), F.lit(False)), "no report")
+
+
+def history_entry(text: Column) -> Column:
+    """meta (map of the "Key: value" lines before the first empty line) and question (what follows it)."""
+    head = F.split_part(text, F.lit("\n\n"), F.lit(1))
+    lines = F.filter(F.split(head, "\n"), lambda x: x.rlike("^[A-Za-z ]+: "))
+    meta = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, "^([A-Za-z ]+): ", 1).alias("key"), F.regexp_extract(x, "^[A-Za-z ]+: (.*)$", 1).alias("value"))))
+    return F.struct(meta.alias("meta"), F.substr(text, F.length(head) + 3).alias("question"))
+
+
+def find_models(registry: DataFrame, key: str) -> DataFrame:
+    """The models whose hash is ``key``, or whose id is ``key`` or starts with it and a hyphen; ``supported`` unless pending."""
+    found = (F.col("sha256") == key) | (F.col("id") == key) | F.col("id").startswith(key + "-")
+    return registry.where(found).withColumn("supported", ~F.col("pending"))
+
+
+def current_manifest(manifest: DataFrame, files: DataFrame, prompt_version: int) -> DataFrame:
+    """Each file's manifest (name, size, mtime, done): kept only if size, time and prompt version are those it was made for, else it starts anew."""
+    old = manifest.select("name", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), "prompt_version", "done")
+    same = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")) & (F.col("prompt_version") == prompt_version)
+    return files.join(old, "name", "left").select("name", "size", "mtime", F.when(same, F.col("done")).otherwise(0).alias("done"))
