@@ -1,6 +1,10 @@
+import collections
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as tx
 from quillspark.operators import checks, grouped, links, retrieval, sequences
 from quillspark.sources import scans, sinks
 
@@ -188,3 +192,49 @@ def test_page_specs_are_null_where_they_are_wrong(spark):
             assert r.pages == want, r.spec
         else:
             assert r.pages is None
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_clean_text_of_all_documents(spark):
+    from quillspark.plans import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r.doc_id: r.text for r in QUERIES["f15_clean_text"](spark, DATA).collect()}
+    assert got == {i: t and unicodedata.normalize("NFKC", t).replace("`", "₹") for i, t in texts.items()}
+    odd = spark.createDataFrame([("ﬁ ½ `5 Ａ",), (None,)], "t string").select(tx.clean_text("t").alias("t"))
+    assert [r.t for r in odd.collect()] == ["fi 1⁄2 ₹5 A", None]
+
+
+def test_row_clusters_of_all_events(spark):
+    from quillspark.plans import QUERIES
+
+    pages = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{DATA}/events.parquet").collect():
+        pages[r.user_id].append((r.value * 10, float(r.event_id)))
+    want = {}
+    for page, spans in pages.items():
+        row, first = -1, None
+        for y, x in sorted(spans):
+            if first is None or y > first + 3.0:
+                row, first = row + 1, y
+            want[page, x] = row
+    assert {(r.page, r.x): r.row for r in QUERIES["w1_row_clusters"](spark, DATA).collect()} == want
+
+
+def test_tie_outs_of_all_lines_by_brute_force(spark):
+    """Each order's figures and their total: the total ties if some run of 2 to 20 figures above it gives it."""
+    from quillspark.plans import QUERIES
+
+    orders = collections.defaultdict(list)
+    for r in QUERIES["d6_lines_values"](spark, DATA).where("col = 1").collect():
+        orders[int(r.unit_id[1:])].append((r.line_id, r.value))
+    got = {(r.page, r.row): r.status for r in QUERIES["q5_tie_outs"](spark, DATA).collect()}
+    for page, own in orders.items():
+        values = [v for _, v in sorted(own)]
+        last = len(values) * 10 + 5
+        if 2 <= len(values) <= 20 and not any((page, k * 10) in got for k in range(1, len(values) + 1)):
+            assert got[page, last] == "tied", page
+        if len(values) == 1:
+            assert (page, last) not in got
