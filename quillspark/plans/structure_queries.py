@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as rt
 from ..operators import structure as st
+from ..operators import tables as tb
 from ..sources import report_views as rv
 from ..sources import scans
 from ..sources.report_views import with_views
@@ -164,3 +165,39 @@ def q8(spark, d):
 
     cells = table(spark, d, "events").where("event_type = 'view'").select((F.col("user_id")).alias("page"), F.lit(0).cast("long").alias("tbl"), F.lit(1).cast("long").alias("col"), F.col("event_id").alias("row"), F.when(F.col("event_id") % 5 == 0, "Total").otherwise("line").alias("label"), F.col("value").cast("string").alias("figure"), "value")
     return tie_outs(cells)
+
+
+def _printed(spark, d):
+    """Statements laid out as cells on a page: title, unit, group heading, headings, each label over two rows beside its figures, sums, signature."""
+    width = 5.0
+    lines = rv.lines(spark, d).withColumn("words", F.split("label", " "))
+    cell = lambda row, x1, text: F.struct(row.cast("long").alias("row"), (x1 - width * F.length(text)).alias("x0"), x1.alias("x1"), text.alias("text"))
+    at = lambda row, x0, text: cell(F.lit(row), F.lit(x0) + width * F.length(text), text)
+    edge = lambda x: F.lit(float(x)) + F.col("seq") % 3
+    top = F.col("seq") * 2 + 10
+    number, price = (F.col("part_id") % rv.NOTES + 1).cast("string"), F.format_number(F.col("cents") / 100, 2)
+    body = F.array(
+        cell(top, F.lit(40.0) + width * F.length(F.col("words")[0]), F.col("words")[0]), cell(top, edge(300), number), cell(top, edge(380), F.col("quantity").cast("string")),
+        cell(top, F.lit(400.0), F.lit("$")), cell(top, edge(460), price), cell(top, edge(540), F.col("tax").cast("string")),
+        cell(top + 1, F.lit(40.0) + width * F.length(F.col("words")[1]), F.col("words")[1]),
+    )
+    heads = F.array(
+        at(0, 40.0, F.col("title")), at(1, 400.0, F.lit("In ₹ Million")), at(2, 410.0, F.lit("Amounts of the year")), at(3, 40.0, F.lit("Particulars")),
+        cell(F.lit(3), F.lit(302.0), F.lit("Notes")), cell(F.lit(3), F.lit(380.0), F.lit("Units")), cell(F.lit(3), F.lit(460.0), F.lit("Price")), cell(F.lit(3), F.lit(540.0), F.lit("Tax")),
+        cell(F.col("low"), F.lit(65.0), F.lit("Total")), cell(F.col("low"), F.lit(381.0), F.col("units").cast("string")), cell(F.col("low"), F.lit(461.0), F.format_number(F.col("sum") / 100, 2)),
+        cell(F.col("low") + 1, F.lit(200.0), F.lit("As per our report attached")), cell(F.col("low") + 2, F.lit(460.0), F.lit("77")),
+    )
+    title = F.concat(F.lit("Statement of "), F.col("order_id").cast("string")).alias("title")
+    sums = lines.groupBy("order_id").agg(F.sum("quantity").alias("units"), F.sum("cents").alias("sum"), (F.max("seq") * 2 + 12).alias("low")).select("*", title)
+    return lines.select("order_id", title, F.inline(body)).unionByName(sums.select("order_id", "title", F.inline(heads)))
+
+
+@query("d4_statement_tables", with_views("v_lines") + """SELECT order_id, CAST(place AS BIGINT) AS place, kind, label, cells, spans, 0 AS notes_col FROM (
+  SELECT order_id, seq + 3 AS place, 'data' AS kind, label, concat_ws('|', (part_id % 40 + 1)::VARCHAR, quantity::VARCHAR, format('{:,.2f}', cents / 100.0), tax::VARCHAR) AS cells, '' AS spans FROM v_lines
+  UNION ALL SELECT order_id, count(*) + 4, 'total', 'Total', concat_ws('|', '', sum(quantity)::VARCHAR, format('{:,.2f}', sum(cents) / 100.0), ''), '' FROM v_lines GROUP BY order_id
+  UNION ALL SELECT DISTINCT order_id, p, k, l, c, s FROM v_lines, (VALUES (1, 'unit', '₹ in Million', '', ''), (2, 'group', '', '', '2:|2:Amounts of the year'), (3, 'header', 'Particulars', 'Notes|Units|Price|Tax', '')) h(p, k, l, c, s))""")
+def d4(spark, d):
+    """Statements read back from where their cells stand on the page: the rows must be those that were laid out."""
+    held = tb.statement_tables(_printed(spark, d), ["order_id"], "title")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["span"].cast("string"), F.lit(":"), s["text"])), "|")
+    return held.select("order_id", "place", "kind", "label", F.array_join("cells", "|").alias("cells"), spans.alias("spans"), "notes_col")
