@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.figures import let
 
 # Figures, note references, the lines that divide a statement, and the distances in points.
 VALUE = r"^\(?[-–−]?\s*[₹$]?\s*[0-9,]+(\.[0-9]+)?\)?%?$|^[-–—]$"
@@ -70,10 +71,12 @@ def columns(rows: Column) -> Column:
     edges = F.array_sort(F.transform(F.filter(F.flatten(F.transform(rows, lambda r: r["cells"])), lambda c: c["number"]), lambda c: F.struct(c["x1"].alias("x1"), c["x0"].alias("x0"))))
 
     def take(found: Column, edge: Column) -> Column:
-        last = F.get(found, F.size(found) - 1)
-        wider = F.struct(edge["x1"].alias("x1"), F.least(last["x0"], edge["x0"]).alias("x0"))
-        near = F.coalesce(edge["x1"] - last["x1"] <= COLUMN_GAP, F.lit(False))
-        return F.when(near, F.concat(F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(found, F.array(edge)))
+        def beside(last: Column) -> Column:
+            wider = F.struct(edge["x1"].alias("x1"), F.least(last["x0"], edge["x0"]).alias("x0"))
+            near = F.coalesce(edge["x1"] - last["x1"] <= COLUMN_GAP, F.lit(False))
+            return F.when(near, F.concat(F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(found, F.array(edge)))
+
+        return let(F.get(found, F.size(found) - 1), beside)
 
     found = F.aggregate(edges, F.array().cast("array<struct<x1:double,x0:double>>"), take)
     return F.transform(found, lambda c: F.struct(c["x0"].alias("x0"), c["x1"].alias("x1")))
@@ -84,23 +87,31 @@ def _with_left(found: Column) -> Column:
     return F.transform(found, lambda c, i: F.struct(F.when(i == 0, c["x0"] - 2).otherwise(F.get(found, i - 1)["x1"]).alias("left"), c["x1"].alias("x1")).cast("struct<left:double,x1:double>"))
 
 
-def placed_cells(cells: Column, cols: Column, numbers: Column) -> Column:
-    """Cells with the first and last column that they belong to; null for those of the label, several for group headings."""
-    limit = F.get(cols, F.lit(0))["left"]
-    heading = ~numbers & F.exists(cells, lambda c: c["x0"] >= limit)
+def placed_cells(cells: Column, cols: Column, limit: Column, numbers: Column, heading: Column) -> Column:
+    """Cells with the first and last column that they belong to; null for those of the label, several for group headings.
+
+    ``limit`` is where the columns begin, ``numbers`` whether the row has figures, ``heading`` whether it is a row of headings.
+    """
 
     def place(c: Column) -> Column:
         centre = (c["x0"] + c["x1"]) / 2
-        far = F.transform(cols, lambda k: F.abs(k["x1"] - c["x1"]))
-        nearest = F.array_position(far, F.array_min(far)).cast("int") - 1
-        under = F.array_position(F.transform(cols, lambda k: (k["left"] < centre) & (centre <= k["x1"])), True).cast("int") - 1
-        share = lambda k: (F.least(c["x1"], k["x1"]) - F.greatest(c["x0"], k["left"])) >= LEAST_OVERLAP * (k["x1"] - k["left"])
-        hits = F.filter(_places(F.size(cols)), lambda i: (F.get(cols, i)["x1"] > F.get(cols, i)["left"]) & share(F.get(cols, i)))
-        in_label = F.when(heading & (under >= 0), under).when(heading & (F.array_min(far) <= EDGE_REACH), nearest)
-        several = ~c["number"] & (c["x0"] >= limit) & ~numbers & (F.size(hits) >= 2)
-        first = F.when(c["number"], nearest).when(c["x0"] < limit, in_label).when(several | (F.size(hits) == 1), F.get(hits, F.lit(0))).otherwise(nearest)
-        first = F.when(F.size(cols) > 0, first)
-        return F.struct(first.alias("first"), F.when(several, F.get(hits, F.size(hits) - 1)).otherwise(first).alias("last"), centre.alias("centre"), c["text"].alias("text"))
+        # Nearest column by right edge; of equals the first.
+        near = F.array_min(F.transform(cols, lambda k, i: F.struct(F.abs(k["x1"] - c["x1"]).alias("far"), i.alias("at"))))
+        over = lambda k: (k["x1"] > k["left"]) & ((F.least(c["x1"], k["x1"]) - F.greatest(c["x0"], k["left"])) >= LEAST_OVERLAP * (k["x1"] - k["left"]))
+        hits = lambda: F.filter(F.transform(cols, lambda k, i: F.when(over(k), i)), lambda i: i.isNotNull())
+        under = F.nullif(F.array_position(F.transform(cols, lambda k: (k["left"] < centre) & (centre <= k["x1"])), True), F.lit(0)).cast("int") - 1
+
+        def at(first: Column, last: Column) -> Column:
+            return F.struct(first.alias("first"), last.alias("last"))
+
+        def of_hits(h: Column) -> Column:
+            several = ~numbers & (F.size(h) >= 2)
+            return F.when(several, at(F.get(h, F.lit(0)), F.get(h, F.size(h) - 1))).when(F.size(h) == 1, at(F.get(h, F.lit(0)), F.get(h, F.lit(0)))).otherwise(let(near, lambda n: at(n["at"], n["at"])))
+
+        single = lambda value: let(value, lambda v: at(v, v))
+        in_label = F.when(heading, single(F.coalesce(under, let(near, lambda n: F.when(n["far"] <= EDGE_REACH, n["at"])))))
+        where = F.when(F.size(cols) == 0, F.lit(None)).when(c["number"], single(near["at"])).when(c["x0"] < limit, in_label).otherwise(let(hits(), of_hits))
+        return let(where, lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last"), centre.alias("centre"), c["text"].alias("text")))
 
     return F.transform(cells, place).cast(_CELLS)
 
@@ -119,16 +130,19 @@ def group_spans(groups: Column, cols: Column) -> Column:
                 return F.when(fits, F.struct((b - a).alias("n"), (-drift).alias("near"), a.alias("first"), b.alias("last")))
 
             best = F.array_max(F.array(wider(1, 1), wider(1, 0), wider(0, 1)))
-            return F.struct(F.coalesce(best["first"], s["first"]).alias("first"), F.coalesce(best["last"], s["last"]).alias("last"))
+            return let(best, lambda b: F.struct(F.coalesce(b["first"], s["first"]).alias("first"), F.coalesce(b["last"], s["last"]).alias("last")))
 
         span = F.aggregate(F.sequence(F.lit(1), F.size(cols)), F.struct(g["first"].alias("first"), g["last"].alias("last")), step)
-        return F.concat(taken, F.array(F.struct(span["first"].alias("first"), span["last"].alias("last"), g["text"].alias("text"))))
+        return let(span, lambda s: F.concat(taken, F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"), g["text"].alias("text")))))
 
-    spans = F.array_sort(F.aggregate(groups, F.array().cast("array<struct<first:int,last:int,text:string>>"), widened))
     blank = lambda n: F.when(n > 0, F.array(F.struct(n.alias("span"), F.lit("").alias("text")))).otherwise(F.array().cast("array<struct<span:int,text:string>>"))
     own = lambda s: F.array(F.struct((s["last"] - s["first"] + 1).alias("span"), s["text"].alias("text")))
-    filled = F.flatten(F.transform(spans, lambda s, i: F.concat(blank(s["first"] - F.coalesce(F.get(spans, i - 1)["last"] + 1, F.lit(0))), own(s))))
-    return F.concat(filled, blank(F.size(cols) - 1 - F.get(spans, F.size(spans) - 1)["last"]))
+
+    def filled(spans: Column) -> Column:
+        parts = F.flatten(F.transform(spans, lambda s, i: F.concat(blank(s["first"] - F.coalesce(F.get(spans, i - 1)["last"] + 1, F.lit(0))), own(s))))
+        return F.concat(parts, blank(F.size(cols) - 1 - F.get(spans, F.size(spans) - 1)["last"]))
+
+    return let(F.array_sort(F.aggregate(groups, F.array().cast("array<struct<first:int,last:int,text:string>>"), widened)), filled)
 
 
 def _run_on(rows: Column, plain: Column) -> Column:
@@ -140,9 +154,8 @@ def _run_on(rows: Column, plain: Column) -> Column:
         bracket = label.startswith("(") & ((s["kind"] == "text") | ~digit | label.rlike(REFER_NOTE))
         rest = (s["kind"] == "data") & s["item"] & ~label.startswith("- ") & (F.size(F.split(label, r"\s+")) <= 3) & ~digit
         goes_on = ~plain & r["kind"].isin("section", "text") & (label != "") & s["kind"].isin("data", "total", "text") & (label.rlike(r"^\p{Ll}") | bracket | rest)
-        keep = lambda old, new: F.when(goes_on, old).otherwise(new)
-        head = keep(s["head"], here)
-        return F.struct(head.alias("head"), keep(s["kind"], r["kind"]).alias("kind"), keep(s["item"], label.startswith("- ")).alias("item"), F.concat(s["heads"], F.array(head)).alias("heads"))
+        state = lambda head, kind, item: F.struct(head.alias("head"), kind.alias("kind"), item.alias("item"), F.concat(s["heads"], F.array(head)).alias("heads"))
+        return F.when(goes_on, state(s["head"], s["kind"], s["item"])).otherwise(state(here, r["kind"], label.startswith("- ")))
 
     start = F.struct(F.lit(0).alias("head"), F.lit("").alias("kind"), F.lit(False).alias("item"), F.array().cast("array<int>").alias("heads"))
     return F.aggregate(rows, start, take)["heads"]
@@ -171,8 +184,9 @@ def statement_tables(cells: DataFrame, page: list[str], title: str | None = None
     rows = page_rows(cells, page, title)
     whole = rows.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("row", "unit", "cells"))).alias("rows"))
     whole = whole.withColumn("_edges", columns(F.col("rows"))).select(*table, _with_left(F.col("_edges")).alias("cols"), F.inline("rows"))
-    numbers = F.exists("cells", lambda c: c["number"])
-    read = whole.select(*table, "cols", "row", "unit", numbers.alias("numbers"), placed_cells(F.col("cells"), F.col("cols"), numbers).alias("placed"))
+    whole = whole.withColumn("numbers", F.exists("cells", lambda c: c["number"])).withColumn("limit", F.get("cols", F.lit(0))["left"])
+    heading = ~F.col("numbers") & F.exists("cells", lambda c: c["x0"] >= F.col("limit"))
+    read = whole.select(*table, "cols", "row", "unit", "numbers", placed_cells(F.col("cells"), F.col("cols"), F.col("limit"), F.col("numbers"), heading).alias("placed"))
     read = read.withColumn("band", ~F.col("numbers") & F.exists("placed", lambda c: c["first"].isNotNull()))
     starts = F.when(~F.col("band") | F.col("unit"), 1).otherwise(0)
     read = read.withColumn("run", F.sum(starts).over(Window.partitionBy(*table).orderBy("row")))
