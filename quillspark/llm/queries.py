@@ -12,6 +12,7 @@ from .op07_token_counts import op7_token_counts
 from .op08_secret_scan import op8_secret_scan
 from .op09_minhash import op9_minhash_dedup
 from .op10_fingerprint import op10_fingerprints
+from .op11_toxicity import op11_toxicity
 from .op12_alignment import op12_alignment
 from .op13_periodic import op13_periodic_runs
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_toxicity": op11_toxicity,
     "op12_alignment": op12_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }

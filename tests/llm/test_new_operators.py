@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import op12_alignment, op13_periodic
+from quillspark.llm import op11_toxicity, op12_alignment, op13_periodic
 from quillspark.llm.vocab import vocabulary_path
 
 from .test_llm import documents, some_texts
@@ -19,6 +19,94 @@ from .test_llm import documents, some_texts
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
+# ------------------------------------------------------------------ 11
+
+
+def brute_kernel(s, t):
+    """Subsequences of three letters of both strings, weighed by the stretches they span."""
+
+    def features(word):
+        word, out = f"\1{word}\2", collections.defaultdict(float)
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, min(len(word), i + op11_toxicity.REACH)):
+                    out[word[i] + word[j] + word[k]] += op11_toxicity.DECAY ** (k - i + 1)
+        return out
+
+    a, b = features(s), features(t)
+    norm = lambda x: sum(v * v for v in x.values()) ** 0.5
+    return sum(v * b.get(k, 0) for k, v in a.items()) / (norm(a) * norm(b) or 1)
+
+
+def test_kernel():
+    words = ["idiot", "idxiot", "id", "a", "banana", "schlecht", "xx" * 12, "trash", "thrash"]
+    alphabet = op11_toxicity.Alphabet(words)
+    found = alphabet.kernel(words, words)
+    assert np.allclose(found, [[brute_kernel(s, t) for t in words] for s in words])
+    assert found[0, 1] > 0.4 > found[0, 4]
+
+
+def test_words_of_a_sentence():
+    assert op11_toxicity.words_of("An id-iot, i d i o t -- (x) to") == ["an", "idiot", "iot", "i", "d", "i", "o", "t", "x", "to", "idiotx"]
+    assert op11_toxicity.words_of("--- !!") == []
+    windows = op11_toxicity.words_of("x" * 100)
+    assert all(len(w) <= op11_toxicity.WINDOW for w in windows) and sum(map(len, windows)) >= 100
+
+
+def toxic_world(n=900, seed=4):
+    rng = random.Random(seed)
+    parts = ["the", "an", "er", "in", "on", "tion", "ha", "nd", "st", "ble", "wh", "ou"]
+    insults = ["idiot", "worthless", "scum", "zorquf"]
+    texts, toxic = [], []
+    for i in range(n):
+        words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(5, 60))]
+        if i % 4 == 0:
+            for _ in range(rng.randint(1, 2)):
+                words[rng.randrange(len(words))] = rng.choice(insults) + rng.choice(["", "", ".", rng.choice(parts[:4])])
+        texts.append(" ".join(words))
+        toxic.append(int(i % 4 == 0))
+    return texts, toxic
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame([(i, 1, t, "x") for i, t in rows], "doc_id long, quality int, toxic int, text string")
+
+
+def test_toxicity_on_held_out_labels(spark):
+    texts, toxic = toxic_world()
+    extra = [None, "", "!!", " ".join(["the"] * 30000), " ".join(["the"] * 30000) + " idiot", "You i-d-i-o-t there", "i d i o t"]
+    docs = documents(spark, texts + extra)
+    rows = op11_toxicity.toxicity(docs, labelled(spark, enumerate(toxic))).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == len(by) == len(texts) + len(extra)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [i for i in range(len(texts)) if by[i].held_out]
+    assert np.mean([by[i].predicted == toxic[i] for i in held]) > 0.98
+    n = len(texts)
+    assert [by[n + k].predicted for k in range(7)] == [0, 0, 0, 0, 1, 1, 1]
+    assert {by[n + k].decision for k in range(3)} == {op11_toxicity.NOTHING}
+
+
+def test_toxicity_learns_nothing_from_held_out_labels(spark):
+    texts, toxic = toxic_world(300, 5)
+    docs = documents(spark, texts)
+    turned = [1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t for i, t in enumerate(toxic)]
+    found = [{r.doc_id: r.score for r in op11_toxicity.toxicity(docs, labelled(spark, enumerate(x))).collect()} for x in (toxic, turned)]
+    assert found[0] == found[1]
+
+
+def test_toxicity_of_odd_rows(spark):
+    texts, toxic = toxic_world(200, 6)
+    ids = [None if i % 10 == 3 else 7 if i % 10 == 5 else i for i in range(200)]
+    docs = documents(spark, texts, ids=ids)
+    labels = labelled(spark, [*((i, t) for i, t in zip(ids, toxic)), (None, 1), (3, None), (5, 2)])
+    rows = op11_toxicity.toxicity(docs, labels).collect()
+    assert len(rows) == 200 and not any(r.held_out for r in rows if r.doc_id is None)
+    assert op11_toxicity.toxicity(docs.limit(0), labels).count() == 0
+    for known, score in (([], 0.0), ([(1, 0), (2, 0)], 0.0), ([(1, 1), (2, 1)], 1.0)):
+        assert {r.score for r in op11_toxicity.toxicity(docs, labelled(spark, known)).collect()} == {score}
+
+
 # ------------------------------------------------------------------ 12
 
 
