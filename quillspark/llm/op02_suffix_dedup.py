@@ -12,9 +12,9 @@ ties), so equal windows have equal anchors at equal places. Neighbouring windows
 4. A chunk marks the bytes of all windows that also start earlier and hashes what is left.
 
 Only hashes, places and the differing segments are shuffled besides one pass of the documents; copies of a passage, however many,
-send one row per chunk. Matches never cross documents. Documents that repeat a doc_id are versions of one: a window is earlier
-if its (doc_id, start) is smaller. A null doc_id sorts first, a null text is empty; other columns are ignored and an empty
-table gives an empty result.
+send one row per chunk. Matches never cross documents. Rows that repeat a doc_id, or have none, are documents of their own: a
+window is earlier if its (doc_id, hash of the text, start) is smaller. Rows that repeat the text too are one document, and each
+gets its result. A null doc_id sorts first, a null text is empty; other columns are ignored and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ COLLECTION = 4096
 SLICE = 1 << 19
 CHUNKS_PER_INPUT = 3
 _LEAST = -(1 << 63)
+#: A place holds a hash of the text above the start, so that rows of one doc_id stay apart.
+_PLACE = 32
 _U = np.uint64
 _HASHER = SpanHasher(seed=2_001)
 _OTHER = SpanHasher(seed=2_002)
@@ -84,11 +86,16 @@ class Segments:
 
 def _sorted(docs: pa.Table) -> pa.RecordBatch:
     """The documents of a chunk by id, as one batch."""
-    docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc", "ascending")])).combine_chunks()
+    docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc", "ascending"), ("tag", "ascending")])).combine_chunks()
     batches = docs.to_batches()
     return batches[0] if batches else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in docs.schema], schema=docs.schema)
 
 
+def _places(piece: pa.RecordBatch, s: Segments) -> np.ndarray:
+    """Place of each segment in its document, under the hash of the text."""
+    return (np.asarray(piece.column("tag"))[s.doc] << _PLACE) | s.start
+
+
 def _pairs_key(anchor: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return mix64(anchor ^ mix64(digest))
 
@@ -106,7 +113,7 @@ def _unpack(rows: pa.Table) -> tuple[np.ndarray, ...]:
     cols = [b"".join(rows.column(c).to_pylist()) for c in _NAMES]
     anchor, digest = np.frombuffer(cols[0], dtype=_U), np.frombuffer(cols[1], dtype=_U)
     n = np.array([len(x) // 8 for x in rows.column("anchor").to_pylist()], dtype=np.int64)
-    return anchor, digest, np.frombuffer(cols[2], dtype=np.int64), np.frombuffer(cols[3], dtype=np.int32), np.frombuffer(cols[4], dtype=np.uint8), np.repeat(np.arange(len(n)), n)
+    return anchor, digest, np.frombuffer(cols[2], dtype=np.int64), np.frombuffer(cols[3], dtype=np.int64), np.frombuffer(cols[4], dtype=np.uint8), np.repeat(np.arange(len(n)), n)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
@@ -115,7 +122,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     block = max(b for b in range(1, 26) if width % b == 0)
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), CHUNKS_PER_INPUT * input_partitions(docs))
     rows = docs.select(id_column(), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("chunk"))
+    rows = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), "text", F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("tag"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc", "tag"), F.lit(chunks)).cast("int"))
     dealt = rows.repartition(chunks, "chunk").groupBy("chunk")
 
     def to_table(entries: list[dict], schema: pa.Schema) -> pa.Table:
@@ -129,7 +137,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
         found = []
         for piece in text_slices([_sorted(part)], SLICE):
             s = Segments(piece.column("text"), width, anchor)
-            found.append((s.anchor, s.digest, np.asarray(piece.column("doc"))[s.doc], s.start.astype(np.int32)))
+            found.append((s.anchor, s.digest, np.asarray(piece.column("doc"))[s.doc], _places(piece, s)))
         if not found:
             return to_table([], entry_schema)
         a, d, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -177,7 +185,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
         at = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
         hit = np.flatnonzero((a[at] == s.anchor) & (d[at] == s.digest)) if len(key) else np.empty(0, dtype=np.int64)
         at = at[hit] if len(hit) else hit
-        first = (np.asarray(piece.column("doc"))[s.doc[hit]] == doc[at]) & (s.start[hit] == start[at])
+        first = (np.asarray(piece.column("doc"))[s.doc[hit]] == doc[at]) & (_places(piece, s)[hit] == start[at])
         return hit, at, first
 
     def lookup(reply: pa.Table) -> tuple:
@@ -198,10 +206,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
                 hit, at, first = matched(piece, s, known)
                 pick = hit[first & (known[5][at] > 0)]
                 bucket = (s.anchor[pick] % _U(chunks)).astype(np.int64)
-                ids = np.asarray(piece.column("doc"))
+                ids, places = np.asarray(piece.column("doc")), _places(piece, s)
                 for b in np.unique(bucket):
                     own = pick[bucket == b]
-                    out.setdefault(int(b), []).append((s.anchor[own], ids[s.doc[own]], s.start[own].astype(np.int32), s.length[own].astype(np.int32), b"".join(s.data[x : x + n].tobytes() for x, n in zip(s.begin[own], s.length[own], strict=True))))
+                    out.setdefault(int(b), []).append((s.anchor[own], ids[s.doc[own]], places[own], s.length[own].astype(np.int32), b"".join(s.data[x : x + n].tobytes() for x, n in zip(s.begin[own], s.length[own], strict=True))))
         entries = []
         for b, pieces in out.items():
             a, doc, start, size, text = zip(*pieces, strict=True)
@@ -210,7 +218,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
 
     def compare(key, part):
         cols = {c: b"".join(part.column(c).to_pylist()) for c in ("anchor", "doc", "start", "size", "text")}
-        a, doc, start, size = np.frombuffer(cols["anchor"], _U), np.frombuffer(cols["doc"], np.int64), np.frombuffer(cols["start"], np.int32).astype(np.int64), np.frombuffer(cols["size"], np.int32).astype(np.int64)
+        a, doc, start, size = np.frombuffer(cols["anchor"], _U), np.frombuffer(cols["doc"], np.int64), np.frombuffer(cols["start"], np.int64), np.frombuffer(cols["size"], np.int32).astype(np.int64)
         data, begin = np.frombuffer(cols["text"], np.uint8), np.cumsum(size) - size
         chunk = np.repeat(np.array(part.column("chunk").to_pylist()), [len(x) // 8 for x in part.column("anchor").to_pylist()])
         order = np.lexsort((start, doc, a))
@@ -233,7 +241,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
         out = []
         for c, pieces in found.items():
             d, s, e = (np.concatenate(x) for x in zip(*pieces, strict=True))
-            out.append({"chunk": c, "anchor": None, "digest": e.astype(np.int64).tobytes(), "doc": d.astype(np.int64).tobytes(), "start": s.astype(np.int32).tobytes(), "flag": None})
+            out.append({"chunk": c, "anchor": None, "digest": e.astype(np.int64).tobytes(), "doc": d.astype(np.int64).tobytes(), "start": s.astype(np.int64).tobytes(), "flag": None})
         return to_table(out, reply_schema)
 
     result_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int32()))])
@@ -241,9 +249,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     def cut_out(key, part, reply):
         ranged = pc.is_null(reply.column("anchor"))
         known, extra = lookup(reply.filter(pc.invert(ranged))), reply.filter(ranged)
-        e_doc, e_start, e_end = (np.frombuffer(b"".join(extra.column(c).to_pylist()), t).astype(np.int64) for c, t in (("doc", np.int64), ("start", np.int32), ("digest", np.int64)))
-        order = np.argsort(e_doc, kind="stable")
-        e_doc, e_start, e_end = e_doc[order], e_start[order], e_end[order]
+        e_doc, e_start, e_end = (np.frombuffer(b"".join(extra.column(c).to_pylist()), t).astype(np.int64) for c, t in (("doc", np.int64), ("start", np.int64), ("digest", np.int64)))
+        of: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        low = (1 << _PLACE) - 1
+        for d, a, b in zip(e_doc.tolist(), e_start.tolist(), e_end.tolist(), strict=True):
+            of.setdefault((d, a >> _PLACE), []).append((a & low, b & low))
         out = []
         for piece in text_slices([_sorted(part)], SLICE):
             s = Segments(piece.column("text"), width, anchor)
@@ -254,13 +264,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
                 np.add.at(edge, s.begin[own], 1)
                 np.add.at(edge, s.begin[own] + s.length[own], -1)
             ids = np.asarray(piece.column("doc"))
-            lo, hi = np.searchsorted(e_doc, ids, "left"), np.searchsorted(e_doc, ids, "right")
-            for i in np.flatnonzero(hi > lo):
-                size = s.offsets[i + 1] - s.offsets[i] - 1
-                for a, b in zip(e_start[lo[i] : hi[i]], e_end[lo[i] : hi[i]], strict=True):
-                    if b <= size:  # a version of the same doc_id may be shorter
-                        edge[s.offsets[i] + a] += 1
-                        edge[s.offsets[i] + b] -= 1
+            for i, row in enumerate(zip(ids.tolist(), piece.column("tag").to_pylist(), strict=True) if of else ()):
+                for a, b in of.get(row, ()):
+                    edge[s.offsets[i] + a] += 1
+                    edge[s.offsets[i] + b] -= 1
             gone = np.cumsum(edge[:-1]) > 0
             turn = np.diff(gone.astype(np.int8), prepend=0, append=0)
             at = np.flatnonzero(turn)

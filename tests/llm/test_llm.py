@@ -161,6 +161,22 @@ def test_suffix_dedup_of_odd_ids(spark):
     assert op02_suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_keeps_rows_of_one_id_apart(spark):
+    rng = random.Random(22)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base, shared = some(900), some(130)
+    texts = [base, some(200) + base[300:430] + some(200), some(530), some(357), shared + some(300), some(90) + shared + some(40), "same " * 60, "same " * 60, some(700)[:650] + base[:50], None, ""]
+    ids = [1, 2, 2, None, None, 4, 2, 2, None, 2, 2]
+    docs = documents(spark, texts, ids=ids)
+    tags = [r.tag for r in spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "i int, text string").orderBy("i").selectExpr("pmod(xxhash64(text), 2147483648L) AS tag").collect()]
+    keys = [(i is not None, i or 0, tag) for i, tag in zip(ids, tags)]
+    one = dict(zip(keys, [(t or "").encode() for t in texts]))
+    expected = {r[0]: r[1:] for r in repeats(sorted(one.items()), 100)}
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    got = sorted((tuple(r)[:5] for r in op02_suffix_dedup.remove_repeats(docs).collect()), key=key)
+    assert got == sorted(((i, *expected[k]) for i, k in zip(ids, keys)), key=key)
+
+
 def test_collection_transform():
     rng = random.Random(4)
     for _ in range(15):
