@@ -6,7 +6,7 @@ logistic loss of each margin against each codeword, weighted by how well the bit
 nearest codeword; the score is its share of exp(-loss), and a result whose runner-up is close is flagged ambiguous.
 
 The models are fitted on a bounded sample of labelled rows, about ``SAMPLE_PER_LANGUAGE`` of each language, picked by a hash
-of doc_id. Nulls: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; a null lang is never learned; a null
+of doc_id and text, equal ones once. Nulls: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; a null lang is never learned; a null
 doc_id counts as the empty string for the split. Empty tables give an empty result, and with no labelled row all is
 ``und``. Repeated rows each get a row, other columns are ignored.
 """
@@ -143,11 +143,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int = 11
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([])
-    pick = F.xxhash64(F.lit(seed), "doc_id").bitwiseAND((1 << 31) - 1)
+    # A row is drawn by its id and text, and equal texts count once, so that equal rows can't swell the sample.
+    pick = F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND((1 << 31) - 1)
     limit = F.lit(-1)
     for lang, n in sorted(counts.items()):
         limit = F.when(F.col("lang") == lang, F.lit(min(1 << 31, (per_language << 31) // n))).otherwise(limit)
-    return train([(r.text, r.lang) for r in rows.where(pick < limit).select("text", "lang").collect()])
+    return train([(r.text, r.lang) for r in rows.where(pick < limit).select("text", "lang").distinct().collect()])
 
 
 def identify(docs: DataFrame, model: LanguageModel, *carry: str) -> DataFrame:

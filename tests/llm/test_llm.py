@@ -64,6 +64,16 @@ def test_language_without_labels(spark):
     assert op01_language.identify(empty, op01_language.fit(empty), "doc_id").count() == 0
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op01_language, "train", lambda rows: seen.extend(rows))
+    texts = [f"word {i % 3} {i}" for i in range(900)] + ["same"] * 900
+    for ids in ([1] * 1800, [None] * 1800):
+        seen.clear()
+        op01_language.fit(documents(spark, texts, ids=ids), per_language=50)
+        assert 20 <= len(seen) <= 100 or zlib.crc32(str(ids[0] or "").encode()) % 4 == 2
+
+
 @pytest.mark.parametrize("n", [2, 3, 5, 7, 12])
 def test_codewords_are_apart(n):
     code = op01_language.codewords(n)
