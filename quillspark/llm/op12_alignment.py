@@ -33,7 +33,7 @@ from .vocab import vocabulary_path
 #: Text bytes of the documents whose links are joined together.
 BLOCK_BYTES = 4 << 20
 #: Units remembered in a worker; beyond that the memory starts anew.
-CACHE_UNITS = 1 << 18
+CACHE_UNITS = 1 << 19
 #: Units encoded as one text.
 STRIP = 2048
 
@@ -94,6 +94,11 @@ def unit_cuts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(gap)
 
 
+def closed(unit: bytes) -> bool:
+    """Whether a space behind ``unit`` begins another unit, by the rule of ``unit_cuts``."""
+    return unit[-1] > 0x20 and unit[-1] != 0x7F and unit[-2:-1] != b"\xc2" and not b"\xe1" <= unit[-3:-2] <= b"\xe3"
+
+
 class Aligner:
     """Units and what is known of them: counts of tokens, groups and links, the groups as text, and the links as pairs of ids."""
 
@@ -116,12 +121,12 @@ class Aligner:
         new = [u for u in units if u not in self.slot]
         if new:
             # A unit that ends in white space would grow into the next one.
-            joined = [u for u in new if unit_cuts(np.frombuffer(u + b" ", dtype=np.uint8), np.zeros(1, dtype=np.int64))[-1] == len(u)]
-            alone = set(new).difference(joined)
+            joined = [u for u in new if closed(u)]
             for k in range(0, len(joined), STRIP):
                 self._add(joined[k : k + STRIP])
-            for u in alone:
-                self._add([u])
+            for u in new:
+                if not closed(u):
+                    self._add([u])
             self.known = None
         return np.fromiter((self.slot[u] for u in units), dtype=np.int64, count=len(units))
 
@@ -152,7 +157,8 @@ class Aligner:
         counts = np.stack([*(np.diff(x) for x in upto), np.zeros(len(units), dtype=np.int64)], axis=1)
         say_a, say_b = [str(i) for i in ids_a], [str(i) for i in ids_b]
         cut_a, cut_b = np.searchsorted(end_a, both, side="right").tolist(), np.searchsorted(end_b, both, side="right").tolist()
-        said = [f"{','.join(say_a[i:j])}|{','.join(say_b[k:m])}" for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
+        cuts = zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)
+        said = [f"{say_a[i]}|{say_b[k]}" if j - i == m - k == 1 else f"{','.join(say_a[i:j])}|{','.join(say_b[k:m])}" for i, j, k, m in cuts]
         of = upto[2].tolist()
         groups = [";".join(said[i:j]) for i, j in zip(of, of[1:])]
         self._enter(units, groups, counts, ((ids_a[at_a] << self.bits) | ids_b[at_b])[upto[3][0] :])
