@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import id_column, spaced_words, table, text_slices, utf8_buffer
 
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 1500, 8192
+SAMPLE_PER_LABEL, SAMPLE_BYTES = 1000, 8192
 #: Letters of a subsequence span at most so many; what each letter of the span costs; letters of a window over a long word.
 REACH, DECAY, WINDOW = 8, 0.6, 24
 LANDMARKS, ROUNDS = 192, 4
@@ -49,6 +49,8 @@ _LETTERS, _BITS = 64, 7
 #: Words remembered in a worker.
 CACHE_WORDS = 1 << 19
 _CHUNK = 1 << 17
+#: Rows of a matrix that are worked on at once.
+_ROWS = 1 << 14
 _POWER = DECAY ** np.arange(3, REACH + 1)
 
 
@@ -117,17 +119,18 @@ class Alphabet:
         """Kernel of each string and each landmark."""
         mark, sub, weight = self.features(landmarks)
         columns, place = np.unique(sub, return_inverse=True)
-        dense = np.zeros((len(columns), len(landmarks)))
+        dense = np.zeros((len(columns), len(landmarks)), dtype=np.float32)
         dense[place, mark] = weight
-        out = np.zeros((len(strings), len(landmarks)))
+        out = np.zeros((len(strings), len(landmarks)), dtype=np.float32)
         for lo in range(0, len(strings), 4096):
             string, sub, weight = self.features(strings[lo : lo + 4096])
             at = np.minimum(np.searchsorted(columns, sub), max(0, len(columns) - 1))
             there = np.flatnonzero(columns[at] == sub)
-            if len(there):
-                string, rows = string[there], dense[at[there]] * weight[there, None]
-                first = np.flatnonzero(np.diff(string, prepend=-1))
-                out[lo + string[first]] = np.add.reduceat(rows, first, axis=0)
+            string, at, weight = string[there], at[there], weight[there].astype(np.float32)
+            for k in range(0, len(there), _ROWS):
+                part = string[k : k + _ROWS]
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                out[lo + part[first]] += np.add.reduceat(dense[at[k : k + _ROWS]] * weight[k : k + _ROWS, None], first, axis=0)
         return out
 
 
@@ -151,20 +154,26 @@ class ToxicityModel:
 
 
 def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 40) -> np.ndarray:
-    """Weights (the last is the offset) of a linear machine with squared hinge, by Newton steps over the rows within the margin."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Weights (the last is the offset) of a linear machine with squared hinge, by Newton steps over the rows within the margin. The last column of ``x`` is 1."""
     w = np.zeros(x.shape[1])
     keep = ridge * np.eye(x.shape[1])
     keep[-1, -1] = ridge * 1e-3
 
+    def margins(w: np.ndarray) -> np.ndarray:
+        return y * np.concatenate([x[k : k + _ROWS] @ w for k in range(0, len(x), _ROWS)])
+
     def loss(w: np.ndarray) -> float:
-        return float((weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + w @ keep @ w)
+        return float((weight * np.maximum(0, 1 - margins(w)) ** 2).sum() + w @ keep @ w)
 
     now = loss(w)
     for _ in range(steps):
-        inside = y * (x @ w) < 1
-        xi, wi = x[inside], weight[inside]
-        goal = np.linalg.solve((xi * wi[:, None]).T @ xi + keep, (xi * wi[:, None]).T @ y[inside])
+        inside, left, right = np.flatnonzero(margins(w) < 1), keep.copy(), np.zeros(len(w))
+        for k in range(0, len(inside), _ROWS):
+            xi = x[inside[k : k + _ROWS]].astype(np.float64)
+            weighed = xi * weight[inside[k : k + _ROWS], None]
+            left += weighed.T @ xi
+            right += weighed.T @ y[inside[k : k + _ROWS]]
+        goal = np.linalg.solve(left, right)
         size, then = 1.0, loss(goal)
         while then > now and size > 1e-3:
             size /= 2
@@ -203,7 +212,8 @@ def _landmarks(n1: Counter, n0: Counter, docs1: int, docs0: int) -> list[str]:
     choose([w for w in sorted((w for w in n1 if n1[w] >= 2), key=lambda w: (-typical(w), w))[: 4 * LANDMARKS] if typical(w) > 1], LANDMARKS // 3)
     toxic, clean = list(chosen), sorted(n0)
     choose(sorted(n0, key=lambda w: (-n0[w], w))[: 2 * LANDMARKS], LANDMARKS // 2)
-    near = Alphabet(toxic).kernel(clean, toxic).max(axis=1, initial=0.0)
+    alphabet = Alphabet(toxic)
+    near = np.concatenate([np.empty(0), *(alphabet.kernel(clean[k : k + _ROWS], toxic).max(axis=1, initial=0.0) for k in range(0, len(clean), _ROWS))])
     choose([clean[i] for i in np.argsort(-near, kind="stable")[: 4 * LANDMARKS]], LANDMARKS)
     return chosen
 
@@ -227,7 +237,15 @@ def train(rows: list[tuple[str, int]], share: float) -> ToxicityModel | None:
     index = {w: i for i, w in enumerate(words)}
     values, vectors = np.linalg.eigh(alphabet.kernel(marks, marks))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
-    x = alphabet.kernel(words, marks) @ whiten
+
+    def mapped(strings: list[str]) -> np.ndarray:
+        """The whitened kernel map, and a 1."""
+        out = np.ones((len(strings), len(marks) + 1), dtype=np.float32)
+        for k in range(0, len(strings), _ROWS):
+            out[k : k + _ROWS, :-1] = alphabet.kernel(strings[k : k + _ROWS], marks) @ whiten
+        return out
+
+    x = mapped(words)
     clean = np.array(sorted({index[w] for b, y in fit if not y for s in b for w in s}))
     toxic = [[np.array([index[w] for w in s]) for s in b] for b, y in fit if y]
     first = np.array([(n1[w] + 0.5) / (n0[w] * docs1 / docs0 + 0.5) if n1[w] >= 2 else 0.0 for w in words])
@@ -241,11 +259,10 @@ def train(rows: list[tuple[str, int]], share: float) -> ToxicityModel | None:
         weight = np.concatenate([np.sqrt(times) / np.sqrt(times).sum(), np.full(len(clean), 1 / len(clean))])
         near = [v for i in seen[rank[seen] > 0] for v in disguised(words[i])] if step else []
         if near:
-            rows_near = alphabet.kernel(near, marks) @ whiten
-            w = hinge_machine(np.concatenate([x[at], rows_near]), np.concatenate([y, np.ones(len(near))]), np.concatenate([weight, np.full(len(near), 1 / len(near))]))
+            w = hinge_machine(np.concatenate([x[at], mapped(near)]), np.concatenate([y, np.ones(len(near))]), np.concatenate([weight, np.full(len(near), 1 / len(near))]))
         else:
             w = hinge_machine(x[at], y, weight)
-        rank = x @ w[:-1] + w[-1]
+        rank = x @ w
     beta, w_offset = whiten @ w[:-1], float(w[-1])
     table_ = np.zeros(1 << 3 * _BITS, dtype=np.float32)
     mark, sub, weight = alphabet.features(marks)
