@@ -1,7 +1,8 @@
-"""Tables built once for an application and read by many queries."""
+"""Tables built once for an application and read by many queries, and stages written so that no later one repeats them."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -13,12 +14,13 @@ _BUILT: dict[tuple[str, ...], str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, or a temporary one where all tasks run on this machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the cluster shares, or one temporary folder where all tasks run on this machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quillspark.store.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quillspark-")
+        spark.conf.set("quillspark.store.dir", base)
     return base
 
 
@@ -30,15 +32,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back: a plan that names them twice reads them twice, and a lost executor loses none."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _state(spark: SparkSession, source: str) -> str:
+    """Names, sizes and times of the files below ``source``, which tell whether it is still what a table was built from."""
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(source)
+    files, said = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hpath, True), []
+    while files.hasNext():
+        f = files.next()
+        said.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(said)).encode()).hexdigest()
+
+
 def built(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
-    """The table ``name`` derived from ``source``: written at the first call of this application, read from then on.
+    """The table ``name`` derived from the files of ``source``: written at the first call of this application, read until those files change.
 
-    It is removed when the driver's JVM ends. A lost executor loses none of it.
+    It is removed when the driver's JVM ends, or by ``forget``. A lost executor loses none of it.
     """
-    key = (spark.sparkContext.applicationId, name, source)
+    key = (spark.sparkContext.applicationId, name, source, _state(spark, source))
     if key not in _BUILT:
         rows, path = build(), scratch(spark, name)
         writer = rows.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         _BUILT[key] = path
     return spark.read.parquet(_BUILT[key])
+
+
+def forget(spark: SparkSession, source: str | None = None) -> None:
+    """Remove the tables built from ``source``, or from any."""
+    for key in [k for k in _BUILT if source in (None, k[2])]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_BUILT.pop(key))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
