@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import figures as fig
@@ -121,3 +121,62 @@ def acceptance(reports: DataFrame, least_notes: int, least_statements: int, read
     """All gates of a report at once: (report, each gate, accepted). Takes (report, notes, statements, readable_share)."""
     gates = reports.select("report", (F.col("notes") >= least_notes).alias("enough_notes"), (F.col("statements") >= least_statements).alias("enough_statements"), (F.col("readable_share") >= readable).alias("readable"))
     return gates.withColumn("accepted", F.col("enough_notes") & F.col("enough_statements") & F.col("readable"))
+
+
+# A total's label, the most figures of a sum, and how far a sum may be off.
+TOTAL_LABEL, LONGEST_SUM, NEAR = r"(?i)^\s*total\b", 20, 0.5
+
+_TIED = "array<struct<row:bigint,figure:string,status:string,parts:array<string>>>"
+
+
+def tie_outs(cells: DataFrame) -> DataFrame:
+    """(page, tbl, col, row, figure, status, parts): totals that equal figures above them, and the digits of all that took part.
+
+    A row ties if it is the sum of the shortest run of 2 to ``LONGEST_SUM`` figures above it in its column, or the difference of the
+    last two; it then stands for them further down. A column is a fold: its figures so far and their running sums, so that the sum of
+    a run is the difference of two of them. A total may also be the sum or difference of the last two figures of the rows above,
+    whatever their columns: those come from a window over rows. A total that ties in no way is untied, or unchecked if a figure above
+    is unreadable. Takes (page, tbl, col, row, label, figure, value).
+    """
+    label = F.trim(F.replace(F.coalesce("label", F.lit("")), F.lit("*"), F.lit("")))
+    cells = cells.select("page", "tbl", "col", F.col("row").cast("long").alias("row"), label.alias("label"), F.coalesce("figure", F.lit("")).alias("figure"), "value")
+    down = Window.partitionBy("page", "tbl").orderBy("row")
+    pair = F.transform(F.array_sort(F.collect_list(F.struct("col", "figure", "value"))), lambda x: F.struct(x["figure"].alias("figure"), x["value"].alias("value")))
+    rows = cells.where("value is not null").groupBy("page", "tbl", "row").agg(pair.alias("own"), F.min_by("label", "col").alias("first"))
+    rows = rows.withColumn("last", F.try_element_at("own", F.lit(-1))).withColumn("next", F.try_element_at("own", F.lit(-2)))
+    one, other = F.lag("last").over(down), F.coalesce(F.lag("next").over(down), F.lag("last", 2).over(down))
+    rows = rows.withColumns({"a": other, "b": one}).select("page", "tbl", "row", F.when(_is_total(F.col("first")), F.col("a")).alias("a"), F.when(_is_total(F.col("first")), F.col("b")).alias("b"))
+    item = F.struct("row", "label", "figure", "value", "a", "b")
+    columns = cells.join(rows, ["page", "tbl", "row"], "left").groupBy("page", "tbl", "col").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    digits = lambda figure: F.regexp_replace(figure, "[^0-9]", "")
+    near = lambda total, value: F.coalesce(F.abs(total - value) < NEAR, F.lit(False))
+
+    def step(state: Column, x: Column) -> Column:
+        figures, sums, n, value = state["figures"], state["sums"], F.size(state["figures"]), x["value"]
+        upto = lambda k: F.get(sums, n - k)  # noqa: E731  running sum without the last k
+        runs = F.when(n >= 2, F.sequence(F.lit(2), F.least(n, F.lit(LONGEST_SUM)))).otherwise(F.array().cast("array<int>"))
+        shortest = F.get(F.filter(runs, lambda k: near(upto(F.lit(0)) - upto(k), value)), F.lit(0))
+        used = F.coalesce(shortest, F.when((n >= 2) & near(2 * upto(F.lit(1)) - upto(F.lit(2)) - upto(F.lit(0)), value), F.lit(2)), F.lit(0))
+        across = near(x["a"]["value"] - x["b"]["value"], value) | near(x["a"]["value"] + x["b"]["value"], value)
+        parts = F.when(used > 0, F.slice(figures, n - used + 1, used)).when(across, F.array(x["a"]["figure"], x["b"]["figure"]))
+        status = F.when(parts.isNotNull(), "tied").when((n >= 2) & _is_total(x["label"]), F.when(state["unknown"], "unchecked").otherwise("untied"))
+        said = F.struct(x["row"].alias("row"), x["figure"].alias("figure"), status.alias("status"), F.coalesce(F.array_sort(F.array_distinct(F.transform(F.concat(parts, F.array(x["figure"])), digits))), F.array().cast("array<string>")).alias("parts"))
+        read = F.struct(
+            F.concat(F.slice(figures, 1, n - used), F.array(x["figure"])).alias("figures"), F.concat(F.slice(sums, 1, n - used + 1), F.array(F.get(sums, n - used) + value)).alias("sums"),
+            (state["unknown"] & parts.isNull()).alias("unknown"), F.when(status.isNotNull(), F.concat(state["out"], F.array(said))).otherwise(state["out"]).alias("out"),
+        )
+        blank = F.struct(figures.alias("figures"), sums.alias("sums"), (state["unknown"] | F.contains(x["figure"], F.lit("[?]"))).alias("unknown"), state["out"].alias("out"))
+        return F.when(value.isNull(), blank).otherwise(read)
+
+    start = F.struct(F.array().cast("array<string>").alias("figures"), F.array(F.lit(0.0)).alias("sums"), F.lit(False).alias("unknown"), F.array().cast(_TIED).alias("out"))
+    found = columns.select("page", "tbl", "col", F.inline(F.aggregate("s", start, step, lambda state: state["out"])))
+    return found.select("page", "tbl", "col", "row", "figure", "status", "parts")
+
+
+def _is_total(label: Column) -> Column:
+    return (label == "") | label.rlike(TOTAL_LABEL)
+
+
+def confirmed(ties: DataFrame) -> DataFrame:
+    """(page, figure): the digits of every figure that took part in a tie of its page."""
+    return ties.where("status = 'tied'").select("page", F.explode("parts").alias("figure")).distinct()

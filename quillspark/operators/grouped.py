@@ -1,173 +1,10 @@
-"""Stateful transforms of one page, table or document, run as Arrow-batched grouped functions.
-
-Each holds one page, table or document in memory, never more: groups are cut by (report, page), (page, table) or document.
-"""
+"""Rows of text from positioned pieces, as an ordered fold of each row."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_CHARS, MAX_CHARS = 1500, 8000
-LONGEST_RUN = 20
-
-
-def cluster_rows(spans: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Adds ``row``: spans by vertical centre, a new row where a centre is over ``tolerance`` below its row's first. Takes (page, y, x, text)."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x"], kind="stable")
-        rows, first, row = [], None, -1
-        for y in page["y"]:
-            if first is None or y - first > tolerance:
-                first, row = y, row + 1
-            rows.append(row)
-        return page.assign(row=rows)
-
-    return spans.groupBy("page").applyInPandas(run, "page long, y double, x double, text string, row long")
-
-
-def real_heading(text: str, title: str = "") -> bool:
-    """Whether a block typed as a heading names what follows, and is no pull quote nor the section's own title."""
-    text = text.strip()
-    prose = not text or text[0].islower() or text[-1] in ",;" or len(text.split()) > 14 or len(text) > 110
-    plain = lambda s: re.sub(r"[^a-z0-9]+", " ", s.lower()).strip()
-    return not prose and not (plain(title) and plain(title) in plain(text))
-
-
-def cut_pieces(blocks: list[tuple[int, str, str]], most: int = MAX_CHARS, title: str = "") -> list[dict]:
-    """Pieces of (seq, kind, text) blocks: cut at headings, which name them, and where text would pass ``most`` characters (then in parts)."""
-    out: list[dict] = []
-    named: list[str] = []
-    for seq, kind, text in blocks:
-        heading = kind == "heading" and real_heading(text, title)
-        full = bool(out) and out[-1]["chars"] > 0
-        if heading and (full or not out):
-            named = []
-        if not out or full and (heading or out[-1]["chars"] + len(text) > most):
-            out.append({"heads": list(named), "part": 1 if heading or not out else out[-1]["part"] + 1, "chars": 0, "seqs": []})
-        if heading:
-            named.append(text)
-            out[-1]["heads"] = [" · ".join(named)]
-        else:
-            out[-1]["chars"] += len(text)
-        out[-1]["seqs"].append(seq)
-    return out
-
-
-def join_small(pieces: list[dict], least: int = MIN_CHARS) -> list[dict]:
-    """A piece below ``least`` characters joins the next, both headings naming it; a short last one joins the one before, under its name."""
-    out: list[dict] = []
-    for piece in pieces:
-        if out and out[-1]["chars"] < least:
-            short = out.pop()
-            heads = piece["heads"]
-            if short["heads"] and short["heads"] != heads:
-                fresh = [h for h in heads[-1:] if h not in short["heads"]]
-                heads = [*short["heads"][:-1], " · ".join([short["heads"][-1], *fresh])]
-            piece = {"heads": heads, "part": piece["part"], "chars": short["chars"] + piece["chars"], "seqs": short["seqs"] + piece["seqs"]}
-        out.append(piece)
-    if len(out) > 1 and out[-1]["chars"] < least:
-        short = out.pop()
-        out[-1] = out[-1] | {"chars": out[-1]["chars"] + short["chars"], "seqs": out[-1]["seqs"] + short["seqs"]}
-    return out
-
-
-def passages(blocks: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
-    """(doc_id, passage, first_seq, last_seq, chars, path): the blocks of a section cut at headings and length, small pieces joined. Takes (doc_id, seq, kind, text)."""
-
-    def run(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values("seq")
-        found = join_small(cut_pieces(list(zip(doc["seq"], doc["kind"], doc["text"], strict=True)), most), least)
-        path = lambda p: re.sub("  +", " ", re.sub(r"[\x00-\x1f]+", " ", " › ".join(p["heads"]))) + (f" (part {p['part']})" if p["part"] > 1 else "")
-        rows = [(doc["doc_id"].iloc[0], n, p["seqs"][0], p["seqs"][-1], p["chars"], path(p)) for n, p in enumerate(found, 1)]
-        return pd.DataFrame(rows, columns=["doc_id", "passage", "first_seq", "last_seq", "chars", "path"])
-
-    return blocks.groupBy("doc_id").applyInPandas(run, "doc_id long, passage long, first_seq long, last_seq long, chars long, path string")
-
-
-def tie_outs(cells: DataFrame) -> DataFrame:
-    """(page, tbl, col, row, figure, status, parts): totals that equal the figures above them in a table, and the digits of all that took part.
-
-    A row ties if it is the sum of the shortest run of 2 to 20 figures above it in its column, or the difference of the last
-    two; it then stands for them further down. A total may also be printed in another column than its parts: the sum or
-    difference of the last two figures of the rows above. A total that does neither is untied, or unchecked if a figure
-    above is unreadable. Takes (page, tbl, col, row, label, figure, value).
-    """
-    total = lambda label: not label or bool(re.match(r"(?:\*\*)?\s*total\b", label, re.I))
-    plain = lambda figure: re.sub(r"[^0-9]", "", figure)
-    same = lambda a, b: abs(a - b) < 0.5
-
-    def across(table: pd.DataFrame) -> dict[tuple[int, int], list[tuple[str, float]]]:
-        """(row, col) of totals that the last two figures of the rows above give, whatever their columns."""
-        found, last = {}, []
-        for row, own in table[table["value"].notna()].groupby("row", sort=True):
-            if len(last) == 2 and total(own["label"].iloc[0]):
-                (_, a), (_, b) = last
-                found |= {(row, c): last for c, v in zip(own["col"], own["value"], strict=True) if same(a - b, v) or same(a + b, v)}
-            last = [*last, *zip(own["figure"], own["value"], strict=True)][-2:]
-        return found
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["row", "col"])
-        table = table.assign(label=table["label"].fillna("").str.replace("*", "").str.strip(), figure=table["figure"].fillna(""))
-        elsewhere, out = across(table), []
-        for col, column in table.groupby("col", sort=True):
-            above: list[tuple[str, float]] = []
-            unknown = False
-            for row, label, figure, value in zip(column["row"], column["label"], column["figure"], column["value"], strict=True):
-                if pd.isna(value):
-                    unknown |= "[?]" in figure
-                    continue
-                sums = (k for k in range(2, min(len(above), LONGEST_RUN) + 1) if same(sum(v for _, v in above[-k:]), value))
-                used = next(sums, 2 if len(above) >= 2 and same(above[-2][1] - above[-1][1], value) else 0)
-                parts = above[-used:] if used else elsewhere.get((row, col))
-                if parts:
-                    out.append((col, row, figure, "tied", sorted({plain(f) for f, _ in [*parts, (figure, value)]})))
-                    above, unknown = above[: len(above) - used], False
-                elif len(above) >= 2 and total(label):
-                    out.append((col, row, figure, "unchecked" if unknown else "untied", []))
-                above.append((figure, value))
-        found = pd.DataFrame(out, columns=["col", "row", "figure", "status", "parts"])
-        return found.assign(page=table["page"].iloc[0], tbl=table["tbl"].iloc[0])[["page", "tbl", "col", "row", "figure", "status", "parts"]]
-
-    return cells.groupBy("page", "tbl").applyInPandas(run, "page long, tbl long, col long, row long, figure string, status string, parts array<string>")
-
-
-def reading_order(boxes: DataFrame, gap: float = 6.0) -> DataFrame:
-    """Adds ``place``: boxes of a page in reading order, cut in turn at the widest white band across or down. Takes (page, box, x0, y0, x1, y1)."""
-
-    def widest(spans: list[tuple[float, float]]) -> tuple[float, float]:
-        """Width and place of the widest band that no span covers."""
-        spans = sorted(spans)
-        best, reach = (0.0, 0.0), spans[0][1]
-        for a, b in spans[1:]:
-            if a - reach > best[0]:
-                best = (a - reach, (a + reach) / 2)
-            reach = max(reach, b)
-        return best
-
-    def order(rows: list[tuple]) -> list[int]:
-        out, left = [], [rows]  # parts still to be cut, the next one last
-        while left:
-            part = left.pop()
-            (down, at_y), (across, at_x) = (widest([(r[k], r[k + 2]) for r in part]) for k in (2, 1)) if len(part) > 1 else ((0.0, 0.0), (0.0, 0.0))
-            if max(down, across) < gap:
-                out += [r[0] for r in sorted(part, key=lambda r: (r[2], r[1]))]
-                continue
-            axis, at = (2, at_y) if down >= across else (1, at_x)
-            left += [[r for r in part if r[axis] >= at], [r for r in part if r[axis] < at]]
-        return out
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        place = {box: k for k, box in enumerate(order(list(page[["box", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))))}
-        return page.assign(place=page["box"].map(place))
-
-    return boxes.groupBy("page").applyInPandas(run, "page long, box long, x0 double, y0 double, x1 double, y1 double, place long")
-
 
 def text_rows(spans: DataFrame, gap: float = 12.0) -> DataFrame:
     """(page, row, text): spans of a row joined, " | " where they stand apart by over ``gap``. Takes (page, row, x0, x1, text); one ordered fold a row."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import figures as fig
 from ..functions import text as tx
-from ..operators import checks, grouped
+from ..operators import checks, grouped, layout
+from ..operators import passages as ps
 from ..operators import structure as st
 from ..operators.sequences import numbered
 from ..sources import report_views as rv
@@ -395,10 +396,40 @@ def d13(spark, d):
     return rows.withColumn("new", new).groupBy("doc_id").agg(F.sum("new").alias("blocks"), F.count_if(F.col("kind") == "table").alias("table_rows"))
 
 
-@query("d14_passages")
+_PASSAGES = """, b AS (SELECT v.doc_id, seq, seq // 20 + 1 AS page, text, source AS title, lang AS parent, length(text) < 40 AS short, trim(text, chr(9) || chr(10) || chr(13) || ' ') AS bare,
+    trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS plain, trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS own FROM v_blocks v JOIN (SELECT doc_id, source, lang FROM documents) d ON d.doc_id = v.doc_id),
+h AS (SELECT *, short AND NOT (bare = '' OR regexp_matches(bare, '^\\p{Ll}') OR regexp_matches(bare, '[,;]$') OR len(regexp_split_to_array(bare, '\\s+')) > 14 OR length(bare) > 110) AND NOT (own <> '' AND contains(plain, own)) AS heading FROM b),
+n AS (SELECT *, CASE WHEN heading THEN 0 ELSE length(text) END AS n FROM h),
+u AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY seq) AS upto FROM n),
+c AS (SELECT *, CASE WHEN heading AND upto > coalesce(max(CASE WHEN heading THEN upto END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS cut FROM u),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY seq) AS stretch FROM c),
+i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stretch ORDER BY seq) AS i FROM s),
+names AS (SELECT doc_id, stretch, coalesce(list(text ORDER BY seq) FILTER (heading), []) AS names FROM s GROUP BY ALL),
+pack AS (SELECT doc_id, stretch, i, seq, n, n::BIGINT AS content, 1 AS part FROM i WHERE i = 1
+  UNION ALL SELECT x.doc_id, x.stretch, x.i, x.seq, x.n, CASE WHEN content > 0 AND NOT x.heading AND content + x.n > 8000 THEN x.n ELSE content + x.n END, part + CASE WHEN content > 0 AND NOT x.heading AND content + x.n > 8000 THEN 1 ELSE 0 END
+  FROM pack k JOIN i x ON x.doc_id = k.doc_id AND x.stretch = k.stretch AND x.i = k.i + 1),
+piece AS (SELECT doc_id, first, part, chars, CASE WHEN part = 1 AND len(names) > 0 THEN [array_to_string(names, ' · ')] ELSE names END AS heads, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS j
+  FROM (SELECT doc_id, stretch, part, min(seq) AS first, sum(n)::BIGINT AS chars FROM pack GROUP BY ALL) JOIN names USING (doc_id, stretch)),
+fold AS (SELECT doc_id, j, first, part, chars, heads, 1 AS g FROM piece WHERE j = 1
+  UNION ALL SELECT x.doc_id, x.j, CASE WHEN f.chars < 1500 THEN f.first ELSE x.first END, x.part, CASE WHEN f.chars < 1500 THEN f.chars ELSE 0 END + x.chars,
+    CASE WHEN f.chars < 1500 AND len(f.heads) > 0 AND f.heads <> x.heads THEN f.heads[:-2] || [array_to_string([f.heads[-1]] || [y FOR y IN x.heads[-1:] IF NOT list_contains(f.heads, y)], ' · ')] ELSE x.heads END, g + CASE WHEN f.chars < 1500 THEN 0 ELSE 1 END
+  FROM fold f JOIN piece x ON x.doc_id = f.doc_id AND x.j = f.j + 1),
+done AS (SELECT *, max(g) OVER (PARTITION BY doc_id) AS last FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, g ORDER BY j DESC) = 1),
+p AS (SELECT *, g AS passage, lead(first) OVER (PARTITION BY doc_id ORDER BY g) AS next FROM done WHERE NOT (g = last AND g > 1 AND chars < 1500)),
+t AS (SELECT s.*, p.passage, p.heads, p.part, lag(s.page) OVER (PARTITION BY s.doc_id, p.passage ORDER BY s.seq) AS was FROM s JOIN p ON s.doc_id = p.doc_id AND s.seq >= p.first AND (p.next IS NULL OR s.seq < p.next)),
+w AS (SELECT doc_id, passage, any_value(heads) AS heads, any_value(part) AS part, any_value(title) AS title, any_value(parent) AS parent, min(seq) AS first_seq, max(seq) AS last_seq, sum(n)::BIGINT AS chars,
+  string_agg(concat_ws(chr(10) || chr(10), CASE WHEN was IS DISTINCT FROM page THEN '--- PDF page ' || page || ' ---' END, nullif(text, '')), chr(10) || chr(10) ORDER BY seq) FILTER (text <> '' OR was IS DISTINCT FROM page) AS text,
+  array_to_string([x FOR x IN regexp_split_to_array(coalesce(string_agg(text, ' ' ORDER BY seq) FILTER (NOT heading), ''), '\\s+') IF x <> ''][1:25], ' ') AS lead FROM t GROUP BY doc_id, passage)
+SELECT doc_id, passage::BIGINT AS passage, 'P-' || title || '-' || lpad(passage::VARCHAR, greatest(2, length(passage::VARCHAR))::INTEGER, '0') AS id, first_seq, last_seq, chars, lead, sha256(text) AS text_sha256,
+  regexp_replace(regexp_replace(array_to_string([parent, title] || [y FOR y IN heads IF trim(regexp_replace(lower(y), '[^a-z0-9]+', ' ', 'g')) <> lower(title)], ' › '), '[\\x00-\\x1f]+', ' ', 'g'), '  +', ' ', 'g') || CASE WHEN part > 1 THEN ' (part ' || part || ')' ELSE '' END AS path FROM w"""
+
+
+@query("d14_passages", with_views("v_blocks").replace("WITH", "WITH RECURSIVE", 1) + _PASSAGES)
 def d14(spark, d):
-    rows = rv.blocks(spark, d).withColumn("kind", F.when(F.length("text") < 40, "heading").otherwise("paragraph"))
-    return grouped.passages(rows)
+    """Documents as sections named by their source: passages with their text, lead, id and path."""
+    named = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("parent"))
+    rows = rv.blocks(spark, d).withColumn("kind", F.when(F.length("text") < 40, "heading").otherwise("paragraph")).withColumn("page", F.floor(F.col("seq") / 20) + 1)
+    return ps.passages(rows.join(named, "doc_id")).drop("figures").withColumn("text_sha256", F.sha2("text", 256)).drop("text")
 
 
 @query("d16_unit_lines", with_views("v_blocks") + "SELECT doc_id, string_agg(text, chr(10) ORDER BY seq) AS text FROM v_blocks WHERE seq BETWEEN 2 AND 5 GROUP BY doc_id")
@@ -441,26 +472,50 @@ def q7(spark, d):
     return checks.acceptance(reports, 40, 2, 0.1)
 
 
-@query("w1_row_clusters")
+@query("w1_row_clusters", """WITH RECURSIVE e AS (SELECT user_id AS page, value * 10 AS y, event_id::DOUBLE AS x, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY value * 10, event_id) AS i FROM events),
+  r AS (SELECT page, i, y AS first, 0 AS row FROM e WHERE i = 1 UNION ALL SELECT e.page, e.i, CASE WHEN e.y - r.first > 3.0 THEN e.y ELSE r.first END, row + CASE WHEN e.y - r.first > 3.0 THEN 1 ELSE 0 END FROM r JOIN e ON e.page = r.page AND e.i = r.i + 1)
+  SELECT page, y, x, text, row FROM e JOIN r USING (page, i)""")
 def w1(spark, d):
-    spans = table(spark, d, "events").select(F.col("user_id").alias("page"), (F.col("value") * 10).alias("y"), F.col("event_id").cast("double").alias("x"), F.col("event_type").alias("text"))
-    return grouped.cluster_rows(spans)
+    y = F.col("value") * 10
+    spans = table(spark, d, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("seg"), y.alias("y0"), y.alias("y1"), F.col("event_id").cast("double").alias("x0"), F.col("event_type").alias("text"))
+    return layout.rows_of_page(spans).select("page", F.col("y0").alias("y"), F.col("x0").alias("x"), "text", F.col("row").cast("long").alias("row"))
 
 
-@query("q5_tie_outs")
-def q5(spark, d):
+_TIES = """, c AS (SELECT order_id AS page, seq * 10 AS row, label, cents / 100.0 AS value FROM v_lines UNION ALL SELECT order_id, max(seq) * 10 + 5, 'Total', sum(cents) / 100.0 FROM v_lines GROUP BY order_id),
+x AS (SELECT page, row, label, value::DOUBLE AS v, format('{:,.2f}', value) AS figure, row_number() OVER w AS i, lag(value::DOUBLE) OVER w AS b, lag(value::DOUBLE, 2) OVER w AS a, lag(format('{:,.2f}', value)) OVER w AS fb, lag(format('{:,.2f}', value), 2) OVER w AS fa FROM c WINDOW w AS (PARTITION BY page ORDER BY row)),
+r AS (SELECT page, i, [v] AS vs, [figure] AS fs, NULL::VARCHAR AS status, row, figure, []::VARCHAR[] AS parts FROM x WHERE i = 1
+  UNION ALL SELECT page, i, vs[:len(vs) - used] || [v], fs[:len(fs) - used] || [figure], CASE WHEN used > 0 OR across THEN 'tied' WHEN len(vs) >= 2 AND label = 'Total' THEN 'untied' END, row, figure,
+    CASE WHEN used > 0 THEN fs[len(fs) - used + 1:] || [figure] WHEN across THEN [fa, fb, figure] ELSE [] END
+  FROM (SELECT *, coalesce(k, CASE WHEN len(vs) >= 2 AND abs(vs[-2] - vs[-1] - v) < 0.5 THEN 2 END, 0) AS used FROM (
+    SELECT x.page, x.i, vs, fs, x.v, x.figure, x.label, x.row, fa, fb, coalesce(x.label = 'Total' AND (abs(a - b - v) < 0.5 OR abs(a + b - v) < 0.5), false) AS across,
+      [k FOR k IN range(2, least(len(vs), 20) + 1) IF abs(list_sum(vs[len(vs) - k + 1:]) - x.v) < 0.5][1] AS k FROM r JOIN x ON x.page = r.page AND x.i = r.i + 1)))
+SELECT page, 0 AS tbl, 1 AS col, row, figure, status, list_sort(list_distinct([regexp_replace(y, '[^0-9]', '', 'g') FOR y IN parts])) AS parts FROM r WHERE status IS NOT NULL"""
+
+
+def _tied(spark, d):
     own = rv.lines(spark, d)
     part = own.select(F.col("order_id").alias("page"), F.lit(0).cast("long").alias("tbl"), F.lit(1).cast("long").alias("col"), (F.col("seq") * 10).alias("row"), F.col("label"), (F.col("cents") / 100).alias("value"))
     total = own.groupBy("order_id").agg(F.sum("cents").alias("c"), F.max("seq").alias("m")).select(F.col("order_id").alias("page"), F.lit(0).cast("long").alias("tbl"), F.lit(1).cast("long").alias("col"), (F.col("m") * 10 + 5).alias("row"), F.lit("Total").alias("label"), (F.col("c") / 100).alias("value"))
-    return grouped.tie_outs(part.unionByName(total).withColumn("figure", F.format_number("value", 2)))
+    return checks.tie_outs(part.unionByName(total).withColumn("figure", F.format_number("value", 2)))
+
+
+@query("q5_tie_outs", with_views("v_lines").replace("WITH", "WITH RECURSIVE", 1) + _TIES)
+def q5(spark, d):
+    return _tied(spark, d)
+
+
+@query("q5_confirmed", with_views("v_lines").replace("WITH", "WITH RECURSIVE", 1) + _TIES.replace("SELECT page, 0 AS tbl", ", t AS (SELECT page, 0 AS tbl") + ") SELECT DISTINCT page, unnest(parts) AS figure FROM t WHERE status = 'tied'")
+def q5_confirmed(spark, d):
+    """The figures of each page that a tie confirms."""
+    return checks.confirmed(_tied(spark, d))
 
 
-@query("d12_reading_order")
+@query("d12_reading_order", "SELECT user_id AS page, event_id AS box, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2, floor(value), event_id) - 1 AS place FROM events")
 def d12(spark, d):
     x = F.col("event_id") % 2 * 300.0
     y = F.floor(F.col("value")) * 12.0
-    boxes = table(spark, d, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("box"), x.alias("x0"), y.alias("y0"), (x + 250.0).alias("x1"), (y + 4.0).alias("y1"))
-    return grouped.reading_order(boxes)
+    boxes = table(spark, d, "events").select(F.col("user_id").alias("page"), F.lit("page").alias("container"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("node"), x.alias("x0"), y.alias("y0"), (x + 250.0).alias("x1"), (y + 4.0).alias("y1"))
+    return layout.reading_order(boxes).select("page", F.col("node").cast("long").alias("box"), "place")
 
 
 @query("d1_text_rows", "SELECT user_id AS page, event_type AS row, string_agg(event_id::VARCHAR, ' | ' ORDER BY event_id) AS text FROM events GROUP BY 1, 2")

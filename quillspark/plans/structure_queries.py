@@ -161,7 +161,7 @@ def f28(spark, d):
 @query("q8_recheck")
 def q8(spark, d):
     """The checks of transcribed tables run again over the pages that are done."""
-    from ..operators.grouped import tie_outs
+    from ..operators.checks import tie_outs
 
     cells = table(spark, d, "events").where("event_type = 'view'").select((F.col("user_id")).alias("page"), F.lit(0).cast("long").alias("tbl"), F.lit(1).cast("long").alias("col"), F.col("event_id").alias("row"), F.when(F.col("event_id") % 5 == 0, "Total").otherwise("line").alias("label"), F.col("value").cast("string").alias("figure"), "value")
     return tie_outs(cells)

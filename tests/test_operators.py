@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import checks, grouped, links, retrieval, sequences
+from quillspark.operators import checks, layout, links, passages, retrieval, sequences
 from quillspark.sources import scans, sinks
 
 
@@ -94,30 +94,43 @@ def test_budget_skips_what_does_not_fit(spark):
     assert rows(retrieval.budget_fill(df, "g", "o", "s", "o", 100)) == [("g", [1, 3]), ("h", [1])]
 
 
-def test_passages_are_named_by_their_headings():
+BLOCKS = "doc_id long, seq long, page long, kind string, text string, title string, parent string"
+
+
+def test_passages_are_named_by_their_headings(spark):
     long = "x" * 1600
     blocks = [(0, "heading", "Indian Economy"), (1, "text", "short"), (2, "heading", "Outlook"), (3, "text", long), (4, "heading", "and so on, softer"), (5, "heading", "Risk"), (6, "heading", "Credit"), (7, "text", long * 4), (8, "text", long * 2), (9, "heading", "End"), (10, "text", "e")]
-    pieces = grouped.cut_pieces(blocks)
-    assert [(p["heads"], p["part"], p["seqs"]) for p in pieces] == [(["Indian Economy"], 1, [0, 1]), (["Outlook"], 1, [2, 3, 4]), (["Risk · Credit"], 1, [5, 6, 7]), (["Risk", "Credit"], 2, [8]), (["End"], 1, [9, 10])]
-    assert [(p["heads"], p["seqs"]) for p in grouped.join_small(pieces)] == [(["Indian Economy · Outlook"], [0, 1, 2, 3, 4]), (["Risk · Credit"], [5, 6, 7]), (["Risk", "Credit"], [8, 9, 10])]
-    assert grouped.join_small([]) == [] and [p["seqs"] for p in grouped.join_small(grouped.cut_pieces([(1, "text", "a")]))] == [[1]]
+    rows_ = spark.createDataFrame([(1, s, s // 4 + 1, k, t, None, None) for s, k, t in blocks] + [(2, 1, 1, "text", "a", None, None), (3, 1, 7, "heading", "Risk report", "Risk", "Annual"), (3, 2, 7, "text", "paid $5 million and\tmore", "Risk", "Annual")], BLOCKS)
+    heads = rows_.withColumn("heading", (F.col("kind") == "heading") & passages.real_heading(F.col("text"), F.col("title")))
+    pieces = passages.pieces(heads).where("doc_id = 1").orderBy("first")
+    assert [(r.heads, r.part, r["first"]) for r in pieces.collect()] == [(["Indian Economy"], 1, 0), (["Outlook"], 1, 2), (["Risk · Credit"], 1, 5), (["Risk", "Credit"], 2, 8), (["End"], 1, 9)]
+    found = {(r.doc_id, r.passage): r for r in passages.passages(rows_).collect()}
+    assert [(found[1, k].path, found[1, k].first_seq, found[1, k].last_seq) for k in (1, 2, 3)] == [("Indian Economy · Outlook", 0, 4), ("Risk · Credit", 5, 7), ("Risk › Credit (part 2)", 8, 10)]
+    assert (found[2, 1].first_seq, found[2, 1].last_seq, found[2, 1].text) == (1, 1, "--- PDF page 1 ---\n\na") and len(found) == 5
+    own = found[3, 1]  # the section's own title names no passage
+    assert (own.path, own.id, own.lead, own.text, [f.amount for f in own.figures]) == ("Annual › Risk", "P-Risk-01", "Risk report paid $5 million and more", "--- PDF page 7 ---\n\nRisk report\n\npaid $5 million and\tmore", [5e6])
+    assert found[1, 1].text.startswith("--- PDF page 1 ---\n\nIndian Economy\n\nshort\n\nOutlook\n\nx") and "\n\n--- PDF page 2 ---\n\nand so on" in found[1, 1].text
+    assert passages.passages(rows_.limit(0)).count() == 0
 
 
 def test_tie_outs(spark):
     cells = [(1, 0, 1, k, label, str(v), v) for k, (label, v) in enumerate([("a", 5.0), ("b", 7.0), ("Total", 12.0), ("c", 3.0), ("Total", 99.0)])]
     df = spark.createDataFrame(cells, "page long, tbl long, col long, row long, label string, figure string, value double")
-    assert [(r.row, r.status) for r in grouped.tie_outs(df).orderBy("row").collect()] == [(2, "tied"), (4, "untied")]
+    assert [(r.row, r.status) for r in checks.tie_outs(df).orderBy("row").collect()] == [(2, "tied"), (4, "untied")]
+
+
+def nodes(spark, boxes):
+    return spark.createDataFrame([(p, "page", f"{k:05d}", *map(float, b)) for p, k, *b in boxes], "page long, container string, node string, x0 double, y0 double, x1 double, y1 double")
 
 
 def test_reading_order(spark):
-    boxes = [(1, 0, 0.0, 0.0, 600.0, 20.0), (1, 1, 0.0, 40.0, 280.0, 300.0), (1, 2, 320.0, 40.0, 600.0, 160.0), (1, 3, 320.0, 170.0, 600.0, 300.0)]
-    df = spark.createDataFrame(boxes, "page long, box long, x0 double, y0 double, x1 double, y1 double")
-    assert [r.box for r in grouped.reading_order(df).orderBy("place").collect()] == [0, 1, 2, 3]
+    df = nodes(spark, [(1, 0, 0, 0, 600, 20), (1, 1, 0, 40, 280, 300), (1, 2, 320, 40, 600, 160), (1, 3, 320, 170, 600, 300)])
+    assert [r.node for r in layout.reading_order(df).orderBy("place").collect()] == ["00000", "00001", "00002", "00003"]
 
 
 def test_row_clusters_compare_to_the_first(spark):
-    df = spark.createDataFrame([(1, 0.0, 0.0, "a"), (1, 2.0, 1.0, "b"), (1, 4.0, 0.0, "c")], "page long, y double, x double, text string")
-    assert [r.row for r in grouped.cluster_rows(df).orderBy("y").collect()] == [0, 0, 1]
+    df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 2.0, 1.0), (1, 2, 4.0, 0.0)], "page long, seg long, y0 double, x0 double").withColumn("y1", F.col("y0"))
+    assert [r.row for r in layout.rows_of_page(df).orderBy("seg").collect()] == [0, 0, 1]
 
 
 def test_page_spec():
@@ -152,7 +165,7 @@ def test_tie_outs_across_columns(spark):
     cells.append((1, 0, 2, 9, "**Total**", "36,205,277", 36205277.0))
     cells.append((1, 0, 3, 1, "Less: treasury", "7[?]", None))
     df = spark.createDataFrame(cells, "page long, tbl long, col long, row long, label string, figure string, value double")
-    got = {(r.row, r.col): (r.status, r.parts) for r in grouped.tie_outs(df).collect()}
+    got = {(r.row, r.col): (r.status, r.parts) for r in checks.tie_outs(df).collect()}
     assert got == {(2, 2): ("tied", ["36205271", "36782441", "577170"]), (9, 2): ("untied", [])}
 
 
@@ -176,8 +189,8 @@ def test_tie_outs_of_all_orders(spark, tmp_path):
 
 def test_reading_order_of_many_boxes(spark):
     """1,500 bands down a page: each is a cut of its own."""
-    boxes = spark.createDataFrame([(1, k, 0.0, k * 20.0, 50.0, k * 20.0 + 5) for k in range(1500)], "page long, box long, x0 double, y0 double, x1 double, y1 double")
-    assert all(r.place == r.box for r in grouped.reading_order(boxes).collect())
+    boxes = nodes(spark, [(1, k, 0, k * 20, 50, k * 20 + 5) for k in range(1500)])
+    assert all(r.place == int(r.node) for r in layout.reading_order(boxes).collect())
 
 
 def test_page_specs_are_null_where_they_are_wrong(spark):
