@@ -241,17 +241,17 @@ _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contamin
 _UNITED = "n_words long, items array<string>, spans array<struct<s: int, e: int>>"
 
 
-def _search(docs: DataFrame, items: list, window: int, unite: bool) -> DataFrame:
-    """The columns of ``docs`` but text (unless twice) with those of a search, or with what is needed to unite several."""
+def _search(docs: DataFrame, items: list, window: int, unite: bool, keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs``, without text unless it is to be kept, with those of a search, or with what is needed to unite several."""
     shared = docs.sparkSession.sparkContext.broadcast(build_patterns(items, window))
-    kept = [f for f in docs.schema if f.name != "searched_text"]
+    kept = [f for f in docs.schema if keep_text or f.name != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [_UNITED if unite else _RESULT])
     names = [c.split()[0] for c in ("n_words l, items a, spans a" if unite else _RESULT).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = shared.value
-        for part in text_slices(batches, column="searched_text"):
-            words, hit, found = scan(part.column("searched_text"), patterns)
+        for part in text_slices(batches):
+            words, hit, found = scan(part.column("text"), patterns)
             items_of = [[patterns.item_ids[i] for i in f] for f in found]
             n_words = pa.array(np.diff(words.first), pa.int64())
             if unite:
@@ -270,16 +270,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document, and the columns ``carry``."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    rows = docs.select(id_column(), *carry, F.col("text").alias("searched_text"))
+    keep_text = "text" in carry  # sent to the search once, also if it is to be kept
+    rows = docs.select(id_column(), *(c for c in carry if c != "text"), "text")
     if total <= slice_bytes:
-        return _search(rows, [tuple(r) for r in items.collect()], window, unite=False)
+        return _search(rows, [tuple(r) for r in items.collect()], window, False, keep_text)
     n = -(-2 * total // slice_bytes)
     sliced = materialise(items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "op6-items")
     rows = materialise(rows.withColumn(_ROW, F.monotonically_increasing_id()), "op6-rows")
     path = scratch_path(docs.sparkSession, "op6-hits")
     for k in range(n):
         own = [(r.item_id, r.text) for r in sliced.where(F.col("slice") == k).toLocalIterator()]
-        hits = _search(rows.select(_ROW, "searched_text"), own, window, unite=True)
+        hits = _search(rows.select(_ROW, "text"), own, window, unite=True)
         (hits if k == 0 else hits.where(F.size("items") > 0)).write.mode("append").parquet(path)  # the first slice has a row for each document
     one = docs.sparkSession.read.parquet(path).groupBy(_ROW).agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -288,7 +289,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         F.array_sort("spans"), F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a["upto"], x["e"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["upto"], x["s"]))).cast("long").alias("n")), lambda a: a["n"])
     one = one.select(_ROW, "n_words", union.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return rows.drop("searched_text").join(one, _ROW).drop(_ROW).withColumn("contaminated", F.col("n_hit") > 0)
+    return (rows if keep_text else rows.drop("text")).join(one, _ROW).drop(_ROW).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
