@@ -271,10 +271,15 @@ def heading_entries(segments: DataFrame, pages: DataFrame) -> DataFrame:
     near = (F.abs(F.col("size") - F.col("from.size")) < 0.3) & (F.coalesce(F.col("y0") - F.lag("y1").over(down), F.lit(0.0)).between(0.0, 0.8 * F.col("from.size")))
     rows = rows.withColumn("_off", F.sum(F.when(near, 0).otherwise(1)).over(down)).where("_off = 0")
     titles = rows.groupBy(*_PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "seg", "t"))), lambda x: x["t"]), " ").alias("title")).withColumn("title", clean_title(F.col("title")))
-    order = Window.partitionBy("report").orderBy("page")
-    again = F.coalesce(same_title(F.col("title"), F.lag("title").over(order)) & (F.col("page") - F.lag("page").over(order) <= 3), F.lit(False))
-    titles = titles.withColumn("_again", again).where("not _again")
-    return titles.select("report", F.row_number().over(order).cast("long").alias("ord"), "title", F.col("page").alias("start"), F.lit(None).cast("string").alias("grp"))
+    listed = titles.groupBy("report").agg(F.array_sort(F.collect_list(F.struct("page", "title"))).alias("s"))
+
+    def add(kept: Column, x: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        again = F.coalesce(same_title(last["title"], x["title"]) & (x["page"] - last["page"] <= 3), F.lit(False))
+        return F.when(again, kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = listed.select("report", F.posexplode(F.aggregate("s", F.slice("s", 1, 0), add)).alias("ord", "e"))
+    return kept.select("report", (F.col("ord") + 1).cast("long").alias("ord"), "e.title", F.col("e.page").alias("start"), F.lit(None).cast("string").alias("grp"))
 
 
 # ---------------------------------------------------------------- the map
