@@ -80,26 +80,29 @@ def all_edges(lines: DataFrame, notes: DataFrame, parsed: DataFrame, refs: DataF
 
     ``lines`` has id, section_id, label, note_ref and pdf_page, ``parsed`` line_id, col, raw, value, nil, heading and period_label.
     """
-    own = lines.select(F.col("id").alias("src"), "section_id", "label", F.trim(F.coalesce("note_ref", F.lit(""))).alias("ref"), F.concat(F.lit(" on PDF p."), F.col("pdf_page").cast("string")).alias("page"))
-    quoted = F.concat(F.lit("'"), "label", F.lit("'"))
     first = parsed.where(~F.col("nil") & fig.distinctive(F.col("raw"), F.col("value"))).groupBy(F.col("line_id").alias("src"), fig.amount_key(F.col("value")).alias("key"))
     shown = first.agg(F.min(F.struct("col", F.col("raw").alias("raw"), F.coalesce("period_label", "heading", F.lit("figure")).alias("period"))).alias("shown"))
-    tied = ties.join(shown, ["src", "key"]).join(own, "src")
 
-    def part(df: DataFrame, kind: str, method: str, confidence: Column, evidence: Column) -> DataFrame:
-        return df.select("src", "dst", F.lit(kind).alias("kind"), F.lit(method).alias("method"), confidence.alias("confidence"), evidence.alias("evidence"))
+    def part(df: DataFrame, kind: str, method: str, confidence: Column, said: Column) -> DataFrame:
+        return df.select("src", "dst", F.lit(kind).alias("kind"), F.lit(method).alias("method"), confidence.alias("confidence"), said.cast("string").alias("said"))
 
-    told = [
-        part(refs.join(own, "src"), "references", "notes column", F.lit("high"), F.concat(quoted, F.lit(" cites "), "ref", "page")),
-        part(cited.join(own, "src"), "references", "label", F.lit("high"), F.concat(quoted, "page")),
-        part(tied, "ties_to", "figure match", F.col("confidence"), F.concat("shown.raw", F.lit(" ("), "shown.period", F.lit(")"), "page", F.lit(" is in "), "dst")),
-        part(titles.join(own, "src").join(notes.select(F.col("id").alias("dst"), "title"), "dst"), "mentions", "title match", F.col("confidence"), F.concat(quoted, F.lit(" matches the title '"), "title", F.lit("'"))),
-        part(carries.where("ok").select(F.col("a").alias("src"), F.col("b").alias("dst"), "evidence"), "carries", "same figures", F.lit("high"), F.col("evidence")),
+    found = [
+        part(refs, "references", "notes column", F.lit("high"), F.lit(None)), part(cited, "references", "label", F.lit("high"), F.lit(None)),
+        part(ties.join(shown, ["src", "key"]), "ties_to", "figure match", F.col("confidence"), F.concat("shown.raw", F.lit(" ("), "shown.period", F.lit(")"))),
+        part(titles.join(notes.select(F.col("id").alias("dst"), "title"), "dst"), "mentions", "title match", F.col("confidence"), F.col("title")),
     ]
-    out = told[0]
-    for more in told[1:]:
-        out = out.unionByName(more)
-    return out
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    # The lines are met once, for the evidence of all four kinds.
+    own = lines.select(F.col("id").alias("src"), F.concat(F.lit("'"), "label", F.lit("'")).alias("quoted"), F.trim(F.coalesce("note_ref", F.lit(""))).alias("ref"), F.concat(F.lit(" on PDF p."), F.col("pdf_page").cast("string")).alias("page"))
+    evidence = (
+        F.when(F.col("method") == "notes column", F.concat("quoted", F.lit(" cites "), "ref", "page")).when(F.col("method") == "label", F.concat("quoted", "page"))
+        .when(F.col("kind") == "ties_to", F.concat("said", "page", F.lit(" is in "), "dst")).otherwise(F.concat("quoted", F.lit(" matches the title '"), "said", F.lit("'")))
+    )
+    told = links.join(own, "src").select("src", "dst", "kind", "method", "confidence", evidence.alias("evidence"))
+    carry = carries.where("ok").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("carries").alias("kind"), F.lit("same figures").alias("method"), F.lit("high").alias("confidence"), "evidence")
+    return told.unionByName(carry)
 
 
 def carry_figures(lines: DataFrame, parsed: DataFrame) -> DataFrame:

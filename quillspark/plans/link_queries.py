@@ -9,7 +9,7 @@ from ..functions import words as wd
 from ..operators import checks, links
 from ..sources import report_views as rv
 from ..sources.report_views import with_views
-from ..sources.store import built
+from ..sources.store import built, settled
 from .registry import query, table
 
 
@@ -144,22 +144,23 @@ def j1(spark, d):
     return own.join(parsed(spark, d).where("value is not null"), F.col("id") == F.col("line_id")).select("id", "label", "unit_id", "pdf_page", "value", "raw")
 
 
-_REFS = """refs AS (SELECT src, coalesce(e.id, f.id) AS dst FROM (SELECT id AS src, section_id, trim(note_ref) AS r, regexp_extract(trim(note_ref), '^([0-9]{1,3})', 1) AS lead FROM v_lines WHERE trim(coalesce(note_ref, '')) <> '') x
+_REFS = """refs AS MATERIALIZED (SELECT src, coalesce(e.id, f.id) AS dst FROM (SELECT id AS src, section_id, trim(note_ref) AS r, regexp_extract(trim(note_ref), '^([0-9]{1,3})', 1) AS lead FROM v_lines WHERE trim(coalesce(note_ref, '')) <> '') x
   LEFT JOIN v_notes e ON e.section_id = x.section_id AND CAST(e.number AS VARCHAR) = r LEFT JOIN v_notes f ON f.section_id = x.section_id AND CAST(f.number AS VARCHAR) = lead
   WHERE coalesce(e.id, f.id) IS NOT NULL)"""
-_TIES = r"""own AS (SELECT line_id AS src, col, raw, heading, value, length(ltrim(dg, '0')) AS n_digits, CAST(round(abs(value), 2) AS DECIMAL(38, 2)) AS key
+_TIES = r"""own AS MATERIALIZED (SELECT line_id AS src, col, raw, heading, value, length(ltrim(dg, '0')) AS n_digits, CAST(round(abs(value), 2) AS DECIMAL(38, 2)) AS key
   FROM (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS dg FROM v_parsed) WHERE NOT nil AND value IS NOT NULL AND length(ltrim(dg, '0')) >= 4 AND NOT regexp_matches(dg, '^(19|20)[0-9]{2}$')),
-printed AS (SELECT DISTINCT section_id, note_id, CAST(round(CAST(replace(raw, ',', '') AS DOUBLE), 2) AS DECIMAL(38, 2)) AS key FROM v_note_figures),
-ties AS (SELECT src, dst, key, CASE WHEN n_notes = 1 THEN 'high' ELSE 'medium' END AS confidence FROM (
-  SELECT src, note_id AS dst, arg_min(key, col) AS key, count(*) OVER (PARTITION BY src) AS n_notes FROM own JOIN v_lines l ON l.id = src JOIN printed USING (section_id, key)
+owned AS MATERIALIZED (SELECT own.*, l.section_id FROM own JOIN v_lines l ON l.id = src),
+printed AS MATERIALIZED (SELECT DISTINCT section_id, note_id, CAST(round(CAST(replace(raw, ',', '') AS DOUBLE), 2) AS DECIMAL(38, 2)) AS key FROM v_note_figures),
+ties AS MATERIALIZED (SELECT src, dst, key, CASE WHEN n_notes = 1 THEN 'high' ELSE 'medium' END AS confidence FROM (
+  SELECT src, note_id AS dst, arg_min(key, col) AS key, count(*) OVER (PARTITION BY src) AS n_notes FROM owned JOIN printed USING (section_id, key)
   GROUP BY src, note_id HAVING count(DISTINCT value) >= 2 OR max(n_digits) >= 5) WHERE n_notes <= 3)"""
-_CITED = r"""citing AS (SELECT *, CASE seq % 3 WHEN 0 THEN label || ' (notes ' || (part_id % 40 + 1) || ' and ' || (part_id % 7 + 1) || ')'
+_CITED = r"""citing AS MATERIALIZED (SELECT *, CASE seq % 3 WHEN 0 THEN label || ' (notes ' || (part_id % 40 + 1) || ' and ' || (part_id % 7 + 1) || ')'
   WHEN 1 THEN label || ' (Schedule ' || ['I', 'IV', 'XVII', 'E', '12'][part_id % 5 + 1] || ')' ELSE label END AS full_label FROM v_lines),
 named AS (SELECT section_id, CAST(number AS VARCHAR) AS key, id FROM v_notes UNION ALL
   SELECT section_id, key, CASE WHEN section_id = 'consolidated' THEN 'C' ELSE 'S' END || '-SCH-' || key FROM (SELECT DISTINCT section_id FROM v_notes), (VALUES ('I'), ('IV'), ('XVII'), ('E')) s(key)),
 keys AS (SELECT id AS src, section_id, unnest(regexp_extract_all(g, '[0-9]+')) AS key FROM (SELECT id, section_id, unnest(regexp_extract_all(full_label, '(?i)\bnotes?\s*(?:no\.?\s*)?([0-9]{1,3}(?:\s*(?:,|and|&)\s*[0-9]{1,3})*)\b', 1)) AS g FROM citing)
   UNION SELECT id, section_id, upper(unnest(regexp_extract_all(full_label, '\b(?i:schedule)(?:\s+[''‘’]?|\s*[''‘’])([IVXL]{1,6}|[A-Z]{1,2}|[0-9]{1,2})\b', 1))) FROM citing),
-cited AS (SELECT DISTINCT k.src, n.id AS dst FROM keys k JOIN named n USING (section_id, key) WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.src = k.src AND r.dst = n.id))"""
+cited AS MATERIALIZED (SELECT DISTINCT k.src, n.id AS dst FROM keys k JOIN named n USING (section_id, key) WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.src = k.src AND r.dst = n.id))"""
 
 
 def _refs(spark, d):
@@ -178,7 +179,8 @@ def _edges(spark, d):
     """All links, built once: every query of links, hints and summaries reads them."""
 
     def build():
-        refs, cited, notes = _refs(spark, d), _cited(spark, d), rv.notes(spark, d)
+        refs, notes = settled(_refs(spark, d), "references"), rv.notes(spark, d)
+        cited = settled(links.label_references(_citing(spark, d), _units(spark, d), refs), "label-references")
         titles = links.mentions(_lines(spark, d), notes, refs.unionByName(cited))
         return links.all_edges(_citing(spark, d), notes, parsed(spark, d), refs, cited, _ties(spark, d), titles, _carries(spark, d))
 
@@ -217,10 +219,10 @@ def j5(spark, d):
 _CARRY = """cl AS (SELECT id AS line_id, o_custkey AS report, order_id, unit_id, CASE part_id % 7 WHEN 0 THEN 'net income' WHEN 1 THEN 'profit before tax' WHEN 2 THEN 'profit for the year' ELSE 'total comprehensive income' END AS label_key,
   o_custkey * 1000.0 + CASE WHEN order_id % 7 = 0 THEN 5 ELSE 0 END AS value FROM v_lines JOIN orders ON order_id = o_orderkey WHERE part_id % 7 < 4),
 cf AS (SELECT *, 'FY2020' AS period FROM cl UNION ALL SELECT *, 'FY' || (2021 + order_id % 2) FROM cl),
-carry AS (SELECT a.line_id AS a, b.line_id AS b, count(*) AS n_periods, bool_and(abs(a.value - b.value) <= 0.01 + 1e-9) AS ok, string_agg(period || ' ' || format('{:,.2f}', a.value), ', ' ORDER BY period) AS evidence
+carry AS MATERIALIZED (SELECT a.line_id AS a, b.line_id AS b, count(*) AS n_periods, bool_and(abs(a.value - b.value) <= 0.01 + 1e-9) AS ok, string_agg(period || ' ' || format('{:,.2f}', a.value), ', ' ORDER BY period) AS evidence
   FROM cf a JOIN cf b USING (report, label_key, period) WHERE a.unit_id < b.unit_id GROUP BY 1, 2)"""
 _EDGES = f"""{_REFS}, {_CITED}, {_TIES}, {_MENTIONS.replace("(SELECT src FROM refs)", "(SELECT src FROM refs UNION ALL SELECT src FROM cited)")}, {_CARRY},
-shown AS (SELECT src, key, arg_min(raw, col) AS raw, arg_min(CASE col WHEN 3 THEN right(heading, 4) || '-12-31' WHEN 0 THEN heading ELSE 'FY' || right(heading, 4) END, col) AS period FROM own GROUP BY src, key),
+shown AS MATERIALIZED (SELECT src, key, arg_min(raw, col) AS raw, arg_min(CASE col WHEN 3 THEN right(heading, 4) || '-12-31' WHEN 0 THEN heading ELSE 'FY' || right(heading, 4) END, col) AS period FROM own GROUP BY src, key),
 edges AS (SELECT src, dst, 'references' AS kind, 'notes column' AS method, 'high' AS confidence, chr(39) || full_label || chr(39) || ' cites ' || trim(note_ref) || ' on PDF p.' || pdf_page AS evidence FROM refs JOIN citing ON id = src
   UNION ALL SELECT src, dst, 'references', 'label', 'high', chr(39) || full_label || chr(39) || ' on PDF p.' || pdf_page FROM cited JOIN citing ON id = src
   UNION ALL SELECT src, dst, 'ties_to', 'figure match', confidence, raw || ' (' || period || ') on PDF p.' || pdf_page || ' is in ' || dst FROM ties JOIN shown USING (src, key) JOIN citing ON id = src

@@ -59,8 +59,8 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_figures(spark: SparkSession, d: str) -> DataFrame:
-    """section_id, note_id, raw: figures printed in the notes, the prices of every seventh order."""
-    own = lines(spark, d).where("order_id % 7 = 0")
+    """section_id, note_id, raw: figures printed in the notes, the prices of all lines."""
+    own = lines(spark, d)
     number = F.col("part_id") % NOTES + 1
     return own.select("section_id", F.concat(F.when(F.col("section_id") == "consolidated", "C").otherwise("S"), number.cast("string")).alias("note_id"), F.format_number(F.col("cents") / 100, 2).alias("raw"))
 
@@ -99,7 +99,7 @@ SQL = {
         FROM part, (VALUES ('consolidated'), ('standalone')) s(section_id) WHERE p_partkey BETWEEN 1 AND 40""",
     "v_note_figures": """
         SELECT section_id, CASE WHEN section_id = 'consolidated' THEN 'C' ELSE 'S' END || (part_id % 40 + 1) AS note_id, format('{:,.2f}', cents / 100.0) AS raw
-        FROM v_lines WHERE order_id % 7 = 0""",
+        FROM v_lines""",
     "v_blocks": """
         SELECT doc_id, i - 1 AS seq, t[i] AS text FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))""",
     "v_passages": """
