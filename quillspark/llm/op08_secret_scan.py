@@ -98,18 +98,49 @@ def token_score(token: Column, ratios: list[float]) -> Column:
 _SPANS = "array<struct<start:int,kind:int,end:int,token:string>>"
 
 
+#: Matches of a text that are laid or searched together, so that a text of many costs little more than each of them.
+CHUNK = 128
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunks(array: Column) -> Column:
+    """The array in pieces of ``CHUNK``."""
+    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / CHUNK).cast("int")), lambda k: F.slice(array, k * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.slice(F.array(array), 1, 0))
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """All matches of a pattern in order, as (start, kind, end, token)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    laid = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("token")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["token"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["gap"]) + F.length(x["token"])).alias("end"), x["token"].alias("token")))).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, laid).otherwise(F.array().cast(_SPANS))
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("token"))
+    length = lambda x: F.length(x["gap"]) + F.length(x["token"])
+
+    def laid(piece: Column, at: Column) -> Column:
+        return F.aggregate(
+            piece, F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + length(x)).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + length(x)).alias("end"), x["token"].alias("token")))).alias("out")),
+            lambda acc: acc["out"])
+
+    def all_laid(pieces: Column) -> Column:
+        sizes = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + length(x)))
+        upto = F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return _let(upto, lambda at: F.flatten(F.transform(pieces, lambda p, k: laid(p, F.get(at, k)))))
+
+    return F.when(F.size(found) > 0, _let(zipped, lambda z: _let(_chunks(z), all_laid))).otherwise(F.array().cast(_SPANS))
+
+
+def _clear_of(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no span of ``base``, which is sorted by start: a piece is searched only if it reaches the token."""
+    pieces = F.transform(_chunks(base), lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("low"), F.array_max(F.transform(p, lambda x: x["end"])).alias("high"), p.alias("all")))
+    meets = lambda t, b, low, high: (b[low] < t["end"]) & (t["start"] < b[high])
+    free = lambda t, held: ~F.exists(held, lambda c: meets(t, c, "low", "high") & F.exists(c["all"], lambda b: meets(t, b, "start", "end")))
+    return _let(pieces, lambda held: F.filter(tokens, lambda t: free(t, held)))
 
 
 def secret_spans(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
@@ -119,7 +150,7 @@ def secret_spans(docs: DataFrame, ratios: list[float], threshold: float = THRESH
     rows = rows.select("doc_id", *[_spans(F.col("text"), p, k).alias(KINDS[k]) for k, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN))])
     assign = F.filter("assign", lambda x: F.length(F.regexp_extract(x["token"], ASSIGN, 1)) >= 8)
     rows = rows.select("doc_id", F.array_sort(F.concat(assign, "access", "hex")).alias("base"), "markov")
-    clear = F.filter("markov", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & (token_score(t["token"], ratios) >= threshold))
+    clear = F.filter(_clear_of(F.col("markov"), F.col("base")), lambda t: token_score(t["token"], ratios) >= threshold)
     return rows.select("doc_id", "base", F.when(F.size("markov") > 0, clear).otherwise(F.col("markov")).alias("markov"))
 
 

@@ -448,6 +448,19 @@ def test_markov_models_tell_random_from_named(spark):
     assert op08_secret_scan.secret_scan(documents(spark, [text]).limit(0)).count() == 0
 
 
+def test_secrets_of_a_text_with_many_matches(spark):
+    """Thousands of runs of hex in one text, between tokens that overlap none: spans by brute force, in time that follows their number."""
+    rng = random.Random(8)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(3000)]
+    text = " ".join(h if k % 3 else "é x-" + h for k, h in enumerate(hexes))
+    docs = spark.createDataFrame([(1, text), (None, text[:500]), (1, text[:500])], "doc_id long, text string")
+    rows = op08_secret_scan.secret_scan(docs).collect()
+    spans = [f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{32,}", text)]
+    whole = next(r for r in rows if r.n_hex > 100)
+    assert whole.n_hex == len(spans) and whole.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+    assert whole.spans == ",".join(spans) and sorted(str(r.doc_id) for r in rows) == ["1", "1", "None"]
+
+
 # ------------------------------------------------------------------ 9
 
 
