@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import figures as fig
+from . import links
 
 
 # The two totals of a balance sheet.
@@ -93,15 +94,15 @@ def balances(assets: DataFrame, claims: DataFrame) -> DataFrame:
     return found.select("unit_id", "line_id", "col", F.when(ok, "ok").otherwise("fail").alias("status"))
 
 
-def note_ties(refs: DataFrame, ties: DataFrame, lines: DataFrame, parsed: DataFrame, note_figures: DataFrame) -> DataFrame:
-    """(src, dst, status): whether a note that a line cites prints one of the line's distinctive figures."""
-    own = parsed.where(~F.col("nil") & fig.distinctive(F.col("raw"), F.col("value"))).select(F.col("line_id").alias("src"), fig.amount_key(F.col("value")).alias("key"))
-    printed = note_figures.select("section_id", F.col("note_id").alias("dst"), fig.amount_key(F.replace(F.col("raw"), F.lit(","), F.lit("")).cast("double")).alias("key")).distinct()
-    asked = refs.join(lines.select(F.col("id").alias("src"), "section_id"), "src").join(own, "src")
-    hit = asked.join(printed.withColumn("there", F.lit(1)), ["section_id", "dst", "key"], "left")
-    found = hit.groupBy("src", "dst").agg(F.max("there").alias("there"))
-    tied = ties.select("src", "dst", F.lit(1).alias("tied"))
-    return found.join(tied, ["src", "dst"], "left").select("src", "dst", F.when(F.coalesce("there", "tied").isNotNull(), "ok").otherwise("warn").alias("status"))
+def note_ties(asked: DataFrame, note_figures: DataFrame) -> DataFrame:
+    """(src, dst, status): whether a note that a line cites prints one of the line's distinctive figures.
+
+    Takes (src, dst, section_id, key): the references of lines with each of their amounts. A line that ties to a cited note is ok
+    by this too: a tie is one of these amounts, printed in that note.
+    """
+    printed = links.printed_amounts(note_figures).withColumnRenamed("note_id", "dst").withColumn("there", F.lit(1))
+    hit = asked.join(printed, ["section_id", "dst", "key"], "left")
+    return hit.groupBy("src", "dst").agg(F.when(F.max("there") == 1, "ok").otherwise("warn").alias("status"))
 
 
 def kind_status(checks: DataFrame) -> DataFrame:
@@ -112,9 +113,11 @@ def kind_status(checks: DataFrame) -> DataFrame:
 def link_summary(lines: DataFrame, edges: DataFrame) -> DataFrame:
     """lines, linked lines, and lines by method, in one row."""
     linked = edges.where(F.col("kind").isin("references", "ties_to", "mentions"))
-    methods = [F.countDistinct(F.when(F.col("method") == m, F.col("src"))).alias(a) for m, a in (("notes column", "by_notes_column"), ("label", "by_label"), ("figure match", "by_figure_match"), ("title match", "by_title_match"))]
+    methods = (("notes column", "by_notes_column"), ("label", "by_label"), ("figure match", "by_figure_match"), ("title match", "by_title_match"))
+    per = linked.where("src is not null").groupBy("src").agg(*[F.max(F.when(F.col("method") == m, 1)).alias(a) for m, a in methods])
+    counts = per.agg(F.count("*").alias("linked"), *[F.count(a).alias(a) for _, a in methods])
     # One row each side, so a cross join of two aggregates.
-    return lines.agg(F.count("*").alias("lines")).crossJoin(linked.agg(F.countDistinct("src").alias("linked"), *methods))
+    return lines.agg(F.count("*").alias("lines")).crossJoin(counts)
 
 
 def acceptance(reports: DataFrame, least_notes: int, least_statements: int, readable: float) -> DataFrame:
