@@ -86,3 +86,21 @@ def numbered(rows: DataFrame, lead: str, *rest: str, name: str = "place") -> Dat
     starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(lead, *rest))
     return dealt.withColumn(name, inside).join(F.broadcast(starts), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
+def nearest(asked: DataFrame, held: DataFrame, place: str, value: str, name: str, wide: float) -> DataFrame:
+    """(place, name, diff): the row of ``held`` whose value is nearest to each place, at most ``wide`` away, of equals the least name.
+
+    Both sides are cut into cells as wide as ``wide``; a place stands in three of them and meets there the last value up to it and the
+    first from it on, by windows in the order of values. So no place is paired with all values of a cell. Values and places are distinct.
+    """
+    # In one cell: values and places in one order.
+    cell = lambda c: F.floor(F.col(c) / wide)
+    a = asked.select(F.explode(F.array(*[cell(place) + k for k in (-1, 0, 1)])).alias("_cell"), F.col(place).alias("_at"), F.lit(None).cast(held.schema[name].dataType).alias("_name"), F.lit(True).alias("_asks"))
+    b = held.select(cell(value).alias("_cell"), F.col(value).alias("_at"), F.col(name).alias("_name"), F.lit(False).alias("_asks"))
+    seen = F.when(~F.col("_asks"), F.struct(F.col("_at").alias("value"), F.col("_name").alias("name")))
+    so_far = lambda order: F.last(seen, ignorenulls=True).over(Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = a.unionByName(b).withColumn("_below", so_far((F.asc("_at"), F.asc("_asks")))).withColumn("_above", so_far((F.desc("_at"), F.asc("_asks")))).where("_asks")
+    pair = rows.select(F.col("_at").alias(place), F.explode(F.array("_below", "_above")).alias("_v")).where("_v is not null")
+    pair = pair.select(place, F.col("_v.name").alias(name), F.abs(F.col("_v.value") - F.col(place)).alias("diff")).where(F.col("diff") <= wide)
+    return pair.groupBy(place).agg(F.min_by(name, F.struct("diff", name)).alias(name), F.min("diff").alias("diff"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspark.functions import figures as fig
-from quillspark.operators import checks, links
+from quillspark.operators import checks, links, sequences
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -42,6 +42,12 @@ def test_an_amount_in_many_notes_is_one_row_for_a_figure(spark):
     assert "Window" not in plan(found)
 
 
+def test_nearest_within_a_tolerance(spark):
+    asked = spark.createDataFrame([(10.0,), (14.9,), (30.0,)], "amount double")
+    held = spark.createDataFrame([(9.0, "z"), (11.0, "b"), (15.1, "c"), (36.0, "d")], "value double, id string")
+    assert [(a, i, round(x, 6)) for a, i, x in rows(sequences.nearest(asked, held, "amount", "value", "id", 5.0))] == [(10.0, "b", 1.0), (14.9, "c", 0.2)]
+
+
 def test_lines_linked_by_a_method_are_counted_once(spark):
     edges = spark.createDataFrame([("a", "references", "label"), ("a", "references", "label"), ("a", "ties_to", "figure match"), ("b", "carries", "same figures")], "src string, kind string, method string")
     assert rows(checks.link_summary(edges.select("src"), edges)) == [(4, 1, 0, 1, 1, 0)]
