@@ -14,8 +14,9 @@ agree in a register with the chance of their Jaccard similarity, however small t
    order is by the number of documents, exact for the at most ``LISTED`` shingles that stand in the most; a passage
    that many documents hold comes last and is no key unless it is nearly all of a text. Keys that hold one group go.
 4. In a finer key, documents outside its largest group meet all others, in blocks of ``BLOCK`` by portions of ``PORTION``, by a
-   bitmap of ``BITS`` hashed shingles that bounds what two sets can share (each bit that only one has is a shingle that the
-   other lacks). A document sends its ``LIKELIEST`` pairs with each other group; these are confirmed and join groups. Documents
+   bitmap that bounds what two sets can share: how many shingles fall into each of ``CELLS`` cells, counted up to ``PLANES``.
+   Two sets share at most the lesser count of each cell, so the bound exceeds what they do share only where shingles that
+   either alone has meet in a cell, and pairs somewhat below the threshold send nothing. A document sends its ``LIKELIEST`` pairs with each other group; these are confirmed and join groups. Documents
    that held pairs back send ``MORE`` times as many in the next round, to groups that are still others, until none holds back.
 
 With similarity 0.8 or more a pair shares no band with chance (1 - 0.8**5)**51 < 2e-9. Shingles are compared by 64-bit hashes
@@ -38,8 +39,11 @@ from .common import SpanHasher, discard, id_column, materialise, mix64, spaced_w
 from .graph import components, join_groups
 
 REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 51
-#: Bits of a bitmap; shingles whose number of documents is known to all workers.
-BITS, LISTED = 1024, 1 << 18
+#: Cells of a bitmap and the highest count of one; shingles whose number of documents is known to all workers.
+CELLS, PLANES, LISTED = 1024, 4, 1 << 18
+BITS = CELLS * PLANES
+#: Bitmaps laid at once.
+BITMAPS = 4096
 #: Documents outside a key's largest group in one block, and all its documents in one portion.
 BLOCK, PORTION = 512, 4096
 #: Pairs of a document with one group and portion in the first round, and how many times as many in each later one.
@@ -245,16 +249,31 @@ def _rare_keys(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return texts.select("id", "g", "text").mapInArrow(run, "key long, id long, g long")
 
 
+def counted(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Packed bitmaps (texts x BITS): bit k * CELLS + c is set if more than k shingles fall into cell c."""
+    n = np.diff(first)
+    cell = np.sort(np.repeat(np.arange(len(n)), n) * CELLS + (hashes >> _U(20)).astype(np.int64) % CELLS)
+    new = np.ones(len(cell), dtype=bool)
+    new[1:] = cell[1:] != cell[:-1]
+    at = np.arange(len(cell))
+    before = at - np.maximum.accumulate(np.where(new, at, 0))
+    bits = np.zeros((len(n), BITS), dtype=bool)
+    keep = before < PLANES
+    bits[cell[keep] // CELLS, before[keep] * CELLS + cell[keep] % CELLS] = True
+    return np.packbits(bits, axis=1)
+
+
 def _bitmaps(texts: DataFrame, words: int) -> DataFrame:
     """id, n and the bitmap of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             hashes, first = shingle_sets(part.column("text"), words)
-            n = np.diff(first)
-            bits = np.zeros((len(n), BITS), dtype=bool)
-            bits[np.repeat(np.arange(len(n)), n), (hashes >> _U(20)).astype(np.int64) % BITS] = True
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())], names=["id", "n", "bits"])
+            for lo in range(0, part.num_rows, BITMAPS):
+                own = part.slice(lo, BITMAPS)
+                at = first[lo : lo + own.num_rows + 1]
+                packed = counted(hashes[at[0] : at[-1]], at - at[0])
+                yield pa.RecordBatch.from_arrays([own.column("id"), pa.array(np.diff(at)), pa.array([b.tobytes() for b in packed], pa.binary())], names=["id", "n", "bits"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, n long, bits binary")
 

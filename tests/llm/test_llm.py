@@ -533,6 +533,21 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == least.tolist() and 100 < len(set(got[:2000])) < 1900
 
 
+def test_pairs_below_the_threshold_send_nothing(spark):
+    """Sets of 300 shingles that share so many with one base that two of them reach 0.75, and six that reach the threshold with each other."""
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[:257] + [f"v{k}x{i}" for i in range(43)]) for k in range(60)]
+    texts += [" ".join(base[:280] + [f"u{k}y{i}" for i in range(20)]) for k in range(6)] + ["same " * 50 + " ".join(base[:200])]
+    rows = documents(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    got = op09_minhash._bitmaps(rows, 1).orderBy("id").toArrow()
+    bits = np.frombuffer(b"".join(got.column("bits").to_pylist()), dtype=np.uint8).reshape(len(texts), -1)
+    side = (np.asarray(got.column("id")), np.arange(len(texts)), np.asarray(got.column("n")), bits)
+    a, b, _ = op09_minhash._best(side, side, 10**6, 80)
+    sets = [set(t.split()) for t in texts]
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and 100 * len(x & y) >= 80 * len(x | y)}
+    assert want == set(zip(a.tolist(), b.tolist(), strict=True)) and len(want) == 30
+
+
 def test_near_duplicates_of_odd_ids(spark):
     docs = documents(spark, ["a b c d e f", "a b c d e f", "x y z u v w", "x y z u v w"], ids=[None, 4, 4, 9])
     got = sorted((r.doc_id is None, r.component_id, r.kept) for r in op09_minhash.near_duplicates(docs).collect())
