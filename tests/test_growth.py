@@ -61,3 +61,9 @@ def test_common_figures_read_as_the_long_way_reads_them(spark):
     long = fig.let(F.trim(F.regexp_replace(plain, fig.CURRENCY, "")), fig._parse_unpriced)
     both = df.select("raw", fig.parse_value(F.col("raw")).alias("a"), long.alias("b")).collect()
     assert [(r.raw, r.a) for r in both] == [(r.raw, r.b) for r in both]
+
+
+def test_aligned_tables_shuffle_a_page_once(spark):
+    """The lines, their parts and the pages are dealt once; before, each table of rows and columns was joined back to its segments."""
+    found = plan(entry.queries()["d12_aligned_tables"](spark, SMALL))
+    assert found.count("Scan parquet") <= 4 and found.count("Exchange hashpartitioning") <= 4
