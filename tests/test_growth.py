@@ -1,11 +1,14 @@
 """Work that must grow with the input: no join brings back what a row had, no pair is made once a period or once a note."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspark.functions import figures as fig
-from quillspark.operators import checks, links, sequences
+from quillspark.operators import checks, layout, links, sequences
+from quillspark.sources import page_views
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -67,3 +70,55 @@ def test_aligned_tables_shuffle_a_page_once(spark):
     """The lines, their parts and the pages are dealt once; before, each table of rows and columns was joined back to its segments."""
     found = plan(entry.queries()["d12_aligned_tables"](spark, SMALL))
     assert found.count("Scan parquet") <= 4 and found.count("Exchange hashpartitioning") <= 4
+
+
+def test_a_page_of_documents_is_read_and_dealt_once(spark):
+    """Lines, glyphs and headings come from one scan; boxes stay with their lines, and no line holds the gaps of its whole box."""
+    segments = page_views.document_pages(spark, SMALL)[0]
+    assert plan(segments).count("Scan parquet") == 1 and plan(segments).count("Exchange") == 1
+    lines = layout.text_boxes(segments.withColumn("bullet", F.lit(False)))
+    assert "Join" not in plan(lines) and "collect_list" not in plan(layout.paragraphs(lines.localCheckpoint()))
+
+
+def test_marks_and_stacks_by_all_pairs(spark):
+    """Marks meet the nearest line on their right, and lines the closest one above, as when all pairs of a page are compared."""
+    rng, given = random.Random(5), []
+    for page in range(12):
+        for seg in range(rng.randint(1, 60)):
+            mark = rng.random() < 0.3
+            x, y, size = rng.choice([40.0, 52.0, 60.0, 300.0]), rng.randint(0, 40) * 6.0 + rng.choice([0, 0.5]), rng.choice([10.0, 10.0, 14.0])
+            given.append((page, seg, x, y, x + (5.0 if mark else rng.randint(40, 200)), y + size, "•" if mark else f"line {seg}", size, rng.random() < 0.2, False))
+    names = "page long, seg long, x0 double, y0 double, x1 double, y1 double, t string, size double, bold boolean, mono boolean"
+    df = spark.createDataFrame(given, names)
+    none = spark.createDataFrame([], "page long, draw long, x0 double, y0 double, x1 double, y1 double, curves int, fill boolean, stroke boolean, kinds string, pen double")
+    marked = layout.mark_bullets(df, none, layout.body_sizes(df)).collect()
+    want, boxes = set(), layout.text_boxes(spark.createDataFrame([tuple(r[c] for c in ("page", "seg", "x0", "y0", "x1", "y1", "t", "size", "bold", "mono", "bullet")) for r in marked], names + ", bullet boolean")).collect()
+    for page in range(12):
+        own = [g for g in given if g[0] == page]
+        lines, aims = [g for g in own if g[6] != "•"], {}
+        for m in (g for g in own if g[6] == "•"):
+            near = [(k[2] - m[4], k[1]) for k in lines if abs((k[3] + k[5]) / 2 - (m[3] + m[5]) / 2) <= 4 and 0 <= k[2] - m[4] <= 25]
+            if near:
+                aims.setdefault(min(near)[1], []).append((min(near)[0], m[1], m[2]))
+        used = {min(a)[1] for a in aims.values()}
+        want |= {(page, k[1], "• " + k[6], min(aims[k[1]])[2], True) if k[1] in aims else (page, k[1], k[6], k[2], False) for k in lines}
+        want |= {(page, m[1], "•", m[2], True) for m in own if m[6] == "•" and m[1] not in used}
+    assert {(r.page, r.seg, r.t, r.x0, r.bullet) for r in marked} == want
+    for page in range(12):
+        own = sorted((r for r in boxes if r.page == page), key=lambda r: (r.y0, r.x0, r.seg))
+        above, free = {}, {k for k, r in enumerate(own) if not r.bullet}
+        for a, u in enumerate(own):
+            fits = []
+            for b in free:
+                v = own[b]
+                gap, overlap, large = v.y0 - u.y1, min(u.x1, v.x1) - max(u.x0, v.x0), max(u.size, v.size)
+                alike = u.bold == v.bold and large <= 1.25 * min(u.size, v.size) and (overlap >= 0.2 * min(u.x1 - u.x0, v.x1 - v.x0) or abs(u.x0 - v.x0) <= 3)
+                if b > a and alike and v.y0 > u.y0 + 0.4 * u.size and -2 <= gap <= 0.8 * large + 1.5:
+                    fits.append((gap, -overlap, b))
+            if fits:
+                above[min(fits)[2]] = a
+                free.discard(min(fits)[2])
+        at = {}
+        for b in range(len(own)):
+            at[b] = (at[above[b]][0], at[above[b]][1] + 1) if b in above else (b, 0)
+        assert [(r.box, r.line) for r in own] == [at[b] for b in range(len(own))]
