@@ -122,3 +122,13 @@ def test_marks_and_stacks_by_all_pairs(spark):
         for b in range(len(own)):
             at[b] = (at[above[b]][0], at[above[b]][1] + 1) if b in above else (b, 0)
         assert [(r.box, r.line) for r in own] == [at[b] for b in range(len(own))]
+
+
+def test_coverage_counts_characters_without_a_join(spark):
+    lines = spark.createDataFrame([(1, "a b"), (1, "b"), (2, "x"), (3, " "), (4, "q")], "page long, t string")
+    blocks = spark.createDataFrame([(1, "bba"), (2, "xx"), (5, "z")], "page long, text string")
+    for name, kind in (("items", "array<string>"), ("markers", "string"), ("value", "string"), ("label", "string"), ("labels", "array<string>"), ("head", "array<array<string>>"), ("rows", "array<array<string>>")):
+        blocks = blocks.withColumn(name, F.lit(None).cast(kind))
+    found = layout.coverage(lines, blocks)
+    assert rows(found) == [(1, True), (2, False), (3, True), (4, False)]
+    assert "Join" not in plan(found)
