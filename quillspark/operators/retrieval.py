@@ -12,28 +12,33 @@ from ..functions import words as wd
 K1, B = 1.5, 0.75
 PATH_WEIGHT, NAMED_BOOST, KIND_BOOST = 3, 1.6, 1.25
 PER_SECTION, CANDIDATES = 4, 30
-#: Partitions of an index.
-BUCKETS = 32
+#: Partitions of an index, and the parts in which each of them is written.
+BUCKETS, SLICES = 32, 16
+
+
+def _words(passages: DataFrame, *more: Column) -> DataFrame:
+    """(id, term, weight): words of the text once, words of the path three times, and ``more``; each is looked up and stemmed as a row of its own."""
+    of = lambda c, weight: F.struct(wd.raw_words(F.col(c)).alias("words"), F.lit(weight).alias("weight"))
+    rows = passages.select("id", F.inline(F.array(of("text", 1), of("path", PATH_WEIGHT), *more))).select("id", F.explode("words").alias("word"), "weight")
+    return rows.where(~wd.is_stopword(F.col("word"))).select("id", wd.retrieval_stem(F.col("word")).alias("term"), "weight")
 
 
 def postings(passages: DataFrame) -> DataFrame:
     """(id, term, tf): words of the text once, words of the path three times. Takes (id, path, text)."""
-    body = passages.select("id", F.explode(wd.retrieval_tokens(F.col("text"))).alias("term"), F.lit(1).alias("weight"))
-    path = passages.select("id", F.explode(wd.retrieval_tokens(F.col("path"))).alias("term"), F.lit(PATH_WEIGHT).alias("weight"))
-    return body.unionByName(path).groupBy("id", "term").agg(F.sum("weight").alias("tf"))
+    return _words(passages).groupBy("id", "term").agg(F.sum("weight").alias("tf"))
 
 
 def index(passages: DataFrame) -> DataFrame:
-    """(bucket, term, id, tf, dl, df, n_docs, avgdl): postings with all that a score needs, to be written once, partitioned by bucket.
+    """(bucket, term, id, tf, dl): postings with the length of their passage, to be written once, partitioned by bucket.
 
-    A question then reads the buckets of its terms alone.
+    The term "" has a row for each id: how many passages have it, and its length. A question then reads the buckets of its terms and
+    of "" alone, and counts what it needs of them. Passages are dealt once by id, postings once by bucket; nothing joins them.
     """
-    posted = postings(passages)
-    lengths = posted.groupBy("id").agg(F.sum("tf").alias("dl"))
-    often = posted.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = lengths.agg(F.avg("dl").alias("avgdl")).crossJoin(passages.agg(F.count("*").alias("n_docs")))  # one row
-    found = posted.join(lengths, "id").join(often, "term").crossJoin(F.broadcast(corpus)).withColumn("bucket", _bucket(F.col("term")))
-    return found.repartition("bucket").sortWithinPartitions("bucket", "term")
+    own = passages.select("id", "path", "text").repartition("id")
+    posted = _words(own, F.struct(F.array(F.lit("")).alias("words"), F.lit(1).alias("weight"))).groupBy("id", "term").agg(F.sum("weight").alias("tf"))
+    length = F.sum(F.when(F.col("term") != "", F.col("tf")).otherwise(0)).over(Window.partitionBy("id"))
+    found = posted.withColumn("dl", length).withColumn("bucket", _bucket(F.col("term")))
+    return found.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SLICES))).sortWithinPartitions("bucket", "term")
 
 
 def _bucket(term: Column) -> Column:
@@ -43,8 +48,11 @@ def _bucket(term: Column) -> Column:
 def bm25(indexed: DataFrame, terms: dict[str, float]) -> DataFrame:
     """(id, score) of the passages that hold a term, from the postings of ``index``: partitions and rows of other terms are not read."""
     weights = F.create_map(*[F.lit(x) for kv in terms.items() for x in kv])
-    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
-    asked = indexed.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+    of = lambda *names: indexed.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in names})) & F.col("term").isin(list(names)))
+    asked = of(*terms)
+    often = asked.groupBy("term").agg(F.count("*").alias("df"))  # a row a term
+    corpus = of("").agg(F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"), F.sum("tf").alias("n_docs"))  # one row
+    asked = asked.where("id is not null").join(F.broadcast(often), "term").crossJoin(F.broadcast(corpus))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.try_element_at(weights, F.col("term")) * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return asked.groupBy("id").agg(F.sum(part).alias("score"))

@@ -1,5 +1,6 @@
 """Work that must grow with the input: no join brings back what a row had, no pair is made once a period or once a note."""
 
+import math
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspark.functions import figures as fig
-from quillspark.operators import checks, layout, links, sequences
+from quillspark.operators import checks, layout, links, retrieval, sequences
 from quillspark.sources import page_views
 
 SMALL = "/root/testdata/sf0.001"
@@ -132,3 +133,16 @@ def test_coverage_counts_characters_without_a_join(spark):
     found = layout.coverage(lines, blocks)
     assert rows(found) == [(1, True), (2, False), (3, True), (4, False)]
     assert "Join" not in plan(found)
+
+
+def test_the_term_index_deals_passages_and_postings_once(spark):
+    """No posting is joined with lengths or counts; odd ids and empty passages count as before."""
+    given = [(1, "p", "alpha beta"), (2, "p", "alpha alpha gamma"), (2, "q", "beta"), (3, "the", None), (None, "p", "alpha")]
+    indexed = retrieval.index(spark.createDataFrame(given, "id long, path string, text string"))
+    found = plan(indexed)
+    assert "Join" not in found and found.count("Exchange hashpartitioning") == 2
+    tf = {(1, "p"): 3, (1, "alpha"): 1, (1, "beta"): 1, (2, "p"): 3, (2, "q"): 3, (2, "alpha"): 2, (2, "gamma"): 1, (2, "beta"): 1, (None, "p"): 3, (None, "alpha"): 1}
+    dl = {i: sum(n for (k, _), n in tf.items() if k == i) for i in (1, 2, None)}
+    idf = lambda t: math.log(1 + (5 - (df := sum(term == t for _, term in tf)) + 0.5) / (df + 0.5))
+    score = {i: sum(w * idf(t) * tf[i, t] * 2.5 / (tf[i, t] + 1.5 * (0.25 + 0.75 * dl[i] / (sum(dl.values()) / 3))) for t, w in (("alpha", 2.0), ("beta", 1.0)) if (i, t) in tf) for i in (1, 2)}
+    assert dict(rows(retrieval.bm25(indexed, {"alpha": 2.0, "beta": 1.0}))) == pytest.approx(score)
