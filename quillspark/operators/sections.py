@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import words as wd
-from ..sources.store import settled
 from .sequences import keep_first
 
 # What a contents title, a page number, a leader line and an item heading look like; pages searched, entries needed.
@@ -129,36 +128,46 @@ def parse_contents(segments: DataFrame, pages: DataFrame) -> DataFrame:
     parts = parts.where(F.col("_title").isNull() | (order != F.col("_title"))).where(F.col("top").isNull() | (F.col("leaders") < LEADERS) | (F.col("y0") >= F.col("top")))
     parts = parts.withColumn("titled", F.col("top").isNotNull()).withColumn("number", F.col("t").rlike(PAGE_NUMBER))
     sizes = F.array_sort(F.collect_list("size").over(page))
-    parts = settled(parts.withColumn("median", F.get(sizes, F.floor(F.size(sizes) / 2).cast("int"))).select(*_PAGE, "titled", "seg", "k", "x0", "y0", "x1", "y1", "t", "size", "bold", "pair", "leaders", "number", "median"), "contents-parts")
-    numbers = parts.where("number").select(*_PAGE, *(F.col(c).alias(f"n_{c}") for c in ("seg", "k", "x0", "y0", "x1", "y1", "t", "size", "pair")))
-    texts = parts.where("not number")
-    same_line = F.abs((F.col("y0") + F.col("y1")) / 2 - (F.col("n_y0") + F.col("n_y1")) / 2) <= 0.6 * F.greatest("size", "n_size")
-    beside = texts.join(numbers, _PAGE).where(same_line | F.col("n_pair").eqNullSafe(F.col("pair")) & F.col("pair").isNotNull())
+    parts = parts.withColumn("median", F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")))
+    # A page holds its numbers and its texts, and each text meets the numbers of its page there.
+    place, number = ("seg", "k", "x0", "y0", "x1", "y1", "t", "size", "pair"), F.col("number")
+    held = parts.groupBy(*_PAGE).agg(
+        F.collect_list(F.when(number, F.struct(*place))).alias("numbers"), F.collect_list(F.when(~number, F.struct(*place, "bold", "median"))).alias("texts"),
+        F.first("titled").alias("titled"), F.first("leaders").alias("leaders"),
+    )
+    of_pair = lambda t, n: t["pair"].isNotNull() & n["pair"].eqNullSafe(t["pair"])
+    same_line = lambda t, n: (F.abs((t["y0"] + t["y1"]) / 2 - (n["y0"] + n["y1"]) / 2) <= 0.6 * F.greatest(t["size"], n["size"])) | of_pair(t, n)
     # Numbers come first on a page where half of them have a text close behind.
-    led = beside.where("x0 - n_x1 between 0 and 60").select(*_PAGE, "n_seg", "n_k").distinct().groupBy(*_PAGE).agg(F.count("*").alias("led"))
-    style = numbers.groupBy(*_PAGE).agg(F.count("*").alias("all")).join(led, _PAGE, "left").select(*_PAGE, (F.coalesce("led", F.lit(0)) * 2 >= F.col("all")).alias("numbers_first"))
-    beside = beside.join(style, _PAGE)
-    by_text = Window.partitionBy(*_PAGE, "seg", "k")
-    leader = F.col("pair").isNotNull() & F.col("n_pair").eqNullSafe(F.col("pair"))
-    plain = F.col("n_pair").isNull() & F.col("pair").isNull()
-    behind, before = plain & F.col("numbers_first") & (F.col("x0") >= F.col("n_x1")), plain & ~F.col("numbers_first") & (F.col("x1") < F.col("n_x0"))
-    beside = beside.where(leader | behind | before).withColumn("away", F.when(leader, -1.0).when(behind, F.col("x0") - F.col("n_x1")).otherwise(F.col("n_x0") - F.col("x1")))
-    beside = beside.withColumn("_k", F.row_number().over(by_text.orderBy("away", "n_seg", "n_k"))).where("_k = 1")
+    led = F.filter("numbers", lambda n: F.exists("texts", lambda t: (t["x0"] - n["x1"]).between(0, 60) & same_line(t, n)))
+    held = held.where(F.size("numbers") > 0).withColumn("numbers_first", F.size(led) * 2 >= F.size("numbers"))
+
+    def beside(t: Column) -> Column:
+        """The nearest number that a text may belong to, with its distance; of equals the first."""
+        plain = lambda n: n["pair"].isNull() & t["pair"].isNull() & same_line(t, n)
+        behind = lambda n: plain(n) & F.col("numbers_first") & (t["x0"] >= n["x1"])
+        before = lambda n: plain(n) & ~F.col("numbers_first") & (t["x1"] < n["x0"])
+        away = lambda n: F.when(of_pair(t, n), -1.0).when(behind(n), t["x0"] - n["x1"]).when(before(n), n["x0"] - t["x1"])
+        near = F.transform("numbers", lambda n: F.struct(away(n).alias("away"), n["seg"].alias("seg"), n["k"].alias("k"), n["x1"].alias("x1"), n["t"].alias("t"), n["pair"].alias("pair")))
+        return F.array_min(F.filter(near, lambda n: n["away"].isNotNull()))
+
+    texts = held.select(*_PAGE, "titled", "leaders", "numbers_first", F.inline(F.transform("texts", lambda t: F.struct(t.alias("x"), beside(t).alias("of")))))
+    texts = texts.select(*_PAGE, "titled", "leaders", "numbers_first", "x.*", F.col("of.seg").alias("n_seg"), F.col("of.k").alias("n_k"), F.col("of.x1").alias("n_x1"), F.col("of.t").alias("n_t"), F.col("of.pair").alias("n_pair"))
     # Behind a number the first text is near, and the others follow with small gaps.
-    by_number = Window.partitionBy(*_PAGE, "n_seg", "n_k")
-    along = by_number.orderBy("x0", "seg", "k")
+    along = Window.partitionBy(*_PAGE, "n_seg", "n_k").orderBy("x0", "seg", "k")
     gap = F.col("x0") - F.coalesce(F.lag("x1").over(along), F.col("n_x1"))
     far = F.when(F.col("numbers_first") & F.col("n_pair").isNull() & (gap >= F.when(F.row_number().over(along) == 1, 60.001).otherwise(40.0)), 1).otherwise(0)
-    chosen = beside.withColumn("_far", far).withColumn("_far", F.sum("_far").over(along)).where("_far = 0")
-    item = F.transform(F.array_sort(F.collect_list(F.struct("x0", "seg", "k", "t"))), lambda x: x["t"])
-    entries = chosen.groupBy(*_PAGE, "n_seg", "n_k", F.col("n_t").alias("printed")).agg(F.array_join(item, " ").alias("title"), F.min_by("x0", F.struct("x0", "seg", "k")).alias("x0"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min_by("size", F.struct("x0", "seg", "k")).alias("size"))
-    entries = entries.withColumn("title", tx.despace(F.col("title")))
-    listed = entries.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "title", "printed", "y1", "size"))).alias("entries")).where(F.size("entries") >= LEAST_ENTRIES)
+    texts = texts.withColumn("_far", far).withColumn("_far", F.sum("_far").over(along)).withColumn("chosen", F.col("n_seg").isNotNull() & (F.col("_far") == 0))
+    own = lambda value: F.when(F.col("chosen"), value)
+    first = F.when(F.col("chosen"), F.struct("x0", "seg", "k"))
+    item = F.transform(F.array_sort(F.collect_list(own(F.struct("x0", "seg", "k", "t")))), lambda x: x["t"])
+    free = F.when(~F.col("chosen") & (F.col("leaders") < LEADERS), F.struct("y0", "x0", "seg", "k", "t", "y1", "size", "bold", "median"))
+    entries = texts.groupBy(*_PAGE, "n_seg", "n_k").agg(
+        F.first("titled").alias("titled"), F.first("n_t").alias("printed"), tx.despace(F.array_join(item, " ")).alias("title"), F.min_by("x0", first).alias("x0"), F.min(own(F.col("y0"))).alias("y0"),
+        F.max(own(F.col("y1"))).alias("y1"), F.min_by("size", first).alias("size"), F.collect_list(free).alias("loose"), F.bool_or("chosen").alias("led"),
+    )
+    entry = F.when(F.col("led"), F.struct("y0", "x0", "title", "printed", "y1", "size"))
+    listed = entries.groupBy(*_PAGE).agg(F.first("titled").alias("titled"), F.array_sort(F.collect_list(entry)).alias("entries"), F.array_sort(F.flatten(F.collect_list("loose"))).alias("loose")).where(F.size("entries") >= LEAST_ENTRIES)
     listed = listed.withColumn("entries", F.transform("entries", lambda e: F.struct(*(e[c].alias(c) for c in ("title", "printed", "x0", "y0", "y1", "size")))))
-    free = texts.where(F.col("leaders") < LEADERS).join(chosen.select(*_PAGE, "seg", "k"), [*_PAGE, "seg", "k"], "left_anti")
-    loose = free.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "seg", "k", "t", "y1", "size", "bold", "median"))).alias("loose"))
-    titled = texts.groupBy(*_PAGE).agg(F.max("titled").alias("titled"))
-    listed = listed.join(loose, _PAGE, "left").join(titled, _PAGE)
 
     def add(state: Column, x: Column) -> Column:
         """A loose line continues the lowest entry right above it, or heads a group, or is nothing."""
@@ -171,7 +180,7 @@ def parse_contents(segments: DataFrame, pages: DataFrame) -> DataFrame:
         return F.struct(more.alias("entries"), F.when(heads, F.concat(state["groups"], F.array(group))).otherwise(state["groups"]).alias("groups"))
 
     start = F.struct(F.col("entries").cast(f"array<{_ENTRY}>").alias("entries"), F.array().cast("array<struct<title:string,y0:double,x0:double>>").alias("groups"))
-    read = listed.select(*_PAGE, "titled", F.when(F.col("loose").isNull(), start).otherwise(F.aggregate("loose", start, add)).alias("s"))
+    read = listed.select(*_PAGE, "titled", F.aggregate("loose", start, add).alias("s"))
     read = read.select(*_PAGE, "titled", "s.groups", F.posexplode("s.entries").alias("n", "e"))
     owner = F.array_max(F.transform(F.filter("groups", lambda g: (g["y0"] < F.col("e.y0")) & (F.abs(g["x0"] - F.col("e.x0")) <= 40)), lambda g: F.struct(g["y0"].alias("y0"), g["title"].alias("title"))))
     return read.select(*_PAGE, "titled", "n", clean_title(F.col("e.title")).alias("title"), "e.printed", owner["title"].alias("grp"))
@@ -202,14 +211,15 @@ def contents_entries(segments: DataFrame, pages: DataFrame, finder: PageFinder,
 
     ``counts`` has (report, page_count); entries that lead before the contents or beyond the report are left out.
     """
-    parsed = settled(parse_contents(segments, pages), "contents-entries")
-    chosen = parsed.where(F.col("titled") & (F.col("page") <= SEARCHED_PAGES)).groupBy("report").agg(F.min("page").alias("contents_page"))
-    ends = parsed.groupBy(*_PAGE).agg(F.min_by("printed", "n").alias("low"), F.max_by("printed", "n").alias("high"))
-    follow = Window.partitionBy("report").orderBy("page")
-    ends = ends.join(chosen, "report").where("page >= contents_page")
-    goes_on = (F.col("page") == F.lag("page").over(follow) + 1) & (_first_number(F.col("low")) >= _first_number(F.lag("high").over(follow)))
-    ends = ends.withColumn("_stop", F.sum(F.when(F.coalesce(goes_on, F.col("page") == F.col("contents_page")), 0).otherwise(1)).over(follow)).where("_stop = 0")
-    own = parsed.join(ends.select(*_PAGE, "contents_page"), _PAGE).withColumn("ord", F.row_number().over(Window.partitionBy("report").orderBy("page", "n")).cast("long"))
+    parsed = parse_contents(segments, pages)
+    # All of a report's entries in one order: a page is followed by its first entry and led by the last one of the page before.
+    titled = F.min(F.when(F.col("titled") & (F.col("page") <= SEARCHED_PAGES), F.col("page"))).over(Window.partitionBy("report"))
+    own = parsed.withColumn("contents_page", titled).where("page >= contents_page")
+    follow = Window.partitionBy("report").orderBy("page", "n")
+    last, said = F.lag("page").over(follow), F.lag("printed").over(follow)
+    goes_on = (F.col("page") == last) | ((F.col("page") == last + 1) & (_first_number(F.col("printed")) >= _first_number(said)))
+    own = own.withColumn("_stop", F.when(F.coalesce(goes_on, F.col("page") == F.col("contents_page")), 0).otherwise(1))
+    own = own.withColumn("_stop", F.sum("_stop").over(follow)).where("_stop = 0").withColumn("ord", F.row_number().over(follow).cast("long")).drop("_stop")
     placed = finder.pages(numbered_groups(own)).join(counts, "report").where("start > contents_page and start <= page_count")
     return placed.select("report", "ord", "title", "start", "grp")
 
@@ -225,8 +235,8 @@ def header_runs(headers: DataFrame, groups: DataFrame | None = None) -> DataFram
     """
     rows = headers.where("report is not null and page is not null and line is not null")
     pages = rows.groupBy("report").agg(F.countDistinct("page").alias("pages"))
-    common = rows.groupBy("report", "line").agg(F.countDistinct("page").alias("n")).join(pages, "report").where("n > 0.3 * pages").select("report", "line")
-    rows = rows.join(common, ["report", "line"], "left_anti").where(~F.col("line").rlike(PAGE_NUMBER) & (F.length("line") >= 4))
+    lines = rows.groupBy("report", "line").agg(F.collect_list(F.struct("page", "place")).alias("at")).where(~F.col("line").rlike(PAGE_NUMBER) & (F.length("line") >= 4))
+    rows = lines.join(pages, "report").where(F.size(F.array_distinct("at.page")) <= 0.3 * F.col("pages")).select("report", "line", F.inline("at"))
     if groups is not None:
         key = F.array_join(title_words(F.col("line")), " ")
         known = groups.select("report", F.array_join(title_words(F.col("title")), " ").alias("key")).distinct()
@@ -300,19 +310,24 @@ def section_map(counts: DataFrame, **sources: DataFrame) -> DataFrame:
     order = report.orderBy("start", "ord")
     entries = entries.withColumn("i", F.row_number().over(order)).withColumn("next", F.lead("start").over(order))
     entries = entries.withColumn("end", F.greatest(F.coalesce(F.col("next") - 1, F.col("page_count")), F.col("start")))
-    entries = settled(entries, "section-entries")
-    last = F.coalesce(F.max_by("next", "i") - 1, F.first("page_count"))
-    grouped = entries.where("grp is not null").groupBy("report", "grp").agg(F.min("i").alias("i"), F.min_by("start", "i").alias("start"), last.alias("end"), F.first("source").alias("source"))
-    column = lambda name: F.lit(None).cast("string").alias(name)
-    rows = entries.select("report", "i", F.lit(1).alias("k"), "title", "start", "end", "source", "grp", F.when(F.col("grp").isNotNull(), 2).otherwise(F.when(F.col("source").isin(*SOURCES), 2)).alias("level"))
-    rows = rows.unionByName(grouped.select("report", "i", F.lit(0).alias("k"), F.col("grp").alias("title"), "start", F.greatest("end", "start").alias("end"), "source", column("grp"), F.lit(1).alias("level")))
-    front = entries.where("i = 1 and start > 1").select("report", F.lit(0).alias("i"), F.lit(0).alias("k"), F.lit("Front matter").alias("title"), F.lit(1).cast("long").alias("start"), (F.col("start") - 1).alias("end"), F.lit("fallback").alias("source"), column("grp"), F.lit(1).alias("level"))
-    rows = rows.unionByName(front).withColumn("seq", (F.row_number().over(report.orderBy("i", "k")) - 1).cast("long"))
+    # The first entry of a group brings the group with it, the first of a report its front matter.
+    group = Window.partitionBy("report", "grp").orderBy("i")
+    after = F.last("next").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    entries = entries.withColumn("heads", F.col("grp").isNotNull() & (F.row_number().over(group) == 1)).withColumn("last", F.coalesce(after - 1, F.col("page_count")))
+    made = {"i": "int", "k": "int", "title": "string", "start": "long", "end": "long", "source": "string", "grp": "string", "level": "int"}
+    row = lambda *values: F.struct(*(v.cast(t).alias(c) for (c, t), v in zip(made.items(), values)))
+    none, lit = F.lit(None), F.lit
+    own = row(F.col("i"), lit(1), F.col("title"), F.col("start"), F.col("end"), F.col("source"), F.col("grp"), lit(2))
+    head = F.when(F.col("heads"), row(F.col("i"), lit(0), F.col("grp"), F.col("start"), F.greatest("last", "start"), F.col("source"), none, lit(1)))
+    front = F.when((F.col("i") == 1) & (F.col("start") > 1), row(lit(0), lit(0), lit("Front matter"), lit(1), F.col("start") - 1, lit("fallback"), none, lit(1)))
+    rows = entries.select("report", F.inline(F.array_compact(F.array(own, head, front)))).withColumn("seq", (F.row_number().over(report.orderBy("i", "k")) - 1).cast("long"))
     slug = tx.slug(F.col("title"))
     nth = F.row_number().over(Window.partitionBy("report", "_slug").orderBy("seq"))
     rows = rows.withColumn("_slug", slug).withColumn("id", F.when(nth > 1, F.concat("_slug", F.lit("-"), nth)).otherwise(F.col("_slug")))
-    parents = rows.where("k = 0 and source <> 'fallback'").select("report", F.col("title").alias("grp"), F.col("id").alias("parent_id"))
-    rows = rows.join(parents, ["report", "grp"], "left")
+    leads = (F.col("k") == 0) & (F.col("source") != "fallback")
+    rows = rows.withColumn("_grp", F.when(leads, F.col("title")).otherwise(F.col("grp")))
+    parent = F.max(F.when(leads, F.col("id"))).over(Window.partitionBy("report", "_grp"))
+    rows = rows.withColumn("parent_id", F.when(F.col("grp").isNotNull(), parent))
     return rows.select("report", "seq", "id", "parent_id", "title", wd.kind_of(F.col("title")).alias("kind"), "level", F.col("start").alias("start_page"), F.col("end").cast("long").alias("end_page"), "source")
 
 

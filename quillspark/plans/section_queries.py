@@ -14,7 +14,8 @@ def _map(spark, d):
     """The section map of all reports, built once."""
 
     def build():
-        own = built(spark, "report-sections", d, lambda: sv.sections(spark, d))
+        # Dealt by report once; windows, groups and joins on the report follow without another exchange.
+        own = built(spark, "report-sections", d, lambda: sv.sections(spark, d)).repartition("report")
         counts, finder = sv.counts(own), sc.PageFinder(sv.labels(own))
         segments, sizes = sv.contents_pages(own)
         runs = sc.header_runs(sv.headers(own)).select("report", F.col("first").alias("ord"), "title", F.col("first").alias("start"), F.lit(None).cast("string").alias("grp"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspark.functions import figures as fig
-from quillspark.operators import checks, layout, links, retrieval, sequences
-from quillspark.sources import page_views
+from quillspark.operators import checks, layout, links, retrieval, sections, sequences
+from quillspark.sources import page_views, report_views
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -151,3 +151,27 @@ def test_the_term_index_deals_passages_and_postings_once(spark):
 def test_values_of_a_line_are_counted_before_they_are_sent(spark):
     found = plan(entry.queries()["a14_column_map"](spark, SMALL))
     assert "Join" not in found and "collect_list" not in found and found.count("Exchange") == 1
+
+
+def test_sections_join_no_entry_back(spark):
+    """Texts meet numbers on their page, groups come with their first section: one join brings the height of a page, one the length of a report."""
+    segments = spark.createDataFrame([], "report long, page long, seg long, x0 double, y0 double, x1 double, y1 double, t string, size double, bold boolean")
+    pages = spark.createDataFrame([], "report long, page long, width double, height double")
+    entries = spark.createDataFrame([], "report long, ord long, title string, start long, grp string")
+    logical = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert logical(sections.parse_contents(segments, pages)).count("Join") == 1
+    assert logical(sections.section_map(spark.createDataFrame([], "report long, page_count long"), contents=entries, heading=entries)).count("Join") == 1
+    assert logical(sections.header_runs(spark.createDataFrame([], "report long, page long, place int, line string"))).count("Join") == 1
+
+
+def test_lines_are_numbered_where_their_parts_are(spark, tmp_path):
+    """The order of a line comes last, so grouping by order deals nothing anew; lines without a part count, parts named twice give two lines."""
+    items = [(1, 7, 1, 1), (1, 8, 1, 2), (1, 9, 1, 3), (1, None, 1, 4), (2, 9, 1, 1)]
+    names = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int", "p_partkey long, p_name string")
+    more = {c: F.lit(1.0) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
+    spark.createDataFrame(items, names[0]).withColumns(more).withColumn("l_shipdate", F.lit("1999-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(8, "b"), (9, "c"), (9, "d"), (5, None)], names[1]).write.parquet(f"{tmp_path}/part.parquet")
+    own = report_views.lines(spark, str(tmp_path))
+    assert rows(own.select("order_id", "seq", "label")) == [(1, 2, "b"), (1, 3, "c"), (1, 3, "d"), (2, 1, "c"), (2, 1, "d")]
+    found = plan(own.groupBy("order_id").agg(F.collect_list(F.struct("seq", "label"))))
+    assert found[: found.index("Window")].count("Exchange") == 0
