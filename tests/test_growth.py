@@ -175,3 +175,9 @@ def test_lines_are_numbered_where_their_parts_are(spark, tmp_path):
     assert rows(own.select("order_id", "seq", "label")) == [(1, 2, "b"), (1, 3, "c"), (1, 3, "d"), (2, 1, "c"), (2, 1, "d")]
     found = plan(own.groupBy("order_id").agg(F.collect_list(F.struct("seq", "label"))))
     assert found[: found.index("Window")].count("Exchange") == 0
+
+
+def test_ruled_pages_are_dealt_once(spark):
+    """Segments and rules of a page are made and met in one row: no join and no exchange behind the lines of the orders."""
+    found = plan(entry.queries()["d12_grid_tables"](spark, SMALL))
+    assert found.count("Scan parquet") == 2 and found[: found.index("Window [row_number")].count("Exchange") == 0
