@@ -150,7 +150,7 @@ def parse_contents(segments: DataFrame, pages: DataFrame) -> DataFrame:
         near = F.transform("numbers", lambda n: F.struct(away(n).alias("away"), n["seg"].alias("seg"), n["k"].alias("k"), n["x1"].alias("x1"), n["t"].alias("t"), n["pair"].alias("pair")))
         return F.array_min(F.filter(near, lambda n: n["away"].isNotNull()))
 
-    texts = held.select(*_PAGE, "titled", "leaders", "numbers_first", F.inline(F.transform("texts", lambda t: F.struct(t.alias("x"), beside(t).alias("of")))))
+    texts = held.select(*_PAGE, "titled", "leaders", "numbers_first", F.inline_outer(F.transform("texts", lambda t: F.struct(t.alias("x"), beside(t).alias("of"))))).where("x is not null")
     texts = texts.select(*_PAGE, "titled", "leaders", "numbers_first", "x.*", F.col("of.seg").alias("n_seg"), F.col("of.k").alias("n_k"), F.col("of.x1").alias("n_x1"), F.col("of.t").alias("n_t"), F.col("of.pair").alias("n_pair"))
     # Behind a number the first text is near, and the others follow with small gaps.
     along = Window.partitionBy(*_PAGE, "n_seg", "n_k").orderBy("x0", "seg", "k")
@@ -181,7 +181,7 @@ def parse_contents(segments: DataFrame, pages: DataFrame) -> DataFrame:
 
     start = F.struct(F.col("entries").cast(f"array<{_ENTRY}>").alias("entries"), F.array().cast("array<struct<title:string,y0:double,x0:double>>").alias("groups"))
     read = listed.select(*_PAGE, "titled", F.aggregate("loose", start, add).alias("s"))
-    read = read.select(*_PAGE, "titled", "s.groups", F.posexplode("s.entries").alias("n", "e"))
+    read = read.select(*_PAGE, "titled", "s.groups", F.posexplode_outer("s.entries").alias("n", "e")).where("n is not null")
     owner = F.array_max(F.transform(F.filter("groups", lambda g: (g["y0"] < F.col("e.y0")) & (F.abs(g["x0"] - F.col("e.x0")) <= 40)), lambda g: F.struct(g["y0"].alias("y0"), g["title"].alias("title"))))
     return read.select(*_PAGE, "titled", "n", clean_title(F.col("e.title")).alias("title"), "e.printed", owner["title"].alias("grp"))
 
