@@ -73,27 +73,35 @@ def table_rows(found: DataFrame, ties: DataFrame | None = None) -> DataFrame:
     so, has no label, or holds a figure that ties (``ties`` has page and figure, as printed). ``notes_col`` is the first column of note references.
     """
     tables = found.where("kind = 'table'").withColumn("all", F.concat("head", "rows"))
-    width = F.array_max(F.transform("all", lambda r: F.size(r))) - 1
-    rows = tables.where(F.size("all") > 0).withColumn("width", width).select("page", "place", "width", F.posexplode("all").alias("row", "r"))
-    raw = F.get("r", F.lit(0))
-    rest = F.transform(F.when(F.col("width") > 0, F.sequence(F.lit(1), F.col("width"))).otherwise(F.array().cast("array<int>")), lambda k: _plain(F.coalesce(F.get("r", k), F.lit(""))))
-    rows = rows.withColumns({"label": _plain(raw), "cells": rest, "bold": F.trim(raw).rlike(r"^\*\*.+\*\*$"), "filled": F.exists("r", lambda c: c != "")})
-    empty = ~F.exists("cells", lambda c: c != "")
+    tables = tables.withColumn("width", F.array_max(F.transform("all", lambda r: F.size(r))) - 1)
     if ties is not None:
         known = ties.groupBy("page").agg(F.collect_set("figure").alias("tied"))
-        rows = rows.join(known, "page", "left")
+        tables = tables.join(known, "page", "left")
     else:
-        rows = rows.withColumn("tied", F.array().cast("array<string>"))
-    sums = (F.col("label") == "") | F.col("label").rlike(TOTAL_LABEL) | F.exists("cells", lambda c: (c != "") & F.coalesce(F.array_contains("tied", c), F.lit(False)))
-    kind = (
-        F.when(F.col("row") == 0, F.when(F.col("filled"), "header")).when(empty & (F.col("label") == ""), None)
-        .when(empty, F.when(F.col("bold") | F.col("label").endswith(":"), "section").otherwise("text")).when(sums, "total").otherwise("data")
-    )
-    rows = rows.withColumn("kind", kind).where("kind is not null")
-    cut = F.when(F.col("kind").isin("section", "text"), F.array().cast("array<string>")).otherwise(F.col("cells"))
-    rows = rows.withColumn("cells", cut)
-    columns = rows.where("kind in ('header', 'data', 'total')").select("page", "place", "kind", F.posexplode("cells").alias("col", "c")).groupBy("page", "place", "col").agg(
-        F.max((F.col("kind") == "header") & F.lower("c").isin(*NOTE_HEADS)).alias("named"), F.min(F.when((F.col("kind") != "header") & (F.col("c") != ""), F.col("c").rlike(NOTE_REF))).alias("refs"))
-    notes = columns.where(F.col("named") | F.coalesce("refs", F.lit(False))).groupBy("page", "place").agg(F.min("col").alias("notes_col"))
-    order = Window.partitionBy("page", "place").orderBy("row")
-    return rows.join(notes, ["page", "place"], "left").select("page", "place", (F.row_number().over(order) - 1).alias("row"), "kind", "label", "cells", "notes_col")
+        tables = tables.withColumn("tied", F.lit(None).cast("array<string>"))
+    places = F.when(F.col("width") > 0, F.sequence(F.lit(1), F.col("width"))).otherwise(F.array().cast("array<int>"))
+    said = lambda r: F.transform(places, lambda k: _plain(F.coalesce(F.get(r, k), F.lit(""))))
+    tables = tables.select("page", "place", "width", "tied", F.transform("all", lambda r: F.struct(_plain(F.get(r, F.lit(0))).alias("label"), said(r).alias("cells"), F.trim(F.get(r, F.lit(0))).rlike(r"^\*\*.+\*\*$").alias("bold"), F.exists(r, lambda c: c != "").alias("filled"))).alias("all"))
+    none = F.array().cast("array<string>")
+
+    def read(r: Column, i: Column) -> Column:
+        label, empty = r["label"], ~F.exists(r["cells"], lambda c: c != "")
+        sums = (label == "") | label.rlike(TOTAL_LABEL) | F.exists(r["cells"], lambda c: (c != "") & F.coalesce(F.array_contains("tied", c), F.lit(False)))
+        kind = (
+            F.when(i == 0, F.when(r["filled"], "header")).when(empty & (label == ""), None)
+            .when(empty, F.when(r["bold"] | label.endswith(":"), "section").otherwise("text")).when(sums, "total").otherwise("data")
+        )
+        return F.struct(kind.alias("kind"), label.alias("label"), r["cells"].alias("cells"))
+
+    tables = tables.withColumn("all", F.transform("all", read)).withColumn("all", F.filter("all", lambda r: r["kind"].isNotNull()))
+
+    def of_notes(k: Column) -> Column:
+        """The header names the column, or it has cells below and all are note references."""
+        own = F.filter("all", lambda r: r["kind"].isin("data", "total") & (F.get(r["cells"], k) != ""))
+        named = F.exists("all", lambda r: (r["kind"] == "header") & F.lower(F.get(r["cells"], k)).isin(*NOTE_HEADS))
+        return named | ((F.size(own) > 0) & F.forall(own, lambda r: F.get(r["cells"], k).rlike(NOTE_REF)))
+
+    notes = F.get(F.filter(F.transform(places, lambda k: k - 1), of_notes), F.lit(0)).alias("notes_col")
+    rows = tables.select("page", "place", notes, F.posexplode_outer("all").alias("row", "r")).where("row is not null")
+    cut = F.when(F.col("r.kind").isin("section", "text"), none).otherwise(F.col("r.cells"))
+    return rows.select("page", "place", "row", "r.kind", "r.label", cut.alias("cells"), "notes_col")

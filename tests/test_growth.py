@@ -181,3 +181,9 @@ def test_ruled_pages_are_dealt_once(spark):
     """Segments and rules of a page are made and met in one row: no join and no exchange behind the lines of the orders."""
     found = plan(entry.queries()["d12_grid_tables"](spark, SMALL))
     assert found.count("Scan parquet") == 2 and found[: found.index("Window [row_number")].count("Exchange") == 0
+
+
+def test_rows_of_transcribed_tables_stay_with_their_page(spark):
+    """The notes column is found in the rows of its table, so nothing is dealt or joined behind the lines of the orders."""
+    found = plan(entry.queries()["d5_markdown_rows"](spark, SMALL))
+    assert found.count("Scan parquet") == 2 and found.count("Join") == 1 and "Exchange" not in found[: found.rindex("Window [row_number")]
