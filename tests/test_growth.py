@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from quillspark.functions import figures as fig
 from quillspark.operators import checks, layout, links, retrieval, sections, sequences
-from quillspark.sources import page_views, report_views
+from quillspark.sources import legacy_views, page_views, report_views
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -187,3 +187,9 @@ def test_rows_of_transcribed_tables_stay_with_their_page(spark):
     """The notes column is found in the rows of its table, so nothing is dealt or joined behind the lines of the orders."""
     found = plan(entry.queries()["d5_markdown_rows"](spark, SMALL))
     assert found.count("Scan parquet") == 2 and found.count("Join") == 1 and "Exchange" not in found[: found.rindex("Window [row_number")]
+
+
+def test_pages_of_old_reports_come_from_their_sections_once(spark):
+    """Sections are built once and say all their rows in one scan; the items of the orders meet them by order in the one other join."""
+    found = plan(legacy_views.printed_rows(spark, SMALL))
+    assert found.count("Join") == 2 and found.count("Scan parquet") == 4
