@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspark.functions import figures as fig
-from quillspark.operators import checks, layout, links, retrieval, sections, sequences
+from quillspark.operators import checks, layout, legacy, links, retrieval, sections, sequences
 from quillspark.sources import legacy_views, page_views, report_views
 
 SMALL = "/root/testdata/sf0.001"
@@ -193,3 +193,11 @@ def test_pages_of_old_reports_come_from_their_sections_once(spark):
     """Sections are built once and say all their rows in one scan; the items of the orders meet them by order in the one other join."""
     found = plan(legacy_views.printed_rows(spark, SMALL))
     assert found.count("Join") == 2 and found.count("Scan parquet") == 4
+
+
+def test_only_titles_of_old_reports_are_compared_with_titles(spark):
+    pages = spark.createDataFrame([], "report long, page long, row long, x0 double, y0 double, y1 double, size double, bold boolean, text string")
+    tops = spark.createDataFrame([], "report long, page long, top double, bottom double, body_top double, part_of string")
+    found = legacy.markers(pages, tops)._jdf.queryExecution().analyzed().toString()
+    guarded = f"(size#{found.split('size#')[1].split(',')[0].split(' ')[0]} >= {legacy.TITLE_SIZE})) THEN CASE WHEN RLIKE"
+    assert found.count(guarded) == 2
