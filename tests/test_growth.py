@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from quillspark.functions import figures as fig
 from quillspark.operators import checks, layout, legacy, links, retrieval, sections, sequences
-from quillspark.sources import legacy_views, page_views, report_views
+from quillspark.plans import link_queries
+from quillspark.sources import legacy_views, page_views, report_views, store
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,6 +47,43 @@ def test_an_amount_in_many_notes_is_one_row_for_a_figure(spark):
     assert "Window" not in plan(found)
 
 
+def test_links_stay_with_their_order_and_are_kept_without_evidence(spark):
+    """Figures meet broadcast amounts where their order is; evidence, most of the bytes of a link, is written nowhere."""
+    ties = plan(link_queries._ties(spark, SMALL))
+    assert "BroadcastHashJoin" in ties and "Exchange hashpartitioning" not in ties
+    entry.queries()["u1_all_edges"](spark, SMALL).count()
+    entry.queries()["o5_best_lines"](spark, SMALL).count()
+    kept = [k[1] for k in store._BUILT if k[0] == spark.sparkContext.applicationId]
+    assert "edges" not in kept and link_queries._links(spark, SMALL).columns == ["src", "dst", "kind", "method", "confidence"]
+
+
+def test_more_amounts_than_are_broadcast_give_the_same_ties(spark, monkeypatch):
+    few = rows(link_queries._ties(spark, SMALL))
+    monkeypatch.setattr(link_queries, "_AMOUNTS", 10)
+    monkeypatch.setattr(link_queries, "small", lambda df, most: df.repartition(3).hint("merge"))
+    assert "SortMergeJoin" in plan(link_queries._ties(spark, SMALL)) and rows(link_queries._ties(spark, SMALL)) == few
+
+
+def test_a_table_dealt_by_a_column_is_grouped_and_joined_in_place(spark, tmp_path):
+    path = str(tmp_path / "given")
+    spark.range(50).selectExpr("id", "id % 7 as k").write.parquet(path)
+    made = store.built(spark, "dealt-table", path, lambda: spark.read.parquet(path), deal="k")
+    assert "Exchange" not in plan(made.groupBy("k", "id").count()) and rows(made.select("id")) == [(i,) for i in range(50)]
+    kept = store._DEALT[store._BUILT[next(k for k in store._BUILT if k[2] == path)]]
+    store.forget(spark, path)
+    assert not spark.catalog.tableExists(kept)
+
+
+def test_lines_with_listed_figures_are_carried_as_those_with_a_row_a_figure(spark):
+    figures = spark.createDataFrame(
+        [("s", u, u, "net income", p, v, str(v)) for u, v in (("a", 1.0), ("b", 1.0), ("c", 7.5)) for p in ("FY2", "FY1")] + [("s", "d", "d", "net income", "FY3", 1.0, "1.0")],
+        "section_id string, unit_id string, line_id string, label_key string, period_label string, value double, raw string",
+    )
+    figure = F.struct("period_label", "raw", "value", fig.tolerance(F.col("raw")).alias("near"))
+    listed = figures.groupBy("section_id", "label_key", "unit_id", "line_id").agg(F.array_sort(F.collect_list(figure)).alias("figures"))
+    assert rows(links.carried(listed, listed)) == rows(links.carried(figures, figures)) and links.carried(listed, listed).count() == 3
+
+
 def test_nearest_within_a_tolerance(spark):
     asked = spark.createDataFrame([(10.0,), (14.9,), (30.0,)], "amount double")
     held = spark.createDataFrame([(9.0, "z"), (11.0, "b"), (15.1, "c"), (36.0, "d")], "value double, id string")
