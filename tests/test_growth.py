@@ -239,3 +239,15 @@ def test_only_titles_of_old_reports_are_compared_with_titles(spark):
     found = legacy.markers(pages, tops)._jdf.queryExecution().analyzed().toString()
     guarded = f"(size#{found.split('size#')[1].split(',')[0].split(' ')[0]} >= {legacy.TITLE_SIZE})) THEN CASE WHEN RLIKE"
     assert found.count(guarded) == 2
+
+
+def test_pages_of_old_reports_are_dealt_once(spark):
+    """Pages are kept in buckets, where layouts and windows find them; the notes of a schedule are read without a join, and no unit's rows are kept."""
+    pages = store.settled(legacy_views.printed_rows(spark, SMALL).limit(100_000).repartition("report", "page"), "pages-test", "report", "page")
+    tops = legacy_views.layouts(pages)
+    assert "Exchange hashpartitioning" not in plan(pages.join(tops.hint("merge"), ["report", "page"]))
+    given = [(1, 1, 1, r, 40.0, 10.0 * r, False, t) for r, t in enumerate(("ahead", "1. ONE: first", "more", "2. two", "9. not a note", "3. three"))]
+    held = spark.createDataFrame(given, "report long, n int, page long, row long, x0 double, y0 double, bold boolean, text string")
+    found = legacy.note_items(held)
+    assert rows(found.select("number", "row", "digest")) == [(1, 1, "ONE: first more"), (2, 3, "two 9. not a note"), (3, 5, "three")]
+    assert "Join" not in plan(found)
