@@ -69,6 +69,9 @@ def test_a_table_dealt_by_a_column_is_grouped_and_joined_in_place(spark, tmp_pat
     spark.range(50).selectExpr("id", "id % 7 as k").write.parquet(path)
     made = store.built(spark, "dealt-table", path, lambda: spark.read.parquet(path), deal="k")
     assert "Exchange" not in plan(made.groupBy("k", "id").count()) and rows(made.select("id")) == [(i,) for i in range(50)]
+    again = store.built(spark, "dealt-table", path, lambda: None, deal="k", plain=True)
+    both = again.unionByName(again.groupBy("k").agg(F.max("id").alias("id"))).repartition("k")
+    assert rows(both.groupBy(F.spark_partition_id().alias("p"), "k").count().groupBy("k").count()) == [(k, 1) for k in range(7)]
     kept = store._DEALT[store._BUILT[next(k for k in store._BUILT if k[2] == path)]]
     store.forget(spark, path)
     assert not spark.catalog.tableExists(kept)
